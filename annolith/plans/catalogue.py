@@ -1,0 +1,11 @@
+"""Named queries of the library and their SQL equivalents."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
