@@ -8,9 +8,14 @@ from .common import documents
 
 #: query: (module, function) applied to the documents table
 _ON_DOCUMENTS = {
+    "op2_quality_rules": ("quality_rules", "quality_rules"),
     "op3_token_counts": ("token_counts", "token_counts"),
+    "op5_exact_dedup": ("exact_dedup", "exact_dedup"),
     "op6_token_id_output": ("binary_output", "token_id_output"),
     "op7_packing": ("packing", "pack"),
+    "op8_language_id": ("language_id", "language_id"),
+    "op9_source_mixing": ("mixing", "mixture"),
+    "op10_license_scan": ("license_scan", "license_scan"),
 }
 
 
@@ -21,8 +26,14 @@ def _query(module: str, function: str):
     return run
 
 
+def _quality_classifier(spark, sf_dir):
+    from .quality_classifier import quality_scores
+
+    return quality_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
-    return {name: _query(*where) for name, where in _ON_DOCUMENTS.items()}
+    return {name: _query(*where) for name, where in _ON_DOCUMENTS.items()} | {"op4_quality_classifier": _quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
