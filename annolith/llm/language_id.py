@@ -150,7 +150,7 @@ def identify(spark: SparkSession, docs: DataFrame, languages: list[str], weights
 
     fields = ", ".join(f"c{k} {shape.schema[k].dataType.simpleString()}" for k in range(len(columns)))
     out = shape.toDF(*(f"c{k}" for k in range(len(columns)))).mapInArrow(score, f"{fields}, lang_pred string, score double")
-    return out.toDF(*columns, "lang_pred", "score")
+    return out.toDF(*columns, "lang_pred", "score")  # by place: a column of docs may have either name
 
 
 def language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -158,3 +158,12 @@ def language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     fold = F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))
     languages, weights = train(docs.where(~fold).select("lang", "text"))
     return identify(spark, docs, languages, weights, ["doc_id", "text"]).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
+def with_known_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs without those that are ``und``; all their columns.  Learns from the documents of language_id's training folds."""
+    fold = F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))
+    languages, weights = train(docs.where(~fold).select("lang", "text"))
+    found = identify(spark, docs, languages, weights, docs.columns)
+    named = [f"c{k}" for k in range(len(docs.columns))]
+    return found.toDF(*named, "pred", "score").where(F.col("pred") != UND).select(*named).toDF(*docs.columns)

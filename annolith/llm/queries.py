@@ -32,8 +32,14 @@ def _quality_classifier(spark, sf_dir):
     return quality_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _ngram_join(spark, sf_dir):
+    from .ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(spark, documents(spark, sf_dir), width=4, percent=85)
+
+
 def queries() -> dict:
-    return {name: _query(*where) for name, where in _ON_DOCUMENTS.items()} | {"op4_quality_classifier": _quality_classifier}
+    return {"op1_ngram_jaccard_join": _ngram_join} | {name: _query(*where) for name, where in _ON_DOCUMENTS.items()} | {"op4_quality_classifier": _quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
