@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annolith.sources.work import Work
+
+__all__ = ["SPACE", "WORD", "Work", "binary_array", "crc32_of_id", "documents", "list_array", "lower_ascii", "ragged", "shuffle_partitions"]
+
 #: Words of most contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,39 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="annolith-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Work:
-    """A scratch folder of one operator call: tables are written there and read back, which cuts lineage.
-
-    A written table survives the loss of any executor; nothing is kept in executors' memory or disks.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_folder(spark)}/annolith/{name}-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        where = f"{self.path}/{name}"
-        df.write.option("compression", codec).parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing will read again."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
