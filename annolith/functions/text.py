@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stem(path: Column) -> Column:
@@ -37,7 +38,7 @@ def similarity(distance: str) -> str:
     return f"case when {distance} <= 4 then 'VERY_SIMILAR' when {distance} <= 8 then 'POSSIBLY_SIMILAR' end"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_id(text: pd.Series) -> pd.Series:
     """16 hexadecimal digits of the SHA-256 of a JSON value written with sorted keys, default separators and ASCII escapes."""
     import hashlib
@@ -45,7 +46,7 @@ def canonical_id(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else hashlib.sha256(json.dumps(json.loads(t), sort_keys=True).encode()).hexdigest()[:16])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def perceptual_hash(pixels: pd.Series) -> pd.Series:
     """64-bit hash (hexadecimal) of 32 * 32 grey values: signs of the low 8 * 8 cosine coefficients against their median, the mean's bit 0."""
     import numpy as np
