@@ -27,7 +27,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
-    """(node, component) of every node with an edge; component is its smallest node.  edges: longs a and b; loops and repeats are allowed."""
+    """(node, component) of every node but the smallest of each component, which names it.  edges: longs a and b; loops and repeats are allowed."""
     current = work.table(edges.where("a <> b").select("a", "b").distinct(), f"{name}-edges")
     state, turn = None, 0
     while True:

@@ -34,6 +34,6 @@ def near_pairs(hashes: DataFrame, most: int = 8, bits: int = 62) -> DataFrame:
 
 
 def near_components(spark: SparkSession, hashes: DataFrame, most: int) -> DataFrame:
-    """key, component (smallest key reachable), for all keys; those without a pair are their own."""
+    """key, component (smallest key reachable, itself included), for all keys."""
     found = components(near_pairs(hashes, most), Work(spark, "near"), "near")
     return hashes.select("key").join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"))
