@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What ends a line of a label file.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 SPLITS = ("train", "valid", "test")
 
@@ -27,7 +27,7 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 
 def label_lines(spark: SparkSession, root: str) -> DataFrame:
     """path, line_number (from 1), line: the lines of all label files that are not blank; a byte order mark is dropped."""
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     lines = files.select("path", F.posexplode(F.split("value", LINE_BREAK)).alias("at", "line"))
     return lines.where(F.trim("line") != "").select("path", (F.col("at") + 1).alias("line_number"), "line")
 
