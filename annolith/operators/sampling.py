@@ -44,8 +44,9 @@ def weighted_draw(rows: DataFrame, key: str, weight: str, uniforms: DataFrame) -
     spans = before.join(blocks, "block").select("block", "before", (F.col("before") + F.col("block_w")).alias("end"))
     u = uniforms.join(F.broadcast(spans), F.expr("u >= before and u < end")).select("draw", "u", "block")
     both = ends.select("block", F.col("upto").alias("at"), F.lit(None).cast("long").alias("draw"), "key").unionByName(u.select("block", F.col("u").alias("at"), F.col("draw").cast("long").alias("draw"), F.lit(None).cast("long").alias("key")))
-    w = Window.partitionBy("block").orderBy("at", F.col("draw").isNotNull(), "draw").rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn("hit", F.first("key", ignorenulls=True).over(w)).where("draw is not null").select("draw", F.col("hit").alias("key"))
+    # From the largest down: a row that ends where a draw lies comes after it, so the last row seen is the first that exceeds it.
+    w = Window.partitionBy("block").orderBy(F.desc("at"), F.col("draw").isNull(), "draw").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("hit", F.last("key", ignorenulls=True).over(w)).where("draw is not null").select("draw", F.col("hit").alias("key"))
 
 
 def hash_sample(rows: DataFrame, key: str, k: int, seed: int, group: str | None = None) -> DataFrame:

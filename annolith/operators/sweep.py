@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 from annolith.operators.matching import edges, greedy
 
 
+BLOCKS = 1024
+
+
 def ratios(df: DataFrame, n_images: Column | None = None) -> DataFrame:
     """Adds precision, recall, f1 (0 where undefined) and fp_per_image."""
     part = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
@@ -32,13 +35,19 @@ def scored_predictions(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> Da
 def sweep(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """scope (class as text, or Overall), threshold, tp, fp, fn, precision, recall, f1, fp_per_image at every distinct score.
 
-    Counts are first summed by scope and score, so the running sum sees distinct scores only.
+    Counts are first summed by scope and score; the running sum goes by score ranges (BLOCKS of them) and within each, so no task sees a whole curve.
     """
     scored = scored_predictions(gt, pred, least)
     scopes = F.explode(F.array(F.col("c").cast("string"), F.lit("Overall"))).alias("scope")
     steps = scored.select(scopes, F.col("s").alias("threshold"), "tp").groupBy("scope", "threshold").agg(F.sum("tp").alias("t"), F.count("*").alias("n"))
-    w = Window.partitionBy("scope").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.select("scope", "threshold", F.sum("t").over(w).alias("tp"), (F.sum("n").over(w) - F.sum("t").over(w)).alias("fp"))
+    steps = steps.withColumn("block", F.floor(F.col("threshold") * BLOCKS))
+    above = Window.partitionBy("scope").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = steps.groupBy("scope", "block").agg(F.sum("t").alias("bt"), F.sum("n").alias("bn"))
+    blocks = blocks.select(F.col("scope").alias("b_scope"), F.col("block").alias("b_block"), F.coalesce(F.sum("bt").over(above), F.lit(0)).alias("t0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"))
+    w = Window.partitionBy("scope", "block").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = steps.join(F.broadcast(blocks), F.expr("scope = b_scope and block = b_block"))  # BLOCKS + 1 rows a scope at most
+    tp, n = F.col("t0") + F.sum("t").over(w), F.col("n0") + F.sum("n").over(w)
+    curve = placed.select("scope", "threshold", tp.alias("tp"), (n - tp).alias("fp"))
     totals = gt.select(scopes, "img").groupBy(F.col("scope").alias("g_scope")).agg(F.count("*").alias("n_gt"))
     n_images = gt.select("img").union(pred.select("img")).distinct().agg(F.count("*").alias("n_images"))
     joined = curve.join(F.broadcast(totals), F.col("scope") == F.col("g_scope")).crossJoin(F.broadcast(n_images))  # one row for each class; one row
