@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from annolith.operators.components import components
 
 from .common import Work, binary_array, list_array, shuffle_partitions
 from .textvec import byte_table, mix, not_space, shingle_hashes, slices
 
-MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 22, 16, 1 << 22
+MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 23, 16, 1 << 22
 FAN, CHUNK, PAIRS_AT_ONCE = 8, 2048, 1 << 16
 FILTER_BITS = 1 << 25  # of the fixed-size filter that picks texts to be compared
 
@@ -72,14 +73,14 @@ def _sets(column, width: int):
 
 
 def frequent_shingles(spark: SparkSession, docs: DataFrame, how: Similarity) -> np.ndarray:
-    """Sorted shingles found often, by counts of all texts: those that some task met thrice in FLUSH shingles, with enough of them in all."""
+    """Sorted shingles found often, by counts of all texts: those that some task met twice in FLUSH shingles, with enough of them in all."""
 
     def count(batches):
         held, size, total = [], 0, 0
 
         def counted():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            many = n >= 3
+            many = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(n[many].astype(np.int64)), pa.array(np.zeros(many.sum(), dtype=np.int64))], names=["token", "n", "total"])
 
         for batch in batches:
@@ -353,7 +354,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 5, per
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         .select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "n", "component")
     )
-    with_bits = dealt.join(bitmaps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("token", "i", "j", "rep", "n", "component", "bits")
+    # Only a member with another of fitting size next to it can be linked in this block; the others need no bitmap.
+    by_size = Window.partitionBy("token", "i", "j").orderBy("n")
+    near = dealt.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)}).where(f"100 * less >= {percent} * n or 100 * n >= {percent} * more").drop("less", "more")
+    with_bits = near.join(bitmaps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("token", "i", "j", "rep", "n", "component", "bits")
     grouped = with_bits.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "rep")
 
     def traverse(batches):
