@@ -69,8 +69,10 @@ def test_packing_covers_every_id_once(spark, docs, no_docs, rows):
         want[i, len(ids)].append(ids)
     assert of_doc.keys() == want.keys()
     for key, copies in want.items():
-        pieces = sorted((r.start, r.length, r.ids_crc32) for r in of_doc[key])
-        assert sorted(pieces) == sorted((s, n, c) for ids in copies for s, n, c in pieces[:: len(copies)] if c == _crc(ids[s : s + n])) or len(copies) > 1
+        pieces = [(r.start, r.length, r.ids_crc32) for r in of_doc[key]]
+        assert all(c == _crc(copies[0][s : s + n]) for s, n, c in pieces)  # rows that share id and length are copies
+        covered = sorted(x for s, n, _ in pieces for x in range(s, s + n))
+        assert covered == sorted(x for ids in copies for x in range(len(ids)))
         assert sum(n for _, n, _ in pieces) == sum(map(len, copies))
     sizes = []
     for k in range(len(of_sequence)):
