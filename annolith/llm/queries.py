@@ -42,5 +42,24 @@ def queries() -> dict:
     return {"op1_ngram_jaccard_join": _ngram_join} | {name: _query(*where) for name, where in _ON_DOCUMENTS.items()} | {"op4_quality_classifier": _quality_classifier}
 
 
+_NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RULES = r"""with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+ w as (select k, [x for x in string_split_regex(text, '[\x20\x09-\x0D]+') if x <> ''] as w from d),
+ i as (select k, unnest(range(1, len(w) - 3)) as i, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) as g from w),
+ v as (select k, i, count(*) over (partition by k, g) as n from i),
+ r as (select k, count(distinct p) as n_repeat_words from (select k, unnest(range(i, i + 5)) as p from v where n > 1) q group by 1),
+ l as (select k, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select k, unnest(string_split(text, chr(10))) as line from d) q where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+ f as (select d.doc_id, d.text, len(w.w) as n_words, coalesce(length(array_to_string(w.w, '')), 0) as word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(l.n_dup_lines, 0) as n_dup_lines, coalesce(l.n_lines, 0) as n_lines, coalesce(r.n_repeat_words, 0) as n_repeat_words from d join w using (k) left join l using (k) left join r using (k)),
+ b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or 100 * n_symbols > 25 * n_words or word_chars < 2 * n_words or word_chars > 14 * n_words or (n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines)
+  or 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > word_chars or 10 * ((length(text) - length(replace(text, '!!', ''))) // 2) > n_words or 2 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) < word_chars) as kept from b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express: not tokenisation, trained models, links over any distance or dealt copies."""
+    return {
+        "op2_quality_rules": _RULES,
+        "op5_exact_dedup": f"select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256 from (select doc_id, {_NORMAL} as norm from documents) q window w as (partition by norm)",
+    }
