@@ -64,9 +64,11 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A zstandard dictionary from at most SAMPLE documents, the same at every run."""
     import zstandard
 
-    picked = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).limit(SAMPLE).select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    ids = docs.select(F.col("doc_id").alias("picked")).where("picked is not null").distinct().orderBy(F.xxhash64("picked"), "picked").limit(SAMPLE)
+    picked = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("picked"))  # SAMPLE rows bound the broadcast
+    rows = picked.groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
     samples = []
-    for row in picked.toLocalIterator():
+    for row in rows:
         for _, flat, _ in encode_column(pa.array([row.text], type=pa.string()), path):
             samples.append(np.append(flat, np.uint32(end_id)).astype("<u4").tobytes()[:SAMPLE_BYTES])
     try:
