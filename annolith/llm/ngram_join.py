@@ -39,6 +39,7 @@ from .textvec import byte_table, mix, not_space, shingle_hashes, slices
 
 MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 23, 16, 1 << 22
 FAN, CHUNK, PAIRS_AT_ONCE = 8, 2048, 1 << 16
+MOST_BROADCAST = 1 << 20  # identifiers of dropped documents that are broadcast at most
 FILTER_BITS = 1 << 25  # of the fixed-size filter that picks texts to be compared
 
 
@@ -401,4 +402,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int
     """docs with one document of each component, the one of the smallest doc_id; all its columns.  Rows without doc_id stay."""
     found = Work(spark, "ngrams-kept").table(ngram_jaccard_join(spark, docs, width, percent), "joined")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone id")).distinct()
-    return docs.join(gone, F.expr("doc_id = `gone id`"), "left_anti")
+    few = gone.count() <= MOST_BROADCAST  # 8 bytes each; beyond that both sides are shuffled
+    return docs.join(F.broadcast(gone) if few else gone, F.expr("doc_id = `gone id`"), "left_anti")
