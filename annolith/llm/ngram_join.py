@@ -1,17 +1,19 @@
 """N-gram Jaccard join: shingle sets linked at or above a similarity, without comparing all pairs.
 
-1. Every text becomes a set of hashed word shingles, with a bitmap of two to
-   four bits a shingle.  Texts of equal sets share one representative (the smallest doc_id).
+1. Every text becomes a set of hashed word shingles, with a bitmap of four to
+   eight bits a shingle.  Texts of equal sets share one representative (the smallest doc_id).
 2. Sets that are similar enough share a shingle among their first
    floor((1 - s) * size) + 1 under any common order (prefix filter).  The order here is frequent
    shingles last; which are frequent is counted over all texts, task by task, and the list is bounded (MOST_FREQUENT).
    Shingles of one prefix alone route nothing and go.
 3. In the block of a shingle every member is paired with the block's smallest member; true links contract most copies to
-   components, so large groups of copies need as many comparisons as they have rows.
+   components, so large groups of copies need as many comparisons as they have rows.  Blocks of CROWD rows or more
+   that still hold several components do this once more, led by a member drawn by hash.
 4. Blocks that still hold several components become signature trees: nodes hold
    the OR of their members' bitmaps and their size range.  A dual traversal
    drops node pairs whose size ranges exclude the similarity, whose largest possible overlap is too small, or
-   which are one component already.  Pairs of leaves that remain are compared in full.
+   which are one component already.  A pair counts in the block of its first common shingle, so its overlap there is at
+   most what either set has from that shingle on; later blocks of the pair may drop it.  Pairs of leaves that remain are compared in full.
 
 The result is exact but for collisions of 64-bit hashes.  Large blocks are dealt out in
 pairs of chunks.  Bound of overlap of two sets: the common bits of their bitmaps, plus the
@@ -38,7 +40,7 @@ from .common import Work, binary_array, list_array, shuffle_partitions
 from .textvec import byte_table, mix, not_space, shingle_hashes, slices
 
 MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 23, 16, 1 << 22
-FAN, CHUNK, PAIRS_AT_ONCE = 8, 2048, 1 << 16
+FAN, CHUNK, CROWD, PAIRS_AT_ONCE = 8, 2048, 16, 1 << 16
 MOST_BROADCAST = 1 << 20  # identifiers of dropped documents that are broadcast at most
 FILTER_BITS = 1 << 25  # of the fixed-size filter that picks texts to be compared
 
@@ -106,7 +108,7 @@ def frequent_shingles(spark: SparkSession, docs: DataFrame, how: Similarity) ->
 
 
 def _bits(n: int) -> int:
-    return 1 << max(6, int(2 * n - 1).bit_length())
+    return 1 << max(6, int(4 * n - 1).bit_length())
 
 
 def signatures(spark: SparkSession, docs: DataFrame, how: Similarity, frequent: np.ndarray) -> DataFrame:
@@ -150,12 +152,12 @@ def signatures(spark: SparkSession, docs: DataFrame, how: Similarity, frequent:
 
 
 def _blocks(batches):
-    """Rows (token, rep, n) sorted by token and rep: drops tokens of one row, adds each token's first row as its leader."""
-    last = None  # (token, leader, leader's n, its row not yet given out)
+    """Rows (token, rep, n, pos) sorted by token and rep: drops tokens of one row, adds each token's first row as its leader."""
+    last = None  # (token, leader, leader's n, leader's pos, its row not yet given out)
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, rep, n = (batch.column(k).to_numpy() for k in range(3))
+        token, rep, n, pos = (batch.column(k).to_numpy() for k in range(4))
         new = np.concatenate([[True], token[1:] != token[:-1]])
         goes_on = last is not None and last[0] == token[0]
         lead = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
@@ -169,11 +171,11 @@ def _blocks(batches):
         pending = new[-1] and not (goes_on and len(token) == 1 and lead[-1] == 0)
         if pending:
             keep[-1] = False
-        out = [token[keep], rep[keep], n[keep], leader[keep], leader_n[keep]]
-        if goes_on and last[3]:  # the first row of the run, held back until it had a second
-            out = [np.concatenate([[x], y]) for x, y in zip((last[0], last[1], last[2], last[1], last[2]), out, strict=True)]
-        last = (token[-1], leader[-1], leader_n[-1], bool(pending))
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["token", "rep", "n", "leader", "leader_n"])
+        out = [token[keep], rep[keep], n[keep], pos[keep], leader[keep], leader_n[keep]]
+        if goes_on and last[4]:  # the first row of the run, held back until it had a second
+            out = [np.concatenate([[x], y]) for x, y in zip((*last[:4], last[1], last[2]), out, strict=True)]
+        last = (token[-1], leader[-1], leader_n[-1], pos[-1], bool(pending))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["token", "rep", "n", "pos", "leader", "leader_n"])
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -191,16 +193,20 @@ def _unpack(bits: list[bytes], m: int) -> np.ndarray:
     return out
 
 
-def tree_pairs(n: np.ndarray, maps: np.ndarray, group: np.ndarray, how: Similarity) -> np.ndarray:
-    """Pairs (i, j) of different groups that may be linked: dual traversal of one signature tree with itself."""
+def tree_pairs(n: np.ndarray, room: np.ndarray, maps: np.ndarray, group: np.ndarray, how: Similarity) -> np.ndarray:
+    """Pairs (i, j) of different groups that may be linked: dual traversal of one signature tree with itself.
+
+    room: how many shingles of a set do not come before the block's own in the common order.
+    """
     order = np.lexsort((group, n))
-    low, high, bits = [n[order]], [n[order]], [maps[order]]
+    low, high, bits, most_room = [n[order]], [n[order]], [maps[order]], [room[order]]
     hidden = [low[0] - _popcount(bits[0])]
     first, last = [group[order]], [group[order]]
     while len(low[-1]) > 1:
         at = np.arange(0, len(low[-1]), FAN)
         low.append(np.minimum.reduceat(low[-1], at))
         high.append(np.maximum.reduceat(high[-1], at))
+        most_room.append(np.maximum.reduceat(most_room[-1], at))
         bits.append(np.bitwise_or.reduceat(bits[-1], at, axis=0))
         hidden.append(np.maximum.reduceat(hidden[-1], at))
         first.append(np.minimum.reduceat(first[-1], at))
@@ -212,6 +218,7 @@ def tree_pairs(n: np.ndarray, maps: np.ndarray, group: np.ndarray, how: Similari
         below, above = np.minimum(hi[u], hi[v]), np.maximum(lo[u], lo[v])
         ok = 100 * below >= how.percent * above
         ok &= ~((first[level][u] == last[level][u]) & (first[level][v] == last[level][v]) & (first[level][u] == first[level][v]))
+        ok &= np.minimum(most_room[level][u], most_room[level][v]) >= how.overlap(lo[u], lo[v])
         at = np.flatnonzero(ok)
         for k in range(0, len(at), PAIRS_AT_ONCE):
             part = at[k : k + PAIRS_AT_ONCE]
@@ -242,7 +249,7 @@ def tree_pairs(n: np.ndarray, maps: np.ndarray, group: np.ndarray, how: Similari
     return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
 
 
-def block_pairs(rep: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list[bytes], how: Similarity) -> list[tuple[int, int]]:
+def block_pairs(rep: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list[bytes], how: Similarity, room: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of a block.  Sets of each bitmap width are joined with each other and with the next width, folded; linked sizes cannot lie further apart."""
     out = []
     widths = np.array([8 * len(b) for b in bits])
@@ -250,7 +257,7 @@ def block_pairs(rep: np.ndarray, n: np.ndarray, group: np.ndarray, bits: list[by
         own = np.flatnonzero((widths == m) | (widths == 2 * m))
         if len(own) < 2 or (group[own] == group[own[0]]).all():
             continue
-        for i, j in tree_pairs(n[own], _unpack([bits[i] for i in own], int(m)), group[own], how):
+        for i, j in tree_pairs(n[own], n[own] if room is None else room[own], _unpack([bits[i] for i in own], int(m)), group[own], how):
             a, b = own[i], own[j]
             if (widths[a] == m or widths[b] == m) and rep[a] != rep[b] and group[a] != group[b]:
                 out.append((int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))))
@@ -335,30 +342,50 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 5, per
     own = full.join(reps.toDF("rn", "r1", "r2", "rep"), F.expr("doc_id = rep and n = rn and d1 = r1 and d2 = r2")).select("rep", "n", "prefix", "bits")
 
     # Blocks: representatives by the shingles of their prefixes.
-    routed = own.select(F.explode("prefix").alias("token"), "rep", "n").repartition(parts, "token").sortWithinPartitions("token", "rep")
-    rows = work.table(routed.mapInArrow(_blocks, "token long, rep long, n long, leader long, leader_n long"), "blocks")
+    routed = own.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n").select("token", "rep", "n", F.col("pos").cast("long").alias("pos")).repartition(parts, "token").sortWithinPartitions("token", "rep")
+    rows = work.table(routed.mapInArrow(_blocks, "token long, rep long, n long, pos long, leader long, leader_n long"), "blocks")
     fits = F.expr(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
     led = work.table(rows.where("rep <> leader").where(fits).select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).distinct(), "led")
     bitmaps = own.select("rep", "bits")
-    bounded = led.join(bitmaps.toDF("ra", "bits_a"), F.col("a") == F.col("ra")).join(bitmaps.toDF("rb", "bits_b"), F.col("b") == F.col("rb")).select("a", "b", "na", "nb", "bits_a", "bits_b")
-    likely = work.table(bounded.mapInArrow(_pair_bound(how), "a long, b long"), "likely")
-    links = _verified(spark, docs, likely, how, work, "led")
-    found = work.table(components(links, work, "led"), "contracted")
+
+    def linked(pairs, name):
+        bounded = pairs.join(bitmaps.toDF("ra", "bits_a"), F.col("a") == F.col("ra")).join(bitmaps.toDF("rb", "bits_b"), F.col("b") == F.col("rb")).select("a", "b", "na", "nb", "bits_a", "bits_b")
+        return _verified(spark, docs, work.table(bounded.mapInArrow(_pair_bound(how), "a long, b long"), f"{name}-likely"), how, work, name)
+
+    def label(found, name):
+        """The blocks' rows with their components, and the blocks that hold more than one."""
+        labelled = work.table(rows.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component")), name)
+        drawn = F.xxhash64("token", "rep")
+        mixed = labelled.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.min_by("rep", drawn).alias("lead"), F.min_by("n", drawn).alias("lead_n"), F.min_by("component", drawn).alias("lead_c"))
+        return labelled, mixed.where("c1 <> c2").withColumnRenamed("token", "t")
+
+    found = work.table(components(linked(led, "led"), work, "led"), "contracted")
+
+    # Crowded blocks once more, each with a member drawn by hash as its leader: the smallest members lead many blocks, so that
+    # a text of a large group meets few of them; drawn leaders differ from block to block.
+    labelled, mixed = label(found, "labelled-once")
+    fits_drawn = F.expr(f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
+    drawn = labelled.join(mixed.where(F.col("m") >= CROWD), F.col("token") == F.col("t")).where("component <> lead_c").where(fits_drawn)
+    first = F.col("rep") < F.col("lead")
+    drawn = drawn.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), F.when(first, F.col("n")).otherwise(F.col("lead_n")).alias("na"), F.when(first, F.col("lead_n")).otherwise(F.col("n")).alias("nb"))
+    drawn = work.table(drawn.distinct().join(led.select("a", "b"), ["a", "b"], "left_anti"), "drawn")
+    found = work.table(components(found.toDF("a", "b").union(linked(drawn, "drawn")), work, "drawn"), "contracted-twice")
+    work.drop("labelled-once")
 
     # Signature trees over the blocks that hold more than one component still.
-    labelled = work.table(rows.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component")), "labelled")
-    mixed = labelled.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select(F.col("token").alias("t"), F.ceil(F.col("m") / CHUNK).cast("int").alias("k"))
+    labelled, mixed = label(found, "labelled")
+    mixed = mixed.select("t", F.ceil(F.col("m") / CHUNK).cast("int").alias("k"))
     chunk = F.when(F.col("k") > 1, F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).otherwise(0)
     dealt = (
         labelled.join(mixed, F.col("token") == F.col("t"))
         .withColumn("c", chunk)
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "n", "component")
+        .select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "n", "pos", "component")
     )
     # Only a member with another of fitting size next to it can be linked in this block; the others need no bitmap.
     by_size = Window.partitionBy("token", "i", "j").orderBy("n")
     near = dealt.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)}).where(f"100 * less >= {percent} * n or 100 * n >= {percent} * more").drop("less", "more")
-    with_bits = near.join(bitmaps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("token", "i", "j", "rep", "n", "component", "bits")
+    with_bits = near.join(bitmaps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("token", "i", "j", "rep", "n", F.expr("n - pos").alias("room"), "component", "bits")
     grouped = with_bits.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "rep")
 
     def traverse(batches):
@@ -366,8 +393,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 5, per
 
         def pairs():
             t = pa.Table.from_batches(held)
-            rep, n, group = (t.column(k).to_numpy() for k in (3, 4, 5))
-            return block_pairs(rep, n, group, t.column(6).to_pylist(), how)
+            rep, n, room, group = (t.column(k).to_numpy() for k in (3, 4, 5, 6))
+            return block_pairs(rep, n, group, t.column(7).to_pylist(), how, room)
 
         def given(out):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
@@ -390,7 +417,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 5, per
         if held:
             yield given(pairs())
 
-    candidates = grouped.mapInArrow(traverse, "a long, b long").distinct().join(led.select("a", "b"), ["a", "b"], "left_anti")
+    candidates = grouped.mapInArrow(traverse, "a long, b long").distinct().join(led.select("a", "b").union(drawn.select("a", "b")), ["a", "b"], "left_anti")
     more = _verified(spark, docs, work.table(candidates, "candidates"), how, work, "tree")
     final = components(found.toDF("a", "b").union(more), work, "all")
 
