@@ -1,15 +1,15 @@
 """Exact dedup by content sort.
 
 Texts are normalised (A-Z to a-z), range-partitioned by sampled splitters over
-(first KEY characters, SHA-256, doc_id) and sorted within partitions by Spark's
+their first KEY characters and sorted within partitions by Spark's
 external sort, so equal texts become neighbours.  Neighbours are compared in
-full.  doc_id is part of the key, so a text held by a third of all rows spreads over
+full.  Only texts that agree in their first KEY characters are put in order by their SHA-256, so that
+the sample that fixes the splitters (which the driver holds) never carries a long text.
+doc_id ends the key, so a text held by a third of all rows spreads over
 many partitions; the first and last run of each partition are stitched by a
-grouping of these runs alone on the full text.  Sorting needs only the key,
-never the whole text, and the sample that fixes the splitters holds keys.
+grouping of these runs alone on the full text.
 
-The row with the largest doc_id of each run stays (``keep="max"``) or the
-smallest (``keep="min"``).  Edge cases: null text equals the empty text; a null doc_id
+The row with the largest doc_id of each run stays.  Edge cases: null text equals the empty text; a null doc_id
 counts as smaller than any; of rows equal in both text and doc_id exactly one
 is kept; an empty table gives no rows; other columns pass through
 ``deduplicate`` and are ignored by ``exact_dedup``.
@@ -25,62 +25,58 @@ from pyspark.sql import functions as F
 
 from .common import Work, lower_ascii, shuffle_partitions
 
-KEY = 32
+KEY = 256
 #: edge: 0 for a run within its partition, 1 for one that may go on in another; text: only in one row of each such run
 RUNS = "doc_id long, rank long, sha string, part int, run long, edge int, size long, best long, best_rank long, text string"
 
 
 def _runs(batches):
-    """Rows of a sorted partition with their runs; a run's rows are held back (identifiers only) until it ends."""
+    """Rows of a sorted partition with their runs; the rows of the last run of a batch are held back (identifiers only) until it ends."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    run, rank = -1, 0
-    last_text = last_sha = None
-    held: list[np.ndarray] = []
-    held_null: list[np.ndarray] = []
-
-    def closed(edge: int):
-        ids, null = np.concatenate(held), np.concatenate(held_null)
-        n = len(ids)
-        ranks = np.arange(rank - n, rank)
-        text = [last_text if edge else None] + [None] * (n - 1)
-        # Rows come in ascending doc_id (nulls first): the last is the largest.
+    run, rank = 0, 0  # of the first row that is held back
+    ids, null = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    text = sha = None  # of the run that is held back
+
+    def given(ids, null, shas, texts, starts, edge):
+        """Whole runs: run k has the rows starts[k] : starts[k + 1]; rows come in ascending doc_id (nulls first), so its last is the largest."""
+        size = np.diff(starts)
+        of = np.repeat(np.arange(len(size)), size)
+        end = starts[1:] - 1
+        head = np.zeros(len(ids), dtype=bool)
+        head[starts[:-1]] = edge
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=null), pa.array(ranks), pa.array([last_sha] * n), pa.array([part] * n, pa.int32()), pa.array([run] * n, pa.int64()), pa.array([edge] * n, pa.int32()), pa.array([n] * n, pa.int64()), pa.array([None if null[-1] else int(ids[-1])] * n, pa.int64()), pa.array([rank - 1] * n, pa.int64()), pa.array(text, pa.string())],
+            [pa.array(ids, mask=null), pa.array(rank + np.arange(len(ids))), shas.take(pa.array(of)), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(run + of), pa.array(edge[of].astype(np.int32)), pa.array(size[of]), pa.array(ids[end][of], mask=null[end][of]), pa.array(rank + end[of]), pc.if_else(pa.array(head), texts.take(pa.array(of)), pa.scalar(None, pa.string()))],
             names=["doc_id", "rank", "sha", "part", "run", "edge", "size", "best", "best_rank", "text"])
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        norm, sha = batch.column("norm"), batch.column("sha")
-        ids = batch.column("doc_id")
-        values, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+        norm, shas = batch.column("norm"), batch.column("sha")
+        own = batch.column("doc_id")
         new = np.ones(n, dtype=bool)
         new[1:] = ~pc.equal(norm.slice(1), norm.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        new[0] = last_text is None or norm[0].as_py() != last_text
-        starts = np.flatnonzero(new)
-        cuts = np.concatenate([[0], starts[starts > 0], [n]])
-        whole = []
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if new[a]:
-                if held:
-                    whole.append(closed(1 if run == 0 else 0))
-                run += 1
-                held, held_null = [], []
-            held.append(values[a:b])
-            held_null.append(null[a:b])
-            rank += int(b - a)
-            if k in (0, len(cuts) - 2):
-                last_text = norm[int(a)].as_py()
-            elif run == 0:
-                last_text = norm[int(a)].as_py()
-            last_sha = sha[int(a)].as_py()
-        if whole:
-            yield from pa.Table.from_batches(whole).combine_chunks().to_batches()
-    if held:
-        yield closed(1)
+        new[0] = text is not None and norm[0].as_py() != text
+        begins = np.flatnonzero(new)
+        held = len(ids)
+        ids = np.concatenate([ids, own.fill_null(0).to_numpy(zero_copy_only=False)])
+        null = np.concatenate([null, own.is_null().to_numpy(zero_copy_only=False)])
+        if len(begins):
+            starts = np.concatenate([[0], held + begins])
+            first = begins[:-1]  # rows of this batch where the runs begin that end in it
+            edge = np.zeros(len(begins), dtype=bool)
+            edge[0] = run == 0
+            whole = [pa.array([x], pa.string()) if text is not None else y.slice(0, 1) for x, y in ((sha, shas), (text, norm))]
+            texts = [pa.concat_arrays([x, y.take(pa.array(first))]) for x, y in zip(whole, (shas, pa.nulls(n, pa.string())), strict=True)]
+            stop = starts[-1]
+            yield given(ids[:stop], null[:stop], *texts, starts, edge)
+            run, rank = run + len(begins), rank + int(stop)
+            ids, null = ids[stop:], null[stop:]
+        text, sha = norm[n - 1].as_py(), shas[n - 1].as_py()
+    if len(ids):
+        yield given(ids, null, pa.array([sha]), pa.array([text]), np.array([0, len(ids)]), np.array([True]))
 
 
 def mark_copies(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
@@ -108,9 +104,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without its copies; all its columns.  Of equal texts the row of the largest doc_id stays."""
     marks = Work(spark, "exact-marks").table(exact_dedup(spark, docs), "marks")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # by place: docs may have any names
+    named = docs.toDF(*names)
+    doc_id, text = (names[docs.columns.index(x)] for x in ("doc_id", "text"))
     kept = marks.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    own = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
-    joined = docs.withColumn("own sha", own).join(kept, F.expr("doc_id <=> kept_id and `own sha` = kept_sha"), "left_semi")
+    own = F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))), 256)
+    joined = named.withColumn("own_sha", own).join(kept, F.expr(f"{doc_id} <=> kept_id and own_sha = kept_sha"), "left_semi")
     if not marks.where("not kept and doc_id <=> keep_id").isEmpty():  # rows that share identifier and text: one of them stays
-        joined = joined.dropDuplicates(["doc_id", "own sha"])
-    return joined.select(*docs.columns)
+        joined = joined.dropDuplicates([doc_id, "own_sha"])
+    return joined.select(*names).toDF(*docs.columns)

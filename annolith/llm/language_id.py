@@ -3,33 +3,51 @@
 Training counts the hashed n-grams (1 to 4 bytes within a word, lower-cased
 ASCII, words bounded by a mark) of every training text, task by task, into one
 matrix of languages by buckets; the tasks' matrices are summed.  The smoothed
-log-probabilities form a matrix of bounded size (languages * BUCKETS * 4
-bytes) that is broadcast; scoring adds up its rows with numpy, without a
-Python loop over n-grams.
+log-probabilities form a matrix that is broadcast; with many languages it gets fewer buckets, so that it holds about
+CELLS numbers (LEAST_BUCKETS a language at least) however many languages there are.  Scoring adds up its rows with numpy, without a
+Python loop over n-grams, and the logarithm of the language's share of the training texts (the prior).
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; a
 table without a training row gives ``und`` everywhere; rows whose language is
 null are never learned from; repeated rows are each scored; other columns are
-ignored.  Of equally likely languages the first by code point is taken.
+ignored.  Letters are the characters of the Unicode categories L*.  Of equally likely languages the first by code point is taken.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Collection
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id
 from .textvec import Slice, mix, slices
 
-BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
-#: The matrix is refused beyond this many languages (its size bound: 256 * 32768 * 4 bytes = 32 MB).
-MOST_LANGUAGES = 256
+BITS, ORDERS = 15, (1, 2, 3, 4)
+CELLS, LEAST_BITS = 1 << 22, 8
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: What the pipeline keeps: documents whose likeliest language has this share at least.
+SURE = 0.5
+_LETTER = regex.compile(r"\p{L}")
+
+
+@dataclass(frozen=True)
+class Model:
+    """languages in code-point order; weights [bucket, language]; prior of each language."""
+
+    languages: list[str]
+    weights: np.ndarray
+    prior: np.ndarray
+    bits: int
+
+
+def bits_for(n_languages: int) -> int:
+    """Logarithm of the number of buckets."""
+    return max(LEAST_BITS, min(BITS, (CELLS // max(1, n_languages)).bit_length() - 1))
 
 
 def _keys(order: int) -> np.ndarray:
@@ -42,7 +60,7 @@ _FOLD[:0x41] = _FOLD[0x5B:0x61] = _FOLD[0x7B:0x80] = 0x20  # what is no letter p
 _TABLES = [_keys(k) for k in range(max(ORDERS))]
 
 
-def features(s: Slice) -> list[tuple[np.ndarray, np.ndarray]]:
+def features(s: Slice, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order (buckets of the n-grams, bounds): text i has buckets[bounds[i] : bounds[i + 1]].
 
     n-grams hold at most one word mark, at either end, and never cross texts.
@@ -69,101 +87,109 @@ def features(s: Slice) -> list[tuple[np.ndarray, np.ndarray]]:
                 at = owner_edge[1:-1] - k
                 fine[at[(at >= 0) & (at < m)]] = False
         at = np.flatnonzero(fine)
-        out.append((((total[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64), np.searchsorted(at, np.minimum(s.offsets, m))))
+        out.append((((total[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64), np.searchsorted(at, np.minimum(s.offsets, m))))
     return out
 
 
-def train(training: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages in code-point order, log-probabilities [bucket, language]) from columns lang and text, all rows."""
+def train(training: DataFrame) -> Model:
+    """From columns lang and text, all rows."""
+    usable = training.where("lang is not null and text is not null").select("lang", "text")
+    bits = bits_for(usable.select("lang").distinct().count())
+    size = 1 << bits
 
     def count(batches):
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, np.ndarray] = {}  # counts of the buckets, then the number of texts
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for s in slices(batch.column(1)):
-                if not len(s.data):
-                    continue
-                of_text: dict[str, list[int]] = {}
-                for i in range(s.n_texts):
-                    of_text.setdefault(langs[s.first + i], []).append(i)
-                codes = {lang: k for k, lang in enumerate(of_text)}
-                own = np.array([codes[langs[s.first + i]] for i in range(s.n_texts)], dtype=np.int64)
-                total = np.zeros(len(codes) * BUCKETS, dtype=np.int64)
-                for buckets, bounds in features(s):
-                    total += np.bincount(np.repeat(own, np.diff(bounds)) * BUCKETS + buckets, minlength=len(total))
+                codes: dict[str, int] = {}
+                own = np.array([codes.setdefault(x, len(codes)) for x in langs[s.first : s.first + s.n_texts]], dtype=np.int64)
+                found = [np.repeat(own, np.diff(bounds)) * size + buckets for buckets, bounds in features(s, bits)]
+                cells, n = np.unique(np.concatenate(found), return_counts=True)
+                starts = np.searchsorted(cells, np.arange(len(codes) + 1) * size)
+                texts = np.bincount(own, minlength=len(codes))
                 for lang, k in codes.items():
-                    row = total[k * BUCKETS : (k + 1) * BUCKETS]
-                    known[lang] = known[lang] + row if lang in known else row
+                    row = known.setdefault(lang, np.zeros(size + 1, dtype=np.int64))
+                    row[cells[starts[k] : starts[k + 1]] - k * size] += n[starts[k] : starts[k + 1]]
+                    row[size] += texts[k]
         for lang, row in known.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at])], names=["lang", "bucket", "n"])
 
-    partial = training.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
-    rows = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages * BUCKETS rows at most
+    rows = usable.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # about CELLS rows at most
     languages = sorted(rows.column("lang").unique().to_pylist())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the matrix is made for {MOST_LANGUAGES}")
-    counts = np.zeros((BUCKETS, len(languages)))
     place = {lang: k for k, lang in enumerate(languages)}
+    counts = np.zeros((size + 1, len(languages)))
     counts[rows.column("bucket").to_numpy(), [place[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
-    counts = counts + 0.5
-    return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    grams, texts = counts[:size] + 0.5, counts[size]
+    return Model(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32), np.log(texts / max(1.0, texts.sum())), bits)
 
 
-def _columns(s: Slice, weights: np.ndarray) -> np.ndarray:
-    """Summed log-probabilities of each text and language, and the number of n-grams in the last column."""
-    n_langs = weights.shape[1]
-    out = np.zeros((s.n_texts, n_langs + 1))
-    for buckets, bounds in features(s):
+def _columns(s: Slice, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(summed log-probabilities of each text and language, number of n-grams of each text)."""
+    n_langs = len(model.languages)
+    out, size = np.zeros((s.n_texts, n_langs)), np.zeros(s.n_texts, dtype=np.int64)
+    for buckets, bounds in features(s, model.bits):
         for k in range(n_langs):
-            total = np.concatenate([[0.0], np.cumsum(weights[:, k][buckets], dtype=np.float64)])
+            total = np.concatenate([[0.0], np.cumsum(model.weights[:, k][buckets], dtype=np.float64)])
             out[:, k] += total[bounds[1:]] - total[bounds[:-1]]
-        out[:, -1] += np.diff(bounds)
-    return out
+        size += np.diff(bounds)
+    return out, size
 
 
-def identify(spark: SparkSession, docs: DataFrame, languages: list[str], weights: np.ndarray, columns: list[str]) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """docs (its ``columns``, the text among them) with lang_pred and score: the share of the likeliest language, by mean log-probability of ten n-grams."""
-    model = spark.sparkContext.broadcast((languages, np.asfortranarray(weights)))
+    shared = spark.sparkContext.broadcast(Model(model.languages, np.asfortranarray(model.weights), model.prior, model.bits))  # about CELLS * 4 bytes
     shape = docs.select(*columns)
     text = columns.index("text")
 
     def score(batches):
-        langs, weights = model.value
+        model = shared.value
+        names = np.array([*model.languages, UND], dtype=object)
         for batch in batches:
             preds, scores = [], []
             for s in slices(batch.column(text)):
                 raw = s.data.tobytes()
                 high = np.concatenate([[0], np.cumsum((_FOLD[s.data] != 0x20) & (s.data < 0x80))])
-                plain = high[s.offsets[1:]] > high[s.offsets[:-1]]
-                sums = _columns(s, weights)
-                for i in range(s.n_texts):
-                    if not langs or not (plain[i] or _LETTER.search(raw[s.offsets[i] : s.offsets[i + 1]].decode())):
-                        preds.append(UND)
-                        scores.append(0.0)
-                        continue
-                    mean = sums[i, :-1] * (10 / max(10.0, sums[i, -1]))
-                    best = int(np.argmax(mean))
-                    preds.append(langs[best])
-                    scores.append(float(1 / np.exp(mean - mean[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*(f"c{k}" for k in range(len(columns))), "lang_pred", "score"])
+                letters = high[s.offsets[1:]] > high[s.offsets[:-1]]
+                for i in np.flatnonzero(~letters):
+                    letters[i] = _LETTER.search(raw[s.offsets[i] : s.offsets[i + 1]].decode()) is not None
+                if not model.languages:
+                    letters[:] = False
+                best, share = np.full(s.n_texts, len(model.languages)), np.zeros(s.n_texts)
+                if letters.any():
+                    sums, size = _columns(s, model)
+                    mean = (sums + model.prior) * (10 / np.maximum(10.0, size))[:, None]
+                    top = np.argmax(mean, axis=1)
+                    best[letters] = top[letters]
+                    share[letters] = (1 / np.exp(mean - mean[np.arange(len(top)), top][:, None]).sum(axis=1))[letters]
+                preds += names[best].tolist()
+                scores.append(share)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*(f"c{k}" for k in range(len(columns))), "lang_pred", "score"])
 
     fields = ", ".join(f"c{k} {shape.schema[k].dataType.simpleString()}" for k in range(len(columns)))
     out = shape.toDF(*(f"c{k}" for k in range(len(columns)))).mapInArrow(score, f"{fields}, lang_pred string, score double")
     return out.toDF(*columns, "lang_pred", "score")  # by place: a column of docs may have either name
 
 
+def _fold():
+    return F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))
+
+
 def language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from documents whose crc32(doc_id) mod 4 is not 2."""
-    fold = F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))
-    languages, weights = train(docs.where(~fold).select("lang", "text"))
-    return identify(spark, docs, languages, weights, ["doc_id", "text"]).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+    model = train(docs.where(~_fold()).select("lang", "text"))
+    return identify(spark, docs, model, ["doc_id", "text"]).select("doc_id", _fold().alias("held_out"), "lang_pred", "score")
 
 
-def with_known_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without those that are ``und``; all their columns.  Learns from the documents of language_id's training folds."""
-    fold = F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))
-    languages, weights = train(docs.where(~fold).select("lang", "text"))
-    found = identify(spark, docs, languages, weights, docs.columns)
+def with_known_language(spark: SparkSession, docs: DataFrame, keep: Collection[str] | None = None, sure: float = SURE) -> DataFrame:
+    """docs that are in a language of ``keep`` (None: any that was learned), told with a share of ``sure`` at least; all their columns.
+
+    Texts that are ``und`` go, and so do texts of no learned language, whose n-grams fit several about equally.
+    Learns from the documents of language_id's training folds.
+    """
+    model = train(docs.where(~_fold()).select("lang", "text"))
     named = [f"c{k}" for k in range(len(docs.columns))]
-    return found.toDF(*named, "pred", "score").where(F.col("pred") != UND).select(*named).toDF(*docs.columns)
+    found = identify(spark, docs, model, docs.columns).toDF(*named, "pred", "score")
+    wanted = F.col("pred") != UND if keep is None else F.col("pred").isin(*keep)
+    return found.where(wanted & (F.col("score") >= sure)).select(*named).toDF(*docs.columns)

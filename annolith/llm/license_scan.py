@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import Slice, alphanumeric, byte_table, slices
+from .textvec import Slice, alphanumeric, folding, slices
 
 ANCHORS, MIN_ANCHORS, MIN_MATCH = 8, 3, 0.8
 
@@ -48,7 +48,7 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
-_TABLE, _WORD = byte_table(lower=True), alphanumeric()
+_TABLE, _WORD = folding(lower=True), alphanumeric()
 
 
 def _word_hashes(text: str) -> np.ndarray:

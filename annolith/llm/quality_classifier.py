@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id
-from .textvec import Slice, byte_table, mix, slices
+from .textvec import Slice, folding, mix, slices
 
 BUCKETS, SCALE, MOST_TRAINING, EPOCHS = 1 << 18, 20.0, 6000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1.0
-_TABLE = byte_table(lower=True)
+_TABLE = folding(lower=True)
 _SPACE, _LETTERS, _DIGITS, _SIGNS = 0, 1, 2, 3
 _KIND = np.full(256, _SIGNS, dtype=np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE

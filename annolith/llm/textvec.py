@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
-_P = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 mod 8: its powers differ in low bits
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+LONG = 256  # byte ranges longer than this are hashed one by one
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,17 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def byte_table(*, lower: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; A-Z share those of a-z if ``lower``."""
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def folding(*, lower: bool) -> np.ndarray:
+    """What each byte counts as: itself, or a-z for A-Z if ``lower``."""
+    table = np.arange(256, dtype=np.uint8)
     if lower:
-        table[65:91] = table[97:123]
+        table[0x41:0x5B] += 0x20
     return table
 
 
@@ -80,19 +74,54 @@ class Slice:
         ends = np.flatnonzero(edge[1:] & inside) + 1
         return begins, ends, np.searchsorted(begins, self.offsets)
 
-    def hashes(self, begins: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range, equal wherever the bytes are."""
-        if not len(begins):
-            return np.zeros(0, dtype=np.uint64)
-        global _POW, _INV
-        if len(_POW) < len(self.data):
-            _POW, _INV = _powers(_P, len(self.data)), _powers(_P_INVERSE, len(self.data))
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(table[self.data] * _POW[: len(self.data)], out=total[1:])
-        return mix((total[ends] - total[begins]) * _INV[begins] + (ends - begins).astype(np.uint64))
+    def chunks(self, fold: np.ndarray) -> np.ndarray:
+        """The 8 bytes from each place on as an integer, little-endian (zeros past the end)."""
+        n = len(self.data)
+        w = np.zeros(n + 8, dtype=np.uint64)
+        w[:n] = fold[self.data]
+        for k in (1, 2, 4):
+            w[:-k] |= w[k:] << np.uint64(8 * k)
+        return w
 
+    def hashes(self, begins: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each byte range, equal wherever the folded bytes are; different ranges of up to 7 bytes never share one.
 
-_POW, _INV = _powers(_P, SLICE_BYTES), _powers(_P_INVERSE, SLICE_BYTES)
+        Longer ranges are chained 8 bytes at a time through ``mix``, which is not linear, so no family of texts collides by construction.
+        """
+        if not len(begins):
+            return np.zeros(0, dtype=np.uint64)
+        w = self.chunks(fold)
+        size = ends - begins
+        out = mix(w[begins] & _MASK[np.minimum(size, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+        at = np.flatnonzero((size > 7) & (size <= LONG))
+        h = size[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        k = 0
+        while len(at):
+            left = size[at] - k
+            h = mix(h ^ (w[begins[at] + k] & _MASK[np.minimum(left, 8)]))
+            done = left <= 8
+            if done.any():
+                out[at[done]] = h[done]
+                at, h = at[~done], h[~done]
+            k += 8
+        for i in np.flatnonzero(size > LONG):
+            out[i] = xxhash.xxh3_64_intdigest(fold[self.data[begins[i] : ends[i]]].tobytes())
+        return out
+
+    def same(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the ranges a : a + size and b : b + size hold the same bytes; w: ``chunks``."""
+        out = np.ones(len(a), dtype=bool)
+        at, k = np.flatnonzero(a != b), 0
+        while len(at):
+            mask = _MASK[np.minimum(size[at] - k, 8)]
+            equal = (w[a[at] + k] & mask) == (w[b[at] + k] & mask)
+            out[at[~equal]] = False
+            at, k = at[equal & (size[at] > k + 8)], k + 8
+        return out
+
+
+#: Keeps the first n bytes of a little-endian integer.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Slice]:
@@ -117,7 +146,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds) of the ``width``-word shingles of each text; a text of fewer words (but one) has its whole sequence as one."""
     n_words = np.diff(bounds)
-    factors = mix(np.arange(11, 11 + width, dtype=np.uint64))| np.uint64(1)
+    factors = mix(np.arange(11, 11 + width, dtype=np.uint64)) | np.uint64(1)
     n = len(words)
     full = np.zeros(max(0, n - width + 1), dtype=np.uint64)
     for k in range(width):

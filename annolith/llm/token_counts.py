@@ -1,7 +1,8 @@
 """Token counts: each document is encoded once, and its tokens are attributed to sections by their character spans.
 
-With a byte-level vocabulary every id stands for a fixed run of UTF-8 bytes,
-so the spans of a document's tokens are running sums of their lengths.  Sections
+With a byte-level vocabulary that leaves the text as it is every id stands for a fixed run of UTF-8 bytes,
+so the spans of a document's tokens are running sums of their lengths.  Under any other vocabulary (one that
+normalises or drops white space, say) the library's own offsets are the spans.  Sections
 (any ordered, disjoint spans that cover the text) are joined to them as
 intervals by two binary searches.  A token that crosses a boundary is
 allocated by ``rule``:
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ragged
-from .textvec import slices
-from .tokens import encoder, tokenizer_path
+from .textvec import Slice, slices
+from .tokens import UnitEncoder, encoder, tokenizer_path
 
 SCHEMA = "doc_id long, section int, n_bytes long, n_tokens long, n_crossing long, doc_tokens long"
 
@@ -46,14 +47,12 @@ def _section_starts(data: np.ndarray, offsets: np.ndarray, by: str) -> tuple[np.
     return texts[np.lexsort((texts, whose))], n
 
 
-def attribute(data: np.ndarray, offsets: np.ndarray, token_bytes: np.ndarray, bounds: np.ndarray, by: str, rule: str) -> tuple[np.ndarray, ...]:
+def attribute(data: np.ndarray, offsets: np.ndarray, token_start: np.ndarray, token_end: np.ndarray, by: str, rule: str) -> tuple[np.ndarray, ...]:
     """(sections of each text, bytes, tokens and crossing tokens of each section)."""
     if rule not in ("start", "majority", "none"):
         raise ValueError(f"unknown rule {rule!r}")
     starts, n = _section_starts(data, offsets, by)
     ends = np.concatenate([starts[1:], [len(data)]])
-    token_end = np.cumsum(token_bytes)  # the tokens of all texts cover the bytes of all texts
-    token_start = token_end - token_bytes
     # An empty section (of an empty text) holds nothing, so searching by first byte from the right is right.
     a = np.searchsorted(starts, token_start, side="right") - 1
     b = np.searchsorted(starts, np.maximum(token_end - 1, token_start), side="right") - 1
@@ -71,6 +70,20 @@ def attribute(data: np.ndarray, offsets: np.ndarray, token_bytes: np.ndarray, bo
     return n, ends - starts, counts, touched
 
 
+def spans_by_library(s: Slice, own: UnitEncoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, bounds) of the tokens of each text, by the library's offsets."""
+    raw = s.data.tobytes()
+    texts = [raw[a:b].decode() for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
+    starts, ends, n = [], [], []
+    for at, t, e in zip(s.offsets, texts, own.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        place = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+        of_char = np.concatenate([np.flatnonzero((s.data[at : at + len(t.encode())] & 0xC0) != 0x80), [len(t.encode())]])
+        starts.append(at + of_char[place[:, 0]])
+        ends.append(at + of_char[place[:, 1]])
+        n.append(len(place))
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
 def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", by: str = "line", rule: str = "start") -> DataFrame:
     """One row for each section: doc_id, section (from 0), n_bytes, n_tokens, n_crossing (tokens that start in it and end in a later one), doc_tokens."""
     path = tokenizer_path(vocabulary)
@@ -81,8 +94,13 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_b
         for batch in batches:
             ids = batch.column(0)
             for s in slices(batch.column(1)):
-                flat, bounds = own.encode(s)
-                n, size, tokens, crossing = attribute(s.data, s.offsets, lengths[flat], bounds, by, rule)
+                if own.whole_bytes:
+                    flat, bounds = own.encode(s)
+                    end = np.cumsum(lengths[flat])
+                    start = end - lengths[flat]
+                else:
+                    start, end, bounds = spans_by_library(s, own)
+                n, size, tokens, crossing = attribute(s.data, s.offsets, start, end, by, rule)
                 rows = np.repeat(np.arange(s.n_texts), n)
                 index = ragged(np.zeros(s.n_texts, dtype=np.int64), n)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows + s.first)), pa.array(index, pa.int32()), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array(crossing, pa.int64()), pa.array(np.diff(bounds)[rows], pa.int64())], names=["doc_id", "section", "n_bytes", "n_tokens", "n_crossing", "doc_tokens"])

@@ -5,6 +5,8 @@ a text are the ids of its pieces one after another, wherever the text is cut
 between two pre-tokens.  ``UnitEncoder`` cuts at places that are such
 boundaries under either tokenizer (see ``_cuts``), hashes the pieces of a slice
 of texts with numpy, and asks the tokenizer only for pieces not met before.
+A hash only finds the remembered piece; the bytes of both are compared, and a piece that
+differs from the remembered one of its hash is encoded apart.
 The result equals ``Tokenizer.encode`` on the whole text; texts holding the
 string of a special token are encoded whole.
 
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 from .common import ragged
-from .textvec import Slice, byte_table, slices
+from .textvec import Slice, folding, slices
 
 L, S, P, A, W, D, X = 1, 2, 3, 4, 5, 6, 0  # letter, space, punctuation, apostrophe, other white space, digit, anything else
 
@@ -80,6 +82,10 @@ def _cuts(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(starts[:n]), c
 
 
+#: Bytes of pieces remembered before the memory is emptied.
+MOST_BYTES = 64 << 20
+
+
 class UnitEncoder:
     """ids of whole texts.  ``most_units``: pieces remembered before the memory is emptied (about 40 bytes each)."""
 
@@ -90,6 +96,8 @@ class UnitEncoder:
         spec = json.loads(self.tokenizer.to_str())
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.lowers = spec["normalizer"] is not None
+        #: Whether the ids of a text stand for all its bytes, one run after another.
+        self.whole_bytes = spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]
         self.n_ids = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -97,42 +105,63 @@ class UnitEncoder:
         #: How byte-level vocabularies write each byte: visible Latin-1 as itself, the rest from U+0100 on.
         self.byte_text = np.arange(256, dtype="<u2")
         self.byte_text[other] = 256 + np.arange(len(other))
-        self.table, self.most = byte_table(lower=False), most_units
+        self.fold, self.most = folding(lower=False), most_units
         self._forget()
 
     def _forget(self) -> None:
-        none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
-        #: Two levels of (sorted hashes, place in the pool, number of ids): a large one, and a small one that is merged into it now and then.
+        none = np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64) for _ in range(4))
+        #: Two levels of (sorted hashes, place in the pool, number of ids, place of the bytes, number of bytes): a large one, and a small one that is merged into it now and then.
         self.levels = [none, none]
         self.pool, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.bytes, self.bytes_used = np.zeros(1 << 18, dtype=np.uint8), 0
 
-    def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin, count = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        for known, places, counts in self.levels:
+    def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, number of ids, place of the bytes, number of bytes) of each key; place -1: not known."""
+        out = np.full(len(keys), -1, dtype=np.int64), *(np.zeros(len(keys), dtype=np.int64) for _ in range(3))
+        for known, *columns in self.levels:
             if len(known):
                 at = np.searchsorted(known, keys)
                 at[at == len(known)] = 0
                 hit = known[at] == keys
-                begin[hit], count[hit] = places[at[hit]], counts[at[hit]]
-        return begin, count
+                for to, column in zip(out, columns, strict=True):
+                    to[hit] = column[at[hit]]
+        return out
 
-    def _remember(self, keys: np.ndarray, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """keys ascend and are new."""
-        counts = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+    def _keep(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts ids into the pool: (places, counts)."""
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         total = int(counts.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        begins = (self.used + np.cumsum(counts) - counts).astype(np.int32)
+        begins = self.used + np.cumsum(counts) - counts
         self.pool[self.used : self.used + total] = [i for f in found for i in f]
         self.used += total
-        fresh = (keys, begins, counts)
-        level = 1
+        return begins, counts
+
+    def _remember(self, s: Slice, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """keys ascend and are new."""
+        begins, counts = self._keep(found)
+        total = int(sizes.sum())
+        while self.bytes_used + total > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.bytes_used : self.bytes_used + total] = s.data[ragged(starts, sizes)]
+        fresh, level = (keys, begins, counts, self.bytes_used + np.cumsum(sizes) - sizes, sizes), 1
+        self.bytes_used += total
         if len(self.levels[1][0]) > 150_000:
             fresh, level = self._merged(self.levels[1], fresh), 0
             self.levels[1] = tuple(x[:0] for x in fresh)
         self.levels[level] = self._merged(self.levels[level], fresh)
         return begins, counts
 
+    def _differs(self, s: Slice, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Indexes of the pieces whose bytes are not those remembered at ``places``."""
+        odd = sizes != lengths
+        like = np.flatnonzero(~odd)
+        n = sizes[like]
+        unlike = s.data[ragged(starts[like], n)] != self.bytes[ragged(places[like], n)]
+        odd[like[np.repeat(np.arange(len(like)), n)[unlike]]] = True
+        return np.flatnonzero(odd)
+
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple:
         at = np.searchsorted(a[0], b[0])
@@ -167,21 +196,34 @@ class UnitEncoder:
             return np.zeros(0, dtype=np.uint32), np.zeros(s.n_texts + 1, dtype=np.int64)
         begins, classes = _cuts(s)
         ends = np.concatenate([begins[1:], [len(s.data)]])
-        hashes = s.hashes(begins, ends, self.table)
+        sizes = ends - begins
+        hashes = s.hashes(begins, ends, self.fold)
         order = np.argsort(hashes)
         ranked = hashes[order]
         first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         keys, at = ranked[first], order[first]
-        if len(self.levels[0][0]) + len(self.levels[1][0]) + len(keys) > self.most:
+        if len(self.levels[0][0]) + len(self.levels[1][0]) + len(keys) > self.most or self.bytes_used > MOST_BYTES:
             self._forget()
-        place, count = self._look_up(keys)
+        place, count, held, length = self._look_up(keys)
+        known = np.flatnonzero(place >= 0)
+        odd = known[self._differs(s, begins[at[known]], sizes[at[known]], held[known], length[known])]
+        if len(odd):
+            place[odd], count[odd] = self._keep(self._new_ids(s, begins[at[odd]], ends[at[odd]], classes))
         new = np.flatnonzero(place < 0)
         if len(new):
-            place[new], count[new] = self._remember(keys[new], self._new_ids(s, begins[at[new]], ends[at[new]], classes))
+            place[new], count[new] = self._remember(s, keys[new], begins[at[new]], sizes[at[new]], self._new_ids(s, begins[at[new]], ends[at[new]], classes))
         unit = np.empty(len(order), dtype=np.int64)
         unit[order] = np.cumsum(first) - 1
-        counts = count[unit]
-        ids = self.pool[ragged(place[unit], counts)]
+        places, counts = place[unit], count[unit]
+        # Pieces of one hash in this slice: each is compared with the one that was looked up.
+        one = at[unit]
+        apart = sizes != sizes[one]
+        like = np.flatnonzero(~apart & (begins != begins[one]))
+        apart[like[~s.same(s.chunks(self.fold), begins[like], begins[one[like]], sizes[like])]] = True
+        apart = np.flatnonzero(apart)
+        if len(apart):
+            places[apart], counts[apart] = self._keep(self._new_ids(s, begins[apart], ends[apart], classes))
+        ids = self.pool[ragged(places, counts)]
         total = np.concatenate([[0], np.cumsum(counts)])
         bounds = total[np.searchsorted(begins, s.offsets)]
         return self._with_specials(s, ids, bounds)

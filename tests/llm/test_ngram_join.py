@@ -68,28 +68,67 @@ def test_no_documents_and_one_of_each_group(spark, no_docs, docs, rows):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
-def test_tree_keeps_every_linked_pair():
-    rng = np.random.default_rng(4)
-    how = Similarity(4, 85)
+def _family(rng):
     sets = []
     for _ in range(30):
         base = rng.integers(0, 1 << 62, size=int(rng.integers(5, 90)), dtype=np.int64).astype(np.uint64)
         for _ in range(int(rng.integers(1, 9))):
-            cut = base[rng.random(len(base)) > rng.random() * 0.15]
+            cut = base[rng.random(len(base)) > rng.random() * 0.5]
             sets.append(np.unique(np.concatenate([cut, rng.integers(0, 1 << 62, size=int(rng.integers(0, 5)), dtype=np.int64).astype(np.uint64)])))
-    bits = []
+    sets += [np.arange(128, dtype=np.uint64) << np.uint64(1), np.arange(257, dtype=np.uint64) << np.uint64(1)]  # similarity 0.498, bitmaps of different widths
+    return [s for s in sets if len(s)]
+
+
+def _bitmaps(sets):
+    out = []
     for s in sets:
         m = ngram_join._bits(len(s))
         b = np.zeros(m, dtype=bool)
         b[(s & np.uint64(m - 1)).astype(np.int64)] = True
-        bits.append(np.packbits(b, bitorder="big").tobytes())
-    n, ids = np.array([len(s) for s in sets]), np.arange(len(sets))
-    found = set(ngram_join.block_pairs(ids, n, ids, bits, how))
+        out.append(np.packbits(b).tobytes())
+    return out
+
+
+@pytest.mark.parametrize("percent", [20, 45, 85])
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_trees_keep_every_linked_pair(percent, blocks):
+    rng = np.random.default_rng(4)
+    how = Similarity(4, percent)
+    sets = sorted(_family(rng), key=len)
+    block = np.sort(rng.integers(0, blocks, len(sets)))
+    n, ids, bits = np.array([len(s) for s in sets]), np.arange(len(sets)), _bitmaps(sets)
+    by = np.lexsort((n, block))
+    n, bits, sets = n[by], [bits[i] for i in by], [sets[i] for i in by]
+    found = {(min(p), max(p)) for u, v in ngram_join.block_pairs(block, None, n, n, ids, bits, how, True) for p in zip(u.tolist(), v.tolist(), strict=True)}
+    joining = [p for u, v in ngram_join.block_pairs(block, None, n, n, ids, bits, how, False) for p in zip(u.tolist(), v.tolist(), strict=True)]
+    linked = 0
     for a in range(len(sets)):
         for b in range(a):
             k = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * k >= 85 * (n[a] + n[b] - k):
+            if block[a] == block[b] and 100 * k >= percent * (n[a] + n[b] - k):
+                linked += 1
                 assert (b, a) in found
+    assert linked and 0 < len(joining)
+    same = np.zeros(len(sets), dtype=np.int64)
+    assert not list(ngram_join.block_pairs(block, None, n, n, same, bits, how, True))
+
+
+@pytest.mark.parametrize("percent", [30, 50])
+def test_low_similarities_equal_brute_force(spark, near_rows, percent):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark, docs_of(spark, near_rows), 3, percent).collect()}
+    assert got == brute(near_rows, 3, percent)
+
+
+def test_most_links_come_from_the_trees_first_turn(spark, near_rows):
+    report = {}
+    ngram_join.ngram_jaccard_join(spark, docs_of(spark, near_rows), 4, 85, report).collect()
+    assert report["first links"] > 0.9 * sum(v for k, v in report.items() if k.endswith("links"))
+
+
+def test_words_that_collide_under_linear_hashes_are_not_linked(spark):
+    twins = ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(n)) for n in (1024, 2048) for k in (0, 1)]
+    got = ngram_join.ngram_jaccard_join(spark, docs_of(spark, [(k, f"w x y {t}", "en", "a") for k, t in enumerate(twins)]), 4, 85).collect()
+    assert all(r.component_id == r.doc_id for r in got)
 
 
 def test_pipeline_stages(spark, near_rows):

@@ -1,15 +1,20 @@
 """Quality rules, classifier, language ID, exact dedup, mixing and license scan against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from annolith.llm import exact_dedup, language_id, license_scan, mixing, quality_classifier, quality_rules
 
+from annolith.llm.textvec import slices
+
 from .conftest import docs_of
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -60,6 +65,9 @@ def test_exact_dedup(spark, docs, no_docs, rows):
     assert kept.columns == docs.columns
     assert sorted((r.text or "").translate(LOWER) for r in kept.collect()) == sorted(groups)
     assert exact_dedup.exact_dedup(spark, no_docs).collect() == []
+    clash = docs.withColumnsRenamed({"score": "kept_id", "label": "own_sha", "n": "kept_sha", "token": "c0"})
+    again = exact_dedup.deduplicate(spark, clash)
+    assert again.columns == clash.columns and again.count() == len(groups)
 
 
 def test_a_group_that_spans_partitions(spark):
@@ -73,18 +81,74 @@ def test_language_id(spark, no_docs):
     rng = random.Random(1)
     syllables = {"en": ["the", "ing", "and", "sh"], "fr": ["eau", "que", "ou", "é"], "de": ["sch", "ung", "ü", "ein"]}
     rows = [(k, " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(30)), lang, "a") for k in range(300) for lang in [["en", "fr", "de"][k % 3]]]
-    odd = [(1000, None, "en", "a"), (1001, "123 !!", "en", "a"), (1002, "the and", None, None), (1003, "", "fr", "a"), (1004, "中文", None, "a")]
+    odd = [(1005, "\u00b2 \u00bd \u2167", "en", "a"), (1000, None, "en", "a"), (1001, "123 !!", "en", "a"), (1002, "the and", None, None), (1003, "", "fr", "a"), (1004, "中文", None, "a")]
     docs = docs_of(spark, rows + odd)
     got = {r.doc_id: r for r in language_id.language_id(spark, docs).collect()}
     assert all(got[k].lang_pred == lang and 0 <= got[k].score <= 1 for k, _, lang, _ in rows)
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in got)
-    assert {k for k in got if got[k].lang_pred == "und"} == {1000, 1001, 1003} and got[1000].score == 0
+    assert {k for k in got if got[k].lang_pred == "und"} == {1000, 1001, 1003, 1005} and got[1000].score == 0
     assert language_id.with_known_language(spark, docs).columns == docs.columns
-    assert {r.doc_id for r in language_id.with_known_language(spark, docs).collect()} == set(got) - {1000, 1001, 1003}
+    assert {r.doc_id for r in language_id.with_known_language(spark, docs).collect()} == {k for k, r in got.items() if r.lang_pred != "und" and r.score >= language_id.SURE}
+    assert {r.lang for r in language_id.with_known_language(spark, docs, keep=["fr"]).collect()} <= {"fr", None}
     assert language_id.language_id(spark, no_docs).collect() == []
     assert {r.lang_pred for r in language_id.language_id(spark, docs.withColumn("lang", docs.lang.substr(1, 0)).where("false").union(docs_of(spark, odd[:2]))).collect()} == {"und"}
 
 
+def test_language_id_equals_brute_force(spark):
+    """The model of a plain loop over the same hashed n-grams gives the same predictions."""
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice("abcdeé ü-1") for _ in range(rng.randint(1, 60))), ["x", "y", "z"][k % 3], "a") for k in range(90)]
+    buckets = {}
+    for k, t, _, _ in rows:
+        (s,) = slices(pa.array([t]))
+        buckets[k] = [int(b) for found, _ in language_id.features(s) for b in found]
+    learned = [(k, lang) for k, _, lang, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    count, texts = defaultdict(Counter), Counter(lang for _, lang in learned)
+    for k, lang in learned:
+        count[lang].update(buckets[k])
+    size = 1 << language_id.BITS
+    total = {lang: sum(c.values()) + 0.5 * size for lang, c in count.items()}
+    for r in language_id.language_id(spark, docs_of(spark, rows)).collect():
+        if r.lang_pred == "und":
+            continue
+        sums = {lang: sum(math.log((count[lang][b] + 0.5) / total[lang]) for b in buckets[r.doc_id]) + math.log(texts[lang] / len(learned)) for lang in "xyz"}
+        scale = 10 / max(10, len(buckets[r.doc_id]))
+        assert sums[r.lang_pred] == pytest.approx(max(sums.values()), abs=1e-3)
+        assert r.score == pytest.approx(1 / sum(math.exp(scale * (x - sums[r.lang_pred])) for x in sums.values()), abs=1e-4)
+
+
+def test_any_number_of_languages(spark):
+    rows = [(k, f"word{k} text", f"lang{k % 700}", "a") for k in range(1400)]
+    got = language_id.language_id(spark, docs_of(spark, rows)).collect()
+    assert len(got) == 1400 and language_id.bits_for(700) < language_id.BITS and language_id.bits_for(10**9) == language_id.LEAST_BITS
+    assert all(r.lang_pred.startswith("lang") for r in got)
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(4)
+    rows = [([rng.randrange(50) for _ in range(rng.randint(1, 9))], rng.randint(0, 1)) for _ in range(60)]
+    model, z, n = quality_classifier.Ftrl(50), [0.0] * 51, [0.0] * 51
+
+    def weight(i):
+        l1 = 0.0 if i == 50 else quality_classifier.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((quality_classifier.BETA + math.sqrt(n[i])) / quality_classifier.ALPHA + quality_classifier.L2)
+
+    for buckets, label in rows:
+        x = {b: c * quality_classifier.SCALE / len(buckets) for b, c in Counter(buckets).items()} | {50: 1.0}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - label) * v
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality_classifier.ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+        at = np.array(sorted(x))
+        model.update(at, np.array([x[i] for i in sorted(x)]), float(label))
+    assert model.weights(np.arange(51)).tolist() == pytest.approx([weight(i) for i in range(51)])
+
+
 def test_quality_classifier(spark, no_docs):
     rng = random.Random(2)
     good, bad = ["calm", "river", "stone", "light", "walk"], ["buy###", "now***", "FREE!!", "click$$$"]

@@ -8,7 +8,7 @@ import pytest
 
 from annolith.llm import binary_output, packing, token_counts
 from annolith.llm.common import Work
-from annolith.llm.textvec import slices
+from annolith.llm.textvec import Slice, slices
 from annolith.llm.tokens import UnitEncoder, tokenizer_path
 
 PIECES = ["a", "B", "é", "ç", "ß", "'s", "'", "!", "#", " ", "  ", "\n", "\t", "1", "23", "\u00a0", "“", "ll", "'ll", "İ", "中", "e\u0301", "\x1c", "×", "œ", "|", "<|endoftext|>", "the", "\r\n", "\u2028", "٣", "Σ", "À", "Ś"]
@@ -26,6 +26,25 @@ def test_ids_are_those_of_the_library(name, rows):
     assert found == [e.ids for e in own.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+TWINS = ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(n)) for n in (1024, 2048) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("bits", [64, 3])
+def test_pieces_of_equal_hash_are_told_apart(name, bits, rows, monkeypatch):
+    plain = Slice.hashes
+    monkeypatch.setattr(Slice, "hashes", lambda *a: plain(*a) & np.uint64((1 << bits) - 1))
+    own = UnitEncoder(tokenizer_path(name))
+    texts = TWINS + [f"A text with {t} in it." for t in TWINS] + [t or "" for _, t, _, _ in rows if len(t or "") < 5000]
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        found = []
+        for s in slices(pa.array(texts), 4096):
+            ids, bounds = own.encode(s)
+            found += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert found == want
+
+
 def _crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
@@ -126,7 +145,21 @@ def test_token_counts_follow_the_rule(spark, docs, no_docs, rows, rule):
             assert w in got[i]
     assert token_counts.token_counts(spark, no_docs).collect() == []
     with pytest.raises(ValueError):
-        token_counts.attribute(np.zeros(1, np.uint8), np.array([0, 1]), np.array([1]), np.array([0, 1]), "line", "other")
+        token_counts.attribute(np.zeros(1, np.uint8), np.array([0, 1]), np.array([0]), np.array([1]), "line", "other")
+
+
+def test_spans_are_the_library_offsets_where_the_vocabulary_normalises(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    got = {(r.doc_id, r.section, r.n_tokens, r.n_crossing, r.doc_tokens) for r in token_counts.token_counts(spark, docs, vocabulary="word_bpe_49k.json").collect()}
+    for i, t, _, _ in rows:
+        e = library.encode(t or "", add_special_tokens=False)
+        ends = [k + 1 for k, c in enumerate(t or "") if c == "\n" and k + 1 < len(t)] + [len(t or "")]
+        section = lambda p: next((k for k, x in enumerate(ends) if p < x), len(ends) - 1)
+        for k in range(len(ends)):
+            inside = [(a, b) for a, b in e.offsets if section(a) == k]
+            assert (i, k, len(inside), sum(section(max(b - 1, a)) != k for a, b in inside), len(e.ids)) in got
 
 
 def test_fields_are_first_line_and_rest(spark, docs):
