@@ -26,16 +26,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("w").alias("a"), F.col("m").alias("b")))
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node points to one other, which points nowhere."""
+    ends = edges.select(F.col("a").alias("x")).union(edges.select("b").distinct())
+    return ends.groupBy("x").count().where("count > 1").isEmpty()
+
+
 def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
     """(node, component) of every node but the smallest of each component, which names it.  edges: longs a and b; loops and repeats are allowed."""
-    current = work.table(edges.where("a <> b").select("a", "b").distinct(), f"{name}-edges")
-    state, turn = None, 0
+    current, turn = edges.where("a <> b").select("a", "b").distinct(), 0
     while True:
-        current = work.table(_large_star(current).distinct(), f"{name}-large{turn}")
-        current = work.table(_small_star(current).distinct(), f"{name}-small{turn}")
-        row = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == state:
+        current = work.table(_small_star(_large_star(current).distinct()).distinct(), f"{name}-stars{turn}")
+        if _is_settled(current):
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
         if turn:
-            work.drop(f"{name}-large{turn - 1}", f"{name}-small{turn - 1}")
-        state, turn = (row.n, row.h), turn + 1
+            work.drop(f"{name}-stars{turn - 1}")
+        turn += 1
