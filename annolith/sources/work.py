@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +26,12 @@ class Work:
     A written table survives the loss of any executor; nothing is kept in executors' memory or disks.
     """
 
+    #: Folders opened and not yet closed, oldest first: who has written a result that needed them can close them.
+    opened: ClassVar[list[Work]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/annolith/{name}-{uuid.uuid4().hex}"
+        Work.opened.append(self)
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         where = f"{self.path}/{name}"
@@ -35,7 +40,15 @@ class Work:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing will read again."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Deletes the whole folder."""
+        self._delete(self.path)
+        if self in Work.opened:
+            Work.opened.remove(self)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
