@@ -15,9 +15,9 @@ The dictionary is trained once on the serialized ids of a bounded sample
 (``SAMPLE`` documents, those of least hash), written beside the shards and
 named in every shard by its SHA-256, which the reader checks.
 
-Shards are rows (shard, first_doc_id, data) of a Parquet table written with
-Spark's commit protocol, so a lost executor's shard is written again elsewhere
-and a half-written shard is never seen; ``export_shards`` puts them into files.
+Tasks write shards as files ``<part>-<seq>-<attempt>.tok`` into a folder of the shared file
+system.  Which of them count is said by a manifest, a table written with
+Spark's commit protocol: a file of a lost or repeated attempt is in no manifest row and never read.
 
 Edge cases: null text is empty (only the end id is written); a null doc_id
 sorts first and is kept as such; repeated rows are each written; an empty
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import Work, shuffle_partitions
 from .tokens import encode_column, tokenizer_path
@@ -48,7 +48,7 @@ SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 4096, 65536
 #: A shard is closed when its ids exceed this.
 SHARD_BYTES = 8 << 20
 
-SHARDS = T.StructType([T.StructField("first_doc_id", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("data", T.BinaryType())])
+MANIFEST = "part int, seq int, file string, first_doc_id long, n_docs long, n_tokens long, n_bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -109,21 +109,46 @@ class ShardReader:
         return np.frombuffer(raw, "<u4")
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, work: Work, path: str, end_id: int, name: str = "shards") -> tuple[DataFrame, bytes]:
-    """Writes all documents in ascending doc_id order; returns (shards, dictionary)."""
+def write_file(uri: str, data: bytes) -> None:
+    """Into any file system that pyarrow reaches (local, HDFS, object stores); the whole file appears at once."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(f"{path}.part") as out:
+        out.write(data)
+    store.move(f"{path}.part", path)
+
+
+def read_file(uri: str) -> bytes:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as source:
+        return source.read()
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, work: Work, path: str, end_id: int) -> tuple[DataFrame, bytes]:
+    """Writes all documents in ascending doc_id order; returns (manifest, dictionary)."""
     dictionary = train_dictionary(docs, path, end_id)
+    folder = f"{work.path}/files"
+    write_file(f"{folder}/dictionary.zstd", dictionary)
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
 
     def encode(batches):
         import zstandard
         from pyspark import TaskContext
 
-        own = shared.value
+        own, task = shared.value, TaskContext.get()
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(own), write_content_size=True).compress
-        part, seq, ids, frames, counts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, seq, ids, frames, counts, size = task.partitionId(), 0, [], [], [], 0
 
         def closed():
-            return pa.RecordBatch.from_arrays([pa.array([ids[0]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([pack_shard(ids, frames, counts, own, end_id)], pa.binary())], names=SHARDS.names)
+            data = pack_shard(ids, frames, counts, own, end_id)
+            file = f"{folder}/{part:05d}-{seq:05d}-{task.taskAttemptId()}.tok"
+            write_file(file, data)
+            row = {"part": part, "seq": seq, "file": file, "first_doc_id": ids[0], "n_docs": len(ids), "n_tokens": sum(counts), "n_bytes": len(data)}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), *((x, pa.int64()) for x in ("first_doc_id", "n_docs", "n_tokens", "n_bytes"))]))
 
         for doc_id, flat in _encoded(batches, path, end_id):
             ids.append(doc_id)
@@ -136,46 +161,33 @@ def write_shards(spark: SparkSession, docs: DataFrame, work: Work, path: str, en
         if ids:
             yield closed()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.length("text"))
-    return work.table(ordered.mapInArrow(encode, SHARDS), name, "none"), dictionary
+    order = ["doc_id", F.length("text"), F.xxhash64("text")]  # rows that share an identifier, or have none, can lie in many ranges
+    ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    return work.table(ordered.mapInArrow(encode, MANIFEST), "manifest"), dictionary
 
 
-def read_shards(spark: SparkSession, shards: DataFrame, dictionary: bytes) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards alone."""
-    # One row for each shard (not for each document): its ids come after those of all shards before it.
-    totals = sorted((r.part, r.seq, r.n_tokens) for r in shards.select("part", "seq", "n_tokens").collect())
-    before, at = {}, 0
-    for part, seq, n in totals:
-        before[part, seq] = at
-        at += n
-    shared, starts = spark.sparkContext.broadcast(dictionary), spark.sparkContext.broadcast(before)
+def read_shards(spark: SparkSession, manifest: DataFrame, dictionary: bytes) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
+    # Ids before each shard: those of earlier parts (one row for each part of the write), and of earlier shards of its part.
+    totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = totals.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
+    shards = manifest.withColumn("within", within).join(before, F.col("part") == F.col("p")).select("file", (F.col("before") + F.col("within")).alias("start"))
+    shared = spark.sparkContext.broadcast(dictionary)
 
     def decode(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                reader = ShardReader(row["data"], shared.value)
+            for file, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                reader = ShardReader(read_file(file), shared.value)
                 n = reader.counts.astype(np.int64)
-                start = starts.value[row["part"], row["seq"]] + np.cumsum(n) - n
+                start = base + np.cumsum(n) - n
                 crc = [zlib.crc32(reader.ids(i)) for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids, pa.int64(), mask=reader.doc_ids == NULL_ID), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "seq", "data").mapInArrow(decode, ROWS)
-
-
-def export_shards(shards: DataFrame, dictionary: bytes, folder: str) -> list[str]:
-    """Copies the shards of a table to local files, one at a time, for use outside Spark."""
-    from pathlib import Path
-
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "dictionary.zstd").write_bytes(dictionary)
-    out = []
-    for r in shards.orderBy("part", "seq").toLocalIterator():
-        out.append(str(Path(folder, f"{r.part:05d}-{r.seq:04d}.tok")))
-        Path(out[-1]).write_bytes(r.data)
-    return out
+    return shards.repartition(shuffle_partitions(spark), "file").mapInArrow(decode, ROWS)
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
     """Encodes, writes and reads back all documents: (doc_id, start, n_tokens, ids_crc32)."""
-    shards, dictionary = write_shards(spark, docs, Work(spark, "binary"), tokenizer_path(vocabulary), end_id)
-    return read_shards(spark, shards, dictionary)
+    manifest, dictionary = write_shards(spark, docs, Work(spark, "binary"), tokenizer_path(vocabulary), end_id)
+    return read_shards(spark, manifest, dictionary)

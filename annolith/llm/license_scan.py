@@ -2,12 +2,14 @@
 
 The index holds, for each word of the licence templates and base phrases, its
 postings (template, position) and its inverse document frequency, counted over
-all documents.  A text's licence words are found by hash; each template is
-anchored at its highest-IDF words.  Every occurrence p of an anchor with posting (template, q)
-votes for the start p - q; starts with votes of at least MIN_ANCHORS different anchors (or all, if fewer) become
-candidates, whose words are compared with the template's by relative position.
-A candidate stands if the template's mandatory key phrase is there in full and
-at least MIN_MATCH of its words agree.  Base phrases are anchored at their rarest word alone
+all documents.  A text is looked up by its own rarest licence words: in each stretch of
+STRETCH words, at most RARE licence words, those of highest IDF, as far as they have half the stretch's highest.
+Every occurrence p of such a word with posting (template, q)
+votes for the start p - q; words may have been put in or left out, so starts are met in bins of a quarter of the template's
+length, each vote counting in its own bin and the next.  Bins with votes of at least MIN_ANCHORS different words (fewer for
+templates of few words) become candidates: the template is aligned with the words there (longest common subsequence).
+A candidate stands if at least MIN_MATCH of the template's words are found in order and each of
+its mandatory key phrases stands there in full.  Base phrases are anchored at their rarest word alone
 and must match in full, so that every place is found.
 
 Edge cases: null text has no words; repeated rows are each scanned; an empty
@@ -23,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ragged
 from .textvec import Slice, alphanumeric, folding, slices
 
-ANCHORS, MIN_ANCHORS, MIN_MATCH = 8, 3, 0.8
+STRETCH, RARE, MIN_ANCHORS, MIN_MATCH = 256, 16, 3, 0.8
 
 # The phrases and labels of the contract.
 BASE = {
@@ -33,19 +36,79 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Label, opening or notice of the licence as lower-case words, and the key phrase that must stand in it.
+# Label, a licence's notice or text as lower-case words, and the key phrases that must stand in it (parted by semicolons).
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    (
+        "mit",
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in
+        the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the
+        software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied
+        including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright
+        holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+        software or the use or other dealings in the software""",
+        "permission is hereby granted free of charge;without warranty of any kind",
+    ),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    (
+        "apache-2",
+        """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license
+        at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on
+        an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and
+        limitations under the license""",
+        "apache license version 2;except in compliance with the license",
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    (
+        "bsd-2",
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of
+        source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above
+        copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software
+        is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of
+        merchantability and fitness for a particular purpose are disclaimed""",
+        "redistribution and use in source and binary forms;in binary form must reproduce the above copyright notice",
+    ),
+    (
+        "bsd-3",
+        """redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+        materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission""",
+        "used to endorse or promote products derived from this software",
+    ),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license"),
+    (
+        "gpl-3",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software
+        foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any
+        warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should
+        have received a copy of the gnu general public license along with this program if not see http www gnu org licenses""",
+        "terms of the gnu general public license;version 3 of the license",
+    ),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    (
+        "mpl-2",
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at
+        http mozilla org mpl 2 0""",
+        "mozilla public license v 2 0",
+    ),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "modify and or distribute this software for any purpose"),
+    (
+        "isc",
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and
+        this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all
+        implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages
+        whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with
+        the use or performance of this software""",
+        "with or without fee is hereby granted;the author disclaims all warranties",
+    ),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
 _TABLE, _WORD = folding(lower=True), alphanumeric()
@@ -58,7 +121,7 @@ def _word_hashes(text: str) -> np.ndarray:
 
 
 class Index:
-    """Postings of all words, with the anchors chosen by idf (word: inverse document frequency)."""
+    """Postings of all licence words, with their inverse document frequency."""
 
     def __init__(self, idf: dict[str, float]):
         rank = lambda w: (-idf.get(w, math.inf), w)
@@ -66,23 +129,69 @@ class Index:
         for phrase, label in BASE.items():
             words = phrase.split()
             self.base.append((label, _word_hashes(phrase), words.index(min(words, key=rank))))
-        self.templates = []
-        for label, text, key in TEMPLATES:
-            words, wanted = text.split(), key.split()
-            at = next(i for i in range(len(words)) if words[i : i + len(wanted)] == wanted)
-            anchors = sorted({w for w in words}, key=rank)[:ANCHORS]
-            places = [(q, w) for q, w in enumerate(words) if w in anchors]
-            self.templates.append((label, _word_hashes(text), np.arange(at, at + len(wanted)), [q for q, _ in places], [w for _, w in places]))
-        rare = {words[k] for words, k in ((p.split(), b[2]) for p, b in zip(BASE, self.base, strict=True))} | {w for t in self.templates for w in t[4]}
-        self.anchors = np.unique(np.concatenate([_word_hashes(w) for w in rare]))
-        #: Which low bits of a hash may belong to an anchor: nearly all words of a text end here.
+        names = vocabulary()
+        hashes = np.array([_word_hashes(w)[0] for w in names])
+        order = np.argsort(hashes)
+        self.known, self.idf = hashes[order], np.array([idf.get(names[i], 0.0) for i in order])
+        #: Which low bits of a hash may belong to a licence word: most words of a text end here.
         self.sieve = np.zeros(1 << 16, dtype=bool)
-        self.sieve[(self.anchors & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.sieve[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.templates = [(label, _word_hashes(text), [_word_hashes(k) for k in keys.split(";")]) for label, text, keys in TEMPLATES]
+        sizes = [len(t) for _, t, _ in self.templates]
+        word = np.searchsorted(self.known, np.concatenate([t for _, t, _ in self.templates]))
+        by_word = np.argsort(word, kind="stable")
+        #: Postings of word w: template and position at first[w] : first[w + 1].
+        self.first = np.searchsorted(word[by_word], np.arange(len(self.known) + 1))
+        self.template = np.repeat(np.arange(len(sizes)), sizes)[by_word]
+        self.position = np.concatenate([np.arange(n) for n in sizes])[by_word]
+        self.bin = np.array([max(2, n // 4) for n in sizes])
+        self.need = np.array([min(MIN_ANCHORS, max(1, len(np.unique(t)) // 4)) for _, t, _ in self.templates])
+
+    def licence_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers of the licence words there)."""
+        at = np.flatnonzero(self.sieve[(words & np.uint64(0xFFFF)).astype(np.int64)])
+        number = np.minimum(np.searchsorted(self.known, words[at]), len(self.known) - 1)
+        hit = self.known[number] == words[at]
+        return at[hit], number[hit]
+
+    def rarest(self, text: np.ndarray, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which occurrences (text, place in it, word) are of the rarest licence words of their stretch."""
+        stretch = text * (1 << 32) + place // STRETCH
+        pairs, of = np.unique(np.stack([stretch, number], axis=1), axis=0, return_inverse=True)
+        rarity = self.idf[pairs[:, 1]]
+        order = np.lexsort((-rarity, pairs[:, 0]))
+        new = np.concatenate([[True], pairs[order][1:, 0] != pairs[order][:-1, 0]])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        chosen = np.zeros(len(pairs), dtype=bool)
+        chosen[order] = (np.arange(len(order)) - begin < RARE) & (rarity[order] >= rarity[order][begin] / 2)
+        return chosen[of.reshape(-1)]
+
+    def candidates(self, text: np.ndarray, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Rows (text, template, bin) where enough different words vote for a start."""
+        n = self.first[number + 1] - self.first[number]
+        of, posting = np.repeat(np.arange(len(number)), n), ragged(self.first[number], n)
+        template = self.template[posting]
+        bins = (place[of] - self.position[posting]) // self.bin[template]
+        votes = np.stack([text[of], template, bins, number[of]], axis=1)
+        votes = np.unique(np.concatenate([votes, votes - np.array([0, 0, 1, 0])]), axis=0)
+        where, count = np.unique(votes[:, :3], axis=0, return_counts=True)
+        return where[count >= self.need[where[:, 1]]]
+
+    def aligned(self, words: np.ndarray, template: int) -> float:
+        """Share of the template's words found in order among ``words``; 0 without its key phrases."""
+        _, wanted, keys = self.templates[template]
+        for key in keys:
+            at = np.flatnonzero(words[: len(words) - len(key) + 1] == key[0]) if len(words) >= len(key) else []
+            if not any((words[p : p + len(key)] == key).all() for p in at):
+                return 0.0
+        best = np.zeros(len(words) + 1, dtype=np.int64)  # longest common subsequence, one row for each word of the template
+        for w in wanted:
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(words == w, best[:-1] + 1, 0)))
+        return float(best[-1] / len(wanted))
 
     def scan(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, int, float, bool]]:
         """(text, label, first word, share of the template's words, base phrase?) of all matches; words: hashes of all texts."""
-        at = np.flatnonzero(self.sieve[(words & np.uint64(0xFFFF)).astype(np.int64)])
-        at = at[np.isin(words[at], self.anchors)]
+        at, number = self.licence_words(words)
         here, text = words[at], np.searchsorted(bounds, at, side="right") - 1
         out = []
         for label, phrase, k in self.base:
@@ -94,23 +203,21 @@ class Index:
                 same = words[start + j] == h
                 start, owner = start[same], owner[same]
             out += [(int(t), label, int(p - bounds[t]), 1.0, True) for p, t in zip(start, owner, strict=True)]
-        for label, template, key, places, _ in self.templates:
-            votes = []
-            for q in places:
-                hit = here == template[q]
-                votes.append(np.stack([text[hit], at[hit] - q, np.full(hit.sum(), q)], axis=1))
-            cast = np.concatenate(votes)
-            if not len(cast):
-                continue
-            starts, n = np.unique(cast[:, :2], axis=0, return_counts=True)
-            need = min(MIN_ANCHORS, len(places))
-            for t, p in starts[n >= need]:
-                index = p + np.arange(len(template))
-                inside = (index >= bounds[t]) & (index < bounds[t + 1])
-                agree = np.zeros(len(template), dtype=bool)
-                agree[inside] = words[index[inside]] == template[inside]
-                if agree[key].all() and agree.mean() >= MIN_MATCH:
-                    out.append((int(t), label, max(0, int(p - bounds[t])), float(agree.mean()), False))
+        if not len(at):
+            return out
+        place = at - bounds[text]
+        rare = self.rarest(text, place, number)
+        done: dict[tuple[int, int], int] = {}
+        for t, template, k in self.candidates(text[rare], place[rare], number[rare]).tolist():
+            size, bin_ = len(self.templates[template][1]), int(self.bin[template])
+            low = max(0, k * bin_)  # a start lies in this bin or the next
+            if low < done.get((t, template), 0):
+                continue  # inside the last match
+            high = min(int(bounds[t + 1] - bounds[t]), (k + 2) * bin_ + size + size // 4)
+            share = self.aligned(words[bounds[t] + low : bounds[t] + high], template)
+            if share >= MIN_MATCH:
+                done[t, template] = low + size
+                out.append((t, self.templates[template][0], low, share, False))
         return out
 
 
@@ -120,7 +227,7 @@ def _scan_words(s: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for p in BASE for w in p.split()} | {w for _, t, _ in TEMPLATES for w in t.split()})
+    return sorted({w for p in BASE for w in p.split()} | {w for _, t, k in TEMPLATES for w in [*t.split(), *k.replace(";", " ").split()]})
 
 
 def document_frequency(docs: DataFrame) -> dict[str, float]:

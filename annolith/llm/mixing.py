@@ -2,12 +2,18 @@
 
 Each source's target is its weighted share of the budget, at most CAP times its
 size, the excess reshared by weight.  Document rates are the entropy-balancing
-weights nearest to the uniform rate under one token constraint for each source
-and the bounds 0 and CAP for each document: exponentially tilted odds,
-rate = CAP / (1 + exp(-x)), with one dual variable x for each source, found by Newton steps on
-the convex dual.  Documents with equal dual variable have equal rates, so the gradient and Hessian of a
-source need only its token sum: the iterations run on the table of sources
-(one row each) wherever its partitions lie, without collecting it.
+weights nearest to the uniform rate under two families of token constraints that overlap:
+
+- each source gives its target (held exactly),
+- each language keeps the share of the words that it has in the corpus (held as far as the sources allow: the dual has a ridge
+  of PULL for each word of the language; the BALANCED languages of most words have a constraint each, all others share one).
+
+Rates are exponentially tilted odds, rate = CAP / (1 + exp(-(x + y))), with a dual variable x for each source and y for each
+language, so they lie between 0 and CAP.  The dual is convex.  Newton steps solve it: for given y each source finds its own x (a
+root in one variable, task by task, where its rows lie), and gives its part of the gradient and Hessian for y with x eliminated; these
+are summed over all tasks, and the driver, which holds one number for each language, takes the step.  The sums over documents are sums over
+cells (source, language), as documents of a cell have one rate: words are added up by cell once, before any step.
+Steps end when the languages' gradient, relative to their words, is below RESIDUAL.
 
 Rates become copies by carrying the rounding error from one document to the
 next in order of falling size, in groups of about GROUP documents of a source: the words
@@ -15,7 +21,7 @@ taken from a group miss its target by at most half its last, smallest documents.
 A source that holds a third of all rows is many groups.
 
 Sources weigh 5, 2, 1, repeating, by code point, null last.  Edge cases: null
-text has size 0; a source of no words has target 0; repeated rows are each
+text has size 0; a null language is one of its own; a source of no words has target 0; repeated rows are each
 sampled; an empty table gives no rows; other columns are ignored (``mix`` passes them on).
 """
 
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, Work
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
-GROUP, STEPS = 5000, 40
+GROUP, BALANCED, PULL, RESIDUAL, MOST_STEPS = 5000, 64, 0.02, 1e-6, 30
 
 
 def _size(text):
@@ -40,7 +46,7 @@ def _size(text):
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, n_docs, source_size) to (..., target, rate); one row for each source in and out.
+    """(source, n_docs, source_size) to (..., target); one row for each source in and out.
 
     The reshared targets are min(cap * size, weight * level) for the level that spends the budget.  Each
     round sums over all sources those that are capped and the weights of the others, and raises the level; it ends when no further source is capped.
@@ -61,27 +67,89 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ca
         level = found
     target = F.least(F.col("source_size") * cap, F.col("weight") * level) if not math.isinf(level) else F.col("source_size") * cap
 
-    def newton(batches):
-        for batch in batches:
-            size, goal = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 3))
-            x = np.zeros(len(size))
-            for _ in range(STEPS):  # dual: size * cap * log(1 + exp(x)) - goal * x
-                rate = cap / (1 + np.exp(-x))
-                slope = size * rate * (1 - rate / cap)
-                step = np.divide(size * rate - goal, slope, out=np.zeros_like(x), where=slope > 0)
-                x = np.clip(x - np.clip(step, -2, 2), -30, 30)
-            rate = cap / (1 + np.exp(-x))
-            rate = np.where(size * cap - goal <= 0, cap, np.where(np.abs(x) >= 30, np.round(rate), rate))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=["source", "n_docs", "source_size", "target", "rate"])
+    return ranked.select("source", "n_docs", "source_size", target.alias("target"))
+
 
-    return ranked.select("source", "n_docs", "source_size", target.alias("target")).mapInArrow(newton, "source string, n_docs long, source_size long, target double, rate double")
+def source_dual(size: np.ndarray, y: np.ndarray, goal: float, cap: float) -> float:
+    """x with sum(size * cap / (1 + exp(-(x + y)))) = goal, by Newton steps kept within a shrinking bracket."""
+    total = size.sum()
+    share = goal / (cap * total)
+    middle = math.log(share / (1 - share))
+    low, high = middle - y.max(), middle - y.min()
+    x = (low + high) / 2
+    for _ in range(100):
+        rate = cap / (1 + np.exp(-(x + y)))
+        off = float(size @ rate) - goal
+        if abs(off) <= 1e-12 * goal:
+            break
+        low, high = (low, x) if off > 0 else (x, high)
+        slope = float(size @ (rate * (1 - rate / cap)))
+        x = x - off / slope if slope > 0 and low < x - off / slope < high else (low + high) / 2
+    return x
+
+
+def _cell_rates(y: dict[str | None, float], cap: float, derivatives: bool):
+    """For each source, its cells (source, lang, size, target) with their rates, or their part of the gradient (m null) and Hessian for y."""
+
+    def run(table: pa.Table) -> pa.Table:
+        size = table.column("size").to_numpy().astype(float)
+        langs = table.column("lang").to_pylist()
+        own = np.array([y.get(lang, 0.0) for lang in langs])
+        goal, total = float(table.column("target")[0].as_py()), size.sum()
+        full = goal >= cap * total * (1 - 1e-12)
+        if full or goal <= 0:
+            rate = np.full(len(size), cap if full else 0.0)
+        else:
+            rate = cap / (1 + np.exp(-(source_dual(size, own, goal, cap) + own)))
+        if not derivatives:
+            return pa.table({"source": table.column("source"), "lang": table.column("lang"), "rate": rate})
+        slope = size * rate * (1 - rate / cap)
+        with_x = np.diag(slope) - (np.outer(slope, slope) / slope.sum() if slope.sum() > 0 else 0)  # x follows y so that the source keeps its target
+        index = np.arange(len(size))
+        left, right = np.repeat(index, len(size)), np.tile(index, len(size))
+        names = np.array(langs, dtype=object)
+        return pa.table({
+            "l": pa.array([*langs, *names[left]], pa.string()),
+            "m": pa.array([*langs, *names[right]], pa.string()),
+            "g": pa.array(np.concatenate([size * rate, np.zeros(len(left))])),
+            "h": pa.array(np.concatenate([np.zeros(len(size)), with_x.reshape(-1)])),
+        })
+
+    return run
+
+
+def balanced_rates(cells: DataFrame, work: Work, cap: float = CAP, pull: float = PULL) -> DataFrame:
+    """(source, lang, rate) of each cell (source, lang, size, target); languages keep their shares as far as the sources' targets allow."""
+    sums = cells.groupBy("lang").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "lang").limit(BALANCED).collect()  # at most BALANCED rows
+    spent = cells.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0.0
+    langs = [r.lang for r in sums]
+    words = np.array([float(r["size"]) for r in sums])
+    goals = words * (spent / words.sum()) if words.sum() else words
+    y, place = np.zeros(len(langs)), {lang: k for k, lang in enumerate(langs)}
+    before = math.inf
+    for _ in range(MOST_STEPS):
+        step = cells.groupBy("source").applyInArrow(_cell_rates(dict(zip(langs, y.tolist(), strict=True)), cap, True), "l string, m string, g double, h double")
+        rows = step.groupBy("l", "m").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # languages squared, BALANCED at most each
+        gradient, hessian = -goals, np.zeros((len(langs), len(langs)))
+        for r in rows:
+            if r.l in place and r.m in place:
+                hessian[place[r.l], place[r.m]] += r.h
+                if r.l == r.m:
+                    gradient[place[r.l]] += r.g
+        gradient = gradient + pull * words * y
+        residual = float(np.abs(gradient / np.maximum(1.0, words)).max()) if len(words) else 0.0
+        if residual < RESIDUAL or residual >= before:  # the second: no further than rounding allows
+            break
+        before = residual
+        y = y - np.linalg.solve(hessian + np.diag(pull * np.maximum(1.0, words)), gradient)
+    return work.table(cells.groupBy("source").applyInArrow(_cell_rates(dict(zip(langs, y.tolist(), strict=True)), cap, False), "source string, lang string, rate double"), "rates")
 
 
 def _round(table: pa.Table) -> pa.Table:
     """Copies of a group's documents: error diffusion from the largest to the smallest."""
     size = table.column("size").to_numpy()
     ids = table.column("doc_id")
-    order = np.lexsort((ids.fill_null(0).to_numpy(), -size))
+    order = np.lexsort((table.column("digest").to_numpy(), ids.fill_null(0).to_numpy(), ~ids.is_null().to_numpy(), -size))
     rate = table.column("rate").to_numpy()
     copies = np.empty(len(size), dtype=np.int64)
     owed = 0.0
@@ -96,12 +164,22 @@ def _round(table: pa.Table) -> pa.Table:
 
 def mix(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
     """(doc_id, size, source_size, target, copies) of every row."""
-    sized = work.table(docs.select("doc_id", "source", _size(F.col("text")).alias("size")), "sizes")
+    # digest: tells rows of one identifier (or none) and size apart, so that reruns agree
+    sized = work.table(docs.select("doc_id", "source", "lang", _size(F.col("text")).alias("size"), F.xxhash64("text", "lang").alias("digest")), "sizes")
+    # Languages beyond the first BALANCED share one constraint.
+    common = sized.groupBy("lang").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "lang").limit(BALANCED - 1)
+    names = [r.lang for r in common.collect()]
+    other = "\uffffother"
+    lang = F.when(F.col("lang").isin([x for x in names if x is not None]) | (F.lit(None in names) & F.col("lang").isNull()), F.col("lang")).otherwise(F.lit(other))
+    sized = sized.withColumn("lang", lang)
     sources = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     targets = work.table(source_targets(sources), "targets")
-    joined = sized.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source"))
+    cells = sized.groupBy("source", "lang").agg(F.sum("size").alias("size")).where("size > 0").alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source"))
+    cells = work.table(cells.select("c.source", "c.lang", "c.size", "t.target"), "cells")
+    rates = balanced_rates(cells, work)
+    joined = sized.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).join(rates.alias("r"), F.expr("d.source <=> r.source and d.lang <=> r.lang"), "left")
     group = F.pmod(F.xxhash64("d.doc_id", "d.size"), F.greatest(F.lit(1), F.ceil(F.col("t.n_docs") / GROUP))).alias("group")
-    dealt = joined.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.rate", group)
+    dealt = joined.select("d.doc_id", "d.source", "d.size", "d.digest", "t.source_size", "t.target", F.coalesce("r.rate", F.lit(1.0)).alias("rate"), group)  # a cell without words: every document once
     return dealt.groupBy("source", "group").applyInArrow(_round, "doc_id long, size long, source_size long, target double, copies long")
 
 

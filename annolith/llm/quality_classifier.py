@@ -5,7 +5,8 @@ bigrams are hashed into BUCKETS weights.  A text's features are its n-gram
 shares times SCALE, so long and short texts weigh alike.  Training (FTRL-proximal, per-coordinate
 rates, L1 and L2) sees at most MOST_TRAINING labelled texts, those of least
 hash of doc_id, in that order; this bound is a parameter.  Scoring is a sparse dot product, done with numpy
-for a slice of texts at once against the broadcast weights (BUCKETS * 4 bytes).
+for a slice of texts at once against the broadcast weights (BUCKETS * 4 bytes).  The counted features of the training texts are written
+once; the driver holds them all if they take HELD_BYTES at most, and else reads them again, one of PARTS parts at a time, in each epoch.
 
 Edge cases: null and empty texts score the bias alone; documents without a
 label, with a null label or a null doc_id are not learned from; of several labels of one document the
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id
+from .common import Work, crc32_of_id
 from .textvec import Slice, folding, mix, slices
 
 BUCKETS, SCALE, MOST_TRAINING, EPOCHS = 1 << 18, 20.0, 6000, 3
+HELD_BYTES, PARTS = 128 << 20, 64
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1.0
 _TABLE = folding(lower=True)
 _SPACE, _LETTERS, _DIGITS, _SIGNS = 0, 1, 2, 3
@@ -79,8 +81,8 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(spark: SparkSession, labelled: DataFrame, most: int = MOST_TRAINING) -> np.ndarray:
-    """Weights (the bias last) from columns doc_id, text, label; at most ``most`` rows, collected as counted features."""
+def train(spark: SparkSession, labelled: DataFrame, most: int = MOST_TRAINING, held_bytes: int = HELD_BYTES) -> np.ndarray:
+    """Weights (the bias last) from columns doc_id, text, label; at most ``most`` rows, as counted features."""
 
     def shrink(batches):
         for batch in batches:
@@ -93,14 +95,26 @@ def train(spark: SparkSession, labelled: DataFrame, most: int = MOST_TRAINING) -
                     packed.append(np.stack([u, c], axis=1).astype("<i4").tobytes())
                 yield pa.RecordBatch.from_arrays([ids, labels, pa.array(packed, pa.binary())], names=["doc_id", "label", "counts"])
 
-    rows = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(shrink, "doc_id long, label int, counts binary").orderBy(F.xxhash64("doc_id"), "doc_id", "counts").limit(most).collect()
+    counted = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(shrink, "doc_id long, label int, counts binary")
+    rank = ["rank", "doc_id", "counts"]
+    work = Work(spark, "classifier")
+    written = work.table(counted.withColumn("rank", F.xxhash64("doc_id")), "counted", "none")
+    total = written.agg(F.count("*").alias("n"), F.sum(F.length("counts")).alias("bytes")).first()
+    if total.n > most:  # rows that share a labelled doc_id
+        written = written.orderBy(*rank).limit(most)
+    if (total.bytes or 0) <= held_bytes:
+        rows = sorted(written.collect(), key=lambda r: (r.rank, r.doc_id, r.counts))
+    else:
+        rows = None
+        ordered = work.table(written.repartitionByRange(PARTS, *rank).sortWithinPartitions(*rank), "ordered", "none")
     model = Ftrl(BUCKETS)
     for _ in range(EPOCHS):
-        for r in rows:
+        for r in rows if rows is not None else ordered.toLocalIterator():
             pairs = np.frombuffer(r.counts, dtype="<i4").reshape(-1, 2)
             at = np.append(pairs[:, 0].astype(np.int64), BUCKETS)
             x = np.append(pairs[:, 1] * (SCALE / max(1, int(pairs[:, 1].sum()))), 1.0)
             model.update(at, x, float(r.label))
+    work.close()
     return model.weights(np.arange(BUCKETS + 1)).astype(np.float32)
 
 

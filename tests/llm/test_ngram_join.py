@@ -1,11 +1,15 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from annolith.llm import ngram_join
+from annolith.llm import language_id, mixing, ngram_join
+from annolith.llm.common import Work
 from annolith.llm.ngram_join import Similarity
+from annolith.llm.tokens import tokenizer_path
 
 from .conftest import docs_of, words
 
@@ -131,15 +135,50 @@ def test_words_that_collide_under_linear_hashes_are_not_linked(spark):
     assert all(r.component_id == r.doc_id for r in got)
 
 
-def test_pipeline_stages(spark, near_rows):
+def test_pipeline_equals_brute_force(spark, near_rows, tmp_path):
+    """Each stage against plain Python, on what its predecessor kept."""
+    size = lambda t: len((t or "").split(None)) if t else 0
     docs = docs_of(spark, near_rows)
+    told = {(r.doc_id, r.lang_pred, r.score) for r in language_id.language_id(spark, docs).collect()}  # held against brute force in test_selection
+    kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
         assert out.columns == docs.columns, name
-        before, docs = docs.count(), spark.createDataFrame(out.collect(), out.schema)
-        assert docs.count() <= 2 * before
+        before, docs = docs.collect(), spark.createDataFrame(out.collect(), out.schema)
+        kept[name] = docs.collect()
+        ids = Counter(r.doc_id for r in kept[name])
+        if name == "language_id":
+            assert set(ids) == {i for i, lang, score in told if lang != "und" and score >= language_id.SURE}
+        elif name == "exact_dedup":
+            best = {}
+            for r in before:
+                best[r.text.encode().lower()] = max(best.get(r.text.encode().lower(), -1), -1 if r.doc_id is None else r.doc_id)
+            assert sorted(-1 if i is None else i for i in ids.elements()) == sorted(best.values())
+        elif name == "ngram_jaccard_join":
+            want = brute([(r.doc_id, r.text, None, None) for r in before], 5, 80)
+            assert set(ids) == {i for i, (_, c) in want.items() if i is None or i == c}
+        else:
+            per = Counter(r.source for r in kept[name])
+            assert per and max(ids.values()) <= 2
+            copies = {r.doc_id: r for r in mixing.mixture(spark, spark.createDataFrame(before, docs.schema)).collect()}
+            assert all(n * size(next(r.text for r in before if r.doc_id == i)) == copies[i].taken for i, n in ids.items() if i is not None and copies[i].size)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = Counter()
+    for r in kept["source_mixing"]:
+        want[r.doc_id] += len(library.encode(r.text, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+    assert got == want
+    folder = str(tmp_path)
+    docs_of(spark, near_rows).write.parquet(f"{folder}/documents.parquet")
+    opened = len(Work.opened)
+    whole = Counter()
+    for r in corpus_pipeline.run(spark, folder).collect():
+        whole[r.doc_id] += r.length
+    assert whole == want
+    assert len(Work.opened) - opened <= 2  # the stages' documents and the packing
 
 
 def test_queries_are_registered():

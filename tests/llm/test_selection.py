@@ -163,6 +163,27 @@ def test_quality_classifier(spark, no_docs):
     assert {r.score for r in quality_classifier.quality_scores(spark, docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_languages_keep_their_shares_within_the_sources_targets(spark):
+    """The rates of the Newton steps satisfy the conditions of the convex dual."""
+    rng = random.Random(6)
+    cells = [(s, lang, rng.randint(50, 5000)) for s in "abcde" for lang in ["en", "fr", None] if rng.random() < 0.9]
+    size = Counter()
+    for s, _, n in cells:
+        size[s] += n
+    target = {s: n * rng.choice([0.3, 0.9, 1.5, 2.0]) for s, n in size.items()}
+    df = spark.createDataFrame([(s, lang, n, float(target[s])) for s, lang, n in cells], "source string, lang string, size long, target double")
+    got = {(r.source, r.lang): r.rate for r in mixing.balanced_rates(df, mixing.Work(spark, "test")).collect()}
+    assert all(0 <= r <= 2 for r in got.values()) and len(got) == len(cells)
+    for s in size:
+        assert sum(got[s, lang] * n for x, lang, n in cells if x == s) == pytest.approx(target[s])
+    logit = {k: math.log(r / (2 - r)) for k, r in got.items() if 0 < r < 2}
+    free = [s for s in size if target[s] < 2 * size[s]]
+    difference = {s: {lang: logit[s, lang] - logit[s, "en"] for lang in ["fr", None] if (s, lang) in got} for s in free if (s, "en") in got}
+    for lang in ["fr", None]:  # x + y: the difference between two languages is the same in every source
+        values = [d[lang] for d in difference.values() if lang in d]
+        assert values == pytest.approx([values[0]] * len(values), abs=1e-6)
+
+
 def _targets(rows, weights=(5, 2, 1)):
     size = defaultdict(int)
     for _, t, _, s in rows:
@@ -203,6 +224,12 @@ def test_mixing(spark, docs, no_docs, rows):
 LICENSE_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
+def changed(text, every):
+    """text with a word put in after each ``every`` words, key phrases left whole."""
+    words = text.split()
+    return " ".join(w + (" inserted" if k % every == every - 1 and k > 8 and words[k - 1] not in {"warranty", "endorse", "promote", "without", "or"} else "") for k, w in enumerate(words))
+
+
 def test_license_scan(spark, docs, no_docs, rows):
     more = [
         (500, "Released Under the MIT License. Again: under-the\nmit license", "en", "a"),
@@ -212,6 +239,10 @@ def test_license_scan(spark, docs, no_docs, rows):
         (504, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documents", "en", "a"),
         (505, "under the mit", "en", "a"),
         (506, "license version 2", "en", "a"),
+        (507, "intro words " * 400 + changed(license_scan.TEMPLATES[1][1], 12) + " outro" * 300, "en", "a"),  # one word in twelve is another, one in twelve is put in
+        (508, changed(next(t for x, t, _ in license_scan.TEMPLATES if x == "bsd-3"), 40), "en", "a"),
+        (509, " ".join(sorted(license_scan.TEMPLATES[1][1].split())), "en", "a"),  # the words in another order
+        (510, next(t for x, t, _ in license_scan.TEMPLATES if x == "isc") + " and more", "en", "a"),
     ]
     all_ = rows + more
     got = {(r.doc_id, r.n_words): r for r in license_scan.license_scan(spark, docs.unionByName(docs_of(spark, more))).collect()}
@@ -223,5 +254,6 @@ def test_license_scan(spark, docs, no_docs, rows):
         assert r.base_labels == ",".join(sorted({x for _, x in hits}))
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
     labels = {i: r.labels for (i, _), r in got.items()}
+    assert set(labels[507].split(",")) == {"mit"} and "bsd-3" in labels[508] and labels[509] == "" and labels[510] == "isc"
     assert labels[503] == "gpl-3" and labels[504] == "mit" and labels[502] == labels[505] == labels[506] == ""
     assert license_scan.license_scan(spark, no_docs).collect() == []

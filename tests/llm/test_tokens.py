@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ def _encode(name, text):
     return Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids
 
 
-def test_binary_output_round_trip(spark, docs, no_docs, rows, tmp_path):
+def test_binary_output_round_trip(spark, docs, no_docs, rows):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in binary_output.token_id_output(spark, docs).collect())
     at, want = 0, []
     for i, t, _, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or ""))):
@@ -64,16 +64,20 @@ def test_binary_output_round_trip(spark, docs, no_docs, rows, tmp_path):
         at += len(ids)
     assert got == sorted(want)
     assert binary_output.token_id_output(spark, no_docs).collect() == []
-    shards, dictionary = binary_output.write_shards(spark, docs, Work(spark, "test"), tokenizer_path("byte_bpe_50k.json"), 2)
-    files = binary_output.export_shards(shards, dictionary, str(tmp_path))
+    manifest, dictionary = binary_output.write_shards(spark, docs, Work(spark, "test"), tokenizer_path("byte_bpe_50k.json"), 2)
     total = 0
-    for f in files:
-        with open(f, "rb") as h:
-            reader = binary_output.ShardReader(h.read(), dictionary)
+    for r in manifest.collect():
+        data = binary_output.read_file(r.file)
+        assert r.file.endswith(".tok") and len(data) == r.n_bytes
+        reader = binary_output.ShardReader(data, dictionary)
         total += sum(len(reader.ids(k)) for k in range(len(reader.counts)))
         with pytest.raises(ValueError, match="another dictionary"):
-            binary_output.ShardReader(open(f, "rb").read(), dictionary + b"x")
+            binary_output.ShardReader(data, dictionary + b"x")
     assert total == at
+    folder = manifest.first().file.rpartition("/")[0]
+    assert binary_output.read_file(f"{folder}/dictionary.zstd") == dictionary
+    binary_output.write_file(f"{folder}/00000-00000-999999.tok", b"left by a lost attempt")  # in no row of the manifest
+    assert binary_output.read_shards(spark, manifest, dictionary).count() == len(rows)
 
 
 def test_packing_covers_every_id_once(spark, docs, no_docs, rows):
@@ -104,16 +108,55 @@ def test_packing_covers_every_id_once(spark, docs, no_docs, rows):
     assert packing.pack(spark, no_docs).collect() == []
 
 
+def _placed(plan, totals):
+    """(place in the stream, tokens, queue) of all runs; they must fill the stream."""
+    out = sorted((place, n, k) for k, t in enumerate(totals) for n, place in plan.runs(k, 0, t))
+    at = 0
+    for place, n, _ in out:
+        assert place == at
+        at += n
+    assert at == sum(totals)
+    return out
+
+
 def test_windows_hold_the_sources_proportions():
-    plan = packing.Schedule([70_000, 20_000, 9_999, 1], 2048)
-    for w in range(1, plan.blocks + 1):
-        given = [plan.given(s, w) for s in range(4)]
-        assert sum(given) == 2048 * w
-        assert all(abs(g - t * 2048 * w / plan.all) < 4 for g, t in zip(given, plan.totals, strict=True))
-        assert all(plan.given(s, w) >= plan.given(s, w - 1) for s in range(4))
+    totals = [700_000, 200_000, 99_999, 1]
+    plan = packing.Schedule(totals, 2048)
+    (phase,) = plan.phases
+    for w in range(1, phase.windows + 1):
+        given = [phase.given(k, w) for k in range(4)]
+        assert sum(given) == phase.window * w
+        assert all(abs(g - t * phase.window * w / phase.all) <= 1 for g, t in zip(given[:3], totals, strict=False))
+    runs = _placed(plan, totals)
+    assert sum(totals) / len(runs) > 1000
     many = packing.Schedule([5] * 3000, 64)
-    assert many.block > 1 and all(many.given(s, w) >= many.given(s, w - 1) for s in (0, 1, many.big) for w in range(1, many.blocks + 1))
-    assert packing.Schedule([], 8).blocks == 0
+    _placed(many, [5] * 3000)
+    assert packing.Schedule([], 8).phases == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_targets_rule_until_a_queue_runs_dry(seed):
+    rng = random.Random(seed)
+    totals = [rng.choice([0, 1, 900, 40_000, 90_000]) for _ in range(6)]
+    weights = [rng.choice([0, 1, 2, 5]) for _ in totals]
+    plan = packing.Schedule(totals, 64, weights, least_run=100)
+    runs = _placed(plan, totals)
+    if any(w and t for w, t in zip(weights, totals, strict=True)):
+        first, held = plan.phases[0], Counter()
+        for place, n, k in runs:
+            if place + n <= first.window * first.windows:
+                held[k] += n
+        share = sum(w for w, t in zip(weights, totals, strict=True) if t)
+        for k, (w, t) in enumerate(zip(weights, totals, strict=True)):
+            if t and first.windows:
+                assert abs(held[k] - first.window * first.windows * w / share) <= first.windows + 2 + first.window * 0.05
+
+
+def test_packing_to_targets(spark, docs, rows):
+    got = packing.pack(spark, docs, capacity=64, targets={"a": 3, "b": 1}).collect()
+    plain = packing.pack(spark, docs, capacity=64).collect()
+    assert sum(r.length for r in got) == sum(r.length for r in plain)
+    assert {(r.doc_id, r.doc_tokens) for r in got} == {(r.doc_id, r.doc_tokens) for r in plain}
 
 
 @pytest.mark.parametrize("rule", ["start", "majority", "none"])
