@@ -17,7 +17,7 @@ from annolith.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told; null texts and texts without a letter go."""
+    """Keeps documents whose predicted language has the larger share; null texts, texts without a letter and texts like no learned language go."""
     return with_known_language(spark, docs)
 
 
@@ -54,10 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of all that the stages before kept.  What a stage kept in the work folder goes once its documents are written."""
     work = Work(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = work.table(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = set(map(id, Work.opened))
+        docs = work.table(stage(spark, docs, sf_dir), name)
+        for own in [w for w in Work.opened if id(w) not in before]:
+            own.close()
+        if k:
+            work.drop(STAGES[k - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir)
