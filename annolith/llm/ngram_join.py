@@ -6,13 +6,13 @@
    floor((1 - s) * size) + 1 under any common order (prefix filter).  The order here is frequent
    shingles last; which are frequent is counted over all sets, task by task, and the list is bounded (MOST_FREQUENT).
    A set is routed to the block of each shingle of its prefix that another set has there too.
-3. The members of a block form a signature tree: nodes hold the OR of their members' bitmaps (four to eight bits a
+3. The members of a block form a signature tree: nodes hold the OR of their members' bitmaps (two to four bits a
    shingle) and their size range.  The dual traversal of a tree with itself drops node pairs whose size ranges exclude the
    similarity, whose largest possible overlap is too small, or which are one component already.  Pairs of leaves that
    remain are the candidates; they are compared in full.  The trees of many blocks are traversed at once.
 4. Large groups of copies meet in many blocks and would give all their pairs there.  So the trees are asked in three turns,
    and the links found in one contract the components that the next need not look into:
-   in the first two turns (each set's first FIRST blocks; then all blocks that hold several components) a tree gives likely
+   in the first two turns (each set's first FIRST blocks; then all blocks of CROWD sets or more that hold several components) a tree gives likely
    pairs only, no more than needed to join its members, a pivot (the member nearest to the block's majority) against
    the others first.  The third turn takes every pair that the bounds let through in every block that
    still holds several components; that turn makes the result whole.
@@ -44,7 +44,8 @@ from .common import Work, binary_array, list_array, ragged, shuffle_partitions
 from .textvec import folding, mix, not_space, shingle_hashes, slices
 
 MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 23, 16, 1 << 22
-FAN, CHUNK, FIRST, PAIRS_AT_ONCE = 8, 2048, 4, 1 << 16
+FAN, CHUNK, CROWD, FIRST, PAIRS_AT_ONCE = 8, 2048, 16, 4, 1 << 16
+BITS_A_SHINGLE = 2  # up to twice as many
 #: Rows and bytes of bitmaps of the blocks that are traversed at once (or one block, if larger).
 ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 2 << 20
 PIVOTS, LEAST_PIVOTED, SLACK = 3, 8, 3
@@ -137,7 +138,7 @@ def frequent_shingles(sets: DataFrame, work: Work) -> np.ndarray:
 
 
 def _bits(n: int) -> int:
-    return 1 << max(6, int(4 * n - 1).bit_length())
+    return 1 << max(6, int(BITS_A_SHINGLE * n - 1).bit_length())
 
 
 def signatures(spark: SparkSession, sets: DataFrame, how: Similarity, frequent: np.ndarray) -> DataFrame:
@@ -441,7 +442,7 @@ def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame, how: Simila
                 yield batch.select([0, 1]).take(pa.array(take))
 
     ids = sets.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "set").withColumn("p", place)
-    own = work.table(ids.mapInArrow(pick, "id long, set binary").dropDuplicates(["id"]), f"{name}-sets", "none")
+    own = work.table(ids.mapInArrow(pick, "id long, set binary"), f"{name}-sets", "none")
 
     def compare(batches):
         for batch in batches:
@@ -456,7 +457,7 @@ def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame, how: Simila
 
     one, two = own.toDF("x", "set_x"), own.toDF("y", "set_y")
     joined = pairs.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y")).select("a", "b", "set_x", "set_y")
-    out = work.table(joined.mapInArrow(compare, "a long, b long"), f"{name}-links")
+    out = work.table(joined.mapInArrow(compare, "a long, b long"), f"{name}-links")  # a pair can stand twice where texts share an identifier
     work.drop(f"{name}-sets")
     return out
 
@@ -469,17 +470,19 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 5, per
     report = {} if report is None else report
     sets = work.table(shingle_sets(docs, how), "sets", "none")
     whose = work.table(sets.select(*IDENTITY), "identities")
+    if not whose.groupBy(*IDENTITY).count().where("count > 1").isEmpty():  # rows that share identifier and text take part once
+        sets = sets.dropDuplicates(IDENTITY)
     named = whose.where("n > 0 and doc_id is not null")
     reps = work.table(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "representatives")
     signed = signatures(spark, sets, how, frequent_shingles(sets, work))
     mine = F.expr("doc_id = rep and n = rn and d1 = r1 and d2 = r2")
-    own = work.table(signed.join(reps.toDF("rn", "r1", "r2", "rep"), mine).select("rep", F.col("n").cast("int").alias("n"), "prefix", "rare", "bits").dropDuplicates(["rep"]), "signatures")
-    bitmaps = own.select(F.col("rep").alias("r"), "bits")
-
+    own = work.table(signed.join(reps.toDF("rn", "r1", "r2", "rep"), mine).select("rep", F.col("n").cast("int").alias("n"), "prefix", "rare", "bits"), "signatures")
     routed = own.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", "rare").select("token", "rep", "n", "pos", (F.col("pos") >= F.col("rare")).alias("salted"))
     salt = F.when(F.col("salted"), F.pmod(F.xxhash64("rep"), F.lit(parts))).otherwise(0)
     met = routed.repartition(parts, "token", salt).sortWithinPartitions("token").mapInArrow(_met_twice, "token long, rep long, n int, pos int")
     rows = work.table(met, "blocks")
+    bitmaps = work.table(own.select(F.col("rep").alias("r"), "bits"), "bitmaps")
+    work.drop("signatures")
     found, compared = None, None
 
     def labelled(found, rows):
@@ -487,23 +490,23 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 5, per
             return rows.withColumn("component", F.col("rep"))
         return rows.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"))
 
-    def mixed(rows, name):
+    def mixed(rows, name, least):
         """Rows of the blocks that hold several components, and the blocks with their sizes."""
         rows = work.table(rows, name)
-        blocks = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
+        blocks = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").where(F.col("m") >= least)
         return rows, blocks.select(F.col("token").alias("t"), F.ceil(F.col("m") / CHUNK).cast("int").alias("k"))
 
-    def turn(name, chosen, whole):
-        """Candidates of the trees, their full comparison, components of all links so far."""
+    def turn(name, chosen, whole, least=2):
+        """Candidates of the trees of all mixed blocks with ``least`` sets, their full comparison, components of all links so far."""
         nonlocal found, compared
-        rows, blocks = mixed(labelled(found, chosen), f"{name}-rows")
+        rows, blocks = mixed(labelled(found, chosen), f"{name}-rows", least)
         chunk = F.when(F.col("k") > 1, F.pmod(F.xxhash64("rep", "token"), F.col("k")).cast("int")).otherwise(0)
         dealt = rows.join(blocks, F.col("token") == F.col("t")).withColumn("c", chunk)
         other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)) if whole else F.col("c")
         dealt = dealt.withColumn("o", other).select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "n", "pos", "component")
-        if whole:  # only a member with another of fitting size next to it can be linked in this block; the others need no bitmap
-            by_size = Window.partitionBy("token", "i", "j").orderBy("n")
-            dealt = dealt.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)}).where(f"100 * bigint(less) >= {percent} * n or 100 * bigint(n) >= {percent} * more").drop("less", "more")
+        # Only a member with another of fitting size next to it can be linked in this block; the others need no bitmap.
+        by_size = Window.partitionBy("token", "i", "j").orderBy("n")
+        dealt = dealt.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)}).where(f"100 * bigint(less) >= {percent} * n or 100 * bigint(n) >= {percent} * more").drop("less", "more")
         with_bits = dealt.join(bitmaps, F.col("rep") == F.col("r")).select("token", "i", "j", "c", "rep", F.col("n").cast("long").alias("n"), F.expr("bigint(n - pos)").alias("room"), "component", "bits")
         grouped = with_bits.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "rep")
         pairs = grouped.mapInArrow(_pairs_of_blocks(how, whole), "a long, b long").distinct()
@@ -522,9 +525,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 5, per
 
     early = Window.partitionBy("rep").orderBy("pos")
     turn("first", rows.withColumn("nth", F.row_number().over(early)).where(F.col("nth") <= FIRST).drop("nth"), whole=False)
-    turn("second", rows, whole=False)
+    turn("second", rows, whole=False, least=CROWD)
     turn("third", rows, whole=True)
-    work.drop("sets", "signatures", "blocks")
+    work.drop("sets", "bitmaps", "blocks")
     whose = whose.join(reps.toDF("rn", "r1", "r2", "rep"), F.expr("n = rn and d1 = r1 and d2 = r2 and doc_id is not null"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     if found is None:
         return whose.withColumnRenamed("rep", "component_id")
