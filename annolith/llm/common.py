@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from annolith.sources.work import Work
 
-__all__ = ["SPACE", "WORD", "Work", "binary_array", "crc32_of_id", "documents", "list_array", "lower_ascii", "ragged", "shuffle_partitions"]
+__all__ = ["SPACE", "WORD", "Work", "binary_array", "crc32_of_id", "documents", "list_array", "lower_ascii", "ragged", "shuffle_partitions", "small_batches"]
 
 #: Words of most contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +31,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Rows go to and from Python by ``rows`` at most while this holds: for steps (run inside it) whose rows are wide, so that a task's batches stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc32_of_id(doc_id):
     """crc32 of the identifier written as text; null stays null."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))

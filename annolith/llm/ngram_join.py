@@ -40,10 +40,10 @@ from pyspark.sql.window import Window
 
 from annolith.operators.components import components
 
-from .common import Work, binary_array, list_array, ragged, shuffle_partitions
+from .common import Work, binary_array, list_array, ragged, shuffle_partitions, small_batches
 from .textvec import folding, mix, not_space, shingle_hashes, slices
 
-MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 23, 16, 1 << 22
+MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 23, 16, 1 << 21
 FAN, CHUNK, CROWD, FIRST, PAIRS_AT_ONCE = 8, 2048, 16, 4, 1 << 16
 BITS_A_SHINGLE = 2  # up to twice as many
 #: Rows and bytes of bitmaps of the blocks that are traversed at once (or one block, if larger).
@@ -111,9 +111,12 @@ def frequent_shingles(sets: DataFrame, work: Work) -> np.ndarray:
         held, size, total = [], 0, 0
 
         def counted():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            many = n >= 2
-            return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(n[many].astype(np.int64)), pa.array(np.zeros(many.sum(), dtype=np.int64))], names=["token", "n", "total"])
+            flat = np.concatenate(held)
+            flat.sort()
+            again = np.flatnonzero(flat[1:] == flat[:-1])  # all but one of each that is met twice
+            tokens, n = np.unique(flat[again], return_counts=True)
+            n = n + 1
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), dtype=np.int64))], names=["token", "n", "total"])
 
         for batch in batches:
             flat = _flat(batch.column(0))[0]
@@ -301,10 +304,14 @@ class Trees:
             if not len(rows):
                 return
             _, starts, sizes = np.unique(self.block[rows], return_index=True, return_counts=True)
-            counts = np.add.reduceat(np.unpackbits(self.maps[rows].view(np.uint8), axis=1).astype(np.uint16), starts, axis=0)
-            most = np.packbits(2 * counts > sizes[:, None], axis=1).view(np.uint64)
+            own, most = self.maps[rows], np.empty((len(sizes), self.maps.shape[1]), dtype=np.uint64)
+            step = max(1, BYTES_AT_ONCE // (8 * len(rows)))  # words at a time, so that one byte for each bit stays small
+            for k in range(0, own.shape[1], step):
+                bits = np.unpackbits(np.ascontiguousarray(own[:, k : k + step]).view(np.uint8), axis=1)
+                counts = np.add.reduceat(bits, starts, axis=0, dtype=np.uint16)
+                most[:, k : k + step] = np.packbits(2 * counts > sizes[:, None], axis=1).view(np.uint64)
             which = np.repeat(np.arange(len(sizes)), sizes)
-            near = _popcount(self.maps[rows] & most[which]) / np.maximum(1, _popcount(self.maps[rows] | most[which]))
+            near = _popcount(own & most[which]) / np.maximum(1, _popcount(own | most[which]))
             best = np.lexsort((-near, which))[starts]
             pivot = rows[best][which]
             good = (rows != pivot) & self.likely(pivot, rows)
@@ -464,6 +471,11 @@ def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame, how: Simila
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, report: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.  report: gets the numbers of candidates and links of each turn."""
+    with small_batches(spark):  # sets and bitmaps are wide rows; all steps that carry them run in here
+        return _joined(spark, docs, width, percent, report)
+
+
+def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, report: dict[str, int] | None) -> DataFrame:
     how = Similarity(width, percent)
     work = Work(spark, "ngrams")
     parts = shuffle_partitions(spark)
