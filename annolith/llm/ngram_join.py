@@ -7,7 +7,7 @@
    shingles last; which are frequent is counted over all sets, task by task, and the list is bounded (MOST_FREQUENT).
    A set is routed to the block of each shingle of its prefix that another set has there too.
 3. The members of a block form a signature tree: nodes hold the OR of their members' bitmaps (two to four bits a
-   shingle) and their size range.  The dual traversal of a tree with itself drops node pairs whose size ranges exclude the
+   shingle, 512 at least) and their size range.  The dual traversal of a tree with itself drops node pairs whose size ranges exclude the
    similarity, whose largest possible overlap is too small, or which are one component already.  Pairs of leaves that
    remain are the candidates; they are compared in full.  The trees of many blocks are traversed at once.
 4. Large groups of copies meet in many blocks and would give all their pairs there.  So the trees are asked in three turns,
@@ -45,10 +45,10 @@ from .textvec import folding, mix, not_space, shingle_hashes, slices
 
 MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 23, 16, 1 << 21
 FAN, CHUNK, CROWD, FIRST, PAIRS_AT_ONCE = 8, 2048, 16, 4, 1 << 16
-BITS_A_SHINGLE = 2  # up to twice as many
+BITS_A_SHINGLE, LEAST_BITS = 2, 9  # up to twice as many a shingle; logarithm of the narrowest bitmap
 #: Rows and bytes of bitmaps of the blocks that are traversed at once (or one block, if larger).
 ROWS_AT_ONCE, BYTES_AT_ONCE = 8192, 2 << 20
-PIVOTS, LEAST_PIVOTED, SLACK = 3, 8, 3
+PIVOTS, LEAST_PIVOTED, DEVIATIONS = 3, 8, 2
 MOST_BROADCAST = 1 << 20  # identifiers of dropped documents that are broadcast at most
 
 
@@ -141,7 +141,7 @@ def frequent_shingles(sets: DataFrame, work: Work) -> np.ndarray:
 
 
 def _bits(n: int) -> int:
-    return 1 << max(6, int(BITS_A_SHINGLE * n - 1).bit_length())
+    return 1 << max(LEAST_BITS, int(BITS_A_SHINGLE * n - 1).bit_length())
 
 
 def signatures(spark: SparkSession, sets: DataFrame, how: Similarity, frequent: np.ndarray) -> DataFrame:
@@ -287,12 +287,14 @@ class Trees:
             stack += [(level - 1, a[k : k + step], b[k : k + step]) for k in range(0, len(a), step)]
 
     def likely(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Whether the similarity as estimated from the bitmaps nearly reaches the threshold."""
+        """Whether the similarity as estimated from the bitmaps reaches the threshold, give or take DEVIATIONS standard deviations of the estimate."""
         m = 64 * self.maps.shape[1]
         common = _popcount(self.maps[u] & self.maps[v])
         ones = np.minimum(self.ones[u] + self.ones[v] - common, m - 1)
-        union = np.maximum(-m * np.log1p(-ones / m), np.maximum(self.n[u], self.n[v]))
-        return 100 * (self.n[u] + self.n[v] - union) >= (self.how.percent - SLACK) * union
+        union = -m * np.log1p(-ones / m)
+        t = union / m
+        union = np.maximum(union - DEVIATIONS * np.sqrt(m * (np.exp(t) - t - 1)), np.maximum(self.n[u], self.n[v]))
+        return 100 * (self.n[u] + self.n[v] - union) >= self.how.percent * union
 
     def _pivoted(self, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """In each larger block the member nearest to the bits that most members have, with the members like it; some rounds, each among those left over."""
