@@ -49,3 +49,26 @@ def letterbox(width: str, height: str, to_width: int, to_height: int) -> dict[st
 
 def zoom(index: str, frames: str, most: float) -> str:
     return f"1D + ({most}D - 1D) * ({index} / cast(greatest({frames} - 1, 1) as double))"
+
+
+def crop_window(size: str, factor: str) -> tuple[str, str]:
+    """(start, length) of the central part of one dimension that a zoom shows; all of it up to a factor of 1."""
+    length = f"(case when {factor} <= 1D then {size} else cast(bround({size} / {factor}) as int) end)"
+    return f"cast(floor(({size} - {length}) / 2) as int)", length
+
+
+def projected(placement: str, width: str, height: str, factor: str, box: tuple[str, str, str, str] = ("x", "y", "w", "h")) -> str:
+    """struct<x1, y1, x2, y2> of a normalised box on a zoomed frame, clipped to it; null where less than a pixel is left.
+
+    placement: a struct of left, top, width, height where the image lies on the canvas before the zoom.
+    """
+    cx, cy, w, h = box
+
+    def edges(centre: str, side: str, start: str, extent: str, size: str) -> tuple[str, str]:
+        first, length = crop_window(size, factor)
+        at = lambda sign: f"(({placement}.{start} + ({centre} {sign} {side} / 2) * {placement}.{extent}) - {first}) * (cast({size} as double) / {length})"
+        return f"greatest(0D, {at('-')})", f"least(cast({size} as double), {at('+')})"
+
+    x1, x2 = edges(cx, w, "left", "width", width)
+    y1, y2 = edges(cy, h, "top", "height", height)
+    return f"case when ({x2}) - ({x1}) >= 1 and ({y2}) - ({y1}) >= 1 then named_struct('x1', {x1}, 'y1', {y1}, 'x2', {x2}, 'y2', {y2}) end"

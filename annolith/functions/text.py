@@ -15,9 +15,14 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
+#: An exporter's suffix; limits of the Hamming distance and their names.
+EXPORT_SUFFIX = r"\.rf\.[0-9a-fA-F]+$"
+DISTANCES = ((4, "VERY_SIMILAR"), (8, "POSSIBLY_SIMILAR"))
+
+
 def source_group(name: Column) -> Column:
     """Name without an exporter's hexadecimal suffix."""
-    return F.regexp_replace(name, r"\.rf\.[0-9a-fA-F]+$", "")
+    return F.regexp_replace(name, EXPORT_SUFFIX, "")
 
 
 def stable_id(*parts: Column, length: int = 20) -> Column:
@@ -35,7 +40,7 @@ def hamming(a: str, b: str) -> str:
 
 
 def similarity(distance: str) -> str:
-    return f"case when {distance} <= 4 then 'VERY_SIMILAR' when {distance} <= 8 then 'POSSIBLY_SIMILAR' end"
+    return "case " + " ".join(f"when {distance} <= {most} then '{name}'" for most, name in DISTANCES) + " end"
 
 
 @F.pandas_udf(T.StringType())
@@ -46,21 +51,26 @@ def canonical_id(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else hashlib.sha256(json.dumps(json.loads(t), sort_keys=True).encode()).hexdigest()[:16])
 
 
+SIDE, LOW = 32, 8
+
+
 @F.pandas_udf(T.StringType())
 def perceptual_hash(pixels: pd.Series) -> pd.Series:
-    """64-bit hash (hexadecimal) of 32 * 32 grey values: signs of the low 8 * 8 cosine coefficients against their median, the mean's bit 0."""
-    import numpy as np
-
-    k = np.arange(32)
-    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64) / 4  # orthonormal rows but for the first
-    basis[0] = 32**-0.5
+    """Hexadecimal hash of images of SIDE * SIDE grey values: a bit for each of LOW * LOW low cosine coefficients.
 
-    def one(values):
-        if values is None or len(values) != 1024:
-            return None
-        low = (basis @ np.asarray(values, dtype=float).reshape(32, 32) @ basis.T)[:8, :8].reshape(-1)
-        bits = low > np.median(low[1:])
-        bits[0] = False
-        return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
+    Bit (u, v) says whether the coefficient of vertical frequency u and horizontal frequency v is above the median of all but (0, 0), whose bit is 0.
+    A whole batch is two matrix products; images of another size have no hash.
+    """
+    import numpy as np
 
-    return pixels.map(one)
+    fits = pixels.map(lambda x: x is not None and len(x) == SIDE * SIDE).to_numpy(dtype=bool)
+    out = pd.Series([None] * len(pixels), dtype=object)
+    if fits.any():
+        grey = np.stack(pixels[fits].to_list()).astype(float).reshape(-1, SIDE, SIDE)
+        phase = np.outer(np.arange(LOW), 2 * np.arange(SIDE) + 1) * (np.pi / (2 * SIDE))
+        waves = np.cos(phase) * np.where(np.arange(LOW) == 0, np.sqrt(1 / SIDE), np.sqrt(2 / SIDE))[:, None]
+        coefficients = np.einsum("uy,nyx,vx->nuv", waves, grey, waves, optimize=True).reshape(len(grey), -1)
+        above = coefficients > np.median(coefficients[:, 1:], axis=1, keepdims=True)
+        above[:, 0] = False
+        out[np.flatnonzero(fits)] = [b.tobytes().hex() for b in np.packbits(above, axis=1)]
+    return out

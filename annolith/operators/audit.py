@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def exact_duplicates(items: DataFrame, content: str, name: str, split: str, least: int = 2) -> DataFrame:
-    """Groups of at least ``least`` items of equal content: sha256, n, splits, cross_split, severity, members (sorted, joined by |).
+    """Members of groups of at least ``least`` items of equal content: sha256, name, representative (least name), n, splits, cross_split, severity.
 
-    Names and splits of a group are gathered; the text or bytes themselves are not.
+    One row a member, so a group of any size is never gathered in one place.
     """
     hashed = items.where(F.col(content).isNotNull()).select(F.sha2(F.col(content), 256).alias("sha256"), F.col(split).alias("split"), F.col(name).alias("name"))
-    groups = hashed.groupBy("sha256").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("split")).alias("s"), F.array_sort(F.collect_list("name")).alias("m"))
+    groups = hashed.groupBy("sha256").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("split")).alias("s"), F.min("name").alias("representative")).where(F.col("n") >= least)
     cross = F.size("s") > 1
-    return groups.where(F.col("n") >= least).select("sha256", "n", F.array_join("s", "|").alias("splits"), cross.alias("cross_split"), F.when(cross, "ERROR").otherwise("REVIEW").alias("severity"), F.array_join("m", "|").alias("members"))
+    groups = groups.select(F.col("sha256").alias("g_sha"), "representative", "n", F.array_join("s", "|").alias("splits"), cross.alias("cross_split"), F.when(cross, "ERROR").otherwise("REVIEW").alias("severity"))
+    return hashed.join(groups, F.col("sha256") == F.col("g_sha")).select("sha256", "name", "representative", "n", "splits", "cross_split", "severity")
 
 
 def group_rollup(items: DataFrame, group: str, split: str) -> DataFrame:
@@ -31,10 +33,25 @@ def class_distribution(boxes: DataFrame, split: str, cls: str, image: str) -> Da
 
 
 def metric_statistics(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
-    """count, minimum, maximum, mean and exact median of each metric by group."""
+    """count, minimum, maximum, mean and exact median of each metric by group.
+
+    The median comes from counts of the distinct values: counts by range (64 a power of e) tell the ranges that hold the middle, and
+    running counts within those alone the values, so no group's values meet in one buffer.
+    """
     pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
-    long = rows.select(group, F.expr(f"stack({len(metrics)}, {pairs}) as (metric, v)"))
-    return long.groupBy(group, "metric").agg(F.count("v").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.avg("v").alias("mean"), F.median("v").alias("median"))
+    long = rows.select(F.col(group).alias("group_"), F.expr(f"stack({len(metrics)}, {pairs}) as (metric, v)"))
+    keys = ["group_", "metric"]
+    values = long.groupBy(*keys, "v").agg(F.count("*").alias("k")).withColumn("range", F.expr("cast(signum(v) * floor(64 * log1p(abs(v))) as int)"))
+    stats = long.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.avg("v").alias("mean"))
+    ranges = values.where("v is not null").groupBy(*keys, "range").agg(F.sum("k").alias("in_range"))
+    upto = F.sum("in_range").over(Window.partitionBy(*keys).orderBy("range"))
+    total = F.sum("in_range").over(Window.partitionBy(*keys))
+    middle = ranges.withColumns({"before": upto - F.col("in_range"), "total": total}).where("before <= total div 2 and before + in_range > (total - 1) div 2")
+    within = F.sum("k").over(Window.partitionBy(*keys, "range").orderBy("v"))
+    near = values.alias("x").join(middle.alias("y"), F.expr("x.group_ <=> y.group_ and x.metric = y.metric and x.range = y.range")).select("x.group_", "x.metric", "x.range", "x.v", "x.k", "y.before", "y.total").withColumn("upto", F.col("before") + within)
+    medians = near.where("upto - k <= total div 2 and upto > (total - 1) div 2").groupBy(*keys).agg(((F.min("v") + F.max("v")) / 2).alias("median"))
+    out = stats.alias("s").join(medians.alias("m"), F.expr("s.group_ <=> m.group_ and s.metric = m.metric"), "left")
+    return out.select(F.col("s.group_").alias(group), "s.metric", "n", "minimum", "maximum", "mean", "median")
 
 
 def object_counts(images: DataFrame, split: str, n: str) -> DataFrame:
@@ -70,8 +87,9 @@ def snapshot_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.where("not (old <=> new)").select("key", F.expr("case when old is null then 'ADDED' when new is null then 'REMOVED' else 'CHANGED' end").alias("change"))
 
 
-def argument_drift(actual: DataFrame, baseline: DataFrame, allowed: list[str]) -> DataFrame:
-    """Key and value tables compared: MATCH, EXPECTED_DIFFERENCE for allowed keys, DRIFT."""
-    j = actual.toDF("key", "actual").join(baseline.toDF("key", "baseline"), "key", "full_outer")
+def argument_drift(actual: DataFrame, baseline: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Key and value tables compared: MATCH, EXPECTED_DIFFERENCE for the keys of ``allowed`` (one column), DRIFT."""
+    j = actual.toDF("key", "actual").join(baseline.toDF("key", "baseline"), "key", "full_outer").join(allowed.toDF("allowed").distinct(), F.col("key") == F.col("allowed"), "left")
     same = F.expr("actual <=> baseline and actual is not null")
-    return j.withColumn("status", F.when(F.col("key").isin(allowed) & ~F.expr("actual <=> baseline"), "EXPECTED_DIFFERENCE").when(same, "MATCH").otherwise("DRIFT"))
+    status = F.when(F.col("allowed").isNotNull() & ~F.expr("actual <=> baseline"), "EXPECTED_DIFFERENCE").when(same, "MATCH").otherwise("DRIFT")
+    return j.select("key", "actual", "baseline", status.alias("status"))

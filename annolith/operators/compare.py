@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from annolith.functions.geometry import iou
 from annolith.operators.matching import greedy, leftovers, match, object_outcomes, prefixed
 
-TRANSITION = """case when a = 'CORRECT' then case b when 'CORRECT' then 'CORRECT_IN_BOTH' when 'MISSED' then 'CORRECT_IN_A_MISSED_IN_B' else 'CORRECT_IN_A_WRONG_IN_B' end
- when b = 'CORRECT' then case a when 'CLASS_CONFUSION' then 'A_CLASS_CONFUSION_B_CORRECT' else 'RECOVERED_BY_B' end
- when a = 'MISSED' and b = 'CLASS_CONFUSION' then 'A_MISSED_B_CLASS_CONFUSION' else 'STILL_MISSED_BY_B' end"""
+# Outcome of model A, outcome of model B, name of the transition.
+TRANSITIONS = [
+    ("CORRECT", "CORRECT", "CORRECT_IN_BOTH"),
+    ("CORRECT", "CLASS_CONFUSION", "CORRECT_IN_A_WRONG_IN_B"),
+    ("CORRECT", "MISSED", "CORRECT_IN_A_MISSED_IN_B"),
+    ("CLASS_CONFUSION", "CORRECT", "A_CLASS_CONFUSION_B_CORRECT"),
+    ("CLASS_CONFUSION", "CLASS_CONFUSION", "STILL_MISSED_BY_B"),
+    ("CLASS_CONFUSION", "MISSED", "STILL_MISSED_BY_B"),
+    ("MISSED", "CORRECT", "RECOVERED_BY_B"),
+    ("MISSED", "CLASS_CONFUSION", "A_MISSED_B_CLASS_CONFUSION"),
+    ("MISSED", "MISSED", "STILL_MISSED_BY_B"),
+]
 
 
 def transitions(gt: DataFrame, pred_a: DataFrame, pred_b: DataFrame) -> DataFrame:
     """img, j, c, a, b, transition of every object."""
     a = object_outcomes(gt, pred_a).select("img", "j", "c", F.col("outcome").alias("a"))
     b = object_outcomes(gt, pred_b).select("img", "j", F.col("outcome").alias("b"))
-    return a.join(b, ["img", "j"]).withColumn("transition", F.expr(TRANSITION))
+    named = F.create_map(*[F.lit(x) for one, two, name in TRANSITIONS for x in (f"{one} {two}", name)])
+    return a.join(b, ["img", "j"]).withColumn("transition", named[F.concat_ws(" ", "a", "b")])
 
 
 def false_positive_transitions(gt: DataFrame, pred_a: DataFrame, pred_b: DataFrame, least: float = 0.5) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Near-duplicate hashes: pairs within a Hamming distance by a band equi-join, and their components."""
+"""Near-duplicate hashes: pairs within a Hamming distance by an equi-join on chosen chunks, and their components."""
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +18,37 @@ def sign_hash(vectors: DataFrame, key: str, vector: str, bits: int = 62) -> Data
     return vectors.select(F.col(key).alias("key"), F.expr(total).alias("hash"))
 
 
-def near_pairs(hashes: DataFrame, most: int = 8, bits: int = 62) -> DataFrame:
+def near_pairs(hashes: DataFrame, most: int = 8, bits: int = 62, spare: int = 3) -> DataFrame:
     """Pairs a < b whose hashes differ in at most ``most`` bits: a, b, distance, similarity.
 
-    With most + 1 bands two such hashes agree on a whole band, so only equal bands are joined.  A pair is
-    reported from its first equal band alone, which spares a distinct over all pairs.
+    Of most + spare chunks of the bits, ``spare`` at least are equal in such a pair, so hashes are joined on every choice of
+    ``spare`` chunks (17 bits of 62 for a distance of 8).  A pair is reported from the choice of its first equal chunks
+    alone, which spares a distinct over all pairs.
     """
-    bands = most + 1
-    edges = [k * bits // bands for k in range(bands + 1)]
+    chunks = most + spare
+    edges = [k * bits // chunks for k in range(chunks + 1)]
     value = lambda h, k: f"(shiftrightunsigned({h}, {edges[k]}) & {(1 << (edges[k + 1] - edges[k])) - 1}L)"
-    values = F.array(*[F.expr(value("hash", k)) for k in range(bands)])
-    banded = hashes.select("key", "hash", F.posexplode(values).alias("band", "value"))
-    a, b = banded.select(*[F.col(c).alias(f"{c}_a") for c in banded.columns]), banded.select(*[F.col(c).alias(f"{c}_b") for c in banded.columns])
-    close = a.join(b, F.expr("band_a = band_b and value_a = value_b and key_a < key_b")).withColumn("distance", F.expr(hamming("hash_a", "hash_b"))).where(F.col("distance") <= most)
-    first = "case " + " ".join(f"when {value('hash_a', k)} = {value('hash_b', k)} then {k}" for k in range(bands)) + " end"
-    return close.where(F.expr(f"band_a = {first}")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "distance", F.expr(similarity("distance")).alias("similarity"))
-
-
-def near_components(spark: SparkSession, hashes: DataFrame, most: int) -> DataFrame:
-    """key, component (smallest key reachable, itself included), for all keys."""
-    found = components(near_pairs(hashes, most), Work(spark, "near"), "near")
-    return hashes.select("key").join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"))
+    choices = list(combinations(range(chunks), spare))
+    width = max(y - x for x, y in pairwise(edges))
+
+    def key(choice: tuple[int, ...]) -> str:
+        out = "0L"
+        for k in choice:
+            out = f"(shiftleft({out}, {width}) | {value('hash', k)})"
+        return out
+
+    keyed = hashes.select("key", "hash", F.posexplode(F.expr(f"array({', '.join(map(key, choices))})")).alias("choice", "value"))
+    a, b = (keyed.select(*[F.col(c).alias(f"{c}_{side}") for c in keyed.columns]) for side in "ab")
+    close = a.join(b, F.expr("choice_a = choice_b and value_a = value_b and key_a < key_b")).withColumn("distance", F.expr(hamming("hash_a", "hash_b"))).where(F.col("distance") <= most)
+    equal = ", ".join(f"case when {value('hash_a', k)} = {value('hash_b', k)} then {k} end" for k in range(chunks))
+    first = F.expr(f"slice(array_compact(array({equal})), 1, {spare})")
+    own = F.expr(f"array({', '.join('array(' + ', '.join(map(str, c)) + ')' for c in choices)})")
+    found = close.withColumns({"first_": first, "own_": F.get(own, F.col("choice_a"))}).where("first_ = own_")
+    return found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "distance", F.expr(similarity("distance")).alias("similarity"))
+
+
+def near_components(spark: SparkSession, hashes: DataFrame, most: int = 8) -> DataFrame:
+    """key, component (smallest key reachable, itself included), for all keys.  Keys of one hash share a representative, so they need no pairs."""
+    one = hashes.groupBy("hash").agg(F.min("key").alias("rep"))
+    found = components(near_pairs(one.select(F.col("rep").alias("key"), "hash"), most), Work(spark, "near"), "near")
+    return hashes.join(one, "hash").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from annolith.functions.geometry import size_bucket
 
@@ -41,15 +42,25 @@ def parse_lines(lines: DataFrame, classes: tuple[int, ...] = (0, 1), line: str =
     return box.select(*kept, ok("cast(k_ as int)").alias("class_id"), ok("x_").alias("x"), ok("y_").alias("y"), ok("w_").alias("w"), ok("h_").alias("h"), ok("w_ * h_").alias("area"), ok("w_ / h_").alias("aspect_ratio"), ok(size_bucket("w_ * h_")).alias("size_category"), issues.alias("issues"))
 
 
-def repeated_annotations(lines: DataFrame, key: str, line: str, number: str) -> DataFrame:
-    """Lines of a file that an earlier line of it equals."""
-    from pyspark.sql.window import Window
-
-    seen = F.row_number().over(Window.partitionBy(key, line).orderBy(number))
-    return lines.withColumn("seen_", seen).where("seen_ > 1").drop("seen_")
+def repeated_annotations(lines: DataFrame, key: str, number: str, line: str = "line") -> DataFrame:
+    """Lines of a file that repeat an earlier one: boxes by their numbers (as ``parse_lines`` reads them), other lines by their trimmed text."""
+    same = F.when(F.col("class_id").isNotNull(), F.concat_ws(" ", *[F.col(c).cast("string") for c in ("class_id", "x", "y", "w", "h")])).otherwise(F.concat(F.lit("text "), F.trim(line)))
+    seen = F.row_number().over(Window.partitionBy(key, "same_").orderBy(number))
+    return lines.withColumn("same_", same).withColumn("seen_", seen).where("seen_ > 1").drop("seen_", "same_")
 
 
 def suspicious_boxes(boxes: DataFrame) -> DataFrame:
     """One row for each box and reason: TINY_BBOX, EXTREME_ASPECT_RATIO (outside 0.2 to 5), NEAR_ZERO."""
     reasons = F.expr("array_compact(array(case when size_category = 'tiny' then 'TINY_BBOX' end, case when aspect_ratio < 0.2D or aspect_ratio > 5D then 'EXTREME_ASPECT_RATIO' end, case when array_contains(issues, 'NEAR_ZERO') then 'NEAR_ZERO' end))")
     return boxes.withColumn("reason", F.explode(reasons))
+
+
+#: Issues that are for review; all others are errors.
+REVIEW_ISSUES = ("OUT_OF_BOUNDS", "NEAR_ZERO", "DUPLICATE_ANNOTATION")
+
+
+def annotation_issues(lines: DataFrame, key: str, number: str) -> DataFrame:
+    """key, number, issue, severity of parsed lines, repeated annotations among them."""
+    own = lines.select(key, number, F.explode("issues").alias("issue"))
+    again = repeated_annotations(lines, key, number).select(key, number, F.lit("DUPLICATE_ANNOTATION").alias("issue"))
+    return own.unionByName(again).withColumn("severity", F.when(F.col("issue").isin(*REVIEW_ISSUES), "REVIEW").otherwise("ERROR"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,16 +86,35 @@ def label_counts(rows: DataFrame, column: str, separator: str = r"\|") -> DataFr
 def round_robin(rows: DataFrame, key: str, criteria: dict[str, Column], limit: int) -> DataFrame:
     """Up to ``limit`` distinct keys, taken in turn from several rankings: key, criterion, turn.
 
-    criteria: a sort expression each (null: not in that ranking).  Each key belongs to the ranking that reaches it
-    first (earlier criterion on a tie).  Only the first ``limit`` places of each ranking can be chosen.
+    criteria: a sort expression each (null: not in that ranking).  In each turn every criterion in order takes the first of its ranking
+    that nobody has taken; a ranking that is used up takes nothing.  At most ``limit`` keys are ever taken, so the
+    first ``limit`` places of each ranking are all that can be chosen, and these few rows are dealt out in one task.
     """
+    names = list(criteria)
     tops = None
-    for k, (name, order) in enumerate(criteria.items()):
+    for k, order in enumerate(criteria.values()):
         part = rows.withColumn("o_", order).where("o_ is not null").orderBy("o_", key).limit(limit)
-        ranked = part.withColumn("turn", F.row_number().over(Window.orderBy("o_", key))).select(F.col(key), F.lit(k).alias("k_"), F.lit(name).alias("criterion"), "turn")  # ``limit`` rows
+        ranked = part.select(F.col(key), F.lit(k).alias("k_"), F.row_number().over(Window.orderBy("o_", key)).alias("place"))  # ``limit`` rows
         tops = ranked if tops is None else tops.unionByName(ranked)
-    first = tops.groupBy(key).agg(F.min(F.struct("turn", "k_", "criterion")).alias("f"))
-    return first.select(key, F.col("f.criterion").alias("criterion"), F.col("f.turn").alias("turn"), F.col("f.k_").alias("k_")).orderBy("turn", "k_", key).limit(limit).drop("k_")
+
+    def deal(table):
+        rankings = [[] for _ in names]
+        for r in sorted(table.to_pylist(), key=lambda r: r["place"]):
+            rankings[r["k_"]].append(r[key])
+        taken, out, turn = set(), [], 0
+        while len(out) < limit:
+            turn += 1
+            for k, ranking in enumerate(rankings):
+                found = next((x for x in ranking if x not in taken), None)
+                if found is not None and len(out) < limit:
+                    taken.add(found)
+                    out.append((found, names[k], turn))
+            if not out or out[-1][2] < turn:
+                break
+        return pa.table({key: pa.array([x for x, _, _ in out], table.schema.field(key).type), "criterion": pa.array([c for _, c, _ in out], pa.string()), "turn": pa.array([t for _, _, t in out], pa.int32())})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return tops.withColumn("one_", F.lit(0)).groupBy("one_").applyInArrow(deal, f"{key} {kind}, criterion string, turn int")
 
 
 def tier_quota_sample(images: DataFrame, quotas: dict[int, int]) -> DataFrame:

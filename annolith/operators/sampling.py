@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annolith.operators.ranges import even_blocks
+
 
 def tier_weights(rows: DataFrame, tier: str = "tier") -> DataFrame:
     """rows with weight 1 + tier * step, step = min(0.1 * n / sum of tiers, 1/3): at most a tenth of mass is added."""
@@ -30,22 +32,25 @@ def class_exposure(rows: DataFrame, counts: list[str], weight: str = "weight") -
     return e.select("e_", F.expr(f"stack({len(counts)}, {pairs}) as (class, k)")).groupBy("class").agg(F.sum("k").alias("baseline"), F.sum(F.col("k") * F.col("e_")).alias("expected"))
 
 
-def weighted_draw(rows: DataFrame, key: str, weight: str, uniforms: DataFrame) -> DataFrame:
-    """draw, key: for each uniform (draw, u in [0, total)) the row whose cumulative weight first exceeds it; integer weights.
+def weighted_draw(rows: DataFrame, key: str, weight: str, uniforms: DataFrame, cells: int = 4096) -> DataFrame:
+    """draw, key: for each uniform (draw, u in [0, total)) the row whose cumulative weight first exceeds it; positive integer weights.
 
-    Rows get cumulative weights from running sums within key ranges plus the ranges' totals; draws and rows are then
-    put in one order and each draw takes the next row (an as-of look-up), so no range join is needed.
+    Cumulative weights are running sums within ranges of the key plus the totals of the ranges before.  The line from 0 to
+    the total is cut into ``cells``; a row lies in the cells that it covers, a draw in one, and within a cell both are
+    put in order and each draw takes the next row.  No row or draw is compared with more than its neighbours.
     """
-    cut = rows.select(F.col(key).alias("key"), F.col(weight).cast("long").alias("w")).withColumn("block", F.floor(F.col("key") / 4096))
+    cut = even_blocks(rows.select(F.col(key).alias("key"), F.col(weight).cast("long").alias("w")), "key")
     blocks = cut.groupBy("block").agg(F.sum("w").alias("block_w"))
-    before = blocks.select("block", (F.sum("block_w").over(Window.orderBy("block")) - F.col("block_w")).alias("before"))  # one row for each 4096 keys
+    before = blocks.select("block", (F.sum("block_w").over(Window.orderBy("block")) - F.col("block_w")).alias("before"))  # BLOCKS rows at most
     run = F.sum("w").over(Window.partitionBy("block").orderBy("key"))
-    ends = cut.join(before, "block").select("key", "block", (F.col("before") + run).alias("upto"), F.col("w"), "before")
-    spans = before.join(blocks, "block").select("block", "before", (F.col("before") + F.col("block_w")).alias("end"))
-    u = uniforms.join(F.broadcast(spans), F.expr("u >= before and u < end")).select("draw", "u", "block")
-    both = ends.select("block", F.col("upto").alias("at"), F.lit(None).cast("long").alias("draw"), "key").unionByName(u.select("block", F.col("u").alias("at"), F.col("draw").cast("long").alias("draw"), F.lit(None).cast("long").alias("key")))
+    total = F.broadcast(cut.agg(F.sum("w").alias("total")))  # one row
+    cell = f"cast(({{}}) * {cells} div total as int)"
+    ends = cut.join(before, "block").select("key", (F.col("before") + run).alias("upto"), "w").crossJoin(total)
+    ends = ends.withColumn("cell", F.explode(F.expr(f"sequence({cell.format('upto - w')}, {cell.format('upto - 1')})")))
+    u = uniforms.crossJoin(total).select("draw", "u", F.expr(cell.format("u")).alias("cell"))
+    both = ends.select("cell", F.col("upto").alias("at"), F.lit(None).cast("long").alias("draw"), "key").unionByName(u.select("cell", F.col("u").cast("long").alias("at"), F.col("draw").cast("long").alias("draw"), F.lit(None).cast("long").alias("key")))
     # From the largest down: a row that ends where a draw lies comes after it, so the last row seen is the first that exceeds it.
-    w = Window.partitionBy("block").orderBy(F.desc("at"), F.col("draw").isNull(), "draw").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("cell").orderBy(F.desc("at"), F.col("draw").isNull(), "draw").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("hit", F.last("key", ignorenulls=True).over(w)).where("draw is not null").select("draw", F.col("hit").alias("key"))
 
 

@@ -7,15 +7,16 @@ whole curve, read off as running sums over distinct scores.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annolith.operators.matching import edges, greedy
+from annolith.operators.ranges import BLOCKS, carried, even_blocks
 
 
-BLOCKS = 1024
-
 
 def ratios(df: DataFrame, n_images: Column | None = None) -> DataFrame:
     """Adds precision, recall, f1 (0 where undefined) and fp_per_image."""
@@ -57,13 +58,18 @@ def sweep(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
 def at_grid(curve: DataFrame, first: int = 5, last: int = 90) -> DataFrame:
     """The curve at the thresholds i / 100: the state of the lowest distinct score at or above each.
 
-    Grid points and scores are put in one order and the last state is carried on (an as-of look-up by window).
+    Between two grid points only the lowest score counts, so scores are first reduced to one for each hundredth;
+    what is left (a hundred rows or so a scope) is carried on in falling order.
     """
     spark = curve.sparkSession
-    grid = spark.range(first, last + 1).select((F.col("id") / F.lit(100.0)).alias("threshold")).crossJoin(F.broadcast(curve.select("scope").distinct()))
-    both = curve.withColumn("is_grid", F.lit(0)).unionByName(grid.withColumn("is_grid", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("scope").orderBy(F.desc("threshold"), "is_grid").rowsBetween(Window.unboundedPreceding, 0)
+    grid = spark.range(first, last + 1).select((F.col("id") / F.lit(100.0)).alias("threshold")).crossJoin(F.broadcast(curve.select("scope").distinct()))  # one row a class
     values = [c for c in curve.columns if c not in ("scope", "threshold")]
+    # The grid point that a score serves first: the largest i with i / 100 <= score.
+    guess = F.floor(F.col("threshold") * 100)
+    step = F.when((guess + 1) / F.lit(100.0) <= F.col("threshold"), guess + 1).when(guess / F.lit(100.0) > F.col("threshold"), guess - 1).otherwise(guess)
+    lowest = curve.groupBy("scope", step.alias("step")).agg(F.min("threshold").alias("threshold"), F.min_by(F.struct(*values), "threshold").alias("v")).select("scope", "threshold", "v.*")
+    both = lowest.withColumn("is_grid", F.lit(0)).unionByName(grid.withColumn("is_grid", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy("scope").orderBy(F.desc("threshold"), "is_grid").rowsBetween(Window.unboundedPreceding, 0)
     return both.select("scope", "threshold", "is_grid", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in values]).where("is_grid = 1").drop("is_grid").where("tp is not null")
 
 
@@ -96,44 +102,72 @@ def select_policy(points: DataFrame, least_precision: float, most_fp: float, mos
 def frontier(curve: DataFrame, scope: str) -> DataFrame:
     """budget, model, threshold, fp, recall, slack: for every false-positive count of either model the point of largest recall (then precision, threshold) within it.
 
-    A running maximum over false-positive counts replaces the join of every budget with every point.
+    A running maximum over false-positive counts, by ranges of them, replaces the join of every budget with every point.
     """
     own = curve.where(F.col("scope") == scope)
     best = own.groupBy("model", "fp").agg(F.max(F.struct("recall", "precision", "threshold", "fp")).alias("b")).withColumnRenamed("fp", "budget")
-    budgets = own.select(F.col("fp").alias("budget")).distinct().crossJoin(F.broadcast(own.select("model").distinct()))
-    w = Window.partitionBy("model").orderBy("budget").rowsBetween(Window.unboundedPreceding, 0)
-    filled = budgets.join(best, ["model", "budget"], "left").withColumn("b", F.max("b").over(w))
-    return filled.select("budget", "model", F.col("b.threshold").alias("threshold"), F.col("b.fp").alias("fp"), F.col("b.recall").alias("recall"), (F.col("budget") - F.col("b.fp")).alias("slack"))
+    budgets = own.select(F.col("fp").alias("budget")).distinct().crossJoin(F.broadcast(own.select("model").distinct()))  # one row a model
+    rows = even_blocks(budgets.join(best, ["model", "budget"], "left"), "budget")
+    filled = carried(rows, ["model"], [F.col("budget")], F.col("b"), "most", largest=True)
+    return filled.select("budget", "model", F.col("most.threshold").alias("threshold"), F.col("most.fp").alias("fp"), F.col("most.recall").alias("recall"), (F.col("budget") - F.col("most.fp")).alias("slack"))
 
 
 def closest_cost(curve: DataFrame, scope: str) -> DataFrame:
     """For every point of model A the false-positive count of model B nearest to its own (then larger recall, threshold): threshold_a, fp_a, threshold_b, fp_b.
 
-    Only the nearest counts below and above can win; both come from running windows.
+    Only the nearest counts at or below and at or above can win; both are carried along the counts, by ranges of them.
     """
     own = curve.where(F.col("scope") == scope)
     b = own.where("model = 'B'").groupBy("fp").agg(F.max(F.struct("recall", "threshold")).alias("v"))
     a = own.where("model = 'A'").select(F.col("fp"), F.col("threshold").alias("threshold_a"))
-    both = a.withColumn("v", F.lit(None).cast("struct<recall:double,threshold:double>")).unionByName(b.withColumn("threshold_a", F.lit(None).cast("double")))
+    both = a.join(b.withColumnRenamed("fp", "b_fp"), F.col("fp") == F.col("b_fp"), "full_outer").select(F.coalesce("fp", "b_fp").alias("fp"), "threshold_a", "v")
     hit = F.when(F.col("v").isNotNull(), F.struct(F.col("fp").alias("fp"), F.col("v.recall").alias("recall"), F.col("v.threshold").alias("threshold")))
-    up = Window.orderBy("fp").rangeBetween(Window.unboundedPreceding, 0)  # one row for each distinct state of a curve
-    down = Window.orderBy(F.desc("fp")).rangeBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("lo", F.last(hit, ignorenulls=True).over(up)).withColumn("hi", F.last(hit, ignorenulls=True).over(down)).where("threshold_a is not null")
+    rows = even_blocks(both, "fp")
+    low = carried(rows, [], [F.col("fp"), F.col("threshold_a")], hit, "lo")
+    near = carried(even_blocks(low, "fp"), [], [F.desc("fp"), F.col("threshold_a")], hit, "hi", down=True).where("threshold_a is not null")
     options = F.array_compact(F.array("lo", "hi"))
     pick = F.array_min(F.transform(options, lambda x: F.struct(F.abs(x["fp"] - F.col("fp")).alias("gap"), (-x["recall"]).alias("r"), (-x["threshold"]).alias("t"), x["fp"].alias("fp"))))
     return near.withColumn("p", pick).where("p is not null").select("threshold_a", F.col("fp").alias("fp_a"), (-F.col("p.t")).alias("threshold_b"), F.col("p.fp").alias("fp_b"))
 
 
-def pareto(points: DataFrame, maximise: list[str], keep: str) -> DataFrame:
+def skyline(points: np.ndarray) -> np.ndarray:
+    """Indexes of the distinct rows that no other dominates (all columns at least as large, one larger)."""
+    order = np.lexsort(points.T[::-1])[::-1]  # falling: a row is dominated by earlier ones alone
+    front = np.zeros((0, points.shape[1]))
+    out = []
+    for at in range(0, len(order), 1024):
+        part = order[at : at + 1024]
+        p = points[part]
+        for x in range(0, len(front), 1024):  # against what is in front already
+            f = front[x : x + 1024]
+            p_alive = ~((f[None] >= p[:, None]).all(axis=2)).any(axis=1)
+            part, p = part[p_alive], p[p_alive]
+        over = np.tril((p[None] >= p[:, None]).all(axis=2), -1)  # rows are distinct, so at least as large everywhere is larger somewhere
+        alive = ~over.any(axis=1)
+        out.append(part[alive])
+        front = np.concatenate([front, p[alive]])
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def pareto(points: DataFrame, maximise: list[str], keep: str, tasks: int = 64) -> DataFrame:
     """Distinct vectors that no other dominates, with the largest ``keep`` of each and how many points share it.
 
-    Points are collapsed to distinct vectors first, and those to the best last coordinate of each; what remains is compared pairwise.
+    Points are collapsed to distinct vectors; every task leaves its own skyline, and ever fewer tasks merge skylines
+    until one does, so no pair of points is compared across tasks before both have survived their own.
     """
     vectors = points.groupBy(*maximise).agg(F.max(keep).alias(keep), F.count("*").alias("n_equal"))
-    first = vectors.groupBy(*maximise[:-1]).agg(F.max(maximise[-1]).alias(maximise[-1]))
-    other = first.select(*[F.col(c).alias(f"o_{c}") for c in maximise])
-    beats = " and ".join(f"o_{c} >= {c}" for c in maximise) + " and (" + " or ".join(f"o_{c} > {c}" for c in maximise) + ")"
-    return vectors.join(other, F.expr(beats), "left_anti")
+
+    def local(batches):
+        held = pa.Table.from_batches([b for b in batches if b.num_rows], schema=None) if (batches := [b for b in batches if b.num_rows]) else None
+        if held is not None:
+            values = np.stack([held.column(c).to_numpy().astype(float) for c in maximise], axis=1)
+            yield from held.take(pa.array(skyline(values))).to_batches()
+
+    while True:
+        vectors = vectors.repartition(tasks).mapInArrow(local, vectors.schema)
+        if tasks == 1:
+            return vectors
+        tasks = max(1, tasks // 8)
 
 
 def same_cost_pairs(points: DataFrame, tolerance: int = 1) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from annolith.operators.matching import hungarian
@@ -31,18 +33,28 @@ def display_ids(rows: DataFrame, source: str, order: list[str], raw: str) -> Dat
 def smoothed_class(rows: DataFrame, track: str, order: list[str], cls: str, confidence: str, decay: float, hysteresis: float, classes: int = 2) -> DataFrame:
     """track, order columns, shown: an exponential vote of each track with hysteresis; ties of the vote go to the lower class.
 
-    A fold over the rows of a track in order, inside the JVM; for unbounded streams see ``annolith.streaming``.
+    Rows are sorted by track and order outside memory and walked once; a track's votes are all that is carried from one batch to the next.
+    For unbounded streams see ``annolith.streaming``.
     """
-    g = rows.groupBy(track).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(cls).cast("int").alias("c_"), F.col(confidence).cast("double").alias("p_")))).alias("r"))
-    votes = ", ".join(f"{decay}D * a.v[{k}] + (1D - {decay}D) * if(x.c_ = {k}, x.p_, 0D)" for k in range(classes))
-    best = "cast(array_position(v, array_max(v)) as int) - 1"
-    step = f"""transform(array(array({votes})), v -> transform(array({best}), b -> struct(v as v,
-        if(a.out[0] is null, x.c_, a.shown) as was, b as b)))[0][0]"""
-    fold = f"""aggregate(r, struct(array_repeat(0D, {classes}) as v, cast(null as int) as shown, cast(array() as array<int>) as out),
-        (a, x) -> transform(array({step}), q -> transform(array(if(q.b <> q.was and q.v[q.b] > q.v[q.was] + {hysteresis}D, q.b, q.was)), s -> struct(q.v as v, s as shown, concat(a.out, array(s)) as out)))[0][0],
-        a -> a.out)"""
-    fold = fold.replace("a.out[0] is null", "size(a.out) = 0")
-    return g.select(track, F.explode(F.arrays_zip("r", F.expr(fold).alias("shown"))).alias("z")).select(track, *[F.col(f"z.r.{c}").alias(c) for c in order], F.col("z.shown").alias("shown"))
+    own = rows.select(track, *order, F.col(cls).cast("int").alias("c_"), F.col(confidence).cast("double").alias("p_"))
+    k = len(order)
+
+    def walk(batches):
+        key, votes, shown = None, [], None
+        for batch in batches:
+            out = []
+            for t, c, p in zip(*(batch.column(x).to_pylist() for x in (0, k + 1, k + 2)), strict=True):
+                if shown is None or t != key:
+                    key, votes, shown = t, [0.0] * classes, c
+                votes = [decay * v + (1.0 - decay) * (p if n == c else 0.0) for n, v in enumerate(votes)]
+                best = votes.index(max(votes))
+                if best != shown and votes[best] > votes[shown] + hysteresis:
+                    shown = best
+                out.append(shown)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(out, pa.int32())], names=[track, *order, "shown"])
+
+    shape = T.StructType([*own.schema.fields[: k + 1], T.StructField("shown", T.IntegerType())])
+    return own.repartition(track).sortWithinPartitions(track, *order, "c_", "p_").mapInArrow(walk, shape)
 
 
 def tracking_metrics(gt: DataFrame, out: DataFrame, least: float = 0.5) -> DataFrame:

@@ -6,19 +6,13 @@ from pyspark.sql import functions as F
 
 from annolith.functions import geometry
 from annolith.operators import audit, compare, duplicates, matching, parse, review, sampling, sweep, tracking
+from annolith.plans.registry import QUERIES, query
 from annolith.plans.sql import CHOICES, DECIDED, LINES, ORACLES, QUEUE, TIERS
 from annolith.sources.fixtures import ground_truth, predictions
-from annolith.sources.tables import tables
+from annolith.sources.tables import manifest_truth, tables
+from annolith.sources.tables import train_inventory as inventory
 from annolith.streaming import votes
 
-_QUERIES: dict = {}
-
-
-def query(f):
-    _QUERIES[f.__name__] = f
-    return f
-
-
 def _sql(spark, sf_dir, cte: str, *names: str):
     """The rows of one of the shared table expressions (written in the SQL that both engines read)."""
     name, body = cte.split(" as (", 1)
@@ -28,7 +22,7 @@ def _sql(spark, sf_dir, cte: str, *names: str):
     return spark.sql(text.replace("varchar)", "string)"), **dict(zip(names, tables(spark, sf_dir, *names), strict=True)))
 
 
-def _lines(spark, sf_dir):
+def label_lines(spark, sf_dir):
     return _sql(spark, sf_dir, LINES, "lineitem")
 
 
@@ -43,27 +37,24 @@ def _curves(spark, sf_dir):
 
 @query
 def parse_validate(spark, sf_dir):
-    out = parse.parse_lines(_lines(spark, sf_dir))
+    out = parse.parse_lines(label_lines(spark, sf_dir))
     return out.select("img", "n", "line", "class_id", "area", "size_category", F.array_join("issues", "|").alias("issues"))
 
 
 @query
 def duplicate_lines(spark, sf_dir):
-    (docs,) = tables(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_number"), "line")
-    return parse.repeated_annotations(lines, "doc_id", "line", "line_number").select("doc_id", "line_number", "line")
+    return parse.repeated_annotations(parse.parse_lines(label_lines(spark, sf_dir)), "img", "n").select("img", "n", "line")
 
 
 @query
 def suspicious_boxes(spark, sf_dir):
-    out = parse.suspicious_boxes(parse.parse_lines(_lines(spark, sf_dir)).where("class_id is not null"))
+    out = parse.suspicious_boxes(parse.parse_lines(label_lines(spark, sf_dir)).where("class_id is not null"))
     return out.select("img", "n", "reason")
 
 
 @query
 def audit_status(spark, sf_dir):
-    found = parse.parse_lines(_lines(spark, sf_dir)).select(F.explode("issues").alias("issue")).where("issue in ('FIELD_COUNT', 'NEAR_ZERO')")
-    return audit.issue_status(found.withColumn("severity", F.when(F.col("issue") == "NEAR_ZERO", "REVIEW").otherwise("ERROR")), "severity")
+    return audit.issue_status(parse.annotation_issues(parse.parse_lines(label_lines(spark, sf_dir)), "img", "n"), "severity")
 
 
 @query
@@ -85,12 +76,12 @@ def _hashes(spark, sf_dir):
 
 @query
 def near_duplicate_pairs(spark, sf_dir):
-    return duplicates.near_pairs(_hashes(spark, sf_dir), most=16)
+    return duplicates.near_pairs(_hashes(spark, sf_dir))
 
 
 @query
 def near_duplicate_components(spark, sf_dir):
-    return duplicates.near_components(spark, _hashes(spark, sf_dir), most=16)
+    return duplicates.near_components(spark, _hashes(spark, sf_dir))
 
 
 @query
@@ -380,11 +371,10 @@ def argument_drift(spark, sf_dir):
     (nation,) = tables(spark, sf_dir, "nation")
     a = nation.where("n_nationkey % 5 <> 1").select("n_name", F.expr("string(n_regionkey % 3)"))
     b = nation.where("n_nationkey % 7 <> 2").select("n_name", F.expr("string(n_regionkey % 2)"))
-    allowed = [r.n_name for r in nation.where("n_nationkey in (3, 8)").collect()]
-    return audit.argument_drift(a, b, allowed)
+    return audit.argument_drift(a, b, nation.where("n_nationkey in (3, 8)").select("n_name"))
 
 
-def _epochs(spark, sf_dir):
+def epochs(spark, sf_dir):
     from pyspark.sql.window import Window
 
     (orders,) = tables(spark, sf_dir, "orders")
@@ -394,12 +384,12 @@ def _epochs(spark, sf_dir):
 
 @query
 def curve_summary(spark, sf_dir):
-    return tracking.curve_summary(_epochs(spark, sf_dir), "run", "epoch", "v")
+    return tracking.curve_summary(epochs(spark, sf_dir), "run", "epoch", "v")
 
 
 @query
 def early_stopping(spark, sf_dir):
-    return tracking.early_stopping(_epochs(spark, sf_dir), "run", "epoch", "v", 10)
+    return tracking.early_stopping(epochs(spark, sf_dir), "run", "epoch", "v", 10)
 
 
 @query
@@ -412,13 +402,38 @@ def frame_offsets(spark, sf_dir):
     return tracking.offsets(rows, "video", "segment", "frames").select("video", "segment", "start")
 
 
-_QUERIES["stream_windows"] = votes.stream_windows
-_QUERIES["stream_votes"] = votes.stream_votes
+@query
+def projected_truth(spark, sf_dir):
+    """Boxes of a demo video frame by frame: each order a scene of three frames, zoomed, on a canvas of 640 x 480."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    placed = {k: F.expr(v) for k, v in geometry.letterbox("(200 + o_custkey % 300)", "(150 + o_orderkey % 200)", 640, 480).items()}
+    place = F.struct(*[v.alias(k) for k, v in placed.items()])
+    box = F.expr("array(named_struct('c', int(o_orderkey % 2), 'x', (o_custkey % 100) / 100D, 'y', (o_orderkey % 90) / 90D, 'w', (1 + o_custkey % 37) / 80D, 'h', (1 + o_orderkey % 29) / 400D))")
+    segment = F.struct((F.col("o_orderkey") * 3).alias("start_frame"), F.lit(3).alias("frames"), place.alias("placement"), box.alias("objects"))
+    manifests = orders.select(F.lit("valid").alias("split"), F.expr("array(640, 480)").alias("size"), F.lit(3).alias("frames_per_image"), F.lit(1.5).alias("max_zoom"), F.array(segment).alias("segments"))
+    out = manifest_truth(manifests)
+    return out.select("img", "c", *[F.floor(F.col(x) * 1000 + 0.3).alias(x) for x in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def train_inventory(spark, sf_dir):
+    lines = label_lines(spark, sf_dir).where("line rlike '^[01] 0.[0-9]+ 0.[0-9]+ 0.[0-9]+ 0.[0-9]+$'")
+    (orders,) = tables(spark, sf_dir, "orders")
+    return inventory(orders.select(F.col("o_orderkey").alias("img")), lines, "img")
+
+
+QUERIES["stream_windows"] = votes.stream_windows
+QUERIES["stream_votes"] = votes.stream_votes
+QUERIES["stream_display_ids"] = votes.stream_display_ids
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    from annolith.plans import curation, evaluation  # noqa: F401  (they register theirs)
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
+    from annolith.plans import curation, evaluation
+
+    return {k: v for k, v in (ORACLES | curation.ORACLES | evaluation.ORACLES).items() if k in queries()}

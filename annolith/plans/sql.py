@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from annolith.operators.compare import TRANSITION
 from annolith.sources.fixtures import LABEL_LINE, gt_sql, pred_sql
 
 GT, PRED_A, PRED_B = gt_sql(), pred_sql(), pred_sql(model="B")
@@ -66,7 +65,7 @@ BOTH = f"{HEAD}{matched('qa')}, {curve('qa', 'A')}, {matched('qb', 'B')}, {curve
 POINTS = BOTH + """, points as (select model, threshold, t.tp as t_tp, t.fp as t_fp, t.fn as t_fn, t.precision as t_precision, t.recall as t_recall, t.fp_per_image as t_fp_per_image, o.tp as o_tp, o.fp as o_fp, o.fn as o_fn, o.precision as o_precision, o.recall as o_recall, o.fp_per_image as o_fp_per_image
  from (select * from curves where scope = '1') t join (select * from curves where scope = 'Overall') o using (model, threshold))"""
 HASHES = "hashes as (select vec_id as key, (" + " + ".join(f"case when embedding[{k + 1}] > 0 then {1 << k} else 0 end" for k in range(62)) + ")::bigint as hash from embeddings)"
-PAIRS = "pairs as (select a.key as a, b.key as b, bit_count(xor(a.hash, b.hash))::int as distance from hashes a join hashes b on a.key < b.key where bit_count(xor(a.hash, b.hash)) <= 16)"
+PAIRS = "pairs as (select a.key as a, b.key as b, bit_count(xor(a.hash, b.hash))::int as distance from hashes a join hashes b on a.key < b.key where bit_count(xor(a.hash, b.hash)) <= 8)"
 SIMILARITY = "case when distance <= 4 then 'VERY_SIMILAR' when distance <= 8 then 'POSSIBLY_SIMILAR' end"
 DECIDED = "decided as (select o_orderkey as a, o_custkey + 1000000000 as b, case o_orderkey % 5 when 0 then 'KEEP_A_EXCLUDE_B' when 1 then 'KEEP_B_EXCLUDE_A' else 'KEEP_BOTH' end as decision, case o_orderkey % 3 when 0 then 'train' when 1 then 'valid' else 'test' end as split_a, case o_custkey % 3 when 0 then 'train' when 1 then 'valid' else 'test' end as split_b from orders)"
 QUEUE = "queue as (select cast(p_partkey as varchar) as review_id, case p_size % 3 when 0 then 'P0' when 1 then 'P1' else 'P3' end as priority from part where p_partkey % 10 <> 3)"
@@ -84,8 +83,8 @@ ORACLES: dict[str, str] = {
  r as (select *, case when fatal is not null then fatal else concat_ws('|', case when v[2] - v[4] / 2 < -1e-6 or v[3] - v[5] / 2 < -1e-6 or v[2] + v[4] / 2 > 1 + 1e-6 or v[3] + v[5] / 2 > 1 + 1e-6 then 'OUT_OF_BOUNDS' end, case when least(v[4], v[5]) < 1e-4 then 'NEAR_ZERO' end) end as issues,
   case when fatal is null then v[4] * v[5] end as area from k)
  select img, n, line, case when fatal is null then v[1]::int end as class_id, area, case when area < 0.001 then 'tiny' when area < 0.01 then 'small' when area < 0.1 then 'medium' when area is not null then 'large' end as size_category, issues from r""",
-    "duplicate_lines": "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from documents) select doc_id, place::int as line_number, line from (select *, row_number() over (partition by doc_id, line order by place) as k from l) q where k > 1",
-    "exact_duplicates": "select sha256(text) as sha256, count(*) as n, string_agg(distinct source, '|' order by source) as splits, count(distinct source) > 1 as cross_split, case when count(distinct source) > 1 then 'ERROR' else 'REVIEW' end as severity, string_agg(lpad(doc_id::varchar, 12, '0'), '|' order by lpad(doc_id::varchar, 12, '0')) as members from documents where text is not null group by 1 having count(*) >= 2",
+    "duplicate_lines": f"with {LINES}, f as (select *, string_split(line, ' ') as f from lines), v as (select *, [case when regexp_matches(t, '{_NUM}') then try_cast(t as double) end for t in f] as v from f), k as (select *, row_number() over (partition by img, coalesce(v::varchar, ''), case when len(f) <> 5 or list_contains([x is null for x in v], true) or v[1] not in (0, 1) or v[3] > 1 or v[2] > 1 then line end order by n) as k from v) select img, n, line from k where k > 1",
+    "exact_duplicates": "with d as (select sha256(text) as sha256, lpad(doc_id::varchar, 12, '0') as name, source from documents where text is not null), g as (select sha256, min(name) as representative, count(*) as n, string_agg(distinct source, '|' order by source) as splits, count(distinct source) > 1 as cross_split from d group by 1 having count(*) >= 2) select sha256, name, representative, n, splits, cross_split, case when cross_split then 'ERROR' else 'REVIEW' end as severity from d join g using (sha256)",
     "source_groups": "with p as (select regexp_extract(url, '^https?://([^/]+)', 1) as host, regexp_extract(url, '^(https?)', 1) as scheme from pages) select host, count(*) as n, string_agg(distinct scheme, '|' order by scheme) as splits, count(distinct scheme) > 1 as cross_split from p where host <> '' group by 1",
     "near_duplicate_pairs": f"with {HASHES}, {PAIRS} select a, b, distance, {SIMILARITY} as similarity from pairs",
     "near_duplicate_components": f"with recursive {HASHES}, {PAIRS}, both_ways as (select a, b from pairs union select b, a from pairs), reach(key, other) as (select key, key from hashes union select r.key, w.b from reach r join both_ways w on w.a = r.other) select key, min(other) as component from reach group by 1",
@@ -95,7 +94,7 @@ ORACLES: dict[str, str] = {
     "object_counts": "with i as (select o.o_orderkey, o.o_orderstatus as split, nullif(count(l.l_orderkey), 5) as n from orders o left join lineitem l on l.l_orderkey = o.o_orderkey group by 1, 2) select split, count(*) filter (n = 0) as n_zero, count(*) filter (n = 1) as n_one, count(*) filter (n > 1) as n_many, count(*) filter (n is null) as n_unknown from i group by rollup (split)",
     "resolution_histogram": "select concat(p_size, 'x', p_partkey % 7) as resolution, count(*) as n from part group by 1",
     "suspicious_boxes": f"with {LINES}, b as (select img, n, v[4] as w, v[5] as h from (select img, n, [try_cast(t as double) for t in string_split(line, ' ')] as v from lines where line not like '%nan%' and line not like 'x %' and line not like 'only%' and line not like '0.5 %' and line not like '7 %' and line not like '1 0.5 1.5%') q) select img, n, r as reason from (select img, n, unnest([case when w * h < 0.001 then 'TINY_BBOX' end, case when w / h < 0.2 or w / h > 5 then 'EXTREME_ASPECT_RATIO' end, case when least(w, h) < 1e-4 then 'NEAR_ZERO' end]) as r from b) q where r is not null",
-    "audit_status": f"with {LINES} select count(*) filter (line like 'only%') as n_errors, count(*) filter (line like 'only%' or line like '1 0.5 0.5 0.00005%') as n_issues, 'FAIL' as status from lines",
+    "audit_status": f"with {LINES}, f as (select *, [try_cast(t as double) for t in string_split(line, ' ')] as v from lines), m as (select *, line like 'only%' or line like 'x %' or line like '%nan%' or line like '0.5 %' or line like '7 %' or line like '1 0.5 1.5%' as broken from f), bad as (select * from m where broken), good as (select * from m where not broken), edges as (select * from good where v[2] - v[4] / 2 < -1e-6 or v[2] + v[4] / 2 > 1 + 1e-6 or v[3] - v[5] / 2 < -1e-6 or v[3] + v[5] / 2 > 1 + 1e-6), thin as (select * from good where least(v[4], v[5]) < 1e-4), twice as (select (select sum(c - 1) from (select count(*) as c from good group by img, v) q) + (select sum(c - 1) from (select count(*) as c from bad group by img, line) q) as k), t as (select (select count(*) from bad) as e, (select count(*) from edges) + (select count(*) from thin) + (select k from twice) as r) select e as n_errors, (e + r)::bigint as n_issues, case when e > 0 then 'FAIL' when r > 0 then 'REVIEW_REQUIRED' else 'PASS' end as status from t",
     "review_queue": f"with {HASHES}, {PAIRS}, cases as (select 'P0' as priority, concat(a, '|', b) as subject, 'near duplicate' as why from pairs union all select 'P1', doc_id::varchar, case when quality = 0 then 'low quality' else 'toxic' end from labels where quality = 0 or toxic = 1 union all select 'P3', source, 'source group' from (select distinct source from documents) q), one as (select priority, subject, string_agg(distinct why, '|' order by why) as evidence from cases group by 1, 2) select priority, substr(sha256(concat(priority, ':', subject)), 1, 16) as review_id, subject, evidence from one",
     "decision_validation": f"with {QUEUE}, {CHOICES} select review_id, 'DUPLICATE' as problem from choices group by 1 having count(*) > 1 union all select distinct review_id, 'UNKNOWN_CASE' from choices c where not exists (select 1 from queue q where q.review_id = c.review_id) union all select distinct review_id, 'INVALID_DECISION' from choices where decision not in ('KEEP_BOTH', 'KEEP_A_EXCLUDE_B', 'KEEP_B_EXCLUDE_A', 'PENDING') union all select review_id, 'MISSING' from queue q where not exists (select 1 from choices c where q.review_id = c.review_id)",
     "decision_progress": f"with {QUEUE}, {CHOICES}, one as (select review_id, min(decision) as decision from choices group by 1), m as (select priority, coalesce(decision, 'PENDING') as d from queue left join one using (review_id)) select priority, count(*) as n_cases, count(*) filter (d <> 'PENDING') as n_decided, count(*) filter (d = 'PENDING') as n_pending from m group by 1",
@@ -118,14 +117,14 @@ ORACLES: dict[str, str] = {
     "closest_cost": f"{BOTH}, own as (select * from curves where scope = '1') select threshold_a, fp_a, threshold_b, fp_b from (select a.threshold as threshold_a, a.fp as fp_a, b.threshold as threshold_b, b.fp as fp_b, row_number() over (partition by a.threshold order by abs(a.fp - b.fp), b.recall desc, b.threshold desc) as k from own a, own b where a.model = 'A' and b.model = 'B') q where k = 1",
     "pareto": "with v as (select p_size, p_retailprice, -(p_partkey % 50) as z, p_partkey from part), u as (select p_size, p_retailprice, z, max(p_partkey) as p_partkey, count(*) as n_equal from v group by 1, 2, 3) select * from u where not exists (select 1 from u o where o.p_size >= u.p_size and o.p_retailprice >= u.p_retailprice and o.z >= u.z and (o.p_size > u.p_size or o.p_retailprice > u.p_retailprice or o.z > u.z))",
     "same_cost_pairs": f"{POINTS}, u as (select model, t_tp, t_fp, t_fn, o_tp, o_fp, o_fn, max(threshold) as threshold, max(t_recall) as r, max(t_precision) as p from points group by all) select case when a.r > b.r and a.p >= b.p then 'A_PREFERRED' when b.r > a.r and b.p >= a.p then 'B_PREFERRED_UNDER_THIS_BUDGET' else 'NO_CLEAR_ADVANTAGE' end as decision, count(*) as n from u a join u b on a.model = 'A' and b.model = 'B' and abs(a.o_fp - b.o_fp) <= 1 and abs(a.t_fp - b.t_fp) <= 1 group by 1",
-    "transitions": f"{HEAD}{matched('qa', where='s >= 0.25')}, {matched('qb', 'B', where='s >= 0.25')}, oa as ({outcome('qa')}), ob as ({outcome('qb')}), t as (select oa.c, oa.outcome as a, ob.outcome as b from oa join ob using (img, j)) select c, {TRANSITION} as transition, count(*) as n from t group by 1, 2",
+    "transitions": f"{HEAD}{matched('qa', where='s >= 0.25')}, {matched('qb', 'B', where='s >= 0.25')}, oa as ({outcome('qa')}), ob as ({outcome('qb')}), t as (select oa.c, oa.outcome as a, ob.outcome as b from oa join ob using (img, j)) select c, case when a = 'CORRECT' and b = 'CORRECT' then 'CORRECT_IN_BOTH' when a = 'CORRECT' and b = 'CLASS_CONFUSION' then 'CORRECT_IN_A_WRONG_IN_B' when a = 'CORRECT' then 'CORRECT_IN_A_MISSED_IN_B' when a = 'MISSED' and b = 'CORRECT' then 'RECOVERED_BY_B' when b = 'CORRECT' then 'A_CLASS_CONFUSION_B_CORRECT' when a = 'MISSED' and b = 'CLASS_CONFUSION' then 'A_MISSED_B_CLASS_CONFUSION' else 'STILL_MISSED_BY_B' end as transition, count(*) as n from t group by 1, 2",
     "fp_transitions": f"""{HEAD}{matched('qa')}, {matched('qb', 'B')}, xa as (select * from qap where not exists (select 1 from qam where qam.img = qap.img and qam.i = qap.i)), xb as (select img, i as j, c, x1, y1, x2, y2 from qbp where not exists (select 1 from qbm where qbm.img = qbp.img and qbm.i = qbp.i)),
  {greedy('kept', f"select g.img, g.i, p.j, {iou('g', 'p')} as iou from xa g join xb p on g.img = p.img and g.c = p.c where {iou('g', 'p')} >= 0.5", 'iou desc, i, j')}
  select 'PERSISTENT_FALSE_POSITIVE' as category, count(*) as n from kept union all select 'REMOVED_FALSE_POSITIVE_IN_B', (select count(*) from xa) - count(*) from kept union all select 'NEW_FALSE_POSITIVE_IN_B', (select count(*) from xb) - count(*) from kept""",
     "metric_deltas": f"{BOTH}, best as (select *, row_number() over (partition by model, scope order by f1 desc, recall desc, precision desc, threshold desc) as k from curves), l as (select model, scope, unnest(['precision', 'recall', 'f1']) as metric, unnest([precision, recall, f1]) as v from best where k = 1) select scope, metric, max(v) filter (model = 'A') as a, max(v) filter (model = 'B') as b, max(v) filter (model = 'A') - max(v) filter (model = 'B') as delta from l group by 1, 2",
     "distribution_compare": f"{HEAD}{matched('qa')}, o as ({outcome('qa')}), s as (select gt.*, o.outcome, case when area < 120 then 'small' when area < 180 then 'medium' else 'large' end as bucket from (select *, (x2 - x1) * (y2 - y1) as area from gt) gt join o using (img, j)), g as (select bucket as value, count(*) as n_all, count(*) filter (outcome = 'MISSED') as n_subset from s group by 1) select value, n_all, n_subset, n_all::double / sum(n_all) over () as share_all, n_subset::double / sum(n_subset) over () as share_subset from g",
     "tier_quota_sample": f"with {TIERS} select img, tier, place::int as place from (select *, row_number() over (partition by tier order by (n_hard1 > 0) desc, n_hard1 desc, img) as place from tiers where tier > 0) q where place <= case tier when 3 then 30 when 2 then 15 else 8 end",
-    "round_robin_sample": "with r as (select p_partkey as key, row_number() over (order by -p_size, p_partkey) as t0, row_number() over (order by p_retailprice, p_partkey) as t1, case when p_partkey % 3 = 0 then row_number() over (partition by p_partkey % 3 = 0 order by p_partkey) end as t2 from part), f as (select key, least(coalesce(t0, 1e9), coalesce(t1, 1e9), coalesce(t2, 1e9)) as turn, case when coalesce(t0, 1e9) <= least(t1, coalesce(t2, 1e9)) then 0 when t1 <= coalesce(t2, 1e9) then 1 else 2 end as k from r) select key, case k when 0 then 'largest' when 1 then 'cheapest' else 'third' end as criterion, turn::int as turn from f order by turn, k, key limit 40",
+    "round_robin_sample": "with recursive r as (select (select list(p_partkey order by p_size desc, p_partkey) from (from part order by p_size desc, p_partkey limit 40)) as a, (select list(p_partkey order by p_retailprice, p_partkey) from (from part order by p_retailprice, p_partkey limit 40)) as b, (select list(p_partkey order by p_partkey) from (from part where p_partkey % 3 = 0 order by p_partkey limit 40)) as c), t(step, chosen, pick) as (select -1, []::bigint[], null::bigint union all select step + 1, case when p is null then chosen else list_append(chosen, p) end, p from (select step, chosen, list_filter(case (step + 1) % 3 when 0 then a when 1 then b else c end, lambda x: not list_contains(chosen, x))[1] as p from t, r where len(chosen) < 40 and step < 200) q) select pick as key, case step % 3 when 0 then 'largest' when 1 then 'cheapest' else 'third' end as criterion, (step // 3 + 1)::int as turn from t where pick is not null",
     "class_flips": "select user_id, count(*) filter (b <> event_type) as n_changes from (select user_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as b from events) q group by 1",
     "scene_generation": f"with {EVENTS} select event_id, sum(cut::int) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as generation from ev",
     "display_ids": f"with {EVENTS}, g as (select *, sum(cut::int) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as generation from ev), f as (select user_id, generation, raw, min((ts, event_id)) as first from g group by 1, 2, 3), n as (select *, row_number() over (partition by user_id order by first, generation, raw)::int as display_id from f) select g.event_id, n.display_id from g join n using (user_id, generation, raw)",
@@ -148,4 +147,11 @@ ORACLES: dict[str, str] = {
     "stream_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by 1, 2 having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 10 minute",
     "stream_votes": None,
 }
+ORACLES["stream_display_ids"] = f"with {EVENTS}, g as (select *, sum(cut::int) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as generation from ev), f as (select user_id, generation, raw, min((ts, event_id)) as first from g group by 1, 2, 3), n as (select *, row_number() over (partition by user_id order by first, generation, raw)::bigint as display_id from f) select user_id as source, g.event_id, generation, n.display_id from g join n using (user_id, generation, raw)"
+ORACLES["train_inventory"] = f"with {LINES}, g as (select img, count(*) filter (line like '0 %') as k0, count(*) filter (line like '1 %') as k1 from lines where regexp_matches(line, '^[01] 0.[0-9]+ 0.[0-9]+ 0.[0-9]+ 0.[0-9]+$') group by 1) select o_orderkey as img, coalesce(k0, 0) as n0, coalesce(k1, 0) as n1 from orders left join g on img = o_orderkey"
+ORACLES["projected_truth"] = """with p as (select *, 200 + o_custkey % 300 as iw, 150 + o_orderkey % 200 as ih from orders), q as (select *, least(640.0::double / iw, 480.0::double / ih) as s from p), r as (select *, greatest(1, round_even(iw * s, 0)::int) as pw, greatest(1, round_even(ih * s, 0)::int) as ph from q),
+ b as (select o_orderkey, o_orderkey % 2 as c, (640 - pw) // 2 as l, (480 - ph) // 2 as t, pw, ph, (o_custkey % 100) / 100.0::double as x, (o_orderkey % 90) / 90.0::double as y, (1 + o_custkey % 37) / 80.0::double as w, (1 + o_orderkey % 29) / 400.0::double as h from r), f as (select b.*, i, 1.0::double + 0.5::double * (i / 2.0::double) as z from b, range(3) g(i)),
+ k as (select *, case when z <= 1 then 640 else round_even(640 / z, 0)::int end as cw, case when z <= 1 then 480 else round_even(480 / z, 0)::int end as ch from f), m as (select *, (640 - cw) // 2 as cl, (480 - ch) // 2 as ct from k),
+ e as (select o_orderkey * 3 + i as img, c, greatest(0, (l + (x - w / 2) * pw - cl) * (640.0::double / cw)) as x1, greatest(0, (t + (y - h / 2) * ph - ct) * (480.0::double / ch)) as y1, least(640, (l + (x + w / 2) * pw - cl) * (640.0::double / cw)) as x2, least(480, (t + (y + h / 2) * ph - ct) * (480.0::double / ch)) as y2 from m)
+ select img, c, floor(x1 * 1000.0::double + 0.3::double)::bigint as x1, floor(y1 * 1000.0::double + 0.3::double)::bigint as y1, floor(x2 * 1000.0::double + 0.3::double)::bigint as x2, floor(y2 * 1000.0::double + 0.3::double)::bigint as y2 from e where x2 - x1 >= 1 and y2 - y1 >= 1"""
 ORACLES["stream_votes"] = ORACLES["ema_vote"].replace("select event_id, shown from t", "select user_id as track, event_id, shown from t")

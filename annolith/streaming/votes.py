@@ -42,6 +42,47 @@ class ClassVote(StatefulProcessor):
         pass
 
 
+class SceneTracks(StatefulProcessor):
+    """Per source: scene generation, never-reused display ids and a buffer of lost tracks, with their state kept between batches.
+
+    A row whose ``cut`` holds begins a generation; (generation, raw id) gets the next number at first sight.  A track unseen for more than
+    ``buffer`` frames is forgotten: seen again, it is another one.  State holds the tracks of the current scene alone.
+    """
+
+    def __init__(self, buffer: int | None = None):
+        self.buffer = buffer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scene = handle.getValueState("scene", "generation long, next long, frame long")
+        self.tracks = handle.getMapState("tracks", "raw long", "display long, seen long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        generation, number, frame = self.scene.get() if self.scene.exists() else (0, 1, -1)
+        known = {k[0]: tuple(v) for k, v in self.tracks.iterator()} if self.tracks.exists() else {}
+        parts = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        ids, generations = [], []
+        for raw, cut in zip(parts["raw"], parts["cut"], strict=True):
+            frame += 1
+            if cut:
+                generation, known = generation + 1, {}
+            display, seen = known.get(int(raw), (None, frame))
+            if display is None or (self.buffer is not None and frame - seen > self.buffer):
+                display, number = number, number + 1
+            known[int(raw)] = (display, frame)
+            ids.append(display)
+            generations.append(generation)
+        if self.buffer is not None:
+            known = {k: v for k, v in known.items() if frame - v[1] <= self.buffer}
+        self.scene.update((generation, number, frame))
+        self.tracks.clear()
+        for raw, v in known.items():
+            self.tracks.updateValue((raw,), v)
+        yield pd.DataFrame({"source": key[0], "event_id": parts["event_id"].to_numpy(), "generation": generations, "display_id": ids})
+
+    def close(self) -> None:
+        pass
+
+
 def _run(stream: DataFrame, work: Work, name: str, mode: str) -> DataFrame:
     """Runs a stream over what is there now into a written table, and reads that."""
     where, spark = f"{work.path}/{name}", work.spark
@@ -64,6 +105,18 @@ def stream_votes(spark: SparkSession, sf_dir: str, decay: float = 0.7, hysteresi
     return _run(voted, Work(spark, "votes"), "votes", "append")
 
 
+def scene_tracks(rows: DataFrame, buffer: int | None = None) -> DataFrame:
+    """source, event_id, generation, display_id of a stream (source, ts, event_id, raw, cut); batches of one source must come in order."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return rows.groupBy("source").transformWithStateInPandas(SceneTracks(buffer), outputStructType="source long, event_id long, generation long, display_id long", outputMode="append", timeMode="none")
+
+
+def stream_display_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, event_id, generation, display_id of all events, as a stream would number them."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("source"), "ts", "event_id", (F.col("event_id") % 5).alias("raw"), (F.col("event_type") == "error").alias("cut"))
+    return _run(scene_tracks(rows), Work(spark, "scenes"), "scenes", "append")
+
+
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by event type of all windows that the watermark (10 minutes) has closed."""
     w = _events(spark, sf_dir).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))

@@ -1,7 +1,9 @@
 """Hand-built cases of the library's operators, and random cases against short Python versions."""
 
+import bisect
 import itertools
 import json
+import math
 import random
 from collections import defaultdict
 
@@ -10,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from annolith.functions import geometry, text
-from annolith.operators import audit, compare, duplicates, matching, parse, review, sampling, sweep, tracking
+from annolith.operators import audit, checks, compare, curation, duplicates, evidence, matching, parse, ranges, review, sampling, sweep, tracking
 from annolith.sources import tables
+from annolith.streaming import votes
 
 
 def frame(spark, rows, schema):
@@ -179,10 +182,145 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 0 for k in range(1, 201)} | {501: 500}
 
 
-def test_transition_table(spark):
-    rows = [(a, b) for a in ("CORRECT", "CLASS_CONFUSION", "MISSED") for b in ("CORRECT", "CLASS_CONFUSION", "MISSED")]
-    got = {(r.a, r.b): r.t for r in frame(spark, rows, "a string, b string").withColumn("t", F.expr(compare.TRANSITION)).collect()}
-    assert len(set(got.values())) == 7 and got["MISSED", "MISSED"] == got["CLASS_CONFUSION", "MISSED"] == "STILL_MISSED_BY_B" and got["CLASS_CONFUSION", "CORRECT"] == "A_CLASS_CONFUSION_B_CORRECT"
+def test_transition_table():
+    got = {(a, b): t for a, b, t in compare.TRANSITIONS}
+    assert len(got) == 9 and len(set(got.values())) == 7 and got["MISSED", "MISSED"] == got["CLASS_CONFUSION", "MISSED"] == "STILL_MISSED_BY_B" and got["CLASS_CONFUSION", "CORRECT"] == "A_CLASS_CONFUSION_B_CORRECT"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_round_robin_equals_a_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, rng.choice([None, float(rng.randint(0, 9))]), float(rng.randint(0, 5))) for k in range(30)]
+    rankings = {name: sorted((r for r in rows if r[c] is not None), key=lambda r: (r[c], r[0])) for name, c in (("a", 1), ("b", 2))}
+    taken, want, turn = set(), [], 0
+    while len(want) < 17:
+        turn += 1
+        for name, ranking in rankings.items():
+            found = next((r[0] for r in ranking if r[0] not in taken), None)
+            if found is not None and len(want) < 17:
+                taken.add(found)
+                want.append((found, name, turn))
+    got = review.round_robin(frame(spark, rows, "k long, x double, y double"), "k", {"a": F.col("x"), "b": F.col("y")}, 17)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    two = frame(spark, [("x", 1.0, 1.0), ("y", 2.0, None), ("z", 3.0, None), ("w", None, 2.0)], "k string, p double, q double")
+    assert {r.k for r in review.round_robin(two, "k", {"A": F.col("p"), "B": F.col("q")}, 2).collect()} == {"x", "w"}
+
+
+def test_weighted_draws_take_the_row_of_their_place(spark):
+    rng = random.Random(3)
+    rows = [(k * 7, rng.choice([1, 1, 2, 50_000])) for k in range(400)]
+    total = sum(w for _, w in rows)
+    draws = [(k, rng.randrange(total)) for k in range(3000)] + [(3000, 0), (3001, total - 1)]
+    ends = list(itertools.accumulate(w for _, w in rows))
+    got = {r.draw: r.key for r in sampling.weighted_draw(frame(spark, rows, "k long, w long"), "k", "w", frame(spark, draws, "draw long, u long")).collect()}
+    assert got == {d: rows[bisect.bisect_right(ends, u)][0] for d, u in draws}
+
+
+def test_running_values_by_blocks(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice("ab"), rng.choice([None, rng.randint(0, 99)])) for k in range(600)]
+    blocked = ranges.even_blocks(frame(spark, rows, "k long, g string, v int"), "k", 16)
+    last = {r.k: r.out for r in ranges.carried(blocked, ["g"], [F.col("k")], F.col("v"), "out").collect()}
+    most = {r.k: r.out for r in ranges.carried(blocked, ["g"], [F.col("k")], F.col("v"), "out", largest=True).collect()}
+    back = {r.k: r.out for r in ranges.carried(blocked, ["g"], [F.desc("k")], F.col("v"), "out", down=True).collect()}
+    for k, g, _ in rows:
+        before = [v for x, h, v in rows if h == g and x <= k and v is not None]
+        after = [v for x, h, v in rows if h == g and x >= k and v is not None]
+        assert (last[k], most[k], back[k]) == (before[-1] if before else None, max(before, default=None), after[0] if after else None)
+
+
+def test_skyline_and_median(spark):
+    rng = np.random.default_rng(1)
+    points = np.unique(rng.integers(0, 40, size=(3000, 3)).astype(float), axis=0)
+    want = {tuple(p) for p in points if not ((points >= p).all(axis=1) & (points > p).any(axis=1)).any()}
+    assert {tuple(points[i]) for i in sweep.skyline(points)} == want
+    rows = [("a", float(x)) for x in rng.normal(0, 1e6, 501)] + [("b", float(x)) for x in rng.integers(-3, 3, 40)] + [("c", None), ("d", 0.0)]
+    got = {r.g: r.median for r in audit.metric_statistics(frame(spark, rows, "g string, v double"), "g", ["v"]).collect()}
+    for g in "abd":
+        assert got[g] == np.median([v for h, v in rows if h == g])
+    assert got["c"] is None
+
+
+def test_hash_of_pixels_by_definition(spark):
+    rng = np.random.default_rng(3)
+    grey = rng.integers(0, 256, size=(32, 32)).astype(float)
+    low = np.array([[sum(grey[y, x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) for v in range(8)] for u in range(8)]).reshape(-1)
+    bits = "".join("1" if k and c > np.median(low[1:]) else "0" for k, c in enumerate(low))
+    got = frame(spark, [(grey.reshape(-1).tolist(),)], "p array<double>").select(text.perceptual_hash("p").alias("h")).first().h
+    assert got == f"{int(bits, 2):016x}"
+
+
+def test_repeated_annotations_by_number(spark):
+    lines = [(1, 1, "0 0.5 0.5 0.1 0.1"), (1, 2, "0 0.50 0.5 1e-1 .1"), (1, 3, "0 0.5 0.5 0.1 0.2"), (1, 4, "bad"), (1, 5, " bad "), (2, 1, "0 0.5 0.5 0.1 0.1")]
+    parsed = parse.parse_lines(frame(spark, lines, "img long, n int, line string"))
+    assert {(r.img, r.n) for r in parse.repeated_annotations(parsed, "img", "n").collect()} == {(1, 2), (1, 5)}
+
+
+def test_streams_keep_state_between_batches(spark, tmp_path):
+    """One source in five micro-batches: the numbering and votes are those of one pass."""
+    rng = random.Random(11)
+    rows = [(1, f"2024-01-01 00:00:{k:02d}", k, rng.randint(0, 3), rng.random() < 0.2, k % 2, rng.random()) for k in range(40)]
+    schema = "source long, ts string, event_id long, raw long, cut boolean, c int, p double"
+    for k in range(5):
+        frame(spark, rows[8 * k : 8 * k + 8], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+        (tmp_path / "in" / str(k)).touch()
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+    for buffer in (None, 3):
+        out = votes.scene_tracks(stream, buffer).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/log{buffer}").trigger(availableNow=True).start(f"{tmp_path}/out{buffer}")
+        out.awaitTermination()
+        assert out.lastProgress["batchId"] >= 4
+        generation, number, known, want = 0, 1, {}, {}
+        for f, (_, _, e, raw, cut, _, _) in enumerate(rows):
+            if cut:
+                generation, known = generation + 1, {}
+            if raw not in known or (buffer is not None and f - known[raw][1] > buffer):
+                known[raw] = (number, f)
+                number += 1
+            known[raw] = (known[raw][0], f)
+            want[e] = (generation, known[raw][0])
+        assert {r.event_id: (r.generation, r.display_id) for r in spark.read.parquet(f"{tmp_path}/out{buffer}").collect()} == want
+
+
+def test_review_and_gates(spark):
+    decided = frame(spark, [("r1", "p", "q", "test", "train", "KEEP_B_EXCLUDE_A", ""), ("r2", "q", "s", "train", "train", "KEEP_A_EXCLUDE_B", "seen"), ("r3", "p", "t", "test", "valid", "KEEP_BOTH", ""), ("r4", "u", "v", "valid", "test", "PENDING", "")], "review_id string, a string, b string, split_a string, split_b string, decision string, notes string")
+    states = {(r.image, r.state) for r in curation.correction_states(decided).collect()}
+    assert states == {("p", "CONFLICT"), ("p", "MISMATCH"), ("p", "NEEDS_REVIEW"), ("s", "NEEDS_REVIEW"), ("u", "NEEDS_REVIEW"), ("v", "NEEDS_REVIEW")}
+    assert {r.review_id for r in curation.mismatch_groups(decided).collect()} == {"r1", "r3"}
+    images = frame(spark, [(x, "train") for x in "pqstuvz"], "image string, split string")
+    manifest = {r.image: r for r in curation.curated_manifest(images, decided).collect()}
+    assert [manifest[x].action for x in "pqstuvz"] == ["EXCLUDE", "KEEP", "EXCLUDE", "KEEP", "KEEP", "KEEP", "KEEP"]
+    assert manifest["p"].review_id == "r1|r3" and manifest["q"].paired_with == "p|s" and manifest["z"].review_id == ""
+    pairs = frame(spark, [("t", "p", "valid", "test"), ("q", "p", "train", "test"), ("q", "s", "train", "train")], "a string, b string, split_a string, split_b string")
+    assert {(r.a, r.review_status[:8]) for r in curation.classified_pairs(pairs, decided).collect()} == {("t", "REVIEWED"), ("q", "UNREVIEW")}
+    one, two = frame(spark, [(1,), (1,), (2,)], "x int"), frame(spark, [(1,), (3,)], "x int")
+    assert {(r.x, r.side, r.times) for r in checks.table_difference(one, two).collect()} == {(1, "ONLY_LEFT", 1), (2, "ONLY_LEFT", 1), (3, "ONLY_RIGHT", 1)}
+    gate = {r.name: r.passed for r in checks.gate(spark, {"a": one.where("x = 9"), "b": two}).collect()}
+    assert gate == {"a": True, "b": False}
+
+
+def test_outputs_and_strict_sources(spark, tmp_path):
+    df = frame(spark, [(1, "x", 0.5), (2, None, None)], "k long, t string, v double")
+    where = f"file://{tmp_path}/table"
+    assert tables.publish(spark, df, where, "k").count() == 2
+    assert tables.publish(spark, df.where("k = 1"), where, "k").count() == 1  # what stood there is archived
+    assert sum("_archive_" in p.name for p in tmp_path.iterdir()) == 1 and not any("_stage_" in p.name for p in tmp_path.iterdir())
+    with pytest.raises(FileExistsError):
+        tables.prepare_output(spark, where)
+    with pytest.raises(Exception, match="not finite"):
+        tables.write_json_report(df.withColumn("v", F.lit(float("nan"))), f"{tmp_path}/bad.json")
+    metrics = frame(spark, [(1, 0.25), (0, 0.75)], "class_id int, recall double")
+    tables.write_metrics(frame(spark, [(0.5,)], "recall double"), metrics, f"{tmp_path}/m", ["recall"])
+    assert [(r.scope, r.recall) for r in spark.read.csv(f"{tmp_path}/m/metrics.csv", header=True).collect()] == [("overall", "0.5"), ("class", "0.75"), ("class", "0.25")]
+    images, lines = frame(spark, [(1,), (2,)], "img long"), frame(spark, [(1, "1 0.5 0.5 0.1 0.1"), (1, "")], "img long, line string")
+    assert {(r.img, r.n0, r.n1) for r in tables.train_inventory(images, lines, "img").collect()} == {(1, 0, 1), (2, 0, 0)}
+    for bad in ("1.0 0.5 0.5 0.1 0.1", "0 0.5 0.5 0 0.1", "0 nan 0.5 0.1 0.1", "0 0.5"):
+        with pytest.raises(Exception, match="invalid annotation"):
+            tables.train_inventory(images, frame(spark, [(1, bad)], "img long, line string"), "img").collect()
+    parsed = parse.parse_lines(frame(spark, [(1, "0 0.5 0.5 0.5 0.5", 100, 200)], "img long, line string, width int, height int"))
+    r = tables.pixel_boxes(parsed, "img").first()
+    assert (r.x1, r.y1, r.x2, r.y2) == (25, 50, 75, 150)
+    assert tables.evidence_by_image(lines, "img").first().evidence[0].line == ""
+    assert evidence.lost_buffer("a", "b") is not None and spark.sql("select 2.5D as a, 1D as b").select(evidence.lost_buffer("a", "b").alias("n")).first().n == 2
 
 
 def test_review_flow(spark):
