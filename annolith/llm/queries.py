@@ -57,9 +57,18 @@ _RULES = r"""with d as (select row_number() over () as k, doc_id, coalesce(text,
   or 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > word_chars or 10 * ((length(text) - length(replace(text, '!!', ''))) // 2) > n_words or 2 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) < word_chars) as kept from b"""
 
 
+_LINKS = rf"""with recursive w as (select doc_id, [x for x in string_split_regex({_NORMAL}, '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+ s as (select distinct doc_id, unnest(case when len(w) >= 4 then [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+ n as (select doc_id, count(*) as n from s group by 1), p as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)), both_ways as (select a, b from l union select b, a from l),
+ reach(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, t.b from reach r join both_ways t on t.a = r.other), c as (select doc_id, min(other) as component_id from reach group by 1)
+ select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id from documents d left join n using (doc_id) left join c using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that it can express: not tokenisation, trained models, links over any distance or dealt copies."""
+    """SQL of the queries that it can express: not tokenisation, trained models, aligned templates or dealt copies."""
     return {
+        "op1_ngram_jaccard_join": _LINKS,
         "op2_quality_rules": _RULES,
         "op5_exact_dedup": f"select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256 from (select doc_id, {_NORMAL} as norm from documents) q window w as (partition by norm)",
     }
