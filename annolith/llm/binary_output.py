@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Work, shuffle_partitions
+from .common import Work, shuffle_partitions, tidy
 from .tokens import encode_column, tokenizer_path
 
 MAGIC = b"ANNOTOK1"
@@ -135,6 +135,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, work: Work, path: str, en
     write_file(f"{folder}/dictionary.zstd", dictionary)
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
 
+    @tidy
     def encode(batches):
         import zstandard
         from pyspark import TaskContext
@@ -175,6 +176,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, dictionary: bytes) ->
     shards = manifest.withColumn("within", within).join(before, F.col("part") == F.col("p")).select("file", (F.col("before") + F.col("within")).alias("start"))
     shared = spark.sparkContext.broadcast(dictionary)
 
+    @tidy
     def decode(batches):
         for batch in batches:
             for file, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):

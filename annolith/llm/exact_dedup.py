@@ -23,13 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, lower_ascii, shuffle_partitions
+from .common import Work, lower_ascii, shuffle_partitions, tidy
 
 KEY = 256
 #: edge: 0 for a run within its partition, 1 for one that may go on in another; text: only in one row of each such run
 RUNS = "doc_id long, rank long, sha string, part int, run long, edge int, size long, best long, best_rank long, text string"
 
 
+@tidy
 def _runs(batches):
     """Rows of a sorted partition with their runs; the rows of the last run of a batch are held back (identifiers only) until it ends."""
     from pyspark import TaskContext

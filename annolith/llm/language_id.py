@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id
+from .common import crc32_of_id, tidy
 from .textvec import Slice, mix, slices
 
 BITS, ORDERS = 15, (1, 2, 3, 4)
-CELLS, LEAST_BITS = 1 << 22, 8
+CELLS, LEAST_BITS, FEW_CELLS, SLICE = 1 << 22, 8, 1 << 20, 1 << 18
 UND = "und"
 #: What the pipeline keeps: documents whose likeliest language has this share at least.
 SURE = 0.5
@@ -97,15 +97,21 @@ def train(training: DataFrame) -> Model:
     bits = bits_for(usable.select("lang").distinct().count())
     size = 1 << bits
 
+    @tidy
     def count(batches):
         known: dict[str, np.ndarray] = {}  # counts of the buckets, then the number of texts
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), SLICE):
                 codes: dict[str, int] = {}
                 own = np.array([codes.setdefault(x, len(codes)) for x in langs[s.first : s.first + s.n_texts]], dtype=np.int64)
                 found = [np.repeat(own, np.diff(bounds)) * size + buckets for buckets, bounds in features(s, bits)]
-                cells, n = np.unique(np.concatenate(found), return_counts=True)
+                if len(codes) * size <= FEW_CELLS:
+                    table = sum(np.bincount(x, minlength=len(codes) * size) for x in found)
+                    cells = np.flatnonzero(table)
+                    n = table[cells]
+                else:
+                    cells, n = np.unique(np.concatenate(found), return_counts=True)
                 starts = np.searchsorted(cells, np.arange(len(codes) + 1) * size)
                 texts = np.bincount(own, minlength=len(codes))
                 for lang, k in codes.items():
@@ -143,12 +149,13 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[s
     shape = docs.select(*columns)
     text = columns.index("text")
 
+    @tidy
     def score(batches):
         model = shared.value
         names = np.array([*model.languages, UND], dtype=object)
         for batch in batches:
             preds, scores = [], []
-            for s in slices(batch.column(text)):
+            for s in slices(batch.column(text), SLICE):
                 raw = s.data.tobytes()
                 high = np.concatenate([[0], np.cumsum((_FOLD[s.data] != 0x20) & (s.data < 0x80))])
                 letters = high[s.offsets[1:]] > high[s.offsets[:-1]]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ragged
+from .common import ragged, tidy
 from .textvec import Slice, alphanumeric, folding, slices
 
 STRETCH, RARE, MIN_ANCHORS, MIN_MATCH = 256, 16, 3, 0.8
@@ -235,6 +235,7 @@ def document_frequency(docs: DataFrame) -> dict[str, float]:
     names = vocabulary()
     hashes = np.array([_word_hashes(w)[0] for w in names])
 
+    @tidy
     def count(batches):
         order = np.argsort(hashes)
         ranked = hashes[order]
@@ -265,6 +266,7 @@ def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (best share of a template's words, 1 for a base phrase)."""
     idf = document_frequency(docs)
 
+    @tidy
     def run(batches):
         index = Index(idf)
         for batch in batches:

@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from annolith.operators.components import components
 
-from .common import Work, binary_array, list_array, ragged, shuffle_partitions, small_batches
+from .common import Work, binary_array, list_array, ragged, shuffle_partitions, small_batches, tidy
 from .textvec import folding, mix, not_space, shingle_hashes, slices
 
 MOST_FREQUENT, LEAST_FREQUENT, FLUSH = 1 << 23, 16, 1 << 21
@@ -78,6 +78,7 @@ IDENTITY = ["doc_id", "n", "d1", "d2"]
 def shingle_sets(docs: DataFrame, how: Similarity) -> DataFrame:
     """doc_id, n (set size), d1, d2 (digest of the set), set (its sorted shingles, 8 bytes each)."""
 
+    @tidy
     def make(batches):
         for batch in batches:
             for s in slices(batch.column(1)):
@@ -107,6 +108,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def frequent_shingles(sets: DataFrame, work: Work) -> np.ndarray:
     """Sorted shingles found often, by counts of all sets: those that some task met twice in FLUSH shingles, with enough of them in all."""
 
+    @tidy
     def count(batches):
         held, size, total = [], 0, 0
 
@@ -148,6 +150,7 @@ def signatures(spark: SparkSession, sets: DataFrame, how: Similarity, frequent:
     """The identity of each set that is not empty, with prefix (first shingles of the common order), rare (how many of them are not frequent) and bits (bitmap)."""
     shared = spark.sparkContext.broadcast(frequent)  # MOST_FREQUENT * 8 bytes at most
 
+    @tidy
     def sign(batches):
         often = shared.value
         sieve = np.zeros(1 << 20, dtype=bool)
@@ -178,6 +181,7 @@ def signatures(spark: SparkSession, sets: DataFrame, how: Similarity, frequent:
     return full.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, prefix array<long>, rare int, bits binary")
 
 
+@tidy
 def _met_twice(batches):
     """Rows (token, rep, n, pos, salted) sorted by token: drops those whose token no other row has.  Salted tokens are known to be frequent and stay."""
     last, stays = None, False
@@ -403,6 +407,7 @@ def _pairs_of_blocks(how: Similarity, whole: bool):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], names=["a", "b"])
 
+    @tidy
     def run(batches):
         held: list[pa.RecordBatch] = []
         rows = size = 0
@@ -442,6 +447,7 @@ def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame, how: Simila
     table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(table)
 
+    @tidy
     def pick(batches):
         held = shared.value
         for batch in batches:
@@ -453,6 +459,7 @@ def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame, how: Simila
     ids = sets.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "set").withColumn("p", place)
     own = work.table(ids.mapInArrow(pick, "id long, set binary"), f"{name}-sets", "none")
 
+    @tidy
     def compare(batches):
         for batch in batches:
             keep = []

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Work, binary_array
+from .common import Work, binary_array, tidy
 from .tokens import encode_column, encoder, tokenizer_path
 
 LEAST_RUN, MOST_PHASES = 1024, 64
@@ -143,6 +143,7 @@ class Schedule:
 def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """ids of every document (two bytes each where the vocabulary allows), with its place in its source's queue of this partition."""
 
+    @tidy
     def encode(batches):
         from pyspark import TaskContext
 
@@ -182,6 +183,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str = "word_bpe_49k.j
     plan = spark.sparkContext.broadcast((Schedule([r.n for r in queues], capacity, weights), number))
     wide = encoder(path).n_ids > 1 << 16
 
+    @tidy
     def cut(batches):
         schedule, number = plan.value
         for batch in batches:

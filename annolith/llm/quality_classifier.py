@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, crc32_of_id
+from .common import Work, crc32_of_id, tidy
 from .textvec import Slice, folding, mix, slices
 
 BUCKETS, SCALE, MOST_TRAINING, EPOCHS = 1 << 18, 20.0, 6000, 3
@@ -84,6 +84,7 @@ class Ftrl:
 def train(spark: SparkSession, labelled: DataFrame, most: int = MOST_TRAINING, held_bytes: int = HELD_BYTES) -> np.ndarray:
     """Weights (the bias last) from columns doc_id, text, label; at most ``most`` rows, as counted features."""
 
+    @tidy
     def shrink(batches):
         for batch in batches:
             for s in slices(batch.column(1)):
@@ -122,6 +123,7 @@ def score(spark: SparkSession, docs: DataFrame, weights: np.ndarray) -> DataFram
     """(doc_id, score) of every row."""
     shared = spark.sparkContext.broadcast(weights)
 
+    @tidy
     def run(batches):
         w = shared.value
         for batch in batches:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ragged
+from .common import ragged, tidy
 from .textvec import Slice, slices
 from .tokens import UnitEncoder, encoder, tokenizer_path
 
@@ -88,6 +88,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_b
     """One row for each section: doc_id, section (from 0), n_bytes, n_tokens, n_crossing (tokens that start in it and end in a later one), doc_tokens."""
     path = tokenizer_path(vocabulary)
 
+    @tidy
     def count(batches):
         own = encoder(path)
         lengths = own.byte_lengths()

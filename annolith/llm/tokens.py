@@ -83,13 +83,13 @@ def _cuts(s: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of pieces remembered before the memory is emptied.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 16 << 20
 
 
 class UnitEncoder:
     """ids of whole texts.  ``most_units``: pieces remembered before the memory is emptied (about 40 bytes each)."""
 
-    def __init__(self, path: str, most_units: int = 2_000_000):
+    def __init__(self, path: str, most_units: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
