@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Work, lower_ascii, shuffle_partitions, tidy
 
-KEY = 256
+KEY = 64
 #: edge: 0 for a run within its partition, 1 for one that may go on in another; text: only in one row of each such run
 RUNS = "doc_id long, rank long, sha string, part int, run long, edge int, size long, best long, best_rank long, text string"
 
@@ -84,7 +84,7 @@ def mark_copies(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row."""
     norm = docs.select("doc_id", lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("norm"))
     keyed = norm.select("doc_id", "norm", F.substring("norm", 1, KEY).alias("key"), F.sha2("norm", 256).alias("sha"))
-    order = ["key", "sha", "doc_id"]
+    order = ["key", F.unhex("sha"), "doc_id"]
     ordered = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     runs = work.table(ordered.select("doc_id", "norm", "sha").mapInArrow(_runs, RUNS), "runs")
     edges = runs.where("edge = 1 and text is not null").groupBy("text").agg(
