@@ -35,6 +35,18 @@ def set_digest(items: Column) -> Column:
     return F.sha2(F.concat(F.lit("["), F.array_join(F.array_sort(items), ","), F.lit("]")), 256)
 
 
+def escaped(value: Column) -> Column:
+    """Text as HTML says it."""
+    for plain, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        value = F.replace(value, F.lit(plain), F.lit(name))
+    return value
+
+
+def decimals(value: Column, digits: int = 4) -> Column:
+    """A number with so many decimals, n/a where there is none."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double"))).otherwise("n/a")
+
+
 def hamming(a: str, b: str) -> str:
     return f"bit_count({a} ^ {b})"
 

@@ -97,3 +97,11 @@ def choices(rows: DataFrame, column: str, allowed: list[str], exclusive: list[tu
     both = reduce(lambda a, b: a | b, [F.array_contains("choices", x) & F.array_contains("choices", y) for x, y in exclusive], F.lit(False))
     problem = F.when(F.size("choices") == 0, "EMPTY").when(F.size(F.array_except("choices", F.array(*map(F.lit, allowed)))) > 0, "UNKNOWN").when(both, "EXCLUSIVE")
     return out.withColumn("problem", problem)
+
+
+def aligned_inventory(order: DataFrame, inventory: DataFrame, key: str, position: str) -> tuple[DataFrame, DataFrame]:
+    """(the inventory's rows with the positions that another system gives its keys, keys of one side alone or twice in either): only if the second is empty are they one set."""
+    a = order.groupBy(F.col(key).alias("o_key")).agg(F.count("*").alias("n_a"), F.min(position).alias(position))
+    b = inventory.groupBy(F.col(key).alias("i_key")).agg(F.count("*").alias("n_b"))
+    off = a.join(b, F.col("o_key") == F.col("i_key"), "full_outer").where("not (n_a <=> 1 and n_b <=> 1)").select(F.coalesce("o_key", "i_key").alias(key))
+    return inventory.join(a.select("o_key", position), F.col(key) == F.col("o_key")).drop("o_key"), off

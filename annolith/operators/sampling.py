@@ -16,6 +16,11 @@ def tier_weights(rows: DataFrame, tier: str = "tier") -> DataFrame:
     return rows.crossJoin(F.broadcast(t)).withColumn("weight", F.lit(1.0) + F.col(tier) * step).drop("n_", "severity_")
 
 
+def target_weights(rows: DataFrame, count: str, multiplier: float) -> DataFrame:
+    """rows with weight ``multiplier`` where there is any object of the target class, else 1."""
+    return rows.withColumn("weight", F.when(F.col(count) > 0, float(multiplier)).otherwise(1.0))
+
+
 def plan_statistics(rows: DataFrame, weight: str = "weight") -> DataFrame:
     """One row: n, total, max_draws, expected_unique (n draws with replacement), effective_size, risk."""
     t = rows.agg(F.count("*").alias("n"), F.sum(weight).alias("total"))

@@ -181,6 +181,33 @@ def audit_review_required(spark, sf_dir):
     return audit.issue_status(found, "severity")
 
 
+@query
+def source_names(spark, sf_dir):
+    from annolith.functions.text import source_group, stem
+
+    (part,) = tables(spark, sf_dir, "part")
+    names = part.select(F.expr("concat('data/', p_size, '/img', p_partkey % 500, case when p_partkey % 3 = 0 then concat('.rf.', lower(hex(p_partkey))) else '_v2' end, '.JPG')").alias("path"))
+    return names.groupBy(source_group(stem(F.col("path"))).alias("source")).agg(F.count("*").alias("n"))
+
+
+@query
+def inventory_alignment(spark, sf_dir):
+    (part,) = tables(spark, sf_dir, "part")
+    order = part.where("p_partkey % 50 <> 7").select(F.col("p_partkey").alias("img"), (F.col("p_partkey") * 3 % 1001).alias("place"))
+    inventory = part.where("p_partkey % 40 <> 9").select(F.col("p_partkey").alias("img"), F.col("p_size").alias("n"))
+    rows, off = checks.aligned_inventory(order, inventory, "img", "place")
+    return rows.select("img", "place", "n").unionByName(off.select("img", F.lit(-1).cast("long").alias("place"), F.lit(-1).alias("n")))
+
+
+@query
+def formatted_report(spark, sf_dir):
+    from annolith.functions.text import decimals, escaped
+
+    (part,) = tables(spark, sf_dir, "part")
+    rows = part.selectExpr("p_partkey as key", "case when p_partkey % 9 = 0 then null else p_partkey / 8D end as v", "concat('<b>', p_size, ' & ', p_partkey, '</b>') as t")
+    return rows.select("key", decimals(F.col("v"), 3).alias("v"), escaped(F.col("t")).alias("t"))
+
+
 _PARTS = """i as (select case p_partkey % 3 when 0 then 'train' when 1 then 'valid' else 'test' end as split, concat('i', p_partkey) as name, concat('s', case when p_partkey % 13 = 0 then p_partkey - 3 else p_partkey end) as stem, case when p_partkey % 7 = 0 then 'gif' else 'jpg' end as suffix, p_partkey % 19 <> 0 as readable from part where p_partkey % 17 <> 0),
  l as (select case p_partkey % 3 when 0 then 'train' when 1 then 'valid' else 'test' end as split, concat('s', p_partkey) as stem, p_partkey % 23 <> 0 as readable from part where p_partkey % 11 <> 0 and p_partkey % 3 <> 2), f as (select * from i where suffix <> 'gif')"""
 _BROKEN = "line like 'only%' or line like 'x %' or line like '%nan%' or line like '0.5 %' or line like '7 %' or line like '1 0.5 1.5%'"
@@ -212,6 +239,9 @@ ORACLES: dict[str, str] = {
     "set_digest": "select n_regionkey, sha256(concat('[', string_agg(concat('\"', n_name, '\"'), ',' order by n_name), ']')) as digest from nation group by 1",
     "path_violations": "select p_partkey as key, case p_partkey % 6 when 1 then concat('/data/train/../valid/', p_partkey) when 2 then concat('data/train/', p_partkey) when 3 then '/data/train' else concat('/data/trainer/', p_partkey) end as path from part where p_partkey % 6 in (1, 2, 3, 5)",
     "choice_validation": "select p_partkey as key, case p_partkey % 5 when 0 then 'BLUR|DARK' when 1 then 'DARK|CLEAR' when 2 then 'FOG' when 3 then '' else 'CLEAR' end as choices, case p_partkey % 5 when 1 then 'EXCLUSIVE' when 2 then 'UNKNOWN' when 3 then 'EMPTY' end as problem from part",
+    "source_names": "select case when p_partkey % 3 = 0 then concat('img', p_partkey % 500) else concat('img', p_partkey % 500, '_v2') end as source, count(*) as n from part group by 1",
+    "inventory_alignment": "select p_partkey as img, p_partkey * 3 % 1001 as place, p_size as n from part where p_partkey % 50 <> 7 and p_partkey % 40 <> 9 union all select p_partkey, -1, -1 from part where (p_partkey % 50 <> 7) <> (p_partkey % 40 <> 9)",
+    "formatted_report": "select p_partkey as key, case when p_partkey % 9 = 0 then 'n/a' else format('{:.3f}', p_partkey / 8.0::double) end as v, concat('&lt;b&gt;', p_size, ' &amp; ', p_partkey, '&lt;/b&gt;') as t from part",
     "latest_decisions": "select user_id::varchar as review_id, arg_max(event_type, (ts, event_type)) as decision from events group by 1",
     "decision_categories": "select name, value, count(*) as n from (select 'quality' as name, quality as value from labels union all select 'toxic', toxic from labels) q group by 1, 2",
 }

@@ -214,6 +214,18 @@ def scene_cut_detection(spark, sf_dir):
     return evidence.track_counters(out.withColumn("track", F.col("event_id") % 5), "user_id", "track")
 
 
+@query
+def new_false_positive_images(spark, sf_dir):
+    gt, a, b = _boxes(spark, sf_dir)
+    new = compare.false_positive_transitions(gt, a, b).where("category = 'NEW_FALSE_POSITIVE_IN_B'")
+    return new.select("img").distinct().orderBy("img").limit(12)  # a gallery of twelve
+
+
+@query
+def target_multipliers(spark, sf_dir):
+    return sampling.target_weights(_tiers(spark, sf_dir), "n1", 2.5).groupBy("weight").agg(F.count("*").alias("n"), F.min("img").alias("least"))
+
+
 _MISSED = f"""{HEAD}{matched('qa', where='s >= 0.25')}, cold as (select * from ({PRED_A}) q where s >= 0.001 and s < 0.25), missed as (select * from gt where not exists (select 1 from qam where qam.img = gt.img and qam.j = gt.j)),
  {greedy('low', edges('missed', 'cold', 0.5), 's desc, i, iou desc, j')}, scene as (select img, count(*) as n_gt from gt group by 1),
  tags as (select m.*, s.n_gt, case when a < 0.001 then 'tiny' when a < 0.01 then 'small' when a < 0.1 then 'medium' else 'large' end as size, l.i is not null as low, x.i is not null as mixed
@@ -253,6 +265,9 @@ ORACLES: dict[str, str] = {
     "false_positive_accounts": f"""{HEAD}{matched('qa')}, {matched('qb', 'B')}, xa as (select * from qap where not exists (select 1 from qam where qam.img = qap.img and qam.i = qap.i)), xb as (select img, i as j, c, x1, y1, x2, y2 from qbp where not exists (select 1 from qbm where qbm.img = qbp.img and qbm.i = qbp.i)),
  {greedy('kept', f"select g.img, g.i, p.j, {iou('g', 'p')} as iou from xa g join xb p on g.img = p.img and g.c = p.c where {iou('g', 'p')} >= 0.5", 'iou desc, i, j')},
  n as (select (select count(*) from xa) as a, (select count(*) from xb) as b, (select count(*) from kept) as persistent) select a, b, b - persistent as new, a - persistent as removed, persistent, true as balanced from n""",
+    "new_false_positive_images": f"""{HEAD}{matched('qa')}, {matched('qb', 'B')}, xa as (select * from qap where not exists (select 1 from qam where qam.img = qap.img and qam.i = qap.i)), xb as (select img, i as j, c, x1, y1, x2, y2 from qbp where not exists (select 1 from qbm where qbm.img = qbp.img and qbm.i = qbp.i)),
+ {greedy('kept', f"select g.img, g.i, p.j, {iou('g', 'p')} as iou from xa g join xb p on g.img = p.img and g.c = p.c where {iou('g', 'p')} >= 0.5", 'iou desc, i, j')} select distinct img from xb where not exists (select 1 from kept k where k.img = xb.img and k.j = xb.j) order by img limit 12""",
+    "target_multipliers": f"with {TIERS} select case when n1 > 0 then 2.5::double else 1.0::double end as weight, count(*) as n, min(img) as least from tiers group by 1",
     "scene_composition": f"{HEAD}own as (select img, bool_or(c = 0) as z, bool_or(c = 1) as o from gt group by 1) select case when z and o then 'both' when z then 'with_only' when o then 'without_only' else 'empty' end as composition, count(*) as n from orders left join own on img = o_orderkey group by 1",
     "confidence_histogram": f"with p as ({PRED_A}) select b as bucket, count(s) as n from (select unnest(['<0.25', '0.25-0.50', '0.50-0.75', '>=0.75']) as b) left join p on b = case when s < 0.25 then '<0.25' when s < 0.5 then '0.25-0.50' when s < 0.75 then '0.50-0.75' else '>=0.75' end group by 1",
     "suppressed_boxes": f"""with recursive p as ({PRED_A}), o as (select *, row_number() over (partition by img order by s desc, i) as k from p), t(img, k, kept) as (select distinct img, 0::bigint, []::bigint[] from o union all

@@ -155,3 +155,17 @@ ORACLES["projected_truth"] = """with p as (select *, 200 + o_custkey % 300 as iw
  e as (select o_orderkey * 3 + i as img, c, greatest(0, (l + (x - w / 2) * pw - cl) * (640.0::double / cw)) as x1, greatest(0, (t + (y - h / 2) * ph - ct) * (480.0::double / ch)) as y1, least(640, (l + (x + w / 2) * pw - cl) * (640.0::double / cw)) as x2, least(480, (t + (y + h / 2) * ph - ct) * (480.0::double / ch)) as y2 from m)
  select img, c, floor(x1 * 1000.0::double + 0.3::double)::bigint as x1, floor(y1 * 1000.0::double + 0.3::double)::bigint as y1, floor(x2 * 1000.0::double + 0.3::double)::bigint as x2, floor(y2 * 1000.0::double + 0.3::double)::bigint as y2 from e where x2 - x1 >= 1 and y2 - y1 >= 1"""
 ORACLES["stream_votes"] = ORACLES["ema_vote"].replace("select event_id, shown from t", "select user_id as track, event_id, shown from t")
+_DIFFICULTY = f"""{HEAD}{matched('qa')}, used as (select img, i, j from qam union all select img, i, j from qax),
+ freeg as (select * from gt where not exists (select 1 from used u where u.img = gt.img and u.j = gt.j)), freep as (select * from qap where not exists (select 1 from used u where u.img = qap.img and u.i = qap.i)),
+ cand as (select img, i, s, list({{'j': j, 'iou': iou}} order by iou desc, j) as c from ({edges('freeg', 'freep', 0.0)}) q group by 1, 2, 3), seq as (select *, row_number() over (partition by img order by s desc, i) as k from cand),
+ loc(img, k, ui, uj) as (select distinct img, 0::bigint, []::bigint[], []::bigint[] from seq union all
+  select img, k, case when fits then list_append(ui, i) else ui end, case when fits then list_append(uj, b.j) else uj end from (select *, b is not null and b.iou >= 0.1 and b.iou < 0.5 as fits from (select l.img, l.k + 1 as k, l.ui, l.uj, q.i, list_filter(q.c, lambda x: not list_contains(l.uj, x.j))[1] as b from loc l join seq q on q.img = l.img and q.k = l.k + 1) z) y),
+ near as (select img, unnest(ui) as i, unnest(uj) as j from (select img, arg_max(ui, k) as ui, arg_max(uj, k) as uj from loc group by 1) z),
+ assigned as (select m.img, m.j, case when p.s >= 0.25 then 'EASY_CORRECT' else 'LOW_CONFIDENCE_CORRECT' end as category from qam m join qap p on p.img = m.img and p.i = m.i union all select img, j, 'CLASS_CONFUSION' from qax union all select img, j, 'LOCALIZATION_FAILURE' from near),
+ spare as (select * from qap where s >= 0.25 and not exists (select 1 from used u where u.img = qap.img and u.i = qap.i) and not exists (select 1 from near u where u.img = qap.img and u.i = qap.i)), owned as (select * from gt where exists (select 1 from qam m where m.img = gt.img and m.j = gt.j)),
+ owners as (select * from (select *, row_number() over (partition by img, i order by iou desc, j) as k from ({edges('owned', 'spare', 0.0)}) q) z where k = 1 and iou >= 0.5), again as (select img, j, count(*) as n from owners group by 1, 2), top as (select img, j, max(iou) as best from ({edges('gt', 'qap', 0.0)}) q group by 1, 2),
+ hardness as (select gt.img, gt.j, gt.c, coalesce(a.category, case when t.best >= 0.1 then 'MATCH_COMPETITION' else 'MISSED_NO_CORRECT_CLASS_PROPOSAL' end) as category, coalesce(d.n, 0) as duplicates from gt left join assigned a on a.img = gt.img and a.j = gt.j left join again d on d.img = gt.img and d.j = gt.j left join top t on t.img = gt.img and t.j = gt.j),
+ graded as (select *, category <> 'EASY_CORRECT' or duplicates > 0 as hard from hardness)"""
+ORACLES["object_difficulty"] = f"{_DIFFICULTY} select img, j, c, category, duplicates, hard from graded"
+ORACLES["difficulty_tiers"] = f"""{_DIFFICULTY} select img, count(*) as n_objects, count(*) filter (hard) as n_hard, count(*) filter (hard and c = 1) as n_hard1, count(*) >= 3 as crowded, count(distinct c) > 1 as multi_class,
+ max(case when category = 'MISSED_NO_CORRECT_CLASS_PROPOSAL' then 3 when category in ('CLASS_CONFUSION', 'MATCH_COMPETITION') then 2 when hard then 1 else 0 end) as tier from graded group by 1"""
