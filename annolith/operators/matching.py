@@ -53,12 +53,29 @@ def confusions(gt: DataFrame, pred: DataFrame, matches: DataFrame, least: float
     return greedy(found, [-F.col("iou"), -F.col("j"), -F.col("i")])
 
 
+def linked(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
+    """img, i, j, iou, s, outcome: the pairs of ``match`` (CORRECT) and of ``confusions`` among what it leaves (CLASS_CONFUSION).
+
+    The edges of an image, of equal and unequal classes, are gathered once and folded twice, the second time from what the first has taken.
+    """
+    same = F.col("gc") == F.col("pc")
+    fields = [F.col(c).alias(c) for c in ("i", "j", "iou", "s")]
+    rows = lambda test, *order: F.sort_array(F.collect_list(F.when(test, F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], *fields))))
+    ranked = edges(gt, pred, least, same_class=None).groupBy("img").agg(rows(same, -F.col("s"), F.col("i"), -F.col("iou"), F.col("j")).alias("e"), rows(~same, -F.col("iou"), -F.col("j"), -F.col("i")).alias("x"))
+    short = lambda x, outcome: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["iou"].alias("iou"), x["s"].alias("s"), F.lit(outcome).alias("outcome"))
+
+    def fold(edges_: str, start: Column, outcome: str) -> Column:
+        free = lambda taken, x: ~F.exists(taken, lambda t: (t["i"] == x["i"]) | (t["j"] == x["j"]))
+        return F.aggregate(edges_, start, lambda t, x: F.when(free(t, x), F.concat(t, F.array(short(x, outcome)))).otherwise(t))
+
+    none = F.transform(F.expr("filter(e, x -> false)"), lambda x: short(x, "CORRECT"))
+    both = ranked.select("img", "x", fold("e", none, "CORRECT").alias("m"))
+    return both.select("img", F.explode(fold("x", F.col("m"), "CLASS_CONFUSION")).alias("t")).select("img", "t.i", "t.j", "t.iou", "t.s", "t.outcome")
+
+
 def object_outcomes(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """img, j, c, outcome (CORRECT, CLASS_CONFUSION, MISSED), i, iou of every ground truth."""
-    m = match(gt, pred, least)
-    x = confusions(gt, pred, m, least)
-    linked = m.withColumn("outcome", F.lit("CORRECT")).unionByName(x.withColumn("outcome", F.lit("CLASS_CONFUSION")))
-    l = prefixed(linked, "l_")
+    l = prefixed(linked(gt, pred, least), "l_")
     return gt.join(l, F.expr("img = l_img and j = l_j"), "left").select("img", "j", "c", F.coalesce("l_outcome", F.lit("MISSED")).alias("outcome"), F.col("l_i").alias("i"), F.col("l_iou").alias("iou"))
 
 
@@ -70,8 +87,8 @@ def failure_events(gt: DataFrame, pred: DataFrame, active: float = 0.25, weak: f
     """
     hot = pred.where(F.col("s") >= active)
     cold = pred.where((F.col("s") >= floor) & (F.col("s") < active))
-    m = greedy(edges(gt, hot, least), [-F.col("s"), F.col("i"), -F.col("iou"), F.col("j")], carry=("iou", "s"))
-    x = confusions(gt, hot, m, least)
+    pairs = linked(gt, hot, least)
+    m, x = pairs.where("outcome = 'CORRECT'"), pairs.where("outcome = 'CLASS_CONFUSION'")
     missed, extra = leftovers(gt, m, "j"), leftovers(hot, m, "i")
     low = match(missed, cold, least)
     xs = prefixed(x, "x_")
@@ -106,8 +123,8 @@ def difficulty(gt: DataFrame, pred: DataFrame, active: float = 0.25, local: floa
     then one-to-one localisation failures (overlap from ``local`` to below ``least``); the rest is MATCH_COMPETITION
     where some prediction of the class overlaps by ``local``, else MISSED_NO_CORRECT_CLASS_PROPOSAL.
     """
-    m = greedy(edges(gt, pred, least), [-F.col("s"), F.col("i"), -F.col("iou"), F.col("j")], carry=("iou", "s"))
-    x = confusions(gt, pred, m, least)
+    pairs = linked(gt, pred, least)
+    m, x = pairs.where("outcome = 'CORRECT'"), pairs.where("outcome = 'CLASS_CONFUSION'")
     used = m.select("img", "i", "j").unionByName(x.select("img", "i", "j"))
     free_gt, free_pred = leftovers(gt, used, "j"), leftovers(pred, used, "i")
     # A prediction looks at its best free object only, and passes if that one overlaps too little or too much.

@@ -294,6 +294,21 @@ def test_streams_keep_state_between_batches(spark, tmp_path):
         assert {r.event_id: (r.generation, r.display_id) for r in spark.read.parquet(f"{tmp_path}/out{buffer}").collect()} == want
 
 
+def test_votes_keep_state_between_batches(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(k % 2, f"2024-01-01 00:00:{k:02d}", k, rng.randint(0, 1), rng.random()) for k in range(40)]
+    schema = "track long, ts string, event_id long, c int, p double"
+    for k in range(4):
+        frame(spark, rows[10 * k : 10 * k + 10], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", votes.PROVIDER)
+    voted = stream.groupBy("track").transformWithStateInPandas(votes.ClassVote(0.7, 0.05), outputStructType="track long, event_id long, shown int", outputMode="append", timeMode="none")
+    query = voted.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    want = {r.event_id: r.shown for r in tracking.smoothed_class(frame(spark, rows, schema), "track", ["ts", "event_id"], "c", "p", 0.7, 0.05).collect()}
+    assert {r.event_id: r.shown for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want and query.lastProgress["batchId"] >= 3
+
+
 def test_review_and_gates(spark):
     decided = frame(spark, [("r1", "p", "q", "test", "train", "KEEP_B_EXCLUDE_A", ""), ("r2", "q", "s", "train", "train", "KEEP_A_EXCLUDE_B", "seen"), ("r3", "p", "t", "test", "valid", "KEEP_BOTH", ""), ("r4", "u", "v", "valid", "test", "PENDING", "")], "review_id string, a string, b string, split_a string, split_b string, decision string, notes string")
     states = {(r.image, r.state) for r in curation.correction_states(decided).collect()}
