@@ -4,6 +4,7 @@ The index holds, for each word of the licence templates and base phrases, its
 postings (template, position) and its inverse document frequency, counted over
 all documents.  A text is looked up by its own rarest licence words: in each stretch of
 STRETCH words, at most RARE licence words, those of highest IDF, as far as they have half the stretch's highest.
+Texts that lack too many of a template's words are left out for it.
 Every occurrence p of such a word with posting (template, q)
 votes for the start p - q; words may have been put in or left out, so starts are met in bins of a quarter of the template's
 length, each vote counting in its own bin and the next.  Bins with votes of at least MIN_ANCHORS different words (fewer for
@@ -145,6 +146,10 @@ class Index:
         self.template = np.repeat(np.arange(len(sizes)), sizes)[by_word]
         self.position = np.concatenate([np.arange(n) for n in sizes])[by_word]
         self.bin = np.array([max(2, n // 4) for n in sizes])
+        #: Each word's templates, once each, at first_once[w] : first_once[w + 1], and how many different words of a template a text must hold.
+        pairs = np.unique(word * len(sizes) + np.repeat(np.arange(len(sizes)), sizes))
+        self.first_once, self.once = np.searchsorted(pairs // len(sizes), np.arange(len(self.known) + 1)), pairs % len(sizes)
+        self.least = np.bincount(self.once, minlength=len(sizes)) - np.floor((1 - MIN_MATCH) * np.array(sizes) + 1e-9).astype(np.int64)
         self.need = np.array([min(MIN_ANCHORS, max(1, len(np.unique(t)) // 4)) for _, t, _ in self.templates])
 
     def licence_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,28 +159,43 @@ class Index:
         hit = self.known[number] == words[at]
         return at[hit], number[hit]
 
+    def possible(self, text: np.ndarray, number: np.ndarray, n_texts: int) -> np.ndarray:
+        """[text, template]: whether a text holds enough of a template's different words anywhere; without them no alignment can reach MIN_MATCH."""
+        held = np.unique(text * len(self.known) + number)
+        owner, word = held // len(self.known), held % len(self.known)
+        n = self.first_once[word + 1] - self.first_once[word]
+        cells = np.repeat(owner, n) * len(self.least) + self.once[ragged(self.first_once[word], n)]
+        return np.bincount(cells, minlength=n_texts * len(self.least)).reshape(n_texts, -1) >= self.least
+
     def rarest(self, text: np.ndarray, place: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Which occurrences (text, place in it, word) are of the rarest licence words of their stretch."""
-        stretch = text * (1 << 32) + place // STRETCH
-        pairs, of = np.unique(np.stack([stretch, number], axis=1), axis=0, return_inverse=True)
-        rarity = self.idf[pairs[:, 1]]
-        order = np.lexsort((-rarity, pairs[:, 0]))
-        new = np.concatenate([[True], pairs[order][1:, 0] != pairs[order][:-1, 0]])
+        """Which occurrences (text, place in it, word) are of the rarest licence words of their stretch; they come by text and place."""
+        stretch = np.cumsum(np.concatenate([[0], (text[1:] != text[:-1]) | (place[1:] // STRETCH != place[:-1] // STRETCH)]))
+        pairs, of = np.unique(stretch * len(self.known) + number, return_inverse=True)
+        stretch, rarity = pairs // len(self.known), self.idf[pairs % len(self.known)]
+        order = np.lexsort((-rarity, stretch))
+        new = np.concatenate([[True], stretch[order][1:] != stretch[order][:-1]])
         begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         chosen = np.zeros(len(pairs), dtype=bool)
         chosen[order] = (np.arange(len(order)) - begin < RARE) & (rarity[order] >= rarity[order][begin] / 2)
-        return chosen[of.reshape(-1)]
+        return chosen[of]
 
-    def candidates(self, text: np.ndarray, place: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Rows (text, template, bin) where enough different words vote for a start."""
+    def candidates(self, text: np.ndarray, place: np.ndarray, number: np.ndarray, possible: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, template, bin) where enough different words vote for a start."""
         n = self.first[number + 1] - self.first[number]
         of, posting = np.repeat(np.arange(len(number)), n), ragged(self.first[number], n)
         template = self.template[posting]
-        bins = (place[of] - self.position[posting]) // self.bin[template]
-        votes = np.stack([text[of], template, bins, number[of]], axis=1)
-        votes = np.unique(np.concatenate([votes, votes - np.array([0, 0, 1, 0])]), axis=0)
-        where, count = np.unique(votes[:, :3], axis=0, return_counts=True)
-        return where[count >= self.need[where[:, 1]]]
+        real = possible[text[of], template]
+        of, posting, template = of[real], posting[real], template[real]
+        if not len(of):
+            return []
+        bins = (place[of] - self.position[posting]) // self.bin[template] + 8  # a template has fewer than eight bins, so none is negative
+        span, pair = int(bins.max()) + 1, text[of] * len(self.least) + template
+        where = pair * span + bins
+        votes = np.unique(np.concatenate([where, where - 1]) * len(self.known) + np.tile(number[of], 2))
+        places, count = np.unique(votes // len(self.known), return_counts=True)
+        pair, k = places // span, places % span - 8
+        found = count >= self.need[pair % len(self.least)]
+        return list(zip((pair[found] // len(self.least)).tolist(), (pair[found] % len(self.least)).tolist(), k[found].tolist(), strict=True))
 
     def aligned(self, words: np.ndarray, template: int) -> float:
         """Share of the template's words found in order among ``words``; 0 without its key phrases."""
@@ -203,12 +223,17 @@ class Index:
                 same = words[start + j] == h
                 start, owner = start[same], owner[same]
             out += [(int(t), label, int(p - bounds[t]), 1.0, True) for p, t in zip(start, owner, strict=True)]
+        if not len(at):
+            return out
+        possible = self.possible(text, number, len(bounds) - 1)
+        some = possible.any(axis=1)[text]
+        at, text, number = at[some], text[some], number[some]
         if not len(at):
             return out
         place = at - bounds[text]
         rare = self.rarest(text, place, number)
         done: dict[tuple[int, int], int] = {}
-        for t, template, k in self.candidates(text[rare], place[rare], number[rare]).tolist():
+        for t, template, k in self.candidates(text[rare], place[rare], number[rare], possible):
             size, bin_ = len(self.templates[template][1]), int(self.bin[template])
             low = max(0, k * bin_)  # a start lies in this bin or the next
             if low < done.get((t, template), 0):
