@@ -16,6 +16,7 @@ _ON_DOCUMENTS = {
     "op8_language_id": ("language_id", "language_id"),
     "op9_source_mixing": ("mixing", "mixture"),
     "op10_license_scan": ("license_scan", "license_scan"),
+    "op13_cross_tokenizer_alignment": ("alignment", "cross_tokenizer_alignment"),
 }
 
 

@@ -75,7 +75,7 @@ def spans_by_library(s: Slice, own: UnitEncoder) -> tuple[np.ndarray, np.ndarray
     raw = s.data.tobytes()
     texts = [raw[a:b].decode() for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
     starts, ends, n = [], [], []
-    for at, t, e in zip(s.offsets, texts, own.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+    for at, t, e in zip(s.offsets[:-1], texts, own.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         place = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
         of_char = np.concatenate([np.flatnonzero((s.data[at : at + len(t.encode())] & 0xC0) != 0x80), [len(t.encode())]])
         starts.append(at + of_char[place[:, 0]])

@@ -190,11 +190,15 @@ class UnitEncoder:
         rest = iter(self.tokenizer.encode_batch([raw[begins[i] : stop[i]].decode() for i in slow], add_special_tokens=False) if slow else [])
         return [[t.id for t in tokenize(text[a:b])] if easy else next(rest).ids for easy, a, b in zip(plain.tolist(), start, stop, strict=True)]
 
+    def cuts(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """(starts of the pieces, class of each byte)."""
+        return _cuts(s)
+
     def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text i of the slice has ids[bounds[i] : bounds[i + 1]]."""
         if not len(s.data):
             return np.zeros(0, dtype=np.uint32), np.zeros(s.n_texts + 1, dtype=np.int64)
-        begins, classes = _cuts(s)
+        begins, classes = self.cuts(s)
         ends = np.concatenate([begins[1:], [len(s.data)]])
         sizes = ends - begins
         hashes = s.hashes(begins, ends, self.fold)
