@@ -16,6 +16,7 @@ _ON_DOCUMENTS = {
     "op8_language_id": ("language_id", "language_id"),
     "op9_source_mixing": ("mixing", "mixture"),
     "op10_license_scan": ("license_scan", "license_scan"),
+    "op11_periodic_runs": ("runs", "periodic_runs"),
     "op13_cross_tokenizer_alignment": ("alignment", "cross_tokenizer_alignment"),
 }
 
@@ -66,10 +67,29 @@ _LINKS = rf"""with recursive w as (select doc_id, [x for x in string_split_regex
  select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id from documents d left join n using (doc_id) left join c using (doc_id)"""
 
 
+#: crc32 by its table; equal stretches of six words are joined by their distance, and islands of places are runs.
+_RUNS = r"""with recursive bits(n, c, k) as (select i, i, 0 from range(256) q(i) union all select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+ crc as (select list(c order by n) as t from bits where k = 8),
+ d as (select row_number() over () as k, doc_id, coalesce(text, '') as text, list_prepend(4294967295::bigint, [ascii(x)::bigint for x in string_split(doc_id::varchar, '')]) as b from documents),
+ h as (select k, doc_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::int])), 4294967295) as h, [x for x in string_split_regex(text, '[\x20\x09-\x0D]+') if x <> ''] as w from d, crc),
+ g as (select k, doc_id, h % 10 = 0 and len(w) > 0 as changed, len(w)::bigint as n, (h // 10) % greatest(len(w), 1) as a, 3 + (h // 10) % 8 as m, w from h),
+ w as (select k, doc_id, n, case when changed then [w[case when i >= a then a + (i - a) % (1 + (n - a) // m) else i end + 1] for i in range(0, n)] else w end as w from g),
+ e as (select k, unnest(range(0, n)) as i, unnest([array_to_string(w[i + 1:i + 6], ' ') for i in range(0, n)]) as g from w),
+ p as (select x.k, x.i, y.i - x.i as q from e x join e y on x.k = y.k and x.g = y.g and x.i < y.i),
+ f as (select k, q, i, i - row_number() over (partition by k, q order by i) as island from p),
+ s as (select k, q, min(i) as start, count(*) + 5 + q as length from f group by k, q, island),
+ r as (select k, start, length, min(q) as period from s where length >= greatest(12, 2 * q) group by all),
+ a as (select k, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines, arg_min({'s': start, 'l': length, 'p': period}, (-length, start, period)) as top from r group by k),
+ x as (select k, list_distinct(list(i)) as gone from (select k, unnest(range(start + period, start + length)) as i from r) q group by k),
+ y as (select w.k, string_agg(w, ' ' order by i) as kept from (select k, unnest(w) as w, unnest(range(0, n)) as i from w) w left join (select k, unnest(gone) as i, true as hit from x) x using (k, i) where hit is null group by w.k)
+ select doc_id, coalesce(n_runs, 0) as n_runs, top.s as start, top.l as length, top.p as period, 1000 * top.l // top.p as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from w left join a using (k) left join y using (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express: not tokenisation, trained models, aligned templates or dealt copies."""
     return {
         "op1_ngram_jaccard_join": _LINKS,
         "op2_quality_rules": _RULES,
+        "op11_periodic_runs": _RUNS,
         "op5_exact_dedup": f"select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256 from (select doc_id, {_NORMAL} as norm from documents) q window w as (partition by norm)",
     }
