@@ -40,8 +40,15 @@ def _ngram_join(spark, sf_dir):
     return ngram_jaccard_join(spark, documents(spark, sf_dir), width=4, percent=85)
 
 
+def _warc(spark, sf_dir):
+    from .warc import archived_pages
+
+    return archived_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": _ngram_join} | {name: _query(*where) for name, where in _ON_DOCUMENTS.items()} | {"op4_quality_classifier": _quality_classifier}
+    others = {"op1_ngram_jaccard_join": _ngram_join, "op4_quality_classifier": _quality_classifier, "op12_warc": _warc}
+    return others | {name: _query(*where) for name, where in _ON_DOCUMENTS.items()}
 
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -85,11 +92,20 @@ _RUNS = r"""with recursive bits(n, c, k) as (select i, i, 0 from range(256) q(i)
  select doc_id, coalesce(n_runs, 0) as n_runs, top.s as start, top.l as length, top.p as period, 1000 * top.l // top.p as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from w left join a using (k) left join y using (k)"""
 
 
+_DIGITS = "list_value(" + ", ".join(f"'{c}'" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") + ")"
+#: Five hexadecimal digits are four of base 32.
+_WARC = f"""with d as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h, sha256(coalesce(html, '')) as s from pages), k as (select *, max(page_id) over (partition by s) as keep from d),
+ p as (select *, [('0x' || h[5 * i + 1:5 * i + 5])::int for i in range(0, 8)] as v from k)
+ select page_id, n as payload_bytes, array_to_string([array_to_string([{_DIGITS}[((x >> (15 - 5 * j)) & 31) + 1] for j in range(0, 4)], '') for x in v], '') as payload_digest,
+  case when page_id = keep then 'response' else 'revisit' end as record_type, case when page_id <> keep then keep end as refers_to from p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express: not tokenisation, trained models, aligned templates or dealt copies."""
     return {
         "op1_ngram_jaccard_join": _LINKS,
         "op2_quality_rules": _RULES,
         "op11_periodic_runs": _RUNS,
+        "op12_warc": _WARC,
         "op5_exact_dedup": f"select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256 from (select doc_id, {_NORMAL} as norm from documents) q window w as (partition by norm)",
     }
