@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from typing import ClassVar
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,18 +22,40 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where folders opened by this thread's innermost ``owned`` are listed.
+_OPENED: ContextVar[list[Work] | None] = ContextVar("opened", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[None]:
+    """Closes the folders that this thread opens inside: for who writes a result that needed them, and then needs them no more."""
+    mine: list[Work] = []
+    token = _OPENED.set(mine)
+    try:
+        yield
+    finally:
+        _OPENED.reset(token)
+        for work in mine:
+            work.close()
+
+
 class Work:
     """A scratch folder of one operator call: tables are written there and read back, which cuts lineage.
 
     A written table survives the loss of any executor; nothing is kept in executors' memory or disks.
+    The folder goes when it is closed (see ``owned``), or else with the application, unless it is to be kept.
     """
 
-    #: Folders opened and not yet closed, oldest first: who has written a result that needed them can close them.
-    opened: ClassVar[list[Work]] = []
-
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
         self.spark, self.path = spark, f"{shared_folder(spark)}/annolith/{name}-{uuid.uuid4().hex}"
-        Work.opened.append(self)
+        if not keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            store.mkdirs(path)
+            store.deleteOnExit(path)
+        mine = _OPENED.get()
+        if mine is not None and not keep:
+            mine.append(self)
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         where = f"{self.path}/{name}"
@@ -46,8 +70,6 @@ class Work:
     def close(self) -> None:
         """Deletes the whole folder."""
         self._delete(self.path)
-        if self in Work.opened:
-            Work.opened.remove(self)
 
     def _delete(self, where: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
