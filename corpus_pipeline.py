@@ -14,6 +14,7 @@ from annolith.llm.language_id import with_known_language
 from annolith.llm.mixing import mixed_documents
 from annolith.llm.ngram_join import keep_one
 from annolith.llm.packing import pack
+from annolith.sources.work import owned
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,22 +23,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each text, the one of the largest doc_id."""
+    """Keeps one document of each text (A-Z as a-z), the one of the largest doc_id.
+
+    Null text equals the empty text.  A row without doc_id goes if another row has its text; of rows equal in text and doc_id one stays.  No rows give none.
+    """
     return deduplicate(spark, docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked at a Jaccard similarity of 0.8 of five-word shingles, the one of the smallest doc_id."""
+    """Keeps one document of each group linked at a Jaccard similarity of 0.8 of five-word shingles, the one of the smallest doc_id.
+
+    Null, empty and blank texts link with nothing and stay, as do rows without doc_id; rows that share a doc_id stay or go together; texts of fewer words than five are one shingle.  No rows give none.
+    """
     return keep_one(spark, docs, width=5, percent=80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source gives its target of words."""
+    """Repeats or leaves out documents so that each source gives its target of words.
+
+    Null source and null language are values of their own.  Texts without words (null, empty, blank) change no total; rows that share a doc_id share their number of copies.  No rows give none.
+    """
     return mixed_documents(spark, docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of 2048 tokens."""
+    """Packs all documents into sequences of 2048 tokens.
+
+    Null and empty texts are packed as their end id; a null source is a queue of its own; repeated rows are each packed.  No rows give none.
+    """
     return pack(spark, docs)
 
 
@@ -58,10 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        before = set(map(id, Work.opened))
-        docs = work.table(stage(spark, docs, sf_dir), name)
-        for own in [w for w in Work.opened if id(w) not in before]:
-            own.close()
+        with owned():  # what the stage has put into work folders
+            docs = work.table(stage(spark, docs, sf_dir), name)
         if k:
             work.drop(STAGES[k - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
