@@ -43,7 +43,7 @@ from .tokens import encode_column, tokenizer_path
 
 MAGIC = b"ANNOTOK1"
 NULL_ID = -(1 << 63)
-#: Documents whose ids train the dictionary, at most, and bytes of ids of each that are shown to it.
+#: Documents whose ids train the dictionary, at most, and characters of each (from a place drawn by its identifier) and bytes of their ids that are shown to it.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 4096, 65536
 #: A shard is closed when its ids exceed this.
 SHARD_BYTES = 8 << 20
@@ -65,7 +65,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     import zstandard
 
     ids = docs.select(F.col("doc_id").alias("picked")).where("picked is not null").distinct().orderBy(F.xxhash64("picked"), "picked").limit(SAMPLE)
-    picked = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("picked"))  # SAMPLE rows bound the broadcast
+    start = F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES + 1)).cast("int") + 1
+    picked = docs.select("doc_id", F.substring(F.col("text"), start, F.lit(SAMPLE_BYTES)).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("picked"))  # SAMPLE rows bound the broadcast
     rows = picked.groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
     samples = []
     for row in rows:

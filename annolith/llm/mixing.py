@@ -193,6 +193,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it (0 to CAP times)."""
     copies = mix(spark, docs, Work(spark, "mixing"))
     # Rows that share a doc_id share their copies; where they differ, each such row takes the mean, rounded.
-    by_id = copies.groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("own copies")).withColumnRenamed("doc_id", "own id")
-    joined = docs.join(by_id, F.expr("doc_id <=> `own id`"))
-    return joined.withColumn("own copies", F.explode(F.expr("array_repeat(1, `own copies`)"))).select(*docs.columns)
+    by_id = copies.groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("copies")).withColumnRenamed("doc_id", "own_id")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # by place: docs may have any names
+    joined = docs.toDF(*names).join(by_id, F.expr(f"{names[docs.columns.index('doc_id')]} <=> own_id"))
+    return joined.withColumn("copy", F.explode(F.expr("array_repeat(1, copies)"))).select(*names).toDF(*docs.columns)

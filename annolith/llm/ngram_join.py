@@ -558,6 +558,8 @@ def _joined(spark: SparkSession, docs: DataFrame, width: int, percent: int, repo
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id; all its columns.  Rows without doc_id stay."""
     found = Work(spark, "ngrams-kept").table(ngram_jaccard_join(spark, docs, width, percent), "joined")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone id")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     few = gone.count() <= MOST_BROADCAST  # 8 bytes each; beyond that both sides are shuffled
-    return docs.join(F.broadcast(gone) if few else gone, F.expr("doc_id = `gone id`"), "left_anti")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # by place: docs may have any names
+    doc_id = names[docs.columns.index("doc_id")]
+    return docs.toDF(*names).join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col("gone_id"), "left_anti").toDF(*docs.columns)

@@ -9,7 +9,7 @@ partitions, and every task cuts its own documents without waiting for another.
 
 ``targets`` are weights of the sources; without them the proportions are the corpus's own, which empty
 all queues at once.  With other targets some queue runs dry first: the mixture then goes on with
-the others, in the same proportions among them (a new phase; the last of MOST_PHASES takes what is left in its own proportions).
+the others, in the same proportions among them (a new phase; there are as many as queues at most).
 Every token is packed.  What is left over after the full windows of a phase, less than a window, follows them queue by queue.
 All sequences are full but those of the end, which are powers of two and need no padding.
 
@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from .common import Work, binary_array, tidy
 from .tokens import encode_column, encoder, tokenizer_path
 
-LEAST_RUN, MOST_PHASES = 1024, 64
+LEAST_RUN = 1024
 ENCODED = "doc_id long, source string, part int, local long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -102,7 +102,7 @@ class Schedule:
         left = list(totals)
         while any(left):
             share = None if weights is None else [w if x else 0 for w, x in zip(weights, left, strict=True)]
-            if share is None or not any(share) or len(self.phases) == MOST_PHASES - 1:
+            if share is None or not any(share):
                 give = list(left)
             else:
                 lasts = min(Fraction(x) / Fraction(w) for x, w in zip(left, share, strict=True) if w)

@@ -1,8 +1,11 @@
+import os
 import random
+import threading
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -10,6 +13,7 @@ from annolith.llm import language_id, mixing, ngram_join
 from annolith.llm.common import Work
 from annolith.llm.ngram_join import Similarity
 from annolith.llm.tokens import tokenizer_path
+from annolith.sources.work import owned, shared_folder
 
 from .conftest import docs_of, words
 
@@ -173,12 +177,45 @@ def test_pipeline_equals_brute_force(spark, near_rows, tmp_path):
     assert got == want
     folder = str(tmp_path)
     docs_of(spark, near_rows).write.parquet(f"{folder}/documents.parquet")
-    opened = len(Work.opened)
+    root = shared_folder(spark).removeprefix("file://") + "/annolith"
+    before = set(os.listdir(root))
     whole = Counter()
     for r in corpus_pipeline.run(spark, folder).collect():
         whole[r.doc_id] += r.length
     assert whole == want
-    assert len(Work.opened) - opened <= 2  # the stages' documents and the packing
+    assert {x.rpartition("-")[0].partition("-")[0] for x in set(os.listdir(root)) - before} == {"pipeline", "packing"}  # what the result is read from
+
+
+def test_stages_take_columns_of_any_name(spark, docs, no_docs):
+    """Names that stages use inside, and an empty table, from the first stage to the last."""
+    clashing = ["gone_id", "own_id", "copies", "copy", "c0", "kept_id", "own_sha", "part", "component_id", "text_sha256", "rate"]
+    for own in (docs, no_docs):
+        for c in clashing:
+            own = own.withColumn(c, F.lit(3))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, own, "")
+            assert kept.columns == own.columns
+            rows = kept.collect()
+            assert all(r[c] == 3 for r in rows for c in clashing)
+            own = spark.createDataFrame(rows, own.schema)
+        assert (corpus_pipeline.STAGES[-1][1](spark, own, "").count() > 0) == (own.count() > 0)
+
+
+def test_owned_folders_are_those_of_the_thread(spark):
+    other = []
+    with owned():
+        mine = Work(spark, "mine")
+        mine.table(spark.range(3), "t")
+        thread = threading.Thread(target=lambda: other.append(Work(spark, "other")))
+        thread.start()
+        thread.join()
+        kept = Work(spark, "kept", keep=True)
+        kept.table(spark.range(3), "t")
+        other[0].table(spark.range(3), "t")
+    exists = [os.path.exists(w.path.removeprefix("file://")) for w in (mine, kept, *other)]
+    assert exists == [False, True, True]
+    kept.close()
+    other[0].close()
 
 
 def test_queries_are_registered():

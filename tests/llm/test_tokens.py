@@ -152,6 +152,13 @@ def test_targets_rule_until_a_queue_runs_dry(seed):
                 assert abs(held[k] - first.window * first.windows * w / share) <= first.windows + 2 + first.window * 0.05
 
 
+def test_every_queue_can_end_a_phase():
+    totals = [1000 * (k + 1) for k in range(100)]
+    plan = packing.Schedule(totals, 64, [1] * 100)
+    assert len(plan.phases) == 100
+    _placed(plan, totals)
+
+
 def test_packing_to_targets(spark, docs, rows):
     got = packing.pack(spark, docs, capacity=64, targets={"a": 3, "b": 1}).collect()
     plain = packing.pack(spark, docs, capacity=64).collect()
