@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,9 +76,24 @@ def issue_status(issues: DataFrame, severity: str) -> DataFrame:
     return row.select("n_errors", "n_issues", F.expr("case when n_errors > 0 then 'FAIL' when n_issues > 0 then 'REVIEW_REQUIRED' else 'PASS' end").alias("status"))
 
 
+def told_apart(items: DataFrame, *content: str) -> Column:
+    """The contents as one text that no other contents give: each value with its length before it, nulls with a sign of their own, nested values as JSON."""
+    kinds = {f.name: f.dataType.typeName() for f in items.schema.fields}
+    parts = []
+    for c in content:
+        v = F.hex(c) if kinds[c] == "binary" else F.to_json(F.struct(c)) if kinds[c] in ("array", "map", "struct", "variant") else F.col(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("N;")))
+    return F.concat(*parts)
+
+
+def row_digest(*columns: str) -> Column:
+    """A 64-bit hash of a row, nulls in their places."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+
+
 def fingerprint(items: DataFrame, key: str, *content: str) -> DataFrame:
-    """key, sha256 of the contents."""
-    return items.select(F.col(key).alias("key"), F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]), 256).alias("sha256"))
+    """key, sha256 of the contents: different contents never give one text to hash."""
+    return items.select(F.col(key).alias("key"), F.sha2(told_apart(items, *content), 256).alias("sha256"))
 
 
 def snapshot_difference(before: DataFrame, after: DataFrame) -> DataFrame:

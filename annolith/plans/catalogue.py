@@ -428,12 +428,12 @@ QUERIES["stream_display_ids"] = votes.stream_display_ids
 
 
 def queries() -> dict:
-    from annolith.plans import curation, evaluation, streams  # noqa: F401  (they register theirs)
+    from annolith.plans import curation, evaluation, stores, streams  # noqa: F401  (they register theirs)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from annolith.plans import curation, evaluation, streams
+    from annolith.plans import curation, evaluation, stores, streams
 
-    return {k: v for k, v in (ORACLES | curation.ORACLES | evaluation.ORACLES | streams.ORACLES).items() if k in queries()}
+    return {k: v for k, v in (ORACLES | curation.ORACLES | evaluation.ORACLES | streams.ORACLES | stores.ORACLES).items() if k in queries()}

@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
     "sampling_stats": f"with {TIERS}, t as (select count(*) as n, sum(tier) as s from tiers), w as (select 1.0::double + tier * (case when s > 0 then least(0.1::double * n / s, 1.0::double / 3) else 0.0::double end) as weight, n from tiers, t), p as (select weight / (select sum(weight) from w) as p, n from w) select max(n) as n, round(max(p * n), 9) as max_draws, round(sum(1 - pow(1 - p, n)), 4) as expected_unique, round(1 / sum(p * p), 4) as effective_size, 'PASS' as risk from p",
     "class_exposure": f"with {TIERS}, t as (select count(*) as n, sum(tier) as s from tiers), w as (select *, 1.0::double + tier * (case when s > 0 then least(0.1::double * n / s, 1.0::double / 3) else 0.0::double end) as weight from tiers, t), e as (select *, weight / (select sum(weight) from w) * n as e from w) select 'n0' as class, sum(n0) as baseline, round(sum(n0 * e), 6) as expected from e union all select 'n1', sum(n1), round(sum(n1 * e), 6) from e",
     "weighted_sample": f"with {TIERS}, c as (select img, sum(1 + tier) over (order by img) as upto, 1 + tier as w from tiers), u as (select o_orderkey as draw, (o_orderkey * 7919 + o_custkey * 31) % (select sum(1 + tier) from tiers) as u from orders) select draw, img as key from u join c on u.u < c.upto and u.u >= c.upto - c.w",
-    "fingerprint": "select doc_id as key, sha256(concat(coalesce(text, ''), '|', coalesce(lang, ''))) as sha256 from documents",
+    "fingerprint": "select doc_id as key, sha256(coalesce(length(text) || ':' || text, 'N;') || coalesce(length(lang) || ':' || lang, 'N;')) as sha256 from documents",
     "verify_snapshot": "with a as (select doc_id as key, sha256(text) as h from documents where doc_id % 7 <> 0), b as (select doc_id as key, sha256(case when doc_id % 11 = 0 then concat(text, '!') else text end) as h from documents where doc_id % 5 <> 0) select coalesce(a.key, b.key) as key, case when a.key is null then 'ADDED' when b.key is null then 'REMOVED' else 'CHANGED' end as change from a full join b on a.key = b.key where a.h is distinct from b.h",
     "argument_drift": "with a as (select n_name as key, (n_regionkey % 3)::varchar as v from nation where n_nationkey % 5 <> 1), b as (select n_name as key, (n_regionkey % 2)::varchar as v from nation where n_nationkey % 7 <> 2) select coalesce(a.key, b.key) as key, a.v as actual, b.v as baseline, case when coalesce(a.key, b.key) in (select n_name from nation where n_nationkey in (3, 8)) and a.v is distinct from b.v then 'EXPECTED_DIFFERENCE' when a.v = b.v then 'MATCH' else 'DRIFT' end as status from a full join b on a.key = b.key",
     "curve_summary": "with m as (select o_orderpriority as run, row_number() over (partition by o_orderpriority order by date_trunc('month', o_orderdate)) as epoch, sum(round(o_totalprice * 100)::bigint) as v from orders group by o_orderpriority, date_trunc('month', o_orderdate)), r as (select *, row_number() over (partition by run order by epoch desc) as d from m) select run, first(epoch order by v desc, epoch) as best, avg(v) filter (epoch <= 5) as first_mean, avg(v) filter (d <= 5) as last_mean, min(v) as minimum, max(v) as maximum, true as contiguous from r group by 1",
