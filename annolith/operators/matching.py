@@ -166,6 +166,9 @@ def image_difficulty(objects: DataFrame, images: DataFrame) -> DataFrame:
     return out.select("img", "n_objects", "n_hard", "n_hard1", (F.col("n_objects") >= 3).alias("crowded"), (F.col("n_classes") > 1).alias("multi_class"), "tier")
 
 
+TIE = 1e-9
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row in an assignment of least total cost (rows <= columns): shortest augmenting paths with potentials, O(n^3)."""
     n, m = cost.shape
@@ -201,8 +204,13 @@ def assign(cost: np.ndarray) -> np.ndarray:
 
 
 def hungarian(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
-    """img, i, j, iou: the assignment of largest total overlap of each image, of which pairs below ``least`` are dropped afterwards."""
+    """img, i, j, iou: the assignment of largest total overlap of each image, of which pairs below ``least`` are dropped afterwards.
+
+    Of equal totals the one that keeps the order of the indices is taken: TIE * i / (i + 1) * j / (j + 1) counts on top of a pair's overlap.
+    """
+    # Pairs without overlap add nothing to a total: they are left out, unless they would be told.
     pairs = edges(gt, pred, -1.0, same_class=None, measure=iou_floored("g_", "p_")).select("img", "i", "j", "iou")
+    pairs = pairs.where("iou > 0") if least > 0 else pairs
 
     kinds = dict(pairs.dtypes)
     frames = pairs.groupBy("img").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"), F.collect_list("iou").alias("iou"))  # the pairs of one image
@@ -215,8 +223,10 @@ def hungarian(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
             rows, at_row = np.unique(b, return_inverse=True)
             table = np.zeros((len(rows), len(cols)))
             table[at_row, at_col] = v
+            value = table.copy()
+            value[at_row, at_col] += TIE * (cols / (cols + 1))[at_col] * (rows / (rows + 1))[at_row]
             flip = len(rows) > len(cols)
-            best = assign(-table.T if flip else -table)
+            best = assign(-value.T if flip else -value)
             other = np.arange(len(best))
             r, c = (best, other) if flip else (other, best)
             out.append([{"i": int(cols[y]), "j": int(rows[x]), "iou": float(table[x, y])} for x, y in zip(r, c, strict=True)])

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from annolith.operators.audit import coverage
 from annolith.operators.matching import hungarian
+from annolith.sources.work import Work
 
 
 def changes(rows: DataFrame, key: str, order: list[str], value: str, alias: str = "n_changes") -> DataFrame:
@@ -57,23 +59,58 @@ def smoothed_class(rows: DataFrame, track: str, order: list[str], cls: str, conf
     return own.repartition(track).sortWithinPartitions(track, *order, "c_", "p_").mapInArrow(walk, shape)
 
 
-def tracking_metrics(gt: DataFrame, out: DataFrame, least: float = 0.5) -> DataFrame:
-    """One row of scores.  gt: img (frame), j, object, c, box; out: img, i, track, c, s, box.
+def frame_violations(truth: DataFrame, outputs: DataFrame) -> DataFrame:
+    """img, problem of the frames that one side alone covers (both: img, one row a frame at least): ONLY_TRUTH or ONLY_OUTPUT.  Frames without boxes count as covered."""
+    found = coverage(truth, outputs, "img")
+    return found.select(F.col("key").alias("img"), F.when(F.col("side") == "ONLY_LEFT", "ONLY_TRUTH").otherwise("ONLY_OUTPUT").alias("problem"))
 
-    Frames are matched by assignment of largest total overlap; switches and
-    flips look back along an object, transfers along a track, over matched rows alone.
-    """
+
+def matched_rows(gt: DataFrame, out: DataFrame, least: float = 0.5) -> DataFrame:
+    """img, j, scene, object, gc, track, oc, iou of every match, frame by frame by assignment of largest total overlap."""
     m = hungarian(gt.select("img", "j", "c", "x1", "y1", "x2", "y2"), out.select("img", "i", "c", "s", "x1", "y1", "x2", "y2"), least)
-    rows = m.join(gt.select("img", "j", "object", F.col("c").alias("gc")), ["img", "j"]).join(out.select("img", "i", "track", F.col("c").alias("oc")), ["img", "i"])
-    by_object, by_track = Window.partitionBy("object").orderBy("img", "j"), Window.partitionBy("track").orderBy("img", "j")
-    told = rows.withColumns({"id0": F.lag("track").over(by_object), "c0": F.lag("oc").over(by_object), "o0": F.lag("object").over(by_track)})
-    s = told.agg(F.count("*").alias("matched"), F.count_if(F.col("id0") != F.col("track")).alias("id_switches"), F.count_if(F.col("o0") != F.col("object")).alias("id_transfers"), F.count_if(F.col("c0") != F.col("oc")).alias("class_flips"), F.count_if(F.col("gc") == F.col("oc")).alias("class_correct"))
-    ids = rows.groupBy("object").agg(F.count_distinct("track").alias("k")).agg(F.avg("k").alias("mean_ids_per_object"))
-    spans = rows.groupBy("track").agg(F.count_distinct("object").alias("k")).agg(F.count_if(F.col("k") > 1).alias("ids_spanning_objects"))
-    n = gt.agg(F.count("*").alias("gt_boxes"), F.count_distinct("object").alias("gt_objects")).crossJoin(out.agg(F.count("*").alias("outputs")))
-    one = n.crossJoin(s).crossJoin(ids).crossJoin(spans)  # one row each
-    part = lambda a, b: f"coalesce(try_divide(cast({a} as double), {b}), 0D)"
-    return one.select("gt_boxes", "gt_objects", "outputs", "matched", "id_switches", "id_transfers", "class_flips", "mean_ids_per_object", "ids_spanning_objects", F.expr(part("matched", "gt_boxes")).alias("recall"), F.expr(part("matched", "outputs")).alias("precision"), F.expr(part("class_correct", "matched")).alias("class_accuracy"), F.expr("1D - try_divide(cast(gt_boxes - matched + outputs - matched + id_switches as double), gt_boxes)").alias("mota"))
+    return m.join(gt.select("img", "j", "scene", "object", F.col("c").alias("gc")), ["img", "j"]).join(out.select("img", "i", "track", F.col("c").alias("oc")), ["img", "i"])
+
+
+def identity_changes(rows: DataFrame) -> DataFrame:
+    """Adds switch, transfer, scene_transfer and flip to matched rows.
+
+    switch: the track differs from the last one that the object (scene, object) was matched to; rows without a track are looked over, and none themselves.
+    transfer: the object differs from the last one of the track (in a frame the truths come in order); scene_transfer: its scene does.  flip: the class shown differs from
+    that of the object's match before, tracked or not.
+    """
+    by_object = Window.partitionBy("scene", "object").orderBy("img", "j").rowsBetween(Window.unboundedPreceding, -1)
+    by_track = Window.partitionBy("track").orderBy("img", "j").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("track").isNotNull()
+    before = rows.withColumns({"t0_": F.last("track", ignorenulls=True).over(by_object), "c0_": F.last("oc").over(by_object), "o0_": F.when(known, F.last(F.struct("scene", "object")).over(by_track))})
+    other = F.coalesce(known & (F.col("o0_") != F.struct("scene", "object")), F.lit(False))
+    told = before.withColumns({"switch": F.coalesce(known & (F.col("t0_") != F.col("track")), F.lit(False)), "transfer": other, "scene_transfer": other & (F.col("o0_.scene") != F.col("scene")), "flip": F.coalesce(F.col("c0_") != F.col("oc"), F.lit(False))})
+    return told.drop("t0_", "c0_", "o0_")
+
+
+def tracking_metrics(gt: DataFrame, out: DataFrame, least: float = 0.5, target: int = 1, frames: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row of scores.  gt: img (frame), scene, j, object, c, box; out: img, i, track (null: not tracked), c, s, box.
+
+    frames: the frames that both sides cover (img); a frame of one side alone is an error, found before anything is matched.
+    Without any track, what is said of identities is null and MOTA leaves switches out.
+    target_recall: of the truths of class ``target``, those matched and shown as such.  Matches are written once and read for all scores.
+    """
+    if frames is not None and (wrong := frame_violations(*frames).limit(5).collect()):
+        raise ValueError(f"truth and outputs cover different frames: {', '.join(f'{r.img} {r.problem}' for r in wrong)}")
+    rows = Work(gt.sparkSession, "tracking").table(matched_rows(gt, out, least), "matched")
+    flags = {"id_switches": "switch", "id_transfers": "transfer", "scene_id_transfers": "scene_transfer", "class_flips": "flip"}
+    sums = identity_changes(rows).agg(F.count("*").alias("matched"), *[F.count_if(c).alias(n) for n, c in flags.items()], F.count_if(F.expr("gc = oc")).alias("class_correct"), F.count_if(F.expr(f"gc = {target} and oc = {target}")).alias("target_shown"))
+    tracked = rows.where("track is not null")
+    ids = tracked.groupBy("scene", "object").agg(F.count_distinct("track").alias("k")).agg(F.avg("k").alias("mean_ids_per_object"))
+    spans = tracked.groupBy("track").agg(F.count_distinct("scene", "object").alias("k")).agg(F.count_if(F.col("k") > 1).alias("ids_spanning_objects"))
+    truths = gt.agg(F.count("*").alias("gt_boxes"), F.count_distinct("scene", "object").alias("gt_objects"), F.count_if(F.col("c") == target).alias("targets"))
+    one = truths.crossJoin(out.agg(F.count("*").alias("outputs"), (F.count("track") > 0).alias("tracked"))).crossJoin(sums).crossJoin(ids).crossJoin(spans)  # one row each
+    part = lambda a, b: F.expr(f"coalesce(try_divide(cast({a} as double), {b}), 0D)")
+    only = lambda c: F.expr(f"if(tracked, {c}, null)").alias(c)
+    return one.select(
+        "tracked", "gt_boxes", "gt_objects", "outputs", "matched", F.expr("outputs - matched").alias("false_positives"), *[only(c) for c in ("id_switches", "id_transfers", "scene_id_transfers", "ids_spanning_objects", "mean_ids_per_object")], "class_flips",
+        part("matched", "gt_boxes").alias("recall"), part("matched", "outputs").alias("precision"), part("class_correct", "matched").alias("class_accuracy"), part("target_shown", "targets").alias("target_recall"),
+        F.expr("1D - try_divide(cast(gt_boxes - matched + outputs - matched + if(tracked, id_switches, 0) as double), gt_boxes)").alias("mota"),
+    )
 
 
 def curve_summary(rows: DataFrame, key: str, order: str, value: str, ends: int = 5) -> DataFrame:

@@ -46,6 +46,19 @@ def outcome(model: str) -> str:
     return f"select gt.img, gt.j, gt.c, case when m.i is not null then 'CORRECT' when x.i is not null then 'CLASS_CONFUSION' else 'MISSED' end as outcome, coalesce(m.i, x.i) as i from gt left join {model}m m on m.img = gt.img and m.j = gt.j left join {model}x x on x.img = gt.img and x.j = gt.j"
 
 
+def assigned(gt: str = "gt", pred: str = "ap") -> str:
+    """CTEs that end in hm (img, i, j, iou): of all ways to pair the boxes of an image that overlap the one of the largest total overlap."""
+    inter = "(greatest(0.0::double, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0.0::double, least(g.y2, p.y2) - greatest(g.y1, p.y1)))"
+    over = f"{inter} / greatest((g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - {inter}, 1e-9::double)"
+    return f"""he as (select g.img, g.j, p.i, {over} as iou from {gt} g join {pred} p on g.img = p.img where {inter} > 0),
+hj as (select img, j, row_number() over (partition by img order by j) as k from (select distinct img, j from he) q),
+ho as (select img, j, i, iou, iou + 1e-9::double * (i / (i + 1) * (j / (j + 1))) as v from he union all select distinct img, j, null, 0.0, 0.0 from he),
+ht(img, k, used, found, total) as (select distinct img, 0::bigint, []::bigint[], []::struct(i bigint, j bigint, iou double)[], 0.0::double from he union all
+  select t.img, t.k + 1, case when o.i is null then used else list_append(used, o.i) end, case when o.i is null then found else list_append(found, {{'i': o.i, 'j': o.j, 'iou': o.iou}}) end, total + o.v
+  from ht t join hj on hj.img = t.img and hj.k = t.k + 1 join ho o on o.img = hj.img and o.j = hj.j where o.i is null or not list_contains(used, o.i)),
+hm as (select img, x.i as i, x.j as j, x.iou as iou from (select img, unnest(arg_max(found, (k, total))) as x from ht group by img) q where x.iou >= 0.5)"""
+
+
 HEAD = f"with recursive gt as ({GT}), "
 
 
@@ -169,3 +182,13 @@ _DIFFICULTY = f"""{HEAD}{matched('qa')}, used as (select img, i, j from qam unio
 ORACLES["object_difficulty"] = f"{_DIFFICULTY} select img, j, c, category, duplicates, hard from graded"
 ORACLES["difficulty_tiers"] = f"""{_DIFFICULTY} select img, count(*) as n_objects, count(*) filter (hard) as n_hard, count(*) filter (hard and c = 1) as n_hard1, count(*) >= 3 as crowded, count(distinct c) > 1 as multi_class,
  max(case when category = 'MISSED_NO_CORRECT_CLASS_PROPOSAL' then 3 when category in ('CLASS_CONFUSION', 'MATCH_COMPETITION') then 2 when hard then 1 else 0 end) as tier from graded group by 1"""
+_RUN = """select '{0}' as run, * from (select count(*) as gt_boxes, count(distinct (img // 100, j)) as gt_objects, count(*) filter (c = 1) as targets from gt) a, (select count(*) as outputs, count(track) > 0 as tracked from {0}) b,
+ (select count(*) as matched, count(*) filter (t0 <> track) as id_switches, count(*) filter (track is not null and o0 <> o) as id_transfers, count(*) filter (track is not null and o0 <> o and o0.scene <> o.scene) as scene_id_transfers, count(*) filter (c0 <> oc) as class_flips, count(*) filter (gc = oc) as right_, count(*) filter (gc = 1 and oc = 1) as shown
+  from (select *, last_value(track ignore nulls) over (partition by o order by img, j rows between unbounded preceding and 1 preceding) as t0, lag(oc) over (partition by o order by img, j) as c0, lag(o) over (partition by track order by img, j) as o0 from {0}_m) q) c,
+ (select avg(k) as mean_ids_per_object from (select count(distinct track) as k from {0}_m where track is not null group by o) q) d, (select count(*) filter (k > 1) as ids_spanning_objects from (select count(distinct o) as k from {0}_m where track is not null group by track) q) e"""
+_TRACK = "{0} as (select *, {1} as track from ap), {0}_m as (select hm.img, hm.j, {{'scene': hm.img // 100, 'number': hm.j}} as o, g.c as gc, p.c as oc, p.track from hm join gt g on g.img = hm.img and g.j = hm.j join {0} p on p.img = hm.img and p.i = hm.i)"
+ORACLES["hungarian_match"] = f"{HEAD} ap as ({PRED_A}), {assigned()} select * from hm"
+ORACLES["tracking_metrics"] = f"""{HEAD} ap as ({PRED_A}), {assigned()}, {_TRACK.format('tracked', 'case when (img + i) % 11 > 0 then i * 2 + img % 2 end')}, {_TRACK.format('plain', 'null::bigint')}, r as ({_RUN.format('tracked')} union all {_RUN.format('plain')})
+ select run, tracked, gt_boxes, gt_objects, outputs, matched, outputs - matched as false_positives, case when tracked then id_switches end as id_switches, case when tracked then id_transfers end as id_transfers, case when tracked then scene_id_transfers end as scene_id_transfers, case when tracked then ids_spanning_objects end as ids_spanning_objects,
+  case when tracked then mean_ids_per_object end as mean_ids_per_object, class_flips, matched / gt_boxes as recall, matched / outputs as "precision", right_ / matched as class_accuracy, shown / targets as target_recall, 1 - (gt_boxes - matched + outputs - matched + case when tracked then id_switches else 0 end) / gt_boxes as mota from r"""
+ORACLES["frame_violations"] = "with o as (select o_orderkey as img, o_orderdate < date '1998-01-01' as truth, o_custkey % 7 <> 0 as output from orders) select distinct img, case when truth then 'ONLY_TRUTH' else 'ONLY_OUTPUT' end as problem from o where truth <> output"

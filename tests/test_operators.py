@@ -401,15 +401,72 @@ def test_early_stopping_and_summary(spark):
     assert {r.run: r.best for r in tracking.curve_summary(rows, "run", "epoch", "v").collect()} == {"z": 1, "r": 2}
 
 
+GT_ROWS = "img long, scene long, j int, object long, c int, x1 double, y1 double, x2 double, y2 double"
+OUT_ROWS = "img long, i int, track long, c int, s double, x1 double, y1 double, x2 double, y2 double"
+
+
+def tracking_score(gt, out, target=1):
+    """The scores frame by frame, from the definitions; every assignment is tried."""
+    n = {k: 0 for k in ("matched", "switch", "transfer", "scene", "flip", "right", "shown")}
+    last_id, last_class, last_object, ids, spans = {}, {}, {}, defaultdict(set), defaultdict(set)
+    for f in sorted({g[0] for g in gt}):
+        g, o = [x for x in gt if x[0] == f], [x for x in out if x[0] == f]
+        best = (-1.0, [])
+        for order in itertools.permutations([*range(len(o)), *[None] * len(g)], len(g)):
+            pairs = [(a, o[k], overlap(a[5:], o[k][5:])) for a, k in zip(g, order, strict=True) if k is not None]
+            tie = sum(1e-9 * (a[2] / (a[2] + 1)) * (b[1] / (b[1] + 1)) for a, b, v in pairs if v > 0)
+            best = max(best, (sum(p[2] for p in pairs) + tie, pairs), key=lambda x: x[0])
+        for a, b, v in sorted(best[1], key=lambda p: p[0][2]):
+            if v < 0.5:
+                continue
+            key, track = (a[1], a[3]), b[2]
+            n["matched"] += 1
+            if track is not None:
+                n["switch"] += last_id.get(key, track) != track
+                n["transfer"] += last_object.get(track, key) != key
+                n["scene"] += last_object.get(track, key)[0] != key[0]
+                last_id[key], last_object[track] = track, key
+                ids[key].add(track)
+                spans[track].add(key)
+            n["flip"] += last_class.get(key, b[3]) != b[3]
+            last_class[key] = b[3]
+            n["right"] += a[4] == b[3]
+            n["shown"] += a[4] == target == b[3]
+    tracked = any(o[2] is not None for o in out)
+    missed, extra = len(gt) - n["matched"], len(out) - n["matched"]
+    of = lambda a, b: a / b if b else 0.0
+    told = (n["switch"], n["transfer"], n["scene"], sum(len(x) > 1 for x in spans.values()), sum(map(len, ids.values())) / len(ids) if ids else None) if tracked else (None,) * 5
+    return (tracked, len(gt), len({(g[1], g[3]) for g in gt}), len(out), n["matched"], extra, *told, n["flip"], of(n["matched"], len(gt)), of(n["matched"], len(out)), of(n["right"], n["matched"]), of(n["shown"], sum(g[4] == target for g in gt)), 1 - (missed + extra + (n["switch"] if tracked else 0)) / len(gt) if gt else None)
+
+
 def test_tracking_counts(spark):
-    # One object, five frames: the track changes once, is lost once, and its class flips twice.
-    gt = [(f, 0, 7, 0, 0.0, 0.0, 10.0, 10.0) for f in range(5)] + [(5, 0, 8, 0, 0.0, 0.0, 10.0, 10.0)]
-    out = [(0, 0, 1, 0), (1, 0, 1, 1), (2, 0, 2, 0), (4, 0, 2, 0), (5, 0, 2, 0)]
-    g = frame(spark, gt, "img long, j int, object long, c int, x1 double, y1 double, x2 double, y2 double")
-    o = frame(spark, [(f, i, t, c, 0.9, 0.0, 0.0, 10.0, 10.0) for f, i, t, c in out], "img long, i int, track long, c int, s double, x1 double, y1 double, x2 double, y2 double")
-    r = tracking.tracking_metrics(g, o).first()
-    assert (r.gt_boxes, r.outputs, r.matched, r.id_switches, r.id_transfers, r.class_flips) == (6, 5, 5, 1, 1, 2)
-    assert r.mota == 1 - (1 + 0 + 1) / 6
+    # One object whose track is 5, unknown, 7: the unknown one is looked over, so that is one switch.
+    gt = [(f, 0, 0, 7, 0, 0.0, 0.0, 10.0, 10.0) for f in range(3)] + [(3, 1, 0, 7, 0, 0.0, 0.0, 10.0, 10.0)]
+    out = [(0, 0, 5, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 0, None, 1, 0.9, 0.0, 0.0, 10.0, 10.0), (2, 0, 7, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (3, 0, 7, 0, 0.9, 0.0, 0.0, 10.0, 10.0)]
+    r = tracking.tracking_metrics(frame(spark, gt, GT_ROWS), frame(spark, out, OUT_ROWS)).first()
+    assert (r.matched, r.id_switches, r.id_transfers, r.scene_id_transfers, r.class_flips, r.ids_spanning_objects) == (4, 1, 1, 1, 2, 1)
+    rng = random.Random(12)
+    for k in range(6):
+        gt, out = [], []
+        for f in range(12):
+            for j in range(rng.randint(0, 3)):
+                x, y = rng.randint(0, 12), rng.randint(0, 12)
+                gt.append((f, f // 5, j, rng.randint(0, 1) * 10 + j, rng.randint(0, 1), float(x), float(y), float(x + 10), float(y + 10)))
+            for i in range(rng.randint(0, 4)):
+                x, y = rng.randint(0, 12), rng.randint(0, 12)
+                out.append((f, i, rng.choice([None, 1, 2, 3]) if k else None, rng.randint(0, 1), 0.5, float(x), float(y), float(x + 10), float(y + 10)))
+        got = tracking.tracking_metrics(frame(spark, gt, GT_ROWS), frame(spark, out, OUT_ROWS)).first()
+        assert tuple(got) == pytest.approx(tracking_score(gt, out))
+    empty = tracking.tracking_metrics(frame(spark, [], GT_ROWS), frame(spark, [], OUT_ROWS)).first()
+    assert (empty.matched, empty.recall, empty.mota, empty.tracked, empty.id_switches) == (0, 0.0, None, False, None)
+
+
+def test_unequal_frames_are_an_error(spark):
+    gt, out = frame(spark, [], GT_ROWS), frame(spark, [], OUT_ROWS)
+    frames = spark.range(4).toDF("img"), spark.range(1, 6).toDF("img")
+    assert sorted(map(tuple, tracking.frame_violations(*frames).collect())) == [(0, "ONLY_TRUTH"), (4, "ONLY_OUTPUT"), (5, "ONLY_OUTPUT")]
+    with pytest.raises(ValueError, match="different frames"):
+        tracking.tracking_metrics(gt, out, frames=frames)
 
 
 def test_sampling_weights(spark):
