@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,6 +67,24 @@ def canonical_id(text: pd.Series) -> pd.Series:
 SIDE, LOW = 32, 8
 
 
+def cosine_waves() -> list[list[float]]:
+    """waves[u][x]: the orthonormal cosine of frequency u at place x."""
+    return [[math.cos(math.pi * u * (2 * x + 1) / (2 * SIDE)) * math.sqrt((2 if u else 1) / SIDE) for x in range(SIDE)] for u in range(LOW)]
+
+
+def cosine_hash(grey: Column) -> Column:
+    """``perceptual_hash`` as native array arithmetic: rows, then columns times the waves, then a bit for each coefficient above the median of all but the first."""
+    waves = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in cosine_waves()) + ")")
+    line = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    dot = lambda of, u: F.aggregate(line(SIDE), F.lit(0.0), lambda a, x: a + of(x) * F.get(F.get(waves, u), x))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  (computed once, however often f names it)
+    rows = once(grey, lambda g: F.flatten(F.transform(line(SIDE), lambda y: F.transform(line(LOW), lambda v: dot(lambda x: F.get(g, y * SIDE + x), v)))))
+    both = once(rows, lambda r: F.flatten(F.transform(line(LOW), lambda u: F.transform(line(LOW), lambda v: dot(lambda y: F.get(r, y * LOW + v), u)))))
+    middle = LOW * LOW // 2 - 1
+    bits = once(both, lambda c: once(F.get(F.sort_array(F.slice(c, 2, LOW * LOW - 1)), F.lit(middle)), lambda m: F.transform(c, lambda x, k: F.when((k > 0) & (x > m), "1").otherwise("0"))))
+    return F.when(F.size(grey) == SIDE * SIDE, F.lower(F.lpad(F.conv(F.array_join(bits, ""), 2, 16), LOW * LOW // 4, "0")))
+
+
 @F.pandas_udf(T.StringType())
 def perceptual_hash(pixels: pd.Series) -> pd.Series:
     """Hexadecimal hash of images of SIDE * SIDE grey values: a bit for each of LOW * LOW low cosine coefficients.

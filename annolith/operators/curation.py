@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annolith.functions.text import hamming
 from annolith.operators.review import SPLIT_PRIORITY
+from annolith.sources.work import Work
 
 
 def pair_key(a: str, b: str) -> Column:
@@ -21,20 +22,42 @@ def group_signature(members: DataFrame, group: str, key: str, signature: str) ->
     return g.where("group_size > 1")
 
 
-def pairs_within(members: DataFrame, group: str, key: str, hash_: str, most: int = 1000) -> DataFrame:
-    """group, a, b, distance of the hashes of all member pairs of groups of at most ``most``.
+def pairs_within(members: DataFrame, group: str, key: str, hash_: str) -> DataFrame:
+    """group, a, b, distance of the hashes of all member pairs: for groups known to be small; see ``least_distances`` for others."""
+    a, b = members.select(F.col(group), F.col(key).alias("a"), F.col(hash_).alias("ha")), members.select(F.col(group).alias("g_b"), F.col(key).alias("b"), F.col(hash_).alias("hb"))
+    return a.join(b, F.expr(f"{group} = g_b and a < b")).select(group, "a", "b", F.expr(hamming("ha", "hb")).alias("distance"))
 
-    Larger groups give the pairs of neighbours in hash order alone (linear in their size): their exact minimum is what
-    ``near_pairs`` finds over all hashes.
+
+def least_distances(spark: SparkSession, members: DataFrame, group: str, key: str, hash_: str, pairs_up_to: int = 512) -> DataFrame:
+    """group, n, n_pairs, least_distance of the 64-bit hashes of groups of any size (of two members and more), exact.
+
+    A group in which a hash occurs twice has distance 0.  Groups of at most ``pairs_up_to`` hashes compare all pairs.  Larger ones use an index of four chunks of 16 bits
+    and radii that grow: if two hashes differ by at most 4 * k + 3 bits, some chunk of theirs differs by at most k, so round k looks
+    every chunk up with exactly k bits changed, and a group is done when its least distance so far is at most 4 * k + 3.  Lists of hashes are never gathered; a
+    round's look-ups are 4 * (16 over k) rows a hash, and few groups reach k = 3.
     """
-    sized = members.withColumn("size_", F.count("*").over(Window.partitionBy(group)))
-    small = sized.where(F.col("size_") <= most)
-    a, b = small.select(F.col(group), F.col(key).alias("a"), F.col(hash_).alias("ha")), small.select(F.col(group).alias("g_b"), F.col(key).alias("b"), F.col(hash_).alias("hb"))
-    found = a.join(b, F.expr(f"{group} = g_b and a < b"))
-    after = Window.partitionBy(group).orderBy(hash_, key)
-    large = sized.where(F.col("size_") > most).select(F.col(group), F.col(key).alias("x"), F.col(hash_).alias("ha"), F.lead(key).over(after).alias("y"), F.lead(hash_).over(after).alias("hb")).where("y is not null")
-    large = large.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ha", "hb")
-    return found.select(group, "a", "b", "ha", "hb").unionByName(large).select(group, "a", "b", F.expr(hamming("ha", "hb")).alias("distance"))
+    work = Work(spark, "least-distances")
+    sizes = members.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(hash_).alias("d_")).where("n > 1")
+    sizes = work.table(sizes, "sizes")
+    one = members.select(F.col(group).alias("g_"), F.col(hash_).alias("h_")).distinct().join(sizes.where("d_ = n").select(F.col(group).alias("s_"), "n"), F.col("g_") == F.col("s_")).drop("s_")
+    one = work.table(one, "hashes")
+    few, many = one.where(F.col("n") <= pairs_up_to).drop("n"), one.where(F.col("n") > pairs_up_to).drop("n")
+    told = few.alias("a").join(few.alias("b"), F.expr("a.g_ = b.g_ and a.h_ < b.h_")).groupBy(F.col("a.g_").alias("g_")).agg(F.min(F.expr(hamming("a.h_", "b.h_"))).alias("least"))
+    best = None
+    for k in range(17):
+        if many.isEmpty():
+            break
+        masks = [m for m in range(1 << 16) if m.bit_count() == k]  # 12,870 at most
+        chunks = many.select("g_", "h_", F.posexplode(F.array(*[F.expr(f"cast(shiftrightunsigned(h_, {16 * c}) & 65535 as int)") for c in range(4)])).alias("c", "v"))
+        wanted = chunks.join(F.broadcast(spark.createDataFrame([(m,) for m in masks], "m int"))).select(F.col("g_").alias("x_"), F.col("h_").alias("y_"), F.col("c").alias("xc"), F.expr("v ^ m").alias("xv")) if k else chunks.toDF("x_", "y_", "xc", "xv")
+        met = chunks.join(wanted, F.expr("g_ = x_ and c = xc and v = xv and h_ < y_")).groupBy("g_").agg(F.min(F.expr(hamming("h_", "y_"))).alias("least"))
+        best = work.table(met if best is None else best.unionByName(met).groupBy("g_").agg(F.min("least").alias("least")), f"best-{k}")
+        done = best.where(F.col("least") <= 4 * k + 3).select(F.col("g_").alias("done_"))
+        many = work.table(many.join(done, F.col("g_") == F.col("done_"), "left_anti"), f"open-{k}")
+    if best is not None:
+        told = told.unionByName(best)
+    least = F.when(F.col("d_") < F.col("n"), 0).otherwise(F.col("least"))
+    return sizes.join(told, F.col(group) == F.col("g_"), "left").select(group, "n", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"), least.cast("int").alias("least_distance"))
 
 
 def classified_pairs(pairs: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def audit_totals(spark, sf_dir):
 def source_group_pairs(spark, sf_dir):
     (vectors,) = tables(spark, sf_dir, "embeddings")
     hashes = duplicates.sign_hash(vectors, "vec_id", "embedding").withColumn("g", F.floor(F.col("key") / 4))
-    return curation.pairs_within(hashes, "g", "key", "hash").groupBy("g").agg(F.count("*").alias("n_pairs"), F.min("distance").alias("least_distance"))
+    return curation.least_distances(spark, hashes, "g", "key", "hash").select("g", "n_pairs", "least_distance")
 
 
 @query
