@@ -59,26 +59,21 @@ def metric_table_violations(rows: DataFrame, expected: DataFrame, scopes: list[s
 
     FOREIGN_KEY (a model, threshold or scope that is not expected), DUPLICATE_SCOPE, INVALID_COUNT, ARITHMETIC (saved ratios are not those of
     the counts), MISSING_SCOPE, OVERALL_SUM (the overall counts are not the sums of the classes).  expected: model, threshold.
+    Rows and expected keys are read once each: all checks come from one grouping by model and threshold.
     """
     known = expected.select("model", "threshold").distinct()
-    foreign = rows.join(known, ["model", "threshold"], "left_anti").unionByName(rows.where(~F.col("scope").isin(*scopes, "Overall")))
-    bad = lambda df, name: df.select("model", "threshold", F.lit(name).alias("problem")).distinct()
-    per = rows.groupBy("model", "threshold").agg(
-        F.count("*").alias("n"), F.count_distinct("scope").alias("k"),
-        *[F.sum(F.when(F.col("scope") == "Overall", F.col(c)).otherwise(-F.col(c))).alias(f"{c}_off") for c in ("tp", "fp", "fn")])
+    off = lambda c: F.sum(F.when(F.col("scope") == "Overall", F.col(c)).otherwise(-F.col(c)))
     ratio = lambda a, b: f"coalesce(try_divide(cast({a} as double), {b}), 0D)"
     right = {"precision": ratio("tp", "tp + fp"), "recall": ratio("tp", "tp + fn"), "f1": ratio("2 * tp", "2 * tp + fp + fn")}
-    wrong = " or ".join(f"not (abs({c} - {e}) <= 1e-12D)" for c, e in right.items())
-    present = known.join(per, ["model", "threshold"], "left")
-    parts = [
-        bad(foreign, "FOREIGN_KEY"),
-        bad(per.where("n > k"), "DUPLICATE_SCOPE"),
-        bad(rows.where("tp < 0 or fp < 0 or fn < 0"), "INVALID_COUNT"),
-        bad(rows.where(F.expr(wrong) | ~(F.abs(F.col("fp_per_image") - F.try_divide(F.col("fp").cast("double"), n_images)) <= 1e-12)), "ARITHMETIC"),
-        bad(present.where(F.coalesce("k", F.lit(0)) < len(scopes) + 1), "MISSING_SCOPE"),
-        bad(per.where("tp_off <> 0 or fp_off <> 0 or fn_off <> 0"), "OVERALL_SUM"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    wrong = F.expr(" or ".join(f"not (abs({c} - {e}) <= 1e-12D)" for c, e in right.items())) | ~(F.abs(F.col("fp_per_image") - F.try_divide(F.col("fp").cast("double"), n_images)) <= 1e-12)
+    per = rows.groupBy(F.col("model").alias("r_model"), F.col("threshold").alias("r_threshold")).agg(
+        F.count("*").alias("n"), F.count_distinct("scope").alias("k"), F.bool_or(F.expr("tp < 0 or fp < 0 or fn < 0")).alias("negative"), F.bool_or(wrong).alias("wrong"), F.bool_or(~F.col("scope").isin(*scopes, "Overall")).alias("foreign"),
+        F.coalesce((off("tp") != 0) | (off("fp") != 0) | (off("fn") != 0), F.lit(False)).alias("unequal"),
+    )
+    both = known.join(per, F.expr("model = r_model and threshold = r_threshold"), "full_outer")
+    told = {"FOREIGN_KEY": "model is null or foreign", "DUPLICATE_SCOPE": "n > k", "INVALID_COUNT": "negative", "ARITHMETIC": "wrong", "MISSING_SCOPE": f"model is not null and coalesce(k, 0) < {len(scopes) + 1}", "OVERALL_SUM": "unequal"}
+    problems = F.array_compact(F.array(*[F.when(F.expr(test), name) for name, test in told.items()]))
+    return both.select(F.coalesce("model", "r_model").alias("model"), F.coalesce("threshold", "r_threshold").alias("threshold"), F.explode(problems).alias("problem"))
 
 
 def outside(paths: DataFrame, path: str, root: str) -> DataFrame:

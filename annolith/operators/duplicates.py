@@ -21,6 +21,19 @@ def sign_hash(vectors: DataFrame, key: str, vector: str, bits: int = 62) -> Data
 def near_pairs(hashes: DataFrame, most: int = 8, bits: int = 62, spare: int = 3) -> DataFrame:
     """Pairs a < b whose hashes differ in at most ``most`` bits: a, b, distance, similarity.
 
+    Distinct hashes are compared, each once, and their keys put in afterwards; for groups of many copies see ``near_components``, which names representatives alone.
+    """
+    one = hashes.groupBy("hash").agg(F.min("key").alias("key"))
+    found = near_representatives(one.select("key", "hash"), most, bits, spare)
+    near = found.select(F.col("hash_a").alias("x"), F.col("hash_b").alias("y"), "distance").unionByName(one.select(F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).alias("distance")))
+    a, b = hashes.select(F.col("key").alias("a"), F.col("hash").alias("h_a")), hashes.select(F.col("key").alias("b"), F.col("hash").alias("h_b"))
+    pairs = near.join(a, F.col("x") == F.col("h_a")).join(b, F.col("y") == F.col("h_b")).where("x <> y or a < b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", F.expr(similarity("distance")).alias("similarity"))
+
+
+def near_representatives(hashes: DataFrame, most: int = 8, bits: int = 62, spare: int = 3) -> DataFrame:
+    """a, b, hash_a, hash_b, distance of the pairs of distinct hashes (each with one key) that differ in at most ``most`` bits; a < b.
+
     Of most + spare chunks of the bits, ``spare`` at least are equal in such a pair, so hashes are joined on every choice of
     ``spare`` chunks (17 bits of 62 for a distance of 8).  A pair is reported from the choice of its first equal chunks
     alone, which spares a distinct over all pairs.
@@ -44,11 +57,11 @@ def near_pairs(hashes: DataFrame, most: int = 8, bits: int = 62, spare: int = 3)
     first = F.expr(f"slice(array_compact(array({equal})), 1, {spare})")
     own = F.expr(f"array({', '.join('array(' + ', '.join(map(str, c)) + ')' for c in choices)})")
     found = close.withColumns({"first_": first, "own_": F.get(own, F.col("choice_a"))}).where("first_ = own_")
-    return found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "distance", F.expr(similarity("distance")).alias("similarity"))
+    return found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "hash_a", "hash_b", "distance")
 
 
 def near_components(spark: SparkSession, hashes: DataFrame, most: int = 8) -> DataFrame:
     """key, component (smallest key reachable, itself included), for all keys.  Keys of one hash share a representative, so they need no pairs."""
     one = hashes.groupBy("hash").agg(F.min("key").alias("rep"))
-    found = components(near_pairs(one.select(F.col("rep").alias("key"), "hash"), most), Work(spark, "near"), "near")
+    found = components(near_representatives(one.select(F.col("rep").alias("key"), "hash"), most), Work(spark, "near"), "near")
     return hashes.join(one, "hash").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from annolith.operators.matching import edges, greedy
 from annolith.operators.ranges import BLOCKS, carried, even_blocks
+from annolith.sources.work import Work
 
 
 
@@ -41,7 +42,8 @@ def sweep(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     scored = scored_predictions(gt, pred, least)
     scopes = F.explode(F.array(F.col("c").cast("string"), F.lit("Overall"))).alias("scope")
     steps = scored.select(scopes, F.col("s").alias("threshold"), "tp").groupBy("scope", "threshold").agg(F.sum("tp").alias("t"), F.count("*").alias("n"))
-    steps = steps.withColumn("block", F.floor(F.col("threshold") * BLOCKS))
+    # Written once: the matching that it comes from is read for the blocks and for the rows.
+    steps = Work(gt.sparkSession, "sweep").table(steps.withColumn("block", F.floor(F.col("threshold") * BLOCKS)), "steps")
     above = Window.partitionBy("scope").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = steps.groupBy("scope", "block").agg(F.sum("t").alias("bt"), F.sum("n").alias("bn"))
     blocks = blocks.select(F.col("scope").alias("b_scope"), F.col("block").alias("b_block"), F.coalesce(F.sum("bt").over(above), F.lit(0)).alias("t0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"))
@@ -104,10 +106,11 @@ def frontier(curve: DataFrame, scope: str) -> DataFrame:
 
     A running maximum over false-positive counts, by ranges of them, replaces the join of every budget with every point.
     """
-    own = curve.where(F.col("scope") == scope)
+    work = Work(curve.sparkSession, "frontier")
+    own = work.table(curve.where(F.col("scope") == scope).select("model", "fp", "recall", "precision", "threshold"), "curve")
     best = own.groupBy("model", "fp").agg(F.max(F.struct("recall", "precision", "threshold", "fp")).alias("b")).withColumnRenamed("fp", "budget")
     budgets = own.select(F.col("fp").alias("budget")).distinct().crossJoin(F.broadcast(own.select("model").distinct()))  # one row a model
-    rows = even_blocks(budgets.join(best, ["model", "budget"], "left"), "budget")
+    rows = work.table(even_blocks(work.table(budgets.join(best, ["model", "budget"], "left"), "budgets"), "budget"), "rows")
     filled = carried(rows, ["model"], [F.col("budget")], F.col("b"), "most", largest=True)
     return filled.select("budget", "model", F.col("most.threshold").alias("threshold"), F.col("most.fp").alias("fp"), F.col("most.recall").alias("recall"), (F.col("budget") - F.col("most.fp")).alias("slack"))
 
@@ -117,14 +120,15 @@ def closest_cost(curve: DataFrame, scope: str) -> DataFrame:
 
     Only the nearest counts at or below and at or above can win; both are carried along the counts, by ranges of them.
     """
-    own = curve.where(F.col("scope") == scope)
+    work = Work(curve.sparkSession, "closest")
+    own = work.table(curve.where(F.col("scope") == scope).select("model", "fp", "recall", "threshold"), "curve")
     b = own.where("model = 'B'").groupBy("fp").agg(F.max(F.struct("recall", "threshold")).alias("v"))
     a = own.where("model = 'A'").select(F.col("fp"), F.col("threshold").alias("threshold_a"))
     both = a.join(b.withColumnRenamed("fp", "b_fp"), F.col("fp") == F.col("b_fp"), "full_outer").select(F.coalesce("fp", "b_fp").alias("fp"), "threshold_a", "v")
     hit = F.when(F.col("v").isNotNull(), F.struct(F.col("fp").alias("fp"), F.col("v.recall").alias("recall"), F.col("v.threshold").alias("threshold")))
-    rows = even_blocks(both, "fp")
-    low = carried(rows, [], [F.col("fp"), F.col("threshold_a")], hit, "lo")
-    near = carried(even_blocks(low, "fp"), [], [F.desc("fp"), F.col("threshold_a")], hit, "hi", down=True).where("threshold_a is not null")
+    rows = work.table(even_blocks(work.table(both, "both"), "fp").withColumn("same", F.col("block")), "rows")
+    low = work.table(carried(rows, [], [F.col("fp"), F.col("threshold_a")], hit, "lo").withColumnRenamed("same", "block"), "low")
+    near = carried(low, [], [F.desc("fp"), F.col("threshold_a")], hit, "hi", down=True).where("threshold_a is not null")
     options = F.array_compact(F.array("lo", "hi"))
     pick = F.array_min(F.transform(options, lambda x: F.struct(F.abs(x["fp"] - F.col("fp")).alias("gap"), (-x["recall"]).alias("r"), (-x["threshold"]).alias("t"), x["fp"].alias("fp"))))
     return near.withColumn("p", pick).where("p is not null").select("threshold_a", F.col("fp").alias("fp_a"), (-F.col("p.t")).alias("threshold_b"), F.col("p.fp").alias("fp_b"))

@@ -10,6 +10,7 @@ from annolith.plans.registry import query
 from annolith.plans.sql import BOTH, HEAD, POINTS, PRED_A, TIERS, area, curve, edges, greedy, iou, matched, outcome
 from annolith.sources.fixtures import ground_truth, predictions
 from annolith.sources.tables import tables
+from annolith.sources.work import Work
 
 #: Area of the images of the fixtures, in square pixels.
 IMAGE_AREA = 20000
@@ -105,7 +106,7 @@ def refined_thresholds(spark, sf_dir):
 def metric_table_checks(spark, sf_dir):
     gt, a, _ = _boxes(spark, sf_dir)
     n = gt.select("img").union(a.select("img")).distinct().agg(F.count("*").alias("n_images"))
-    rows = sweep.sweep(gt, a).where("threshold >= 0.9").withColumn("model", F.lit("A")).crossJoin(F.broadcast(n))  # one row
+    rows = Work(spark, "metrics").table(sweep.sweep(gt, a).withColumn("model", F.lit("A")).crossJoin(F.broadcast(n)), "curve")  # one row
     key = F.expr("cast(round(threshold * 1000) as int)")
     damaged = rows.withColumns({"tp": F.when((key % 7 == 0) & (F.col("scope") == "Overall"), F.col("tp") + 1).otherwise(F.col("tp")), "recall": F.when(key % 5 == 0, 0.5).otherwise(F.col("recall"))})
     damaged = damaged.where(~((key % 11 == 0) & (F.col("scope") == "0"))).unionByName(rows.where((key % 13 == 0) & (F.col("scope") == "1")))
@@ -255,7 +256,7 @@ ORACLES: dict[str, str] = {
  z as (select a.threshold as a_threshold, a.t_fp as a_t_fp, a.o_fp as a_o_fp, b.threshold as b_threshold, b.t_fp as b_t_fp, b.o_fp as b_o_fp, case when a.t_recall > b.t_recall and a.t_precision >= b.t_precision then 'A_PREFERRED' when b.t_recall > a.t_recall and b.t_precision >= a.t_precision then 'B_PREFERRED_UNDER_THIS_BUDGET' else 'NO_CLEAR_ADVANTAGE' end as decision,
   row_number() over (order by least(a.t_recall, b.t_recall) desc, greatest(a.t_recall, b.t_recall) desc, a.o_fp + b.o_fp, a.t_fp + b.t_fp, a.threshold desc, b.threshold desc) as k from u a join u b on a.model = 'A' and b.model = 'B' and abs(a.o_fp - b.o_fp) <= 1 and abs(a.t_fp - b.t_fp) <= 1) select * exclude (k) from z where k = 1""",
     "refined_thresholds": f"{HEAD}{matched('qa')}, {matched('qb', 'B')} select i / 100.0::double as threshold from range(5, 91) r(i) union select s from qap where s between 0.05 and 0.9 union select s from qbp where s between 0.05 and 0.9",
-    "metric_table_checks": f"""{HEAD}{matched('qa')}, {curve('qa', 'A')}, r as (select *, round(threshold * 1000)::int as key, (select n from qan) as n_images from qac where threshold >= 0.9),
+    "metric_table_checks": f"""{HEAD}{matched('qa')}, {curve('qa', 'A')}, r as (select *, round(threshold * 1000)::int as key, (select n from qan) as n_images from qac),
  d as (select model, scope, key, case when key % 7 = 0 and scope = 'Overall' then tp + 1 else tp end as tp, fp, fn, precision, case when key % 5 = 0 then 0.5 else recall end as recall, f1, fp_per_image, n_images from r where not (key % 11 = 0 and scope = '0') union all select model, scope, key, tp, fp, fn, precision, recall, f1, fp_per_image, n_images from r where key % 13 = 0 and scope = '1'),
  e as (select distinct key from r where key % 3 <> 0), g as (select key, count(*) as n, count(distinct scope) as k, sum(case when scope = 'Overall' then tp else -tp end) as t, sum(case when scope = 'Overall' then fp else -fp end) as f, sum(case when scope = 'Overall' then fn else -fn end) as m from d group by 1)
  select distinct 'A' as model, key as threshold, p as problem from (select key, 'FOREIGN_KEY' as p from d where key not in (select key from e) union all select key, 'DUPLICATE_SCOPE' from g where n > k union all select e.key, 'MISSING_SCOPE' from e left join g on g.key = e.key where coalesce(k, 0) < 3 union all select key, 'OVERALL_SUM' from g where t <> 0 or f <> 0 or m <> 0
