@@ -142,6 +142,10 @@ def manifest_truth(manifests: DataFrame, open_splits: tuple[str, ...] = ("train"
     return box.select((F.col("start_frame") + F.col("index")).alias("img"), "scene", "object", "o.c", "b.*")
 
 
+#: Rows of a summary that is written as one document.
+SUMMARY_ROWS = 100_000
+
+
 def evidence_by_image(rows: DataFrame, key: str) -> DataFrame:
     """key, evidence: the rows of each image (as many as it has objects) as an array of structs in a fixed order."""
     rest = [c for c in rows.columns if c != key]
@@ -149,12 +153,30 @@ def evidence_by_image(rows: DataFrame, key: str) -> DataFrame:
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    """One JSON document of a summary (by one task); a number that JSON cannot say is an error."""
+    """One JSON document, an array of the rows of a summary, as the file at ``path``; a number that JSON cannot say is an error.
+
+    A summary has at most SUMMARY_ROWS rows: more are refused, not cut.  The file gets its name once it is whole, and never replaces another.
+    """
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     fine = df
     for c in doubles:
         fine = fine.where(raising(F.col(c).isNull() | ~(F.isnan(c) | (F.abs(c) == float("inf"))), f"{c} is not finite"))
-    fine.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    lines = fine.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in fine.columns]), {"ignoreNullFields": "false"}).alias("line")).limit(SUMMARY_ROWS + 1).collect()
+    if len(lines) > SUMMARY_ROWS:
+        raise ValueError(f"more than {SUMMARY_ROWS} rows are no summary: write a table")
+    spark = df.sparkSession
+    fs, place = _file_system(spark, path)
+    staged = _file_system(spark, f"{path}.{uuid.uuid4().hex}")[1]
+    if fs.exists(place):
+        raise FileExistsError(path)
+    out = fs.create(staged, False)
+    try:
+        out.write(("[\n" + ",\n".join(r.line for r in lines) + "\n]\n").encode())
+        out.close()
+        if not fs.rename(staged, place):
+            raise OSError(f"cannot put {path} in place")
+    finally:
+        fs.delete(staged, False)
 
 
 def write_metrics(overall: DataFrame, classes: DataFrame, folder: str, keys: list[str]) -> None:
