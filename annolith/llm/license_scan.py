@@ -3,12 +3,13 @@
 The index holds, for each word of the licence templates and base phrases, its
 postings (template, position) and its inverse document frequency, counted over
 all documents.  A text is looked up by its own rarest licence words: in each stretch of
-STRETCH words, at most RARE licence words, those of highest IDF, as far as they have half the stretch's highest.
+STRETCH words and for each template, the RARE words of it that have the highest IDF, so that no template's words crowd out another's.
 Texts that lack too many of a template's words are left out for it.
 Every occurrence p of such a word with posting (template, q)
 votes for the start p - q; words may have been put in or left out, so starts are met in bins of a quarter of the template's
 length, each vote counting in its own bin and the next.  Bins with votes of at least MIN_ANCHORS different words (fewer for
 templates of few words) become candidates: the template is aligned with the words there (longest common subsequence).
+(``exhaustive`` takes every bin of such texts instead: a check of what the votes leave out.)
 A candidate stands if at least MIN_MATCH of the template's words are found in order and each of
 its mandatory key phrases stands there in full.  Base phrases are anchored at their rarest word alone
 and must match in full, so that every place is found.
@@ -167,27 +168,34 @@ class Index:
         cells = np.repeat(owner, n) * len(self.least) + self.once[ragged(self.first_once[word], n)]
         return np.bincount(cells, minlength=n_texts * len(self.least)).reshape(n_texts, -1) >= self.least
 
-    def rarest(self, text: np.ndarray, place: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Which occurrences (text, place in it, word) are of the rarest licence words of their stretch; they come by text and place."""
-        stretch = np.cumsum(np.concatenate([[0], (text[1:] != text[:-1]) | (place[1:] // STRETCH != place[:-1] // STRETCH)]))
-        pairs, of = np.unique(stretch * len(self.known) + number, return_inverse=True)
-        stretch, rarity = pairs // len(self.known), self.idf[pairs % len(self.known)]
-        order = np.lexsort((-rarity, stretch))
-        new = np.concatenate([[True], stretch[order][1:] != stretch[order][:-1]])
+    def postings(self, text: np.ndarray, number: np.ndarray, possible: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(occurrence, posting, template) of the occurrences of licence words and the templates that their texts may hold."""
+        n = self.first[number + 1] - self.first[number]
+        of, posting = np.repeat(np.arange(len(number)), n), ragged(self.first[number], n)
+        template = self.template[posting]
+        real = possible[text[of], template]
+        return of[real], posting[real], template[real]
+
+    def rarest(self, stretch: np.ndarray, template: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which postings (stretch of a text, template, word) are of the RARE rarest different words of their template in their stretch."""
+        cell = stretch * len(self.templates) + template
+        pairs, of = np.unique(cell * len(self.known) + number, return_inverse=True)
+        cell, rarity = pairs // len(self.known), self.idf[pairs % len(self.known)]
+        order = np.lexsort((-rarity, cell))
+        new = np.concatenate([[True], cell[order][1:] != cell[order][:-1]])
         begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         chosen = np.zeros(len(pairs), dtype=bool)
-        chosen[order] = (np.arange(len(order)) - begin < RARE) & (rarity[order] >= rarity[order][begin] / 2)
+        chosen[order] = np.arange(len(order)) - begin < RARE
         return chosen[of]
 
     def candidates(self, text: np.ndarray, place: np.ndarray, number: np.ndarray, possible: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, template, bin) where enough different words vote for a start."""
-        n = self.first[number + 1] - self.first[number]
-        of, posting = np.repeat(np.arange(len(number)), n), ragged(self.first[number], n)
-        template = self.template[posting]
-        real = possible[text[of], template]
-        of, posting, template = of[real], posting[real], template[real]
+        """(text, template, bin) where enough different words vote for a start; occurrences come by text and place."""
+        of, posting, template = self.postings(text, number, possible)
         if not len(of):
             return []
+        stretch = np.cumsum(np.concatenate([[0], (text[1:] != text[:-1]) | (place[1:] // STRETCH != place[:-1] // STRETCH)]))
+        rare = self.rarest(stretch[of], template, number[of])
+        of, posting, template = of[rare], posting[rare], template[rare]
         bins = (place[of] - self.position[posting]) // self.bin[template] + 8  # a template has fewer than eight bins, so none is negative
         span, pair = int(bins.max()) + 1, text[of] * len(self.least) + template
         where = pair * span + bins
@@ -197,6 +205,10 @@ class Index:
         found = count >= self.need[pair % len(self.least)]
         return list(zip((pair[found] // len(self.least)).tolist(), (pair[found] % len(self.least)).tolist(), k[found].tolist(), strict=True))
 
+    def every_bin(self, bounds: np.ndarray, possible: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, template, bin) of all bins of the texts that may hold a template."""
+        return [(t, m, k) for t, m in np.argwhere(possible).tolist() for k in range(-1, int(bounds[t + 1] - bounds[t]) // int(self.bin[m]) + 1)]
+
     def aligned(self, words: np.ndarray, template: int) -> float:
         """Share of the template's words found in order among ``words``; 0 without its key phrases."""
         _, wanted, keys = self.templates[template]
@@ -209,7 +221,7 @@ class Index:
             best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(words == w, best[:-1] + 1, 0)))
         return float(best[-1] / len(wanted))
 
-    def scan(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, int, float, bool]]:
+    def scan(self, words: np.ndarray, bounds: np.ndarray, exhaustive: bool = False) -> list[tuple[int, str, int, float, bool]]:
         """(text, label, first word, share of the template's words, base phrase?) of all matches; words: hashes of all texts."""
         at, number = self.licence_words(words)
         here, text = words[at], np.searchsorted(bounds, at, side="right") - 1
@@ -231,17 +243,12 @@ class Index:
         if not len(at):
             return out
         place = at - bounds[text]
-        rare = self.rarest(text, place, number)
-        done: dict[tuple[int, int], int] = {}
-        for t, template, k in self.candidates(text[rare], place[rare], number[rare], possible):
+        for t, template, k in self.every_bin(bounds, possible) if exhaustive else self.candidates(text, place, number, possible):
             size, bin_ = len(self.templates[template][1]), int(self.bin[template])
             low = max(0, k * bin_)  # a start lies in this bin or the next
-            if low < done.get((t, template), 0):
-                continue  # inside the last match
             high = min(int(bounds[t + 1] - bounds[t]), (k + 2) * bin_ + size + size // 4)
             share = self.aligned(words[bounds[t] + low : bounds[t] + high], template)
             if share >= MIN_MATCH:
-                done[t, template] = low + size
                 out.append((t, self.templates[template][0], low, share, False))
         return out
 
@@ -287,7 +294,7 @@ def document_frequency(docs: DataFrame) -> dict[str, float]:
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def license_scan(spark: SparkSession, docs: DataFrame, exhaustive: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (best share of a template's words, 1 for a base phrase)."""
     idf = document_frequency(docs)
 
@@ -300,7 +307,7 @@ def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 n = s.n_texts
                 base, first, last = np.zeros(n, dtype=np.int64), [None] * n, [None] * n
                 base_labels, labels, score = [set() for _ in range(n)], [set() for _ in range(n)], np.zeros(n)
-                for t, label, at, share, is_base in index.scan(words, bounds):
+                for t, label, at, share, is_base in index.scan(words, bounds, exhaustive):
                     labels[t].add(label)
                     score[t] = max(score[t], share)
                     if is_base:
