@@ -440,12 +440,12 @@ QUERIES["stream_display_ids"] = votes.stream_display_ids
 
 
 def queries() -> dict:
-    from annolith.plans import curation, draws, evaluation, preflight, stores, streams  # noqa: F401  (they register theirs)
+    from annolith.plans import curation, draws, evaluation, files, preflight, stores, streams  # noqa: F401  (they register theirs)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from annolith.plans import curation, draws, evaluation, preflight, stores, streams
+    from annolith.plans import curation, draws, evaluation, files, preflight, stores, streams
 
-    return {k: v for k, v in (ORACLES | curation.ORACLES | evaluation.ORACLES | streams.ORACLES | stores.ORACLES | draws.ORACLES | preflight.ORACLES).items() if k in queries()}
+    return {k: v for k, v in (ORACLES | curation.ORACLES | evaluation.ORACLES | streams.ORACLES | stores.ORACLES | draws.ORACLES | preflight.ORACLES | files.ORACLES).items() if k in queries()}

@@ -49,8 +49,9 @@ BOX = "struct<class_id:int,bbox:array<double>>"
 CASES = f"image string, width int, height int, ground_truth array<{BOX}>, predictions array<struct<class_id:int,confidence:double,bbox:array<double>>>"
 
 
-def json_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CASES).json(path, multiLine=True)
+def json_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Cases of JSON files that hold a document or an array of them, or of ``lines`` of documents (which many tasks can read)."""
+    return spark.read.schema(CASES).json(path, multiLine=not lines)
 
 
 def case_boxes(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
