@@ -3,8 +3,7 @@
 Training counts the hashed n-grams (1 to 4 bytes within a word, lower-cased
 ASCII, words bounded by a mark) of every training text, task by task, into one
 matrix of languages by buckets; the tasks' matrices are summed.  The smoothed
-log-probabilities form a matrix that is broadcast; with many languages it gets fewer buckets, so that it holds about
-CELLS numbers (LEAST_BUCKETS a language at least) however many languages there are.  Scoring adds up its rows with numpy, without a
+log-probabilities form a matrix of 2**BITS rows that is broadcast: 128 KB for each language, however many texts there are.  Scoring adds up its rows with numpy, without a
 Python loop over n-grams, and the logarithm of the language's share of the training texts (the prior).
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; a
@@ -28,7 +27,7 @@ from .common import crc32_of_id, tidy
 from .textvec import Slice, mix, slices
 
 BITS, ORDERS = 15, (1, 2, 3, 4)
-CELLS, LEAST_BITS, FEW_CELLS, SLICE = 1 << 22, 8, 1 << 20, 1 << 18
+FEW_CELLS, SLICE = 1 << 20, 1 << 18
 UND = "und"
 #: What the pipeline keeps: documents whose likeliest language has this share at least.
 SURE = 0.5
@@ -45,11 +44,6 @@ class Model:
     bits: int
 
 
-def bits_for(n_languages: int) -> int:
-    """Logarithm of the number of buckets."""
-    return max(LEAST_BITS, min(BITS, (CELLS // max(1, n_languages)).bit_length() - 1))
-
-
 def _keys(order: int) -> np.ndarray:
     return mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * order + 7))
 
@@ -91,10 +85,9 @@ def features(s: Slice, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(training: DataFrame) -> Model:
-    """From columns lang and text, all rows."""
+def train(training: DataFrame, bits: int = BITS) -> Model:
+    """From columns lang and text, all rows; 2**bits buckets."""
     usable = training.where("lang is not null and text is not null").select("lang", "text")
-    bits = bits_for(usable.select("lang").distinct().count())
     size = 1 << bits
 
     @tidy
@@ -122,7 +115,7 @@ def train(training: DataFrame) -> Model:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at])], names=["lang", "bucket", "n"])
 
-    rows = usable.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # about CELLS rows at most
+    rows = usable.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each language and bucket at most
     languages = sorted(rows.column("lang").unique().to_pylist())
     place = {lang: k for k, lang in enumerate(languages)}
     counts = np.zeros((size + 1, len(languages)))
@@ -145,7 +138,7 @@ def _columns(s: Slice, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """docs (its ``columns``, the text among them) with lang_pred and score: the share of the likeliest language, by mean log-probability of ten n-grams."""
-    shared = spark.sparkContext.broadcast(Model(model.languages, np.asfortranarray(model.weights), model.prior, model.bits))  # about CELLS * 4 bytes
+    shared = spark.sparkContext.broadcast(Model(model.languages, np.asfortranarray(model.weights), model.prior, model.bits))  # 4 * 2**bits bytes a language
     shape = docs.select(*columns)
     text = columns.index("text")
 

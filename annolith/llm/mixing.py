@@ -6,12 +6,12 @@ weights nearest to the uniform rate under two families of token constraints that
 
 - each source gives its target (held exactly),
 - each language keeps the share of the words that it has in the corpus (held as far as the sources allow: the dual has a ridge
-  of PULL for each word of the language; the BALANCED languages of most words have a constraint each, all others share one).
+  of PULL for each word of the language).
 
 Rates are exponentially tilted odds, rate = CAP / (1 + exp(-(x + y))), with a dual variable x for each source and y for each
 language, so they lie between 0 and CAP.  The dual is convex.  Newton steps solve it: for given y each source finds its own x (a
 root in one variable, task by task, where its rows lie), and gives its part of the gradient and Hessian for y with x eliminated; these
-are summed over all tasks, and the driver, which holds one number for each language, takes the step.  The sums over documents are sums over
+are summed over all tasks, and the driver, which holds a number for each language and each pair of languages that share a source, takes the step.  The sums over documents are sums over
 cells (source, language), as documents of a cell have one rate: words are added up by cell once, before any step.
 Steps end when the languages' gradient, relative to their words, is below RESIDUAL.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, Work
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
-GROUP, BALANCED, PULL, RESIDUAL, MOST_STEPS = 5000, 64, 0.02, 1e-6, 30
+GROUP, PULL, RESIDUAL, MOST_STEPS = 5000, 0.02, 1e-6, 30
 
 
 def _size(text):
@@ -120,7 +120,7 @@ def _cell_rates(y: dict[str | None, float], cap: float, derivatives: bool):
 
 def balanced_rates(cells: DataFrame, work: Work, cap: float = CAP, pull: float = PULL) -> DataFrame:
     """(source, lang, rate) of each cell (source, lang, size, target); languages keep their shares as far as the sources' targets allow."""
-    sums = cells.groupBy("lang").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "lang").limit(BALANCED).collect()  # at most BALANCED rows
+    sums = cells.groupBy("lang").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "lang").collect()  # one row a language
     spent = cells.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0.0
     langs = [r.lang for r in sums]
     words = np.array([float(r["size"]) for r in sums])
@@ -129,13 +129,11 @@ def balanced_rates(cells: DataFrame, work: Work, cap: float = CAP, pull: float =
     before = math.inf
     for _ in range(MOST_STEPS):
         step = cells.groupBy("source").applyInArrow(_cell_rates(dict(zip(langs, y.tolist(), strict=True)), cap, True), "l string, m string, g double, h double")
-        rows = step.groupBy("l", "m").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # languages squared, BALANCED at most each
+        rows = step.groupBy("l", "m").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()  # pairs of languages
+        at, to = (np.array([place[x] for x in rows.column(c).to_pylist()], dtype=np.int64) for c in ("l", "m"))
         gradient, hessian = -goals, np.zeros((len(langs), len(langs)))
-        for r in rows:
-            if r.l in place and r.m in place:
-                hessian[place[r.l], place[r.m]] += r.h
-                if r.l == r.m:
-                    gradient[place[r.l]] += r.g
+        hessian[at, to] = rows.column("h").to_numpy()
+        gradient[at[at == to]] += rows.column("g").to_numpy()[at == to]
         gradient = gradient + pull * words * y
         residual = float(np.abs(gradient / np.maximum(1.0, words)).max()) if len(words) else 0.0
         if residual < RESIDUAL or residual >= before:  # the second: no further than rounding allows
@@ -166,12 +164,6 @@ def mix(spark: SparkSession, docs: DataFrame, work: Work) -> DataFrame:
     """(doc_id, size, source_size, target, copies) of every row."""
     # digest: tells rows of one identifier (or none) and size apart, so that reruns agree
     sized = work.table(docs.select("doc_id", "source", "lang", _size(F.col("text")).alias("size"), F.xxhash64("text", "lang").alias("digest")), "sizes")
-    # Languages beyond the first BALANCED share one constraint.
-    common = sized.groupBy("lang").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "lang").limit(BALANCED - 1)
-    names = [r.lang for r in common.collect()]
-    other = "\uffffother"
-    lang = F.when(F.col("lang").isin([x for x in names if x is not None]) | (F.lit(None in names) & F.col("lang").isNull()), F.col("lang")).otherwise(F.lit(other))
-    sized = sized.withColumn("lang", lang)
     sources = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     targets = work.table(source_targets(sources), "targets")
     cells = sized.groupBy("source", "lang").agg(F.sum("size").alias("size")).where("size > 0").alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source"))

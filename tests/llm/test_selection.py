@@ -120,8 +120,14 @@ def test_language_id_equals_brute_force(spark):
 def test_any_number_of_languages(spark):
     rows = [(k, f"word{k} text", f"lang{k % 700}", "a") for k in range(1400)]
     got = language_id.language_id(spark, docs_of(spark, rows)).collect()
-    assert len(got) == 1400 and language_id.bits_for(700) < language_id.BITS and language_id.bits_for(10**9) == language_id.LEAST_BITS
+    assert len(got) == 1400
     assert all(r.lang_pred.startswith("lang") for r in got)
+    # A language's weights are the same, however many others there are.
+    frame = docs_of(spark, rows).select("lang", "text")
+    few, many = language_id.train(frame.where("lang in ('lang5', 'lang77')")), language_id.train(frame)
+    assert few.bits == many.bits == language_id.BITS
+    for k, lang in enumerate(few.languages):
+        assert np.array_equal(few.weights[:, k], many.weights[:, many.languages.index(lang)])
 
 
 def test_ftrl_equals_a_plain_loop():
@@ -163,6 +169,24 @@ def test_quality_classifier(spark, no_docs):
     assert {r.score for r in quality_classifier.quality_scores(spark, docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_every_language_has_a_constraint_of_its_own(spark):
+    rng = random.Random(9)
+    langs = [*(f"l{k}" for k in range(99)), "\uffffother"]
+    cells = [(s, lang, rng.randint(50, 5000)) for s in "ab" for lang in langs]
+    size = Counter()
+    for s, _, n in cells:
+        size[s] += n
+    df = spark.createDataFrame([(s, lang, n, size[s] * (0.4 if s == "a" else 1.6)) for s, lang, n in cells], "source string, lang string, size long, target double")
+    got = {(r.source, r.lang): r.rate for r in mixing.balanced_rates(df, mixing.Work(spark, "test")).collect()}
+    logit = {k: math.log(r / (2 - r)) for k, r in got.items()}
+    shift = logit["a", "l0"] - logit["b", "l0"]
+    assert all(logit["a", lang] - logit["b", lang] == pytest.approx(shift, abs=1e-6) for lang in langs)
+    share = sum(size[s] * (0.4 if s == "a" else 1.6) for s in "ab") / sum(size.values())
+    for lang in langs:  # each keeps its share nearly: the sources' targets leave room for that
+        words = sum(n for _, x, n in cells if x == lang)
+        assert sum(got[s, x] * n for s, x, n in cells if x == lang) == pytest.approx(share * words, rel=0.05)
+
+
 def test_languages_keep_their_shares_within_the_sources_targets(spark):
     """The rates of the Newton steps satisfy the conditions of the convex dual."""
     rng = random.Random(6)
