@@ -37,6 +37,9 @@ def near_representatives(hashes: DataFrame, most: int = 8, bits: int = 62, spare
     Of most + spare chunks of the bits, ``spare`` at least are equal in such a pair, so hashes are joined on every choice of
     ``spare`` chunks (17 bits of 62 for a distance of 8).  A pair is reported from the choice of its first equal chunks
     alone, which spares a distinct over all pairs.
+
+    A hash becomes a row for every choice, which Spark's estimate of the size leaves out: the join must not broadcast them, and hashes are
+    dealt to as many tasks as shuffles have before they are multiplied.
     """
     chunks = most + spare
     edges = [k * bits // chunks for k in range(chunks + 1)]
@@ -50,9 +53,10 @@ def near_representatives(hashes: DataFrame, most: int = 8, bits: int = 62, spare
             out = f"(shiftleft({out}, {width}) | {value('hash', k)})"
         return out
 
-    keyed = hashes.select("key", "hash", F.posexplode(F.expr(f"array({', '.join(map(key, choices))})")).alias("choice", "value"))
+    tasks = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = hashes.repartition(tasks, "hash").select("key", "hash", F.posexplode(F.expr(f"array({', '.join(map(key, choices))})")).alias("choice", "value"))
     a, b = (keyed.select(*[F.col(c).alias(f"{c}_{side}") for c in keyed.columns]) for side in "ab")
-    close = a.join(b, F.expr("choice_a = choice_b and value_a = value_b and key_a < key_b")).withColumn("distance", F.expr(hamming("hash_a", "hash_b"))).where(F.col("distance") <= most)
+    close = a.hint("merge").join(b.hint("merge"), F.expr("choice_a = choice_b and value_a = value_b and key_a < key_b")).withColumn("distance", F.expr(hamming("hash_a", "hash_b"))).where(F.col("distance") <= most)
     equal = ", ".join(f"case when {value('hash_a', k)} = {value('hash_b', k)} then {k} end" for k in range(chunks))
     first = F.expr(f"slice(array_compact(array({equal})), 1, {spare})")
     own = F.expr(f"array({', '.join('array(' + ', '.join(map(str, c)) + ')' for c in choices)})")
