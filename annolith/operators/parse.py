@@ -22,13 +22,14 @@ def parse_lines(lines: DataFrame, classes: tuple[int, ...] = (0, 1), line: str =
     OUT_OF_BOUNDS and NEAR_ZERO are warnings on a box that is kept.
     """
     kept = lines.columns
-    f = lines.withColumn("f_", F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "))
-    number = F.transform("f_", lambda t: F.when(F.lower(t).rlike(NAMED), F.lit("NaN").cast("double")).when(t.rlike(NUMBER), F.regexp_replace(t, "_", "").try_cast("double")))
-    v = f.withColumn("v_", number).select(*kept, "f_", *[F.get("v_", F.lit(k)).alias(n) for k, n in enumerate(("k_", "x_", "y_", "w_", "h_"))])
+    fields = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+    number = F.transform(fields, lambda t: F.when(t.rlike(NUMBER), F.replace(t, F.lit("_"), F.lit("")).try_cast("double")).when(F.lower(t).rlike(NAMED), F.lit("NaN").cast("double")))
+    # An array of one is exploded so that filters on what follows stay above: pushed below, each would read the line again wherever it names a number.
+    v = lines.select(*kept, F.explode(F.array(number)).alias("v_")).select(*kept, F.size("v_").alias("n_"), *[F.get("v_", F.lit(k)).alias(n) for k, n in enumerate(("k_", "x_", "y_", "w_", "h_"))])
     finite = " and ".join(f"not isnan({c}_) and abs({c}_) < double('infinity')" for c in "kxywh")
     known = ", ".join(str(c) for c in classes)
     fatal = F.expr(f"""case
-        when size(f_) <> 5 then 'FIELD_COUNT'
+        when n_ <> 5 then 'FIELD_COUNT'
         when k_ is null or x_ is null or y_ is null or w_ is null or h_ is null then 'NON_NUMERIC'
         when not ({finite}) then 'NON_FINITE'
         when k_ <> floor(k_) then 'CLASS_NOT_INTEGER'
@@ -44,9 +45,13 @@ def parse_lines(lines: DataFrame, classes: tuple[int, ...] = (0, 1), line: str =
 
 def repeated_annotations(lines: DataFrame, key: str, number: str, line: str = "line") -> DataFrame:
     """Lines of a file that repeat an earlier one: boxes by their numbers (as ``parse_lines`` reads them), other lines by their trimmed text."""
+    return _seen(lines, key, number, line).where("seen_ > 1").drop("seen_", "same_")
+
+
+def _seen(lines: DataFrame, key: str, number: str, line: str = "line") -> DataFrame:
+    """Adds same_, what makes lines of a file equal, and seen_, the how manyeth of its equals a line is."""
     same = F.when(F.col("class_id").isNotNull(), F.concat_ws(" ", *[F.col(c).cast("string") for c in ("class_id", "x", "y", "w", "h")])).otherwise(F.concat(F.lit("text "), F.trim(line)))
-    seen = F.row_number().over(Window.partitionBy(key, "same_").orderBy(number))
-    return lines.withColumn("same_", same).withColumn("seen_", seen).where("seen_ > 1").drop("seen_", "same_")
+    return lines.withColumn("same_", same).withColumn("seen_", F.row_number().over(Window.partitionBy(key, "same_").orderBy(number)))
 
 
 def suspicious_boxes(boxes: DataFrame) -> DataFrame:
@@ -61,6 +66,7 @@ REVIEW_ISSUES = ("OUT_OF_BOUNDS", "NEAR_ZERO", "DUPLICATE_ANNOTATION")
 
 def annotation_issues(lines: DataFrame, key: str, number: str) -> DataFrame:
     """key, number, issue, severity of parsed lines, repeated annotations among them."""
-    own = lines.select(key, number, F.explode("issues").alias("issue"))
-    again = repeated_annotations(lines, key, number).select(key, number, F.lit("DUPLICATE_ANNOTATION").alias("issue"))
-    return own.unionByName(again).withColumn("severity", F.when(F.col("issue").isin(*REVIEW_ISSUES), "REVIEW").otherwise("ERROR"))
+    # Only what is told is sorted; lines are parsed once for both kinds of issues.
+    seen = _seen(lines, key, number).select(key, number, "issues", "seen_")
+    found = F.when(F.col("seen_") > 1, F.concat("issues", F.array(F.lit("DUPLICATE_ANNOTATION")))).otherwise(F.col("issues"))
+    return seen.select(key, number, F.explode(found).alias("issue")).withColumn("severity", F.when(F.col("issue").isin(*REVIEW_ISSUES), "REVIEW").otherwise("ERROR"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from annolith.operators import duplicates
+from annolith.operators import duplicates, parse
 
 
 def plan(df) -> str:
@@ -16,3 +16,11 @@ def test_multiplied_hashes_are_not_broadcast(spark):
     hashes = spark.range(2000).select(F.col("id").alias("key"), F.expr("xxhash64(id) & 4611686018427387903L").alias("hash"))
     got = plan(duplicates.near_representatives(hashes))
     assert "SortMergeJoin" in got and "Broadcast" not in got
+
+
+def test_lines_are_parsed_once_under_filters(spark):
+    lines = spark.range(10).select("id", F.lit(1).alias("n"), F.concat(F.lit("1 0.5 0.5 0.1 0."), F.col("id").cast("string")).alias("line"))
+    parsed = parse.parse_lines(lines)
+    for df in (parsed.where("class_id is not null").groupBy("size_category").count(), parse.suspicious_boxes(parsed), parse.annotation_issues(parsed, "id", "n")):
+        got = df._jdf.queryExecution().optimizedPlan().toString()
+        assert got.count("split(") == 1, got
