@@ -23,19 +23,25 @@ def prefixed(df: DataFrame, p: str) -> DataFrame:
 def edges(gt: DataFrame, pred: DataFrame, least: float, same_class: bool | None = True, measure: str | None = None) -> DataFrame:
     """img, i, j, gc, pc, s, iou of the pairs of an image at or above ``least``; classes equal, unequal (False) or any (None)."""
     g, p = prefixed(gt, "g_"), prefixed(pred, "p_")
-    on = "g_img = p_img" + {True: " and g_c = p_c", False: " and g_c <> p_c", None: ""}[same_class]
-    joined = g.join(p, F.expr(on)).withColumn("iou", F.expr(measure or iou("g_", "p_")))
+    # Classes are compared within the measure: as a key of the join they would have boxes that lie together by image shuffled again.
+    test = {True: "g_c = p_c", False: "g_c <> p_c", None: "true"}[same_class]
+    joined = g.join(p, F.expr("g_img = p_img")).withColumn("iou", F.expr(f"case when {test} then {measure or iou('g_', 'p_')} end"))
     return joined.where(F.col("iou") >= least).select(F.col("g_img").alias("img"), F.col("p_i").alias("i"), F.col("g_j").alias("j"), F.col("g_c").alias("gc"), F.col("p_c").alias("pc"), F.col("p_s").alias("s"), "iou")
 
 
 def greedy(candidates: DataFrame, order: list[Column], keys: tuple[str, ...] = ("img",), carry: tuple[str, ...] = ("iou",)) -> DataFrame:
     """keys, i, j and the carried columns of the edges taken in this order (each i and each j once)."""
+    return taken_edges(candidates, order, keys, carry).select(*keys, F.explode("m").alias("m")).select(*keys, "m.i", "m.j", *[f"m.{c}" for c in carry])
+
+
+def taken_edges(candidates: DataFrame, order: list[Column], keys: tuple[str, ...] = ("img",), carry: tuple[str, ...] = ("iou",)) -> DataFrame:
+    """keys, m: what ``greedy`` takes as one array for each image."""
     fields = [*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("i").alias("i"), F.col("j").alias("j"), *[F.col(c).alias(c) for c in carry]]
     ranked = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("e"))
     empty = F.expr("filter(e, x -> false)")
     free = lambda taken, x: ~F.exists(taken, lambda t: (t["i"] == x["i"]) | (t["j"] == x["j"]))
     taken = F.aggregate("e", empty, lambda t, x: F.when(free(t, x), F.concat(t, F.array(x))).otherwise(t))
-    return ranked.select(*keys, F.explode(taken).alias("m")).select(*keys, "m.i", "m.j", *[f"m.{c}" for c in carry])
+    return ranked.select(*keys, taken.alias("m"))
 
 
 def match(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
@@ -58,10 +64,15 @@ def linked(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
 
     The edges of an image, of equal and unequal classes, are gathered once and folded twice, the second time from what the first has taken.
     """
-    same = F.col("gc") == F.col("pc")
+    return _linked(edges(gt, pred, least, same_class=None), least).select("img", F.explode("t").alias("t")).select("img", "t.i", "t.j", "t.iou", "t.s", "t.outcome")
+
+
+def _linked(pairs: DataFrame, least: float, **more: Column) -> DataFrame:
+    """img, t: the pairs that ``linked`` takes as one array for each image; more: aggregates of all pairs of an image."""
+    same, close = F.col("gc") == F.col("pc"), F.col("iou") >= least
     fields = [F.col(c).alias(c) for c in ("i", "j", "iou", "s")]
     rows = lambda test, *order: F.sort_array(F.collect_list(F.when(test, F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], *fields))))
-    ranked = edges(gt, pred, least, same_class=None).groupBy("img").agg(rows(same, -F.col("s"), F.col("i"), -F.col("iou"), F.col("j")).alias("e"), rows(~same, -F.col("iou"), -F.col("j"), -F.col("i")).alias("x"))
+    ranked = pairs.groupBy("img").agg(rows(same & close, -F.col("s"), F.col("i"), -F.col("iou"), F.col("j")).alias("e"), rows(~same & close, -F.col("iou"), -F.col("j"), -F.col("i")).alias("x"), *[v.alias(k) for k, v in more.items()])
     short = lambda x, outcome: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["iou"].alias("iou"), x["s"].alias("s"), F.lit(outcome).alias("outcome"))
 
     def fold(edges_: str, start: Column, outcome: str) -> Column:
@@ -69,8 +80,8 @@ def linked(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
         return F.aggregate(edges_, start, lambda t, x: F.when(free(t, x), F.concat(t, F.array(short(x, outcome)))).otherwise(t))
 
     none = F.transform(F.expr("filter(e, x -> false)"), lambda x: short(x, "CORRECT"))
-    both = ranked.select("img", "x", fold("e", none, "CORRECT").alias("m"))
-    return both.select("img", F.explode(fold("x", F.col("m"), "CLASS_CONFUSION")).alias("t")).select("img", "t.i", "t.j", "t.iou", "t.s", "t.outcome")
+    both = ranked.select("img", "x", fold("e", none, "CORRECT").alias("m"), *more)
+    return both.select("img", fold("x", F.col("m"), "CLASS_CONFUSION").alias("t"), *more)
 
 
 def object_outcomes(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
@@ -123,38 +134,30 @@ def difficulty(gt: DataFrame, pred: DataFrame, active: float = 0.25, local: floa
     then one-to-one localisation failures (overlap from ``local`` to below ``least``); the rest is MATCH_COMPETITION
     where some prediction of the class overlaps by ``local``, else MISSED_NO_CORRECT_CLASS_PROPOSAL.
     """
-    pairs = linked(gt, pred, least)
-    m, x = pairs.where("outcome = 'CORRECT'"), pairs.where("outcome = 'CLASS_CONFUSION'")
-    used = m.select("img", "i", "j").unionByName(x.select("img", "i", "j"))
-    free_gt, free_pred = leftovers(gt, used, "j"), leftovers(pred, used, "i")
+    # All pairs of an image are gathered once, as arrays that every step reads; nothing is joined by anything but the image.
+    pairs = edges(gt, pred, 0.0, same_class=None).where(f"gc = pc or iou >= {least}D")
+    own = F.when(F.col("gc") == F.col("pc"), F.struct((-F.col("s")).alias("o"), F.col("i").cast("long").alias("i"), (-F.col("iou")).alias("v"), F.col("j").cast("long").alias("j")))
+    told = _linked(pairs, least, l=F.sort_array(F.collect_list(own)))
     # A prediction looks at its best free object only, and passes if that one overlaps too little or too much.
-    close = localisation(edges(free_gt, free_pred, 0.0), local, least)
-    assigned = m.select("img", "j", F.when(F.col("s") >= active, "EASY_CORRECT").otherwise("LOW_CONFIDENCE_CORRECT").alias("category")).unionByName(x.select("img", "j", F.lit("CLASS_CONFUSION").alias("category"))).unionByName(close.select("img", "j", F.lit("LOCALIZATION_FAILURE").alias("category")))
-    busy = used.select("img", "i").unionByName(close.select("img", "i"))
-    spare = leftovers(pred.where(F.col("s") >= active), busy, "i")
-    owners = edges(gt.join(m.select(F.col("img").alias("m_img"), F.col("j").alias("m_j")), F.expr("img = m_img and j = m_j"), "left_semi"), spare, 0.0).groupBy("img", "i").agg(F.max_by(F.struct("j", "iou"), F.struct("iou", -F.col("j"))).alias("o")).where(F.col("o.iou") >= least)
-    duplicates = owners.groupBy("img", F.col("o.j").alias("j")).agg(F.count("*").alias("n"))
-    best = edges(gt, pred, 0.0).groupBy("img", "j").agg(F.max("iou").alias("best"))
-    a, d, b = prefixed(assigned, "a_"), prefixed(duplicates, "d_"), prefixed(best, "b_")
-    all_ = gt.join(a, F.expr("img = a_img and j = a_j"), "left").join(d, F.expr("img = d_img and j = d_j"), "left").join(b, F.expr("img = b_img and j = b_j"), "left")
-    category = F.coalesce("a_category", F.when(F.col("b_best") >= local, "MATCH_COMPETITION").otherwise("MISSED_NO_CORRECT_CLASS_PROPOSAL"))
-    n = F.coalesce("d_n", F.lit(0))
-    return all_.select("img", "j", "c", category.alias("category"), n.alias("duplicates")).withColumn("hard", (F.col("category") != "EASY_CORRECT") | (F.col("duplicates") > 0))
-
-
-def localisation(candidates: DataFrame, local: float, least: float) -> DataFrame:
-    """img, i, j, iou: predictions by falling score take their best free object, if local <= iou < least."""
-    e = candidates.groupBy("img", "i").agg(F.max("s").alias("s"), F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col("j").alias("j")))).alias("g"))
-    per = e.groupBy("img").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), F.col("i").alias("i"), F.col("g").alias("g")))).alias("p"))
-
-    def step(taken, x):
-        left = F.filter(x["g"], lambda g: ~F.exists(taken, lambda t: t["j"] == g["j"]))
-        # bound once: transform over a one-element array
-        return F.transform(F.array(left), lambda q: F.when((F.size(q) > 0) & (F.get(q, F.lit(0))["o"] <= -local) & (F.get(q, F.lit(0))["o"] > -least), F.concat(taken, F.array(F.struct(x["i"].alias("i"), F.get(q, F.lit(0))["j"].alias("j"), (-F.get(q, F.lit(0))["o"]).alias("iou"))))).otherwise(taken))[0]
-
-    start = F.expr("cast(array() as array<struct<i:bigint,j:bigint,iou:double>>)")
-    typed = per.withColumn("p", F.expr("transform(p, x -> struct(x.o as o, bigint(x.i) as i, transform(x.g, g -> struct(g.o as o, bigint(g.j) as j)) as g))"))
-    return typed.select("img", F.explode(F.aggregate("p", start, step)).alias("m")).select("img", "m.i", "m.j", "m.iou")
+    told = told.select("img", "t", "l", localisation("filter(l, x -> not exists(t, y -> y.i = x.i or y.j = x.j))", local, least).alias("close"))
+    # What is left of active predictions goes to the correctly matched object that it overlaps most.
+    spare = f"filter(l, x -> -x.o >= {active}D and -x.v >= {least}D and not exists(t, y -> y.i = x.i) and not exists(close, y -> y.i = x.i) and exists(t, y -> y.j = x.j and y.outcome = 'CORRECT'))"
+    owners = f"aggregate({spare}, named_struct('last', bigint(null), 'js', cast(array() as array<bigint>)), (a, x) -> if(a.last <=> x.i, a, named_struct('last', x.i, 'js', concat(a.js, array(x.j)))), a -> a.js)"
+    told = told.select(F.col("img").alias("t_img"), "t", "l", "close", F.expr(owners).alias("owners"))
+    category = f"""case when exists(t, y -> y.j = j_ and y.outcome = 'CORRECT' and y.s >= {active}D) then 'EASY_CORRECT' when exists(t, y -> y.j = j_ and y.outcome = 'CORRECT') then 'LOW_CONFIDENCE_CORRECT'
+        when exists(t, y -> y.j = j_) then 'CLASS_CONFUSION' when exists(close, y -> y.j = j_) then 'LOCALIZATION_FAILURE' when exists(l, y -> y.j = j_ and -y.v >= {local}D) then 'MATCH_COMPETITION' else 'MISSED_NO_CORRECT_CLASS_PROPOSAL' end"""
+    all_ = gt.select("img", "j", "c", F.col("j").cast("long").alias("j_")).join(told, F.expr("img = t_img"), "left")
+    out = all_.select("img", "j", "c", F.expr(category).alias("category"), F.expr("coalesce(bigint(size(filter(owners, y -> y = j_))), 0L)").alias("duplicates"))
+    return out.withColumn("hard", (F.col("category") != "EASY_CORRECT") | (F.col("duplicates") > 0))
+
+
+def localisation(free: str, local: float, least: float) -> Column:
+    """Array of i, j: predictions by falling score take their best free object, if local <= iou < least.
+
+    free: expression of an array of pairs (o: -s, i, v: -iou, j) sorted by all of these, so that the pairs of a prediction lie together, the best first.
+    """
+    step = f"if(a.last <=> x.i or exists(a.taken, y -> y.j = x.j), a, named_struct('last', x.i, 'taken', if(x.v <= -{local}D and x.v > -{least}D, concat(a.taken, array(named_struct('i', x.i, 'j', x.j))), a.taken)))"
+    return F.expr(f"aggregate({free}, named_struct('last', bigint(null), 'taken', cast(array() as array<struct<i:bigint,j:bigint>>)), (a, x) -> {step}, a -> a.taken)")
 
 
 def image_difficulty(objects: DataFrame, images: DataFrame) -> DataFrame:

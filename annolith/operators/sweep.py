@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annolith.operators.matching import edges, greedy
+from annolith.operators.matching import edges, taken_edges
 from annolith.operators.ranges import BLOCKS, carried, even_blocks
 from annolith.sources.work import Work
 
@@ -29,9 +29,9 @@ def ratios(df: DataFrame, n_images: Column | None = None) -> DataFrame:
 
 def scored_predictions(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """pred with tp: whether the full match takes it."""
-    m = greedy(edges(gt, pred, least), [-F.col("s"), F.col("i"), -F.col("iou"), F.col("j")]).select(F.col("img").alias("m_img"), F.col("i").alias("m_i"))
-    joined = pred.join(m, F.expr("img = m_img and i = m_i"), "left")
-    return joined.select(*pred.columns, F.col("m_i").isNotNull().cast("int").alias("tp"))
+    m = taken_edges(edges(gt, pred, least), [-F.col("s"), F.col("i"), -F.col("iou"), F.col("j")]).select(F.col("img").alias("m_img"), F.transform("m", lambda x: x["i"]).alias("m_is"))
+    joined = pred.join(m, F.expr("img = m_img"), "left")  # by the image alone, as the boxes lie already
+    return joined.select(*pred.columns, F.coalesce(F.array_contains("m_is", F.col("i")), F.lit(False)).cast("int").alias("tp"))
 
 
 def sweep(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:

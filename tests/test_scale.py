@@ -1,10 +1,12 @@
 """Plans of the steps that grew faster than their input, and that what replaced them says the same."""
 
-import random
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from annolith.operators import duplicates, parse
+from annolith.operators import duplicates, matching, parse, sweep
+from annolith.sources.fixtures import ground_truth, predictions
 
 
 def plan(df) -> str:
@@ -24,3 +26,28 @@ def test_lines_are_parsed_once_under_filters(spark):
     for df in (parsed.where("class_id is not null").groupBy("size_category").count(), parse.suspicious_boxes(parsed), parse.annotation_issues(parsed, "id", "n")):
         got = df._jdf.queryExecution().optimizedPlan().toString()
         assert got.count("split(") == 1, got
+
+
+@pytest.fixture(scope="module")
+def boxes(spark):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the tables are not here")
+    return ground_truth(spark, data), predictions(spark, data)
+
+
+def shuffles(spark, make) -> int:
+    """How often a plan without broadcasts shuffles rows, shuffles that are used again counted once."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        return plan(make()).count(" Exchange hashpartitioning")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_boxes_are_shuffled_by_image_alone(spark, boxes):
+    assert shuffles(spark, lambda: sweep.scored_predictions(*boxes)) <= 2
+    assert shuffles(spark, lambda: matching.difficulty(*boxes)) <= 3
