@@ -216,12 +216,20 @@ def hungarian(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     pairs = pairs.where("iou > 0") if least > 0 else pairs
 
     kinds = dict(pairs.dtypes)
-    frames = pairs.groupBy("img").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"), F.collect_list("iou").alias("iou"))  # the pairs of one image
+    worth = F.expr(f"iou + {TIE}D * (i / (i + 1D)) * (j / (j + 1D))")
+    frames = pairs.groupBy("img").agg(F.collect_list(F.struct("i", "j", "iou", worth.alias("v"))).alias("e"))  # the pairs of one image
+    # Where each object's best prediction is its own and no other object's, no assignment is worth more; only other images are solved.
+    frames = frames.withColumn("top", F.expr("filter(e, x -> not exists(e, y -> y.j = x.j and y.i <> x.i and y.v >= x.v))"))
+    frames = frames.withColumn("clear", F.expr("size(top) = size(array_distinct(transform(e, x -> x.j))) and size(top) = size(array_distinct(transform(top, x -> x.i)))"))
+    frames = frames.select("img", "clear", "top", *[F.expr(f"if(clear, filter(transform(e, x -> x.{c}), x -> false), transform(e, x -> x.{c}))").alias(c) for c in ("i", "j", "iou")])
 
     @F.pandas_udf(f"array<struct<i:{kinds['i']},j:{kinds['j']},iou:double>>")
     def solve(i: pd.Series, j: pd.Series, iou: pd.Series) -> pd.Series:
         out = []
         for a, b, v in zip(i, j, iou, strict=True):
+            if not len(a):
+                out.append([])
+                continue
             cols, at_col = np.unique(a, return_inverse=True)
             rows, at_row = np.unique(b, return_inverse=True)
             table = np.zeros((len(rows), len(cols)))
@@ -235,4 +243,6 @@ def hungarian(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
             out.append([{"i": int(cols[y]), "j": int(rows[x]), "iou": float(table[x, y])} for x, y in zip(r, c, strict=True)])
         return pd.Series(out)
 
-    return frames.select("img", F.explode(solve("i", "j", "iou")).alias("m")).select("img", "m.i", "m.j", "m.iou").where(F.col("iou") >= least)
+    clear = F.transform("top", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["iou"].alias("iou")))
+    found = frames.withColumn("m", solve("i", "j", "iou")).select("img", F.explode(F.when(F.col("clear"), clear).otherwise(F.col("m"))).alias("m"))
+    return found.select("img", "m.i", "m.j", "m.iou").where(F.col("iou") >= least)

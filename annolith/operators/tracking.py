@@ -68,7 +68,11 @@ def frame_violations(truth: DataFrame, outputs: DataFrame) -> DataFrame:
 def matched_rows(gt: DataFrame, out: DataFrame, least: float = 0.5) -> DataFrame:
     """img, j, scene, object, gc, track, oc, iou of every match, frame by frame by assignment of largest total overlap."""
     m = hungarian(gt.select("img", "j", "c", "x1", "y1", "x2", "y2"), out.select("img", "i", "c", "s", "x1", "y1", "x2", "y2"), least)
-    return m.join(gt.select("img", "j", "scene", "object", F.col("c").alias("gc")), ["img", "j"]).join(out.select("img", "i", "track", F.col("c").alias("oc")), ["img", "i"])
+    # Indices are compared by order, not as keys of a join: rows lie together by frame already and are not shuffled again.
+    g = gt.select(F.col("img").alias("g_img"), F.col("j").alias("g_j"), "scene", "object", F.col("c").alias("gc"))
+    o = out.select(F.col("img").alias("o_img"), F.col("i").alias("o_i"), "track", F.col("c").alias("oc"))
+    rows = m.join(g, F.expr("img = g_img and j <= g_j and j >= g_j")).join(o, F.expr("img = o_img and i <= o_i and i >= o_i"))
+    return rows.select("img", "i", "j", "iou", "scene", "object", "gc", "track", "oc")
 
 
 def identity_changes(rows: DataFrame) -> DataFrame:
@@ -79,7 +83,8 @@ def identity_changes(rows: DataFrame) -> DataFrame:
     that of the object's match before, tracked or not.
     """
     by_object = Window.partitionBy("scene", "object").orderBy("img", "j").rowsBetween(Window.unboundedPreceding, -1)
-    by_track = Window.partitionBy("track").orderBy("img", "j").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows without a track have no last object: they go by frame, so that they do not all meet in one task.
+    by_track = Window.partitionBy("track", F.when(F.col("track").isNull(), F.col("img"))).orderBy("img", "j").rowsBetween(Window.unboundedPreceding, -1)
     known = F.col("track").isNotNull()
     before = rows.withColumns({"t0_": F.last("track", ignorenulls=True).over(by_object), "c0_": F.last("oc").over(by_object), "o0_": F.when(known, F.last(F.struct("scene", "object")).over(by_track))})
     other = F.coalesce(known & (F.col("o0_") != F.struct("scene", "object")), F.lit(False))

@@ -8,6 +8,7 @@ from annolith.functions.text import cosine_hash, cosine_waves
 from annolith.operators import curation, draws, duplicates, evidence, matching
 from annolith.plans import catalogue, evaluation
 from annolith.plans.registry import query
+from annolith.sources.work import Work
 from annolith.plans.sql import HASHES, ORACLES as _KNOWN, TIERS
 from annolith.sources.tables import tables
 
@@ -107,7 +108,7 @@ def failure_overlaps(spark, sf_dir):
 @query
 def mining_summary(spark, sf_dir):
     gt, a, _ = catalogue._boxes(spark, sf_dir)
-    objects = matching.difficulty(gt, a)
+    objects = Work(spark, "mining").table(matching.difficulty(gt, a), "objects")  # read by all counts
     images = matching.image_difficulty(objects, gt.select("img").union(a.select("img")).distinct())
     return draws.mining_summary(objects, images, CATEGORIES)
 

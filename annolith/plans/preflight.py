@@ -8,6 +8,7 @@ from annolith.operators import matching, preflight
 from annolith.plans import catalogue, evaluation
 from annolith.plans.draws import CATEGORIES
 from annolith.plans.registry import query
+from annolith.sources.work import Work
 from annolith.plans.sql import ORACLES as _KNOWN, TIERS
 from annolith.sources.tables import tables
 
@@ -66,7 +67,7 @@ def run_violations(spark, sf_dir):
 def review_sample(spark, sf_dir):
     """The targeted review queue: tiers, categories and crowded scenes together, each image once."""
     gt, a, _ = catalogue._boxes(spark, sf_dir)
-    objects = matching.difficulty(gt, a)
+    objects = Work(spark, "sample").table(matching.difficulty(gt, a), "objects")  # read for every reason
     images = matching.image_difficulty(objects, gt.select("img").union(a.select("img")).distinct())
     return preflight.review_sample(images, objects, _QUOTAS, CATEGORIES[1:]).select("img", F.array_join("reasons", "|").alias("reasons"))
 

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from annolith.operators import duplicates, matching, parse, sweep
+from annolith.operators import duplicates, matching, parse, sweep, tracking
 from annolith.sources.fixtures import ground_truth, predictions
 
 
@@ -42,7 +42,7 @@ def shuffles(spark, make) -> int:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
-        return plan(make()).count(" Exchange hashpartitioning")
+        return plan(make()).count("- Exchange hashpartitioning")
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -51,3 +51,20 @@ def shuffles(spark, make) -> int:
 def test_boxes_are_shuffled_by_image_alone(spark, boxes):
     assert shuffles(spark, lambda: sweep.scored_predictions(*boxes)) <= 2
     assert shuffles(spark, lambda: matching.difficulty(*boxes)) <= 3
+
+
+def test_rows_without_a_track_do_not_meet_in_one_task(spark):
+    rows = spark.createDataFrame([(k, 0, 0, k % 3, 1, None, 1) for k in range(50)], "img long, j int, scene long, object int, gc int, track long, oc int")
+    got = plan(tracking.identity_changes(rows))
+    assert "hashpartitioning(track#" in got and ", _w" in got.split("hashpartitioning(track#")[1].split(")")[0], got
+    assert not tracking.identity_changes(rows).where("switch or transfer or scene_transfer").count()
+
+
+def test_only_contested_images_are_solved_one_by_one(spark):
+    """Images in which an object's best prediction is another's too still give the assignment of largest total overlap."""
+    box = lambda x: (float(x), 0.0, float(x) + 10, 10.0)
+    gt = [(1, 0, 0, *box(0)), (1, 1, 0, *box(4)), (2, 0, 0, *box(0)), (2, 1, 0, *box(50))]
+    pred = [(1, 0, 0, 0.5, *box(3)), (1, 1, 0, 0.5, *box(8)), (2, 0, 0, 0.5, *box(50)), (2, 1, 0, 0.5, *box(1))]
+    g, p = "img long, j int, c int, x1 double, y1 double, x2 double, y2 double", "img long, i int, c int, s double, x1 double, y1 double, x2 double, y2 double"
+    got = {(r.img, r.i, r.j) for r in matching.hungarian(spark.createDataFrame(gt, g), spark.createDataFrame(pred, p), 0.1).collect()}
+    assert got == {(1, 0, 0), (1, 1, 1), (2, 0, 1), (2, 1, 0)}
