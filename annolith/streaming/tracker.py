@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, fields, replace
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
 import pandas as pd
@@ -137,17 +139,21 @@ class Associate(StatefulProcessor):
         tracks = {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
         parts = pd.concat(list(rows))
         parts["us"] = parts["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
-        for (us, own), dets in parts.sort_values(["us", "frame", "i"]).groupby(["us", "frame"], sort=True):
+        parts = parts.sort_values(["us", "frame", "i"])
+        # Plain lists: a table for each frame costs far more than the few boxes in it.
+        dets_ = zip(*(parts[k].tolist() for k in ("us", "frame", "i", "s", "x1", "y1", "x2", "y2", "cut")), strict=True)
+        for (us, own), dets in groupby(dets_, key=itemgetter(0, 1)):
             if (us, own) <= (at, frame):
                 continue
-            if dets["cut"].any():
+            dets = list(dets)
+            if any(d[8] for d in dets):
                 out += [("cut", t, v[5], None, v[4], v[6]) for t, v in sorted(tracks.items())]
                 tracks = {}
             gone = {t: v for t, v in tracks.items() if us - v[4] > self.buffer}
             out += [("lost", t, v[5], None, v[4], v[6]) for t, v in sorted(gone.items())]
             tracks = {t: v for t, v in tracks.items() if t not in gone}
-            box = {int(i): b for i, *b in dets[["i", "x1", "y1", "x2", "y2"]].itertuples(index=False)}
-            score = dict(zip(dets["i"].astype(int), dets["s"], strict=True))
+            box = {d[2]: d[4:8] for d in dets}
+            score = {d[2]: d[3] for d in dets}
             taken = pairs(tracks, {i: b for i, b in box.items() if score[i] >= c.high}, c.overlap)
             rest = {t: v for t, v in tracks.items() if t not in taken.values() and (v[4], v[5]) == (at, frame)}
             taken |= pairs(rest, {i: b for i, b in box.items() if c.low <= score[i] < c.high}, c.weak_overlap)

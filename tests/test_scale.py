@@ -2,11 +2,13 @@
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from annolith.operators import duplicates, matching, parse, sweep, tracking
 from annolith.sources.fixtures import ground_truth, predictions
+from annolith.streaming import tracker
 
 
 def plan(df) -> str:
@@ -68,3 +70,27 @@ def test_only_contested_images_are_solved_one_by_one(spark):
     g, p = "img long, j int, c int, x1 double, y1 double, x2 double, y2 double", "img long, i int, c int, s double, x1 double, y1 double, x2 double, y2 double"
     got = {(r.img, r.i, r.j) for r in matching.hungarian(spark.createDataFrame(gt, g), spark.createDataFrame(pred, p), 0.1).collect()}
     assert got == {(1, 0, 0), (1, 1, 1), (2, 0, 1), (2, 1, 0)}
+
+
+def test_frames_of_a_stream_make_no_tables(monkeypatch):
+    """A frame costs no pandas table of its own."""
+
+    class Held:
+        def __init__(self):
+            self.kept = {}
+
+        exists = lambda self: bool(self.kept)
+        get = lambda self: self.kept[None]
+        update = lambda self, v: self.kept.update({None: v})
+        updateValue = lambda self, k, v: self.kept.update({k: v})
+        iterator = lambda self: iter(self.kept.items())
+        clear = lambda self: self.kept.clear()
+        listTimers = lambda self: []
+        registerTimer = lambda self, at: None
+
+    own = tracker.Associate(tracker.TrackerConfig())
+    own.handle, own.last, own.open = Held(), Held(), Held()
+    rows = pd.DataFrame([(f, pd.Timestamp(f, unit="s"), i, 0.9, 30.0 * i, 0.0, 30.0 * i + 10, 10.0, False) for f in range(3) for i in range(2)], columns=["frame", "ts", "i", "s", "x1", "y1", "x2", "y2", "cut"])
+    monkeypatch.setattr(pd.DataFrame, "groupby", lambda *a, **b: pytest.fail("a table for each frame"))
+    (got,) = own.handleInputRows((5,), iter([rows]), None)
+    assert got[["event", "track", "frame", "i", "seen"]].values.tolist() == [["seen", i + 1, f, i, f + 1] for f in range(3) for i in range(2)]
