@@ -38,10 +38,13 @@ def taken_edges(candidates: DataFrame, order: list[Column], keys: tuple[str, ...
     """keys, m: what ``greedy`` takes as one array for each image."""
     fields = [*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("i").alias("i"), F.col("j").alias("j"), *[F.col(c).alias(c) for c in carry]]
     ranked = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("e"))
-    empty = F.expr("filter(e, x -> false)")
+    return ranked.select(*keys, taken_of("e").alias("m"))
+
+
+def taken_of(ranked: str) -> Column:
+    """Of an array of edges in order those whose ends (i and j) are both free when their turn comes."""
     free = lambda taken, x: ~F.exists(taken, lambda t: (t["i"] == x["i"]) | (t["j"] == x["j"]))
-    taken = F.aggregate("e", empty, lambda t, x: F.when(free(t, x), F.concat(t, F.array(x))).otherwise(t))
-    return ranked.select(*keys, taken.alias("m"))
+    return F.aggregate(ranked, F.filter(ranked, lambda x: F.lit(False)), lambda t, x: F.when(free(t, x), F.concat(t, F.array(x))).otherwise(t))
 
 
 def match(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:

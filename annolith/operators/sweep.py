@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annolith.operators.matching import edges, taken_edges
+from annolith.functions.geometry import iou
+from annolith.operators.matching import edges, taken_edges, taken_of
 from annolith.operators.ranges import BLOCKS, carried, even_blocks
 from annolith.sources.work import Work
 
 
-
 def ratios(df: DataFrame, n_images: Column | None = None) -> DataFrame:
     """Adds precision, recall, f1 (0 where undefined) and fp_per_image."""
     part = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
@@ -35,26 +35,58 @@ def scored_predictions(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> Da
 
 
 def sweep(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
-    """scope (class as text, or Overall), threshold, tp, fp, fn, precision, recall, f1, fp_per_image at every distinct score.
+    """scope (class as text, or Overall), threshold, tp, fp, fn, precision, recall, f1, fp_per_image at every distinct score."""
+    box = lambda df: F.struct(*[c for c in df.columns if c != "img"])
+    rows = gt.select("img", box(gt).alias("gt")).unionByName(pred.select("img", box(pred).alias("pred")), allowMissingColumns=True)
+    return sweeps(rows.withColumn("nth", F.row_number().over(Window.partitionBy("img").orderBy("img"))), ("pred",), least).drop("model")
+
+
+def sweeps(rows: DataFrame, models: tuple[str, ...], least: float = 0.5) -> DataFrame:
+    """``sweep`` of several models on the same objects, with model.  rows: img, nth (from 1 in each image), a struct gt (j, c, x1, y1, x2, y2) and one named as each model (i, c, s, x1, y1, x2, y2), null where a row has none.
 
-    Counts are first summed by scope and score; the running sum goes by score ranges (BLOCKS of them) and within each, so no task sees a whole curve.
+    Rows are shuffled by image once, whatever the number of models, and all that the curves need is counted in that one pass: predictions by scope and score,
+    objects by scope, images.  The running sum goes by score ranges (BLOCKS of them) and within each, so no task sees a whole curve.
     """
-    scored = scored_predictions(gt, pred, least)
-    scopes = F.explode(F.array(F.col("c").cast("string"), F.lit("Overall"))).alias("scope")
-    steps = scored.select(scopes, F.col("s").alias("threshold"), "tp").groupBy("scope", "threshold").agg(F.sum("tp").alias("t"), F.count("*").alias("n"))
-    # Written once: the matching that it comes from is read for the blocks and for the rows.
-    steps = Work(gt.sparkSession, "sweep").table(steps.withColumn("block", F.floor(F.col("threshold") * BLOCKS)), "steps")
-    above = Window.partitionBy("scope").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = steps.groupBy("scope", "block").agg(F.sum("t").alias("bt"), F.sum("n").alias("bn"))
-    blocks = blocks.select(F.col("scope").alias("b_scope"), F.col("block").alias("b_block"), F.coalesce(F.sum("bt").over(above), F.lit(0)).alias("t0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"))
-    w = Window.partitionBy("scope", "block").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = steps.join(F.broadcast(blocks), F.expr("scope = b_scope and block = b_block"))  # BLOCKS + 1 rows a scope at most
+    # Written once: the matching that it comes from is read for the blocks, for the rows and for the totals.
+    counts = Work(rows.sparkSession, "sweep").table(_counts(rows, models, least).withColumn("block", F.floor(F.col("threshold") * BLOCKS)), "counts")
+    steps = counts.where("what = 'prediction'").select("model", "scope", "threshold", "t", "n", "block")
+    above = Window.partitionBy("model", "scope").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = steps.groupBy("model", "scope", "block").agg(F.sum("t").alias("bt"), F.sum("n").alias("bn"))
+    blocks = blocks.select(F.col("model").alias("b_model"), F.col("scope").alias("b_scope"), F.col("block").alias("b_block"), F.coalesce(F.sum("bt").over(above), F.lit(0)).alias("t0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"))
+    w = Window.partitionBy("model", "scope", "block").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = steps.join(F.broadcast(blocks), F.expr("model = b_model and scope = b_scope and block = b_block"))  # BLOCKS + 1 rows a model and scope at most
     tp, n = F.col("t0") + F.sum("t").over(w), F.col("n0") + F.sum("n").over(w)
-    curve = placed.select("scope", "threshold", tp.alias("tp"), (n - tp).alias("fp"))
-    totals = gt.select(scopes, "img").groupBy(F.col("scope").alias("g_scope")).agg(F.count("*").alias("n_gt"))
-    n_images = gt.select("img").union(pred.select("img")).distinct().agg(F.count("*").alias("n_images"))
-    joined = curve.join(F.broadcast(totals), F.col("scope") == F.col("g_scope")).crossJoin(F.broadcast(n_images))  # one row for each class; one row
-    return ratios(joined.withColumn("fn", F.col("n_gt") - F.col("tp")), F.col("n_images")).select("scope", "threshold", "tp", "fp", "fn", "precision", "recall", "f1", "fp_per_image")
+    curve = placed.select("model", "scope", "threshold", tp.alias("tp"), (n - tp).alias("fp"))
+    totals = counts.where("what = 'object'").select(F.col("scope").alias("g_scope"), F.col("n").alias("n_gt"))
+    images = counts.where("what = 'image'").select(F.col("model").alias("n_model"), F.col("n").alias("n_images"))
+    joined = curve.join(F.broadcast(totals), F.expr("scope = g_scope")).join(F.broadcast(images), F.expr("model = n_model"))  # one row for each class; for each model
+    return ratios(joined.withColumn("fn", F.col("n_gt") - F.col("tp")), F.col("n_images")).select("scope", "threshold", "tp", "fp", "fn", "precision", "recall", "f1", "fp_per_image", "model")
+
+
+def _counts(rows: DataFrame, models: tuple[str, ...], least: float) -> DataFrame:
+    """what, model, scope, threshold, t, n: predictions (n, of which t are matched) by model, scope and score, objects by scope, images by model (those with an object or a prediction of it)."""
+    boxes = ["gt", *models]
+    # As a window, which reads rows as nth has left them, sorted by image; an aggregate of arrays would sort them before the shuffle and again after it.
+    whole = Window.partitionBy("img")
+    images = rows.select("img", "nth", *[F.collect_list(c).over(whole).alias(c) for c in boxes]).where("nth = 1")
+    overlap = iou("g.", "p.")
+    edge = f"struct(-p.s as o, p.i as i, -({overlap}) as v, g.j as j)"
+    ranked = f"sort_array(filter(flatten(transform({{0}}, p -> transform(filter(gt, g -> g.c = p.c and img is not null), g -> {edge}))), e -> -e.v >= {least}D))"
+    images = images.select("img", *boxes, *[F.expr(ranked.format(m)).alias(f"{m}_e") for m in models])
+    images = images.select(*boxes, *[taken_of(f"{m}_e").alias(f"{m}_m") for m in models])
+    # Counted by class first, without names, as every box passes here: of is 0 for objects, k for predictions of model k and -k for its images.
+    entry = "struct({0} as of, {1} as c, {2} as s, {3} as t)"
+    c, s = (f"cast(null as {kinds[x].dataType.simpleString()})" for kinds in [rows.schema[models[0]].dataType] for x in "cs")
+    found = [f"transform(gt, g -> {entry.format(0, 'g.c', s, 0)})"]
+    for k, m in enumerate(models, 1):
+        found.append(f"transform({m}, p -> {entry.format(k, 'p.c', 'p.s', f'int(exists({m}_m, e -> e.i = p.i))')})")
+        found.append(f"if(size(gt) + size({m}) > 0, array({entry.format(-k, c, s, 0)}), array())")
+    each = images.select(F.expr(f"explode(concat({', '.join(found)}))").alias("x")).select("x.*")
+    counted = each.groupBy("of", "c", "s").agg(F.sum("t").alias("t"), F.count("*").alias("n"))
+    scopes = F.expr("explode(if(of < 0, array(string(null)), array(string(c), 'Overall')))").alias("scope")
+    named = counted.select("of", scopes, F.col("s").alias("threshold"), "t", "n").groupBy("of", "scope", "threshold").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    what, model = "case when of = 0 then 'object' when of > 0 then 'prediction' else 'image' end as what", f"get(array({', '.join(map(repr, models))}), abs(of) - 1) as model"
+    return named.selectExpr(what, model, "scope", "threshold", "t", "n")
 
 
 def at_grid(curve: DataFrame, first: int = 5, last: int = 90) -> DataFrame:

@@ -8,7 +8,7 @@ from annolith.functions import geometry
 from annolith.operators import audit, compare, duplicates, matching, parse, review, sampling, sweep, tracking
 from annolith.plans.registry import QUERIES, query
 from annolith.plans.sql import CHOICES, DECIDED, LINES, ORACLES, QUEUE, TIERS
-from annolith.sources.fixtures import ground_truth, predictions
+from annolith.sources.fixtures import ground_truth, line_boxes, predictions
 from annolith.sources.tables import manifest_truth, tables
 from annolith.sources.tables import train_inventory as inventory
 from annolith.streaming import votes
@@ -30,9 +30,8 @@ def _boxes(spark, sf_dir):
     return ground_truth(spark, sf_dir), predictions(spark, sf_dir), predictions(spark, sf_dir, "B")
 
 
-def _curves(spark, sf_dir):
-    gt, a, b = _boxes(spark, sf_dir)
-    return sweep.sweep(gt, a).withColumn("model", F.lit("A")).unionByName(sweep.sweep(gt, b).withColumn("model", F.lit("B")))
+def _curves(spark, sf_dir, models=("A", "B")):
+    return sweep.sweeps(line_boxes(spark, sf_dir, models), models)
 
 
 @query
@@ -207,14 +206,12 @@ def hungarian_match(spark, sf_dir):
 
 @query
 def threshold_sweep(spark, sf_dir):
-    gt, a, _ = _boxes(spark, sf_dir)
-    return sweep.sweep(gt, a)
+    return _curves(spark, sf_dir, ("A",)).drop("model")
 
 
 @query
 def threshold_grid(spark, sf_dir):
-    gt, a, _ = _boxes(spark, sf_dir)
-    return sweep.at_grid(sweep.sweep(gt, a)).select("scope", "threshold", "tp", "fp", "fn")
+    return sweep.at_grid(_curves(spark, sf_dir, ("A",)).drop("model")).select("scope", "threshold", "tp", "fp", "fn")
 
 
 @query

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from annolith.operators import duplicates, matching, parse, sweep, tracking
-from annolith.sources.fixtures import ground_truth, predictions
+from annolith.plans import catalogue
+from annolith.sources.fixtures import ground_truth, line_boxes, predictions
+from annolith.sources.work import Work
 from annolith.streaming import tracker
 
 
@@ -55,6 +57,39 @@ def test_boxes_are_shuffled_by_image_alone(spark, boxes):
     assert shuffles(spark, lambda: matching.difficulty(*boxes)) <= 3
 
 
+def line_item_plans(spark, monkeypatch, name) -> list[str]:
+    """The plans of all tables that a query writes on its way, and its own."""
+    seen, write = [], Work.table
+    monkeypatch.setattr(Work, "table", lambda self, df, *a, **b: seen.append(plan(df)) or write(self, df, *a, **b))
+    own = plan(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
+    return [*seen, own]
+
+
+@pytest.mark.parametrize("name", ["metric_deltas"])
+def test_both_curves_come_from_one_shuffle_of_line_items(spark, boxes, monkeypatch, name):
+    got = "\n".join(line_item_plans(spark, monkeypatch, name))
+    assert got.count("Exchange hashpartitioning(l_orderkey") == 1, got
+    assert got.count("FileScan parquet [l_") == 1 and got.count("- Sort [l_orderkey") == 1
+    assert "l_extendedprice" not in got
+
+
+def test_lines_give_the_boxes_of_the_tables(spark, boxes):
+    """Also where an order has copies of a line, some of them the same in all that boxes come from."""
+    lines = line_boxes(spark, "/root/testdata/sf0.001")
+    tables = {"gt": boxes[0], "A": boxes[1], "B": predictions(spark, "/root/testdata/sf0.001", "B")}
+    for name, table in tables.items():
+        got = lines.select("img", f"{name}.*")
+        assert got.columns == table.columns and got.exceptAll(table).isEmpty() and table.exceptAll(got).isEmpty()
+
+
+def test_boxes_without_an_image_count_but_never_match(spark):
+    g, p = "img long, j int, c int, x1 double, y1 double, x2 double, y2 double", "img long, i int, c int, s double, x1 double, y1 double, x2 double, y2 double"
+    gt = spark.createDataFrame([(None, 0, 1, 0.0, 0.0, 9.0, 9.0), (1, 0, 1, 0.0, 0.0, 9.0, 9.0), (2, 0, 0, 0.0, 0.0, 9.0, 9.0)], g)
+    pred = spark.createDataFrame([(None, 0, 1, 0.5, 0.0, 0.0, 9.0, 9.0), (1, 0, 1, 0.5, 0.0, 0.0, 9.0, 9.0), (3, 0, 1, 0.25, 0.0, 0.0, 9.0, 9.0)], p)
+    got = {(r.scope, r.threshold): (r.tp, r.fp, r.fn, r.fp_per_image) for r in sweep.sweep(gt, pred).collect()}
+    assert got == {("1", 0.5): (1, 1, 1, 0.25), ("1", 0.25): (1, 2, 1, 0.5), ("Overall", 0.5): (1, 1, 2, 0.25), ("Overall", 0.25): (1, 2, 2, 0.5)}
+
+
 def test_rows_without_a_track_do_not_meet_in_one_task(spark):
     rows = spark.createDataFrame([(k, 0, 0, k % 3, 1, None, 1) for k in range(50)], "img long, j int, scene long, object int, gc int, track long, oc int")
     got = plan(tracking.identity_changes(rows))
