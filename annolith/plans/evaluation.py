@@ -8,7 +8,7 @@ from annolith.operators import checks, compare, evidence, sampling, sweep
 from annolith.operators.matching import object_outcomes
 from annolith.plans.registry import query
 from annolith.plans.sql import BOTH, HEAD, POINTS, PRED_A, TIERS, area, curve, edges, greedy, iou, matched, outcome
-from annolith.sources.fixtures import ground_truth, predictions
+from annolith.sources.fixtures import ground_truth, line_boxes, predictions
 from annolith.sources.tables import tables
 from annolith.sources.work import Work
 
@@ -20,9 +20,8 @@ def _boxes(spark, sf_dir):
     return ground_truth(spark, sf_dir), predictions(spark, sf_dir), predictions(spark, sf_dir, "B")
 
 
-def _curves(spark, sf_dir):
-    gt, a, b = _boxes(spark, sf_dir)
-    return sweep.sweep(gt, a).withColumn("model", F.lit("A")).unionByName(sweep.sweep(gt, b).withColumn("model", F.lit("B")))
+def _curves(spark, sf_dir, models=("A", "B")):
+    return sweep.sweeps(line_boxes(spark, sf_dir, models), models)
 
 
 def _tiers(spark, sf_dir):
@@ -106,7 +105,7 @@ def refined_thresholds(spark, sf_dir):
 def metric_table_checks(spark, sf_dir):
     gt, a, _ = _boxes(spark, sf_dir)
     n = gt.select("img").union(a.select("img")).distinct().agg(F.count("*").alias("n_images"))
-    rows = Work(spark, "metrics").table(sweep.sweep(gt, a).withColumn("model", F.lit("A")).crossJoin(F.broadcast(n)), "curve")  # one row
+    rows = Work(spark, "metrics").table(_curves(spark, sf_dir, ("A",)).crossJoin(F.broadcast(n)), "curve")  # one row
     key = F.expr("cast(round(threshold * 1000) as int)")
     damaged = rows.withColumns({"tp": F.when((key % 7 == 0) & (F.col("scope") == "Overall"), F.col("tp") + 1).otherwise(F.col("tp")), "recall": F.when(key % 5 == 0, 0.5).otherwise(F.col("recall"))})
     damaged = damaged.where(~((key % 11 == 0) & (F.col("scope") == "0"))).unionByName(rows.where((key % 13 == 0) & (F.col("scope") == "1")))
@@ -116,8 +115,7 @@ def metric_table_checks(spark, sf_dir):
 
 @query
 def metric_range_check(spark, sf_dir):
-    gt, a, _ = _boxes(spark, sf_dir)
-    bad = sweep.sweep(gt, a).withColumn("f1", F.when(F.col("threshold") > 0.99, F.col("f1") + 1).when(F.col("threshold") < 0.01, F.lit(float("nan"))).otherwise(F.col("f1")))
+    bad = _curves(spark, sf_dir, ("A",)).drop("model").withColumn("f1", F.when(F.col("threshold") > 0.99, F.col("f1") + 1).when(F.col("threshold") < 0.01, F.lit(float("nan"))).otherwise(F.col("f1")))
     return checks.out_of_range(bad, ["precision", "recall", "f1"]).select("scope", "threshold", "metric")
 
 
