@@ -65,7 +65,7 @@ def line_item_plans(spark, monkeypatch, name) -> list[str]:
     return [*seen, own]
 
 
-@pytest.mark.parametrize("name", ["metric_deltas", "model_selection", "precision_floor", "policy_select"])
+@pytest.mark.parametrize("name", ["metric_deltas", "model_selection", "precision_floor", "policy_select", "matched_cost_pair"])
 def test_both_curves_come_from_one_shuffle_of_line_items(spark, boxes, monkeypatch, name):
     got = "\n".join(line_item_plans(spark, monkeypatch, name))
     assert got.count("Exchange hashpartitioning(l_orderkey") == 1, got
